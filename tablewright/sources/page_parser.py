@@ -8,6 +8,7 @@ span rows or columns.  What the arrays mean is decided in Spark expressions.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 # Elements without an end tag, elements whose text is not page text.
@@ -28,6 +29,7 @@ class PageParser(HTMLParser):
         self.nodes: list[dict] = []
         self.texts: list[str] = []
         self._open: list[dict] = []
+        self._count: Counter[str] = Counter()
         self._pending: list[str] = []
         self.feed(html)
         self.close()
@@ -37,9 +39,10 @@ class PageParser(HTMLParser):
 
     def _flush(self) -> None:
         text, self._pending = "".join(self._pending), []
-        hidden = [node for node in self._open if node["tag"] in HIDDEN]
+        hidden = any(self._count[tag] for tag in HIDDEN)
         if text and hidden:
-            hidden[-1]["raw"] = (hidden[-1]["raw"] or "") + text
+            node = self._nearest(*HIDDEN)
+            node["raw"] = (node["raw"] or "") + text
         elif text.strip():
             self.texts.append(text)
         elif text:
@@ -47,6 +50,7 @@ class PageParser(HTMLParser):
 
     def _close_top(self) -> None:
         node = self._open.pop()
+        self._count[node["tag"]] -= 1
         node["end"], node["t1"] = len(self.nodes), len(self.texts)
 
     def _nearest(self, *tags: str) -> dict | None:
@@ -69,6 +73,7 @@ class PageParser(HTMLParser):
         }
         self.nodes.append(node)
         self._open.append(node)
+        self._count[tag] += 1
         if tag in VOID:
             self._close_top()
 
@@ -79,7 +84,7 @@ class PageParser(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if tag not in VOID and self._nearest(tag):
+        if tag not in VOID and self._count[tag]:
             while self._open[-1]["tag"] != tag:
                 self._close_top()
             self._close_top()
