@@ -303,10 +303,19 @@ def pagination_links(parsed: DataFrame, base_url: str = "url", max_pages: int =
             pagers, lambda p: (p["pos"] < node["pos"]) & (node["pos"] < p["end"])
         )
 
+    def href_has(part: str):
+        return lambda n: _attribute(n, "href").contains(part)
+
+    def inside(css_class: str):
+        return lambda n: below(n, css_class)
+
+    def text_has(part: str):
+        return lambda n: _raw_text(n).contains(part)
+
     selectors = [
-        *[lambda n, part=part: _attribute(n, "href").contains(part) for part in HREF_PARTS],
-        *[lambda n, css=css: below(n, css) for css in PAGER_CLASSES],
-        *[lambda n, text=text: _raw_text(n).contains(text) for text in LINK_TEXTS],
+        *map(href_has, HREF_PARTS),
+        *map(inside, PAGER_CLASSES),
+        *map(text_has, LINK_TEXTS),
         lambda n: _attribute(n, "rel") == NEXT_REL,
     ]
     hits = F.concat(*[F.filter(anchors, selector) for selector in selectors])

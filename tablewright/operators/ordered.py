@@ -69,7 +69,7 @@ def add_blocks(df: DataFrame, order_by: Sequence[str], blocks: int | None = None
     return materialize(ranged.withColumn(BLOCK, F.spark_partition_id()), "ordered")
 
 
-def _forward(order_by: Sequence[str]) -> Window:
+def _forward(order_by: Sequence[str]):
     return (
         Window.partitionBy(BLOCK)
         .orderBy(*[quoted(c).asc() for c in order_by])
@@ -77,7 +77,7 @@ def _forward(order_by: Sequence[str]) -> Window:
     )
 
 
-def _backward(order_by: Sequence[str]) -> Window:
+def _backward(order_by: Sequence[str]):
     """Reading backwards keeps the frame a running one; a frame that ends at
     the last row is recomputed for every row."""
     return (
@@ -87,8 +87,13 @@ def _backward(order_by: Sequence[str]) -> Window:
     )
 
 
-_EARLIER = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-_LATER = Window.orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+def _earlier_blocks():
+    """Frame over the table with one row per block, at most MAX_BLOCKS rows."""
+    return Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _later_blocks():
+    return Window.orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def global_row_number(
@@ -99,7 +104,7 @@ def global_row_number(
     offsets = (
         blocked.groupBy(BLOCK)
         .count()
-        .select(BLOCK, F.coalesce(F.sum("count").over(_EARLIER), F.lit(0)).alias("_offset"))
+        .select(BLOCK, F.coalesce(F.sum("count").over(_earlier_blocks()), F.lit(0)).alias("_offset"))
     )
     numbered = blocked.withColumn("_n", F.row_number().over(_forward(order_by)))
     return numbered.join(F.broadcast(offsets), BLOCK).select(
@@ -130,7 +135,7 @@ def fill_ordered(
             for i, c in enumerate(columns)
         ]
     )
-    seam = _EARLIER if forward else _LATER
+    seam = _earlier_blocks() if forward else _later_blocks()
     carries = edges.select(
         BLOCK,
         *[
@@ -177,7 +182,7 @@ def interpolate_ordered(
         *[F.max(point(c)).alias(f"_last{i}") for i, c in enumerate(columns)],
         *[F.min(point(c)).alias(f"_first{i}") for i, c in enumerate(columns)],
     )
-    offsets = edges.withColumn("_offset", F.coalesce(F.sum("_rows").over(_EARLIER), F.lit(0)))
+    offsets = edges.withColumn("_offset", F.coalesce(F.sum("_rows").over(_earlier_blocks()), F.lit(0)))
 
     def shifted(name: str) -> Column:
         p = F.col(name)
@@ -189,11 +194,11 @@ def interpolate_ordered(
         BLOCK,
         "_offset",
         *[
-            F.last(shifted(f"_last{i}"), ignorenulls=True).over(_EARLIER).alias(f"_before{i}")
+            F.last(shifted(f"_last{i}"), ignorenulls=True).over(_earlier_blocks()).alias(f"_before{i}")
             for i in range(len(columns))
         ],
         *[
-            F.last(shifted(f"_first{i}"), ignorenulls=True).over(_LATER).alias(f"_after{i}")
+            F.last(shifted(f"_first{i}"), ignorenulls=True).over(_later_blocks()).alias(f"_after{i}")
             for i in range(len(columns))
         ],
     )

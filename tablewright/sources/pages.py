@@ -68,16 +68,16 @@ def parse_pages(
     def parse_one(source: str | None) -> dict:
         try:
             page = parse(source or "")
-            for node in page.nodes:
-                node["attrs"] = list(node["attrs"].items())
-            parsed = {"nodes": page.nodes, "texts": page.texts, "error": None}
         except Exception as problem:  # a broken page must not fail the job
             return {"nodes": [], "texts": [], "tables": [], "error": repr(problem)}
+        tables, error = [], None
         try:
-            parsed["tables"] = page.tables()
+            tables = page.tables()
         except Exception as problem:  # a broken table must not hide the page
-            parsed["tables"], parsed["error"] = [], repr(problem)
-        return parsed
+            error = repr(problem)
+        for node in page.nodes:
+            node["attrs"] = list(node["attrs"].items())
+        return {"nodes": page.nodes, "texts": page.texts, "tables": tables, "error": error}
 
     def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
