@@ -7,10 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablewright.functions.text import strip_edges
-
 # Accepted number syntax and boolean words.
-NUMBER_PATTERN = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
+NUMBER_PATTERN = r"(?i)^[\t-\r ]*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)[\t-\r ]*$"
 BOOLEAN_WORDS = {
     "true": True,
     "false": False,
@@ -56,15 +54,15 @@ STRFTIME = {
 
 def to_number(c: Column) -> Column:
     """Text (or number) to double.  ``1,000``, ``$7``, ``0x1A``, ``1_000`` -> NULL."""
-    text = strip_edges(c.cast("string"))
+    text = c.cast("string")
     return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
 def to_integer(c: Column) -> Column:
     """Whole numbers to bigint; long digit strings keep every digit."""
-    number = to_number(c)
-    exact = F.when(number.isNotNull(), strip_edges(c.cast("string")).try_cast("bigint"))
-    return F.coalesce(exact, number.try_cast("bigint"))
+    text = c.cast("string")
+    either = F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+    return F.when(text.rlike(NUMBER_PATTERN), either)
 
 
 def is_whole(number: Column) -> Column:

@@ -145,15 +145,16 @@ def recent_distinct(log: DataFrame, key: str, time: str, n: int) -> DataFrame:
 
 
 def retain_recent(log: DataFrame, time: str, days: int = KEEP_DAYS) -> DataFrame:
-    """Rows within ``days`` of the newest one."""
-    last = log.agg(F.max(quoted(time)).alias("_last"))
-    cutoff = F.col("_last") - F.make_dt_interval(days=F.lit(days))
-    # last is one row
-    return (
-        log.join(F.broadcast(last), F.lit(True))
-        .filter(quoted(time) >= cutoff)
-        .select(*[log[f"`{c}`"] for c in log.columns])
+    """Rows within ``days`` of the newest one.
+
+    The newest time is read first (one aggregate over one column), so that
+    the cut-off is a constant the scan can skip files with.
+    """
+    newest_time = log.agg(F.max(quoted(time)).alias("t")).select(
+        (F.col("t") - F.make_dt_interval(days=F.lit(days))).alias("cutoff")
     )
+    cutoff = newest_time.first()["cutoff"]
+    return log.filter(quoted(time) >= F.lit(cutoff).cast(log.schema[time].dataType))
 
 
 def classify_failures(log: DataFrame) -> DataFrame:

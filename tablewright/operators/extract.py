@@ -163,14 +163,8 @@ def _header_names(header: Column, width: Column) -> Column:
     return F.transform(clean, numbered)
 
 
-def extract_table_cells(
-    parsed: DataFrame, missing: Sequence[str] = MISSING_CELLS
-) -> DataFrame:
-    """(keys, table_idx, row_idx, col_idx, name, value), one row per cell.
-
-    The first row of a table names the columns.  The long form holds pages
-    with any columns in one schema; ``table_rows`` turns it into a wide table.
-    """
+def _grid_rows(parsed: DataFrame) -> DataFrame:
+    """(keys, table_idx, names, row_idx, cells): body rows with their column names."""
     keys = _keys(parsed)
     tables = parsed.select(*keys, F.posexplode(_usable_tables()).alias("table_idx", "grid"))
     width = F.array_max(F.transform("grid", F.size))
@@ -184,44 +178,58 @@ def extract_table_cells(
     kept = F.filter(
         "body", lambda r: (F.col("width") > 1) | (F.coalesce(F.get(r, F.lit(0)), F.lit("")) != "")
     )
-    rows = named.select(
-        *keys, "table_idx", "names", F.posexplode(kept).alias("row_idx", "cells")
-    )
+    return named.select(*keys, "table_idx", "names", F.posexplode(kept).alias("row_idx", "cells"))
+
+
+def _filled(value: Column, missing: Sequence[str]) -> Column:
+    return F.when(~value.isin(*missing), value)
+
+
+def extract_table_cells(parsed: DataFrame, missing: Sequence[str] = MISSING_CELLS) -> DataFrame:
+    """(keys, table_idx, row_idx, col_idx, name, value), one row per cell.
+
+    The first row of a table names the columns.  The long form holds pages
+    with any columns in one schema.
+    """
+    keys = _keys(parsed)
 
     def cell(name: Column, i: Column) -> Column:
-        value = F.get(F.col("cells"), i)
-        blank = value.isNull() | value.isin(*missing)
-        return F.struct(i.alias("col_idx"), name.alias("name"), F.when(~blank, value).alias("value"))
+        value = _filled(F.get(F.col("cells"), i), missing)
+        return F.struct(i.alias("col_idx"), name.alias("name"), value.alias("value"))
 
-    cells = rows.select(
+    cells = _grid_rows(parsed).select(
         *keys, "table_idx", "row_idx", F.explode(F.transform("names", cell)).alias("c")
     )
     return cells.select(*keys, "table_idx", "row_idx", "c.col_idx", "c.name", "c.value")
 
 
-def table_rows(cells: DataFrame, schema: str | T.StructType) -> DataFrame:
+def extract_table_rows(
+    parsed: DataFrame, schema: str | T.StructType, missing: Sequence[str] = MISSING_CELLS
+) -> DataFrame:
     """Wide rows of the tables that have every column of ``schema``.
 
     Values are cast leniently; thousands separators are accepted.
     """
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    keys = [c for c in cells.columns if c not in ("col_idx", "name", "value")]
-    names = [f.name for f in wanted]
+    keys = _keys(parsed)
+    rows = _grid_rows(parsed).filter(
+        F.size(F.array_intersect("names", F.array(*[F.lit(f.name) for f in wanted]))) == len(wanted)
+    )
 
     def typed(field: T.StructField) -> Column:
-        value = F.max(F.when(F.col("name") == field.name, F.col("value")))
+        at = F.array_position("names", field.name) - 1
+        value = _filled(F.get("cells", at.cast("int")), missing)
         if isinstance(field.dataType, T.NumericType):
-            number = F.regexp_replace(value, ",", "")
-            exact = strip_edges(number).try_cast(field.dataType)
-            return F.coalesce(exact, casts.to_number(number).try_cast(field.dataType))
-        return value.try_cast(field.dataType)
-
-    rows = (
-        cells.filter(F.col("name").isin(*names))
-        .groupBy(*keys)
-        .agg(*[typed(f).alias(f.name) for f in wanted], F.count(F.lit(1)).alias("_present"))
-    )
-    return rows.filter(F.col("_present") == len(names)).drop("_present")
+            number = F.replace(value, F.lit(","), F.lit(""))
+            exact = number.try_cast(field.dataType)
+            value = F.when(
+                number.rlike(casts.NUMBER_PATTERN),
+                F.coalesce(exact, number.try_cast("double").try_cast(field.dataType)),
+            )
+            return value.alias(field.name)
+        return value.try_cast(field.dataType).alias(field.name)
+
+    return rows.select(*keys, "table_idx", "row_idx", *[typed(f) for f in wanted])
 
 
 def extract_embedded_json(parsed: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.columns import quoted, require_batch, require_columns
+from tablewright.operators.stats import quantile_sketch
 from tablewright.session import materialize
 
 BLOCK = "_block"
@@ -33,7 +34,9 @@ def _as_double(df: DataFrame, column: str) -> Column | None:
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(c).cast("double")
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        # whole seconds of the wall clock; no time zone can reorder them
+        clock = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+        return (F.unix_date(c.cast("date")).cast("double") * 86400) + clock
     return None
 
 
@@ -57,7 +60,8 @@ def add_blocks(df: DataFrame, order_by: Sequence[str], blocks: int | None = None
     lead = _as_double(df, order_by[0])
     if lead is not None:
         shares = [i / blocks for i in range(1, blocks)]
-        cuts = df.agg(F.percentile_approx(lead, shares, 100 * blocks)).first()[0] or []
+        keys = df.select(lead.alias("x")).filter(F.col("x").isNotNull())
+        cuts = quantile_sketch(keys, F.col("x"), shares)
         if max(Counter(cuts).values(), default=0) <= 2:
             splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
             keyed = df.withColumn("_lead", lead)

@@ -283,18 +283,18 @@ def infer_types(
     """
     require_batch(df, "infer_types")
     columns = text_columns(df) if columns is None else require_columns(df, columns)
-    per_column = {}
-    for c in columns:
-        number = casts.to_number(quoted(c))
-        word = F.lower(quoted(c))
+    per_column, facts = {}, []
+    for i, c in enumerate(columns):
+        facts += [
+            casts.to_number(quoted(c)).alias(f"n{i}"),
+            F.lower(quoted(c)).isin(*casts.BOOLEAN_WORDS).alias(f"w{i}"),
+        ]
         per_column[c] = {
-            "castable": F.count(number),
-            "filled": F.count(quoted(c)),
-            "whole": F.coalesce(F.bool_and(casts.is_whole(number)), F.lit(True)),
-            "words": F.coalesce(F.bool_and(word.isin(*casts.BOOLEAN_WORDS)), F.lit(True)),
+            "castable": F.count(f"n{i}"),
+            "whole": F.coalesce(F.bool_and(casts.is_whole(F.col(f"n{i}"))), F.lit(True)),
+            "words": F.coalesce(F.bool_and(f"w{i}"), F.lit(True)),
         }
-    shared = {"rows": F.count(F.lit(1))}
-    stats = _tidy(df, per_column, shared)
+    stats = _tidy(df.select(*facts), per_column, {"rows": F.count(F.lit(1))})
     dated = [c for c in columns if _first_values_are_dates(df, c, formats)]
     is_date = F.col("column").isin(*dated) if dated else F.lit(False)
     return stats.select(
@@ -313,10 +313,11 @@ def infer_types(
 
 
 def _first_values_are_dates(df: DataFrame, column: str, formats: Sequence[str]) -> bool:
-    """The probe is the rule itself: the first values decide.  A limit stops
-    the scan early, so the cost does not grow with the table."""
-    probe = df.select(quoted(column).alias("v")).filter(F.col("v").isNotNull()).limit(DATETIME_PROBE)
-    return not probe.filter(casts.to_datetime(F.col("v"), formats).isNull()).limit(1).count()
+    """The probe is the rule itself: the first values decide.  ``take`` reads
+    partitions until it has enough, so the cost does not grow with the table."""
+    fits = casts.to_datetime(quoted(column), formats).isNotNull().alias("fits")
+    probe = df.filter(quoted(column).isNotNull()).select(fits).take(DATETIME_PROBE)
+    return all(row["fits"] for row in probe)
 
 
 def apply_inferred_types(df: DataFrame) -> DataFrame:

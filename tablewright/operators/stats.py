@@ -12,10 +12,30 @@ from pyspark.sql import types as T
 
 from tablewright.operators.columns import quoted, require_batch, require_columns
 
-# Distinct values one exact aggregate may hold in a task.
+# Distinct values one task may hold for an exact answer.
 MAX_DISTINCT = 1_000_000
-_ACCURACY = 10_000
-_MAX_ROUNDS = 64
+_SKETCH_SIZE = 2000  # entries of a quantile sketch, rank error well below 1 %
+_MERGE_GROUPS = 256  # sketches are merged in two levels
+_SLACK = 0.01
+
+
+def quantile_sketch(df: DataFrame, x: Column, shares: Sequence[float]) -> list[float]:
+    """Approximate quantiles of a double column, empty for an empty table.
+
+    Sketches of all tasks are merged in groups before the last merge, so no
+    task receives one sketch per task of a large job.
+    """
+    group = F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS)).alias("_group")
+    parts = df.groupBy(group).agg(
+        F.count(x).alias("_n"), F.kll_sketch_agg_double(x, _SKETCH_SIZE).alias("_sketch")
+    )
+    merged = parts.agg(
+        F.sum("_n").alias("_n"),
+        F.kll_merge_agg_double("_sketch", _SKETCH_SIZE).alias("_sketch"),
+    )
+    wanted = F.array(*[F.lit(float(p)) for p in shares])
+    quantiles = F.kll_sketch_get_quantile_double("_sketch", wanted)
+    return merged.select(F.when(F.col("_n") > 0, quantiles)).first()[0] or []
 
 
 def _number(column: str, kind: T.DataType) -> Column:
@@ -23,45 +43,61 @@ def _number(column: str, kind: T.DataType) -> Column:
     return F.nanvl(c, F.lit(None).cast("double")) if isinstance(kind, (T.DoubleType, T.FloatType)) else c
 
 
-def _select_rank(df: DataFrame, c: str, rows: int, rank: int, max_distinct: int) -> float:
-    """Value at a zero-based rank among ``rows`` sorted values of ``c``.
+def _select_rank(df: DataFrame, rows: int, rank: int, max_distinct: int) -> tuple[float, int]:
+    """Value at a zero-based rank among the ``rows`` values of column ``x``,
+    and how many values are up to it.
 
-    Each round narrows the interval that holds the rank with an approximate
-    percentile and verifies it with exact counts; once few enough distinct
-    values are left, one exact aggregate picks the answer.  Nothing is
-    shuffled but the partial aggregates.
+    The rank lies strictly between ``low`` and ``high``.  Each round takes
+    three values around it from a sketch and counts exactly what lies at and
+    between them, so the sketch decides how fast the answer is found but not
+    what it is.  Once few distinct values are left, their counts decide.
     """
-    x = F.col(c)
-    low, high = df.agg(F.min(x), F.max(x)).first()
+    x = F.col("x")
+    low, high = float("-inf"), float("inf")
     below, inside, distinct = 0, rows, None
-    for _ in range(_MAX_ROUNDS):
-        here = df.filter(x.between(low, high))
+    while True:
+        here = df.filter((x > low) & (x < high)) if below or inside < rows else df
         if distinct is not None and distinct <= max_distinct:
-            share = (rank - below + 0.5) / inside
-            picked = F.expr(f"percentile_disc({share!r}) WITHIN GROUP (ORDER BY `{c}`)")
-            return here.agg(picked).first()[0]
-        share, slack = (rank - below + 0.5) / inside, 2.0 / _ACCURACY
-        shares = [max(share - slack, 0.0), share, min(share + slack, 1.0)]
-        new_low, middle, new_high = here.agg(F.percentile_approx(x, shares, _ACCURACY)).first()[0]
-        if (new_low, new_high) == (low, high) and low != high:
-            # no progress from the slack: cut at the middle value instead
-            new_low, new_high = (middle, high) if middle > low else (low, middle)
-        counts = df.agg(
-            F.count_if(x < new_low),
-            F.count_if(x.between(new_low, new_high)),
-            F.approx_count_distinct(F.when(x.between(new_low, new_high), x)),
+            counts = here.groupBy(x).count()
+            # about max_distinct rows at most
+            running = counts.select(x, F.sum("count").over(Window.orderBy("x")).alias("upto"))
+            first = F.min(F.struct("x", "upto")).alias("first")
+            found = running.filter(F.col("upto") > rank - below).agg(first).first()["first"]
+            return found["x"], below + found["upto"]
+        share = (rank - below + 0.5) / inside
+        shares = [max(share - _SLACK, 0.0), share, min(share + _SLACK, 1.0)]
+        marks = sorted(set(quantile_sketch(here, x, shares)))
+        edges = [low, *marks, high]
+        between = [(x > a) & (x < b) for a, b in zip(edges, edges[1:])]
+        row = here.agg(
+            *[F.count_if(p) for p in between],
+            *[F.approx_count_distinct(F.when(p, x)) for p in between],
+            *[F.count_if(x == m) for m in marks],
         ).first()
-        if rank < counts[0]:
-            high = new_low
-            distinct = None
-        elif rank >= counts[0] + counts[1]:
-            low = new_high
-            distinct = None
-        else:
-            low, high, (below, inside, distinct) = new_low, new_high, counts
-            continue
-        below, inside = df.agg(F.count_if(x < low), F.count_if(x.between(low, high))).first()
-    raise RuntimeError(f"percentile of {c} did not converge")
+        gaps, distincts, hits = (
+            row[: len(between)],
+            row[len(between) : 2 * len(between)],
+            row[2 * len(between) :],
+        )
+        for i in range(len(between)):
+            if rank < below + gaps[i]:
+                low, high, inside, distinct = edges[i], edges[i + 1], gaps[i], distincts[i]
+                break
+            below += gaps[i]
+            if i < len(marks):
+                if rank < below + hits[i]:
+                    return marks[i], below + hits[i]
+                below += hits[i]
+
+
+def _interpolate(df: DataFrame, rows: int, share: float, max_distinct: int) -> float:
+    spot = share * (rows - 1)
+    rank = math.floor(spot)
+    value, upto = _select_rank(df, rows, rank, max_distinct)
+    if spot == rank or rank + 1 < upto:
+        return value
+    following = df.filter(F.col("x") > value).agg(F.min("x")).first()[0]
+    return value + (following - value) * (spot - rank)
 
 
 def exact_percentiles(
@@ -72,9 +108,9 @@ def exact_percentiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated percentiles of each column, NULL and NaN skipped.
 
-    Columns with up to ``max_distinct`` different values share one exact
-    aggregate; its state is a count per value, so that is the limit of what a
-    task holds.  Other columns are narrowed down rank by rank.
+    Columns with up to ``max_distinct`` different values are counted per
+    value, all of them in one shuffle of partial counts, and the percentiles
+    come from the counts.  Other columns are narrowed down rank by rank.
     """
     require_batch(df, "exact_percentiles")
     columns = require_columns(df, columns)
@@ -88,22 +124,15 @@ def exact_percentiles(
         *[F.approx_count_distinct(x).alias(f"d_{x}") for x in names],
     ).first()
     small = [x for x in names if probe[f"d_{x}"] <= max_distinct]
-    out: dict[str, list[float | None]] = {}
+    found: dict[str, list[float | None]] = {x: [None] * len(probabilities) for x in names}
     if small:
-        exact = numbers.agg(*[F.percentile(x, list(probabilities)).alias(x) for x in small]).first()
-        out = {columns[names.index(x)]: list(exact[x] or [None] * len(probabilities)) for x in small}
-    for x in names:
-        if x in small:
-            continue
-        rows = probe[f"n_{x}"]
-        spots = [p * (rows - 1) for p in probabilities]
-        ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
-        at = {r: _select_rank(numbers, x, rows, r, max_distinct) for r in ranks}
-        out[columns[names.index(x)]] = [
-            at[math.floor(s)] + (at[math.ceil(s)] - at[math.floor(s)]) * (s - math.floor(s))
-            for s in spots
-        ]
-    return {c: out[c] for c in columns}
+        exact = F.percentile("value", list(probabilities), F.col("count")).alias("p")
+        for row in value_counts(numbers, small).groupBy("column").agg(exact).collect():
+            found[row["column"]] = list(row["p"])
+    for x in set(names) - set(small):
+        one = numbers.select(F.col(x).alias("x")).filter(F.col("x").isNotNull())
+        found[x] = [_interpolate(one, probe[f"n_{x}"], p, max_distinct) for p in probabilities]
+    return {c: found[x] for c, x in zip(columns, names)}
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -30,6 +30,7 @@ class PageParser(HTMLParser):
         self.texts: list[str] = []
         self._open: list[dict] = []
         self._count: Counter[str] = Counter()
+        self._hidden = 0
         self._pending: list[str] = []
         self.feed(html)
         self.close()
@@ -38,9 +39,10 @@ class PageParser(HTMLParser):
             self._close_top()
 
     def _flush(self) -> None:
+        if not self._pending:
+            return
         text, self._pending = "".join(self._pending), []
-        hidden = any(self._count[tag] for tag in HIDDEN)
-        if text and hidden:
+        if text and self._hidden:
             node = self._nearest(*HIDDEN)
             node["raw"] = (node["raw"] or "") + text
         elif text.strip():
@@ -51,6 +53,7 @@ class PageParser(HTMLParser):
     def _close_top(self) -> None:
         node = self._open.pop()
         self._count[node["tag"]] -= 1
+        self._hidden -= node["tag"] in HIDDEN
         node["end"], node["t1"] = len(self.nodes), len(self.texts)
 
     def _nearest(self, *tags: str) -> dict | None:
@@ -74,6 +77,7 @@ class PageParser(HTMLParser):
         self.nodes.append(node)
         self._open.append(node)
         self._count[tag] += 1
+        self._hidden += tag in HIDDEN
         if tag in VOID:
             self._close_top()
 
@@ -95,6 +99,9 @@ class PageParser(HTMLParser):
     def _break(self, _):
         self._flush()
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     handle_comment = handle_decl = handle_pi = unknown_decl = _break
 
     def tables(self) -> list[list[list[str | None]]]:

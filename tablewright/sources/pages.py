@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -11,32 +13,17 @@ from pyspark.sql import types as T
 
 from tablewright.sources import page_parser
 
-# Executors receive the helper with the task and need no installed package.
+# Executors receive the helpers with the task and need no installed package.
 cloudpickle.register_pickle_by_value(page_parser)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_NODE_DDL = (
-    "array<struct<tag:string,attrs:map<string,string>,pos:int,end:int,t0:int,t1:int,raw:string>>"
-)
 PARSED_FIELDS = {
     "nodes": (
-        _NODE_DDL,
-        pa.list_(
-            pa.struct(
-                [
-                    ("tag", pa.string()),
-                    ("attrs", pa.map_(pa.string(), pa.string())),
-                    ("pos", pa.int32()),
-                    ("end", pa.int32()),
-                    ("t0", pa.int32()),
-                    ("t1", pa.int32()),
-                    ("raw", pa.string()),
-                ]
-            )
-        ),
+        "array<struct<tag:string,attrs:map<string,string>,pos:int,end:int,t0:int,t1:int,raw:string>>"
     ),
-    "texts": ("array<string>", pa.list_(pa.string())),
-    "tables": ("array<array<array<string>>>", pa.list_(pa.list_(pa.list_(pa.string())))),
-    "error": ("string", pa.string()),
+    "texts": "array<string>",
+    "tables": "array<array<array<string>>>",
+    "error": "string",
 }
 _SLICE = 64  # pages turned into one output batch
 
@@ -51,43 +38,89 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for parsing when a scan has fewer splits than that.
+
+    A corpus of any size has more splits than cores and is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array([0, *accumulate(sizes)], pa.int32())
+
+
+def _node_array(pages: list[list[dict]]) -> pa.Array:
+    """Column-wise build; a list of dicts would be converted value by value."""
+    nodes = [node for page in pages for node in page]
+    attrs = [node["attrs"] for node in nodes]
+    columns = {
+        "tag": pa.array([node["tag"] for node in nodes], pa.string()),
+        "attrs": pa.MapArray.from_arrays(
+            _offsets([len(a) for a in attrs]),
+            pa.array([name for a in attrs for name in a], pa.string()),
+            pa.array([value for a in attrs for value in a.values()], pa.string()),
+        ),
+        **{c: pa.array([node[c] for node in nodes], pa.int32()) for c in ("pos", "end", "t0", "t1")},
+        "raw": pa.array([node["raw"] for node in nodes], pa.string()),
+    }
+    flat = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+    return pa.ListArray.from_arrays(_offsets([len(page) for page in pages]), flat)
+
+
+def _table_array(pages: list[list]) -> pa.Array:
+    return pa.array(pages, pa.list_(pa.list_(pa.list_(pa.string()))))
+
+
+def _text_array(pages: list[list[str]]) -> pa.Array:
+    flat = pa.array([text for page in pages for text in page], pa.string())
+    return pa.ListArray.from_arrays(_offsets([len(page) for page in pages]), flat)
+
+
+def _parse(source: str | None, want_tables: bool) -> tuple[list, list, list, str | None]:
+    """Nodes, texts, tables and error of one page; a broken page cannot fail the job."""
+    try:
+        page = page_parser.PageParser(source or "")
+    except Exception as problem:
+        return [], [], [], repr(problem)
+    try:
+        return page.nodes, page.texts, page.tables() if want_tables else [], None
+    except Exception as problem:  # a broken table does not hide the page
+        return page.nodes, page.texts, [], repr(problem)
+
+
+def parse_batch(batch: pa.RecordBatch, html: str, keep: list[str], fields: list[str]):
+    parsed = [_parse(source, "tables" in fields) for source in batch.column(html).to_pylist()]
+    nodes, texts, tables, errors = zip(*parsed) if parsed else ([], [], [], [])
+    build = {
+        "nodes": lambda: _node_array(nodes),
+        "texts": lambda: _text_array(texts),
+        "tables": lambda: _table_array(tables),
+        "error": lambda: pa.array(errors, pa.string()),
+    }
+    arrays = [batch.column(c) for c in keep] + [build[name]() for name in fields]
+    return pa.RecordBatch.from_arrays(arrays, names=[*keep, *fields])
+
+
 def parse_pages(
-    pages: DataFrame, keep: Sequence[str] = ("page_id",), html: str = "html"
+    pages: DataFrame,
+    keep: Sequence[str] = ("page_id",),
+    html: str = "html",
+    fields: Sequence[str] = tuple(PARSED_FIELDS),
 ) -> DataFrame:
     """Parse each page once; a page that cannot be parsed gets an ``error``.
 
     No shuffle: pages are parsed where they are scanned, and only the kept
-    columns and the HTML are read.
+    columns and the HTML are read.  ``fields`` limits what is handed back.
     """
-    keep = list(keep)
-    fields = [pages.schema[c] for c in keep]
-    added = [T.StructField(n, T._parse_datatype_string(ddl)) for n, (ddl, _) in PARSED_FIELDS.items()]
-    arrow_types = {name: kind for name, (_, kind) in PARSED_FIELDS.items()}
-    parse, size = page_parser.PageParser, _SLICE
-
-    def parse_one(source: str | None) -> dict:
-        try:
-            page = parse(source or "")
-        except Exception as problem:  # a broken page must not fail the job
-            return {"nodes": [], "texts": [], "tables": [], "error": repr(problem)}
-        tables, error = [], None
-        try:
-            tables = page.tables()
-        except Exception as problem:  # a broken table must not hide the page
-            error = repr(problem)
-        for node in page.nodes:
-            node["attrs"] = list(node["attrs"].items())
-        return {"nodes": page.nodes, "texts": page.texts, "tables": tables, "error": error}
+    keep, fields = list(keep), list(fields)
+    types = [T.StructField(n, T._parse_datatype_string(PARSED_FIELDS[n])) for n in fields]
+    schema = T.StructType([*[pages.schema[c] for c in keep], *types])
 
     def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, size):
-                part = batch.slice(start, size)
-                rows = [parse_one(source) for source in part.column(html).to_pylist()]
-                arrays = [part.column(c) for c in keep]
-                for name, kind in arrow_types.items():
-                    arrays.append(pa.array([row[name] for row in rows], type=kind))
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *arrow_types])
-
-    schema = T.StructType([*fields, *added])
+            for start in range(0, batch.num_rows, _SLICE):
+                yield parse_batch(batch.slice(start, _SLICE), html, keep, fields)
+
     return pages.select(*keep, html).mapInArrow(parse_batches, schema)

@@ -13,17 +13,17 @@ from tablewright.operators.admission import admit_urls
 from tablewright.operators.dedup import drop_duplicates
 from tablewright.operators.text import clean_text
 from tablewright.operators.union import combine_pages, unify
-from tablewright.sources.pages import parse_pages
+from tablewright.sources.pages import parse_pages, spread
 from workload.views import read, with_view
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "pages")
+    return spread(read(spark, sf, "pages"))
 
 
 def nav_item_counts(spark, sf):
     """Flagship: pages -> list items -> tidy text -> first page of each item, with its uses."""
-    items = extract.extract_list_items(parse_pages(_pages(spark, sf)))
+    items = extract.extract_list_items(parse_pages(_pages(spark, sf), fields=["nodes", "texts"]))
     tidy = clean_text(items, ["item"], ["remove_extra_spaces"])
     order = ["page_id", "list_idx", "item_idx"]
     first = drop_duplicates(tidy, ["item"], "first", order)
@@ -45,7 +45,7 @@ WITH raw AS (
 
 
 def list_items(spark, sf):
-    return extract.extract_list_items(parse_pages(_pages(spark, sf)))
+    return extract.extract_list_items(parse_pages(_pages(spark, sf), fields=["nodes", "texts"]))
 
 
 def elements(spark, sf):
@@ -63,7 +63,7 @@ _TEXT_OF = (
 
 def _order_tables(spark, sf) -> DataFrame:
     """One page per order with a table of two rows, the second written loosely."""
-    orders = read(spark, sf, "orders")
+    orders = spread(read(spark, sf, "orders"))
     row = F.concat(
         F.lit("<tr><td>"),
         F.col("o_orderkey").cast("string"),
@@ -84,17 +84,19 @@ def _order_tables(spark, sf) -> DataFrame:
 
 
 def table_cells(spark, sf):
-    return extract.extract_table_cells(parse_pages(_order_tables(spark, sf)))
+    return extract.extract_table_cells(parse_pages(_order_tables(spark, sf), fields=["tables"]))
 
 
 def table_rows(spark, sf):
-    cells = extract.extract_table_cells(parse_pages(_order_tables(spark, sf)))
-    return extract.table_rows(cells, "order_key bigint, o_priority string, total_ double")
+    parsed = parse_pages(_order_tables(spark, sf), fields=["tables"])
+    return extract.extract_table_rows(
+        parsed, "order_key bigint, o_priority string, total_ double"
+    )
 
 
 def _event_scripts(spark, sf) -> DataFrame:
     """One page per event whose script holds the event as nested JSON data."""
-    events = read(spark, sf, "events")
+    events = spread(read(spark, sf, "events"))
     record = F.to_json(
         F.struct(
             "event_id",
@@ -113,7 +115,7 @@ def _event_scripts(spark, sf) -> DataFrame:
 
 
 def embedded_json(spark, sf):
-    records = extract.extract_embedded_json(parse_pages(_event_scripts(spark, sf)))
+    records = extract.extract_embedded_json(parse_pages(_event_scripts(spark, sf), fields=["nodes"]))
     flat = extract.flatten_records(
         records, "event_id bigint, user struct<id bigint, kind string>, value double"
     )

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.sources.pages import spread
+
 VIEWS = {
     "events_gaps": """
 SELECT event_id, ts, user_id,
@@ -97,7 +99,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     query = VIEWS[name]
     tables = set(re.findall(r"\{(\w+)\}", query))
-    return spark.sql(query, **{t: read(spark, sf_dir, t) for t in tables})
+    return spark.sql(query, **{t: spread(read(spark, sf_dir, t)) for t in tables})
 
 
 def sql(name: str) -> str:
