@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted number syntax and boolean words.
-NUMBER_PATTERN = r"(?i)^[\t-\r ]*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)[\t-\r ]*$"
+NUMBER_PATTERN = r"^[\t-\r ]*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[\t-\r ]*$"
+INFINITY_PATTERN = r"(?i)^[\t-\r ]*[+-]?inf(inity)?[\t-\r ]*$"
 BOOLEAN_WORDS = {
     "true": True,
     "false": False,
@@ -55,7 +56,9 @@ STRFTIME = {
 def to_number(c: Column) -> Column:
     """Text (or number) to double.  ``1,000``, ``$7``, ``0x1A``, ``1_000`` -> NULL."""
     text = c.cast("string")
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    parsed = text.try_cast("double")
+    in_range = F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
+    return F.when(text.rlike(NUMBER_PATTERN), in_range).when(text.rlike(INFINITY_PATTERN), parsed)
 
 
 def to_integer(c: Column) -> Column:

@@ -34,12 +34,13 @@ def drop_duplicates(
     subset: Sequence[str] | None = None,
     keep: str = "first",
     order_by: Sequence[str] | None = None,
+    copies: str | None = None,
 ) -> DataFrame:
-    """Keep the first or last row of each key, or with ``all`` only unique keys.
+    """Keep the first or last row of each key, or with ``all`` drop repeated keys.
 
     NULL equals NULL.  ``order_by`` names the row position and is required
     for first/last on a subset; whole-row duplicates are interchangeable and
-    need none.
+    need none.  ``copies`` adds a column with the number of rows of the key.
     """
     require_batch(df, "drop_duplicates")
     if keep not in ("first", "last", "all"):
@@ -51,10 +52,13 @@ def drop_duplicates(
 
     if keep == "all":
         picked = [F.first(quoted(c)).alias(c) for c in rest]
-        counted = df.groupBy(*key_columns).agg(F.count(F.lit(1)).alias("_copies"), *picked)
-        return counted.filter("_copies = 1").select(*[quoted(c) for c in df.columns])
+        grouped = df.groupBy(*key_columns).agg(F.count(F.lit(1)).alias("_copies"), *picked)
+        return grouped.filter("_copies = 1").select(*[quoted(c) for c in df.columns])
 
+    counted = [F.count(F.lit(1)).alias(copies)] if copies else []
     if not rest:
+        if copies:
+            return df.groupBy(*key_columns).agg(*counted)
         return df.dropDuplicates()
     if not order_by:
         raise ValueError("first/last on a subset needs order_by")
@@ -63,8 +67,11 @@ def drop_duplicates(
     row = pick(F.struct(*[quoted(c) for c in rest]), position).alias("_row")
     return (
         df.groupBy(*key_columns)
-        .agg(row)
-        .select(*[quoted(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+        .agg(row, *counted)
+        .select(
+            *[quoted(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns],
+            *([quoted(copies)] if copies else []),
+        )
     )
 
 

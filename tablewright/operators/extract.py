@@ -232,6 +232,65 @@ def extract_table_rows(
     return rows.select(*keys, "table_idx", "row_idx", *[typed(f) for f in wanted])
 
 
+def extract_records(parsed: DataFrame, tags: Sequence[str] = DEFAULT_ELEMENTS) -> DataFrame:
+    """All rows of a page in one pass: (keys, source, group_idx, row_idx, cells).
+
+    ``source`` is table, list or element; ``cells`` is an array of
+    (name, value), so pages with any columns share one schema.
+    ``record_columns`` turns cells into columns.
+    """
+    keys = _keys(parsed)
+
+    def pair(name: Column, value: Column) -> Column:
+        return F.struct(name.alias("name"), value.alias("value"))
+
+    def record(source: str, group: Column, row: Column, cells: Column) -> Column:
+        return F.struct(
+            F.lit(source).alias("source"),
+            group.cast("int").alias("group_idx"),
+            row.cast("int").alias("row_idx"),
+            cells.alias("cells"),
+        )
+
+    def table(grid: Column, group: Column) -> Column:
+        names = _header_names(F.get(grid, F.lit(0)), F.array_max(F.transform(grid, F.size)))
+
+        def row(line: Column, i: Column) -> Column:
+            def cell(name: Column, at: Column) -> Column:
+                return pair(name, _filled(F.get(line, at), MISSING_CELLS))
+
+            return record("table", group, i, F.transform(names, cell))
+
+        return F.transform(F.slice(grid, F.lit(2), F.size(grid)), row)
+
+    def items(entries: Column, group: Column) -> Column:
+        return F.transform(
+            entries, lambda t, i: record("list", group, i, F.array(pair(F.lit("item"), t)))
+        )
+
+    def element(e: Column, i: Column) -> Column:
+        names = ("element_type", "content", "class", "id")
+        return record("element", F.lit(0), i, F.array(*[pair(F.lit(n), e[n]) for n in names]))
+
+    rows = F.concat(
+        F.flatten(F.transform(_usable_tables(), table)),
+        F.flatten(F.transform(_lists(), items)),
+        F.transform(_elements(tags), element),
+    )
+    return parsed.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+
+
+def record_columns(records: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace ``cells`` by the named columns, NULL where a row has none."""
+
+    def value(name: str) -> Column:
+        first = F.get(F.filter("cells", lambda cell: cell["name"] == name), F.lit(0))
+        return first["value"].alias(name)
+
+    keep = [quoted(c) for c in records.columns if c != "cells"]
+    return records.select(*keep, *[value(c) for c in columns])
+
+
 def extract_embedded_json(parsed: DataFrame) -> DataFrame:
     """(keys, script_idx, pattern_idx, match_idx, row_idx, record) from script data.
 
@@ -299,6 +358,8 @@ def pagination_links(parsed: DataFrame, base_url: str = "url", max_pages: int =
     Selectors are tried one after the other; a link counts where it is found
     first, the page itself is left out and at most ``max_pages - 1`` remain.
     """
+    if max_pages < 1:
+        raise ValueError("max_pages must be positive")
     keys = _keys(parsed)
     anchors = F.filter("nodes", lambda n: (n["tag"] == "a") & (_attribute(n, "href") != ""))
 

@@ -68,7 +68,9 @@ def add_blocks(df: DataFrame, order_by: Sequence[str], blocks: int | None = None
             cutter = Bucketizer(
                 splits=splits, inputCol="_lead", outputCol=BLOCK, handleInvalid="keep"
             )
-            return cutter.transform(keyed).drop("_lead")
+            cut = cutter.transform(keyed).drop("_lead")
+            # rows without a position come first, as they do when sorting
+            return cut.withColumn(BLOCK, F.coalesce(F.col(BLOCK).cast("int"), F.lit(-1)))
     ranged = df.repartitionByRange(blocks, *[quoted(c) for c in order_by])
     return materialize(ranged.withColumn(BLOCK, F.spark_partition_id()), "ordered")
 
@@ -131,7 +133,7 @@ def fill_ordered(
     forward = direction == "forward"
     blocked = add_blocks(df, order_by, blocks)
 
-    position = F.struct(*[quoted(c) for c in order_by]) if len(order_by) > 1 else quoted(order_by[0])
+    position = F.struct(*[quoted(c) for c in order_by])
     edge = F.max_by if forward else F.min_by
     edges = blocked.groupBy(BLOCK).agg(
         *[

@@ -56,11 +56,32 @@ def fractional_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     if not columns:
         return []
     require_batch(df, "conversion to integer")
-    broken = [F.bool_or(~casts.is_whole(casts.to_number(quoted(c)))) for c in columns]
-    row = df.agg(*[b.alias(f"_{i}") for i, b in enumerate(broken)]).first()
+    numbers = df.select(*[casts.to_number(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)])
+    broken = [F.bool_or(~casts.is_whole(F.col(n))).alias(n) for n in numbers.columns]
+    row = numbers.agg(*broken).first()
     return [c for c, bad in zip(columns, row) if bad]
 
 
+def datetime_format(
+    df: DataFrame, column: str, order_by: Sequence[str], formats: Sequence[str] = casts.DATETIME_FORMATS
+) -> str | None:
+    """Layout of the first value in the given order, None if it fits no layout."""
+    require_batch(df, "datetime_format")
+    value = quoted(column).cast("string")
+    position = F.when(value.isNotNull(), F.struct(*[quoted(c) for c in order_by]))
+    first = df.agg(F.min_by(value, position).alias("v"))
+    fits = [F.try_to_timestamp("v", F.lit(fmt)).isNotNull().alias(f"_{i}") for i, fmt in enumerate(formats)]
+    row = first.select(*fits).first()
+    return next((fmt for fmt, fit in zip(formats, row) if fit), None)
+
+
+def convert_datetime(df: DataFrame, column: str, order_by: Sequence[str]) -> DataFrame:
+    """Datetimes in the layout of the first value; other layouts become NULL."""
+    fmt = datetime_format(df, column, order_by)
+    formats = [fmt] if fmt else casts.DATETIME_FORMATS
+    return replace_columns(df, {column: casts.to_datetime(quoted(column), formats)})
+
+
 def convert_types(df: DataFrame, mapping: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
     """Convert columns; returns the table and the conversions that did not hold.
 
@@ -83,7 +104,9 @@ def add_category_codes(df: DataFrame, column: str, code_column: str) -> DataFram
     """Zero-based code of each value in sorted order; NULL gets -1.
 
     The codes are numbered on the distinct values, spread over range
-    partitions, and joined back; no task ever holds all of them.
+    partitions, and joined back.  The code side has one row per value, so a
+    hot value makes one large partition of the table at worst, and the
+    adaptive skew join splits that.
     """
     require_columns(df, [column])
     require_batch(df, "add_category_codes")

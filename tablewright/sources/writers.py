@@ -6,17 +6,18 @@ passes through the driver.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from tablewright.operators.columns import quoted
+from tablewright.operators.columns import quoted, reorder_columns
 
 # Accepted options and cell formats.
 ENCODINGS = ("utf-8", "utf-16", "ascii", "latin-1")
@@ -196,17 +197,67 @@ _WRITERS = {
 }
 
 
-def write_dataset(df: DataFrame, path: str, options: ExportOptions | None = None) -> str:
-    """Write in the format of the options, else of the path's suffix; returns the format."""
+def write_dataset(
+    df: DataFrame,
+    path: str,
+    options: ExportOptions | None = None,
+    counter: Observation | None = None,
+) -> str:
+    """Write in the format of the options, else of the path's suffix; returns the format.
+
+    ``counter`` observes the rows while they are written.  An index column
+    comes first in the output.
+    """
     options = options or ExportOptions()
     options.validate()
     fmt = _format_of(path, options)
     if df.isEmpty():
         raise ValueError("cannot export an empty dataset")
+    if options.index_column:
+        df = reorder_columns(df, [options.index_column])
+    if counter is not None:
+        df = df.observe(counter, F.count(F.lit(1)).alias("rows"))
     _WRITERS[fmt](df, path, options)
     return fmt
 
 
+LOG_SCHEMA = (
+    "timestamp timestamp_ntz, filepath string, format string, records_exported bigint,"
+    " columns_exported int, execution_time double, success boolean, message string"
+)
+
+
+def write_logged(
+    df: DataFrame, path: str, log_path: str, options: ExportOptions | None = None
+) -> bool:
+    """Write and append one row to the run log, whether it worked or not.
+
+    The rows are counted while they are written.
+    """
+    options = options or ExportOptions()
+    started, clock = datetime.now(timezone.utc).replace(tzinfo=None), time.monotonic()
+    counter = Observation("export")
+    fmt, records, problem = options.format, 0, None
+    try:
+        fmt = write_dataset(df, path, options, counter)
+        records = counter.get["rows"]
+    except Exception as error:  # logged and reported by the result
+        problem = str(error)
+    row = (
+        started,
+        path,
+        fmt,
+        records,
+        len(df.columns),
+        time.monotonic() - clock,
+        problem is None,
+        problem,
+    )
+    log = df.sparkSession.createDataFrame([row], LOG_SCHEMA)
+    log.write.mode("append").parquet(log_path)
+    return problem is None
+
+
 def read_dataset(spark: SparkSession, path: str, fmt: str, schema: str | None = None) -> DataFrame:
     """Read back what ``write_dataset`` wrote; records layout for JSON."""
     if fmt == "csv":

@@ -64,6 +64,11 @@ def cast_category(spark, sf):
     )
 
 
+def cast_datetime_first_layout(spark, sf):
+    contacts = spark_view(spark, sf, "contacts").select("id", "day")
+    return text.convert_datetime(contacts, "day", ["id"])
+
+
 # --- formats ---------------------------------------------------------------
 
 def _contacts(spark, sf) -> DataFrame:
@@ -231,6 +236,7 @@ QUERIES = {
     "cast_integer": _converted({"int_txt": "integer", "float_txt": "integer"}),
     "cast_string": _converted({"int_txt": "string"}),
     "cast_datetime": _converted({"date_txt": "datetime", "free_txt": "datetime"}),
+    "cast_datetime_first_layout": cast_datetime_first_layout,
     "cast_category": cast_category,
     "cast_boolean": _converted({"bool_txt": "boolean", "int_txt": "boolean"}),
     "format_phone": _formatted("phone", {"type": "phone"}),
@@ -317,6 +323,13 @@ ORACLES = {
     "cast_datetime": _mixed_sql(
         "CAST(date_txt AS TIMESTAMP) AS date_txt, CAST(NULL AS TIMESTAMP) AS free_txt"
     ),
+    "cast_datetime_first_layout": with_view(
+        "contacts",
+        """SELECT id, CASE (SELECT CASE WHEN contains(day, '/') THEN '/' WHEN contains(day, '.') THEN '.' ELSE '-' END
+    FROM contacts ORDER BY id LIMIT 1)
+  WHEN '/' THEN try_strptime(day, '%Y/%m/%d') WHEN '.' THEN try_strptime(day, '%d.%m.%Y')
+  ELSE try_strptime(day, '%Y-%m-%d') END AS day FROM contacts""",
+    ),
     "cast_category": _mixed_sql(
         "free_txt, dense_rank() OVER (ORDER BY free_txt) - 1 AS code,"
         " CASE bool_txt WHEN 'Yes' THEN 0 WHEN 'no' THEN 1 ELSE -1 END::BIGINT AS bool_code"

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.operators.catalog import export_statistics
 from tablewright.session import scratch_path
 from tablewright.sources.writers import (
     ExportOptions,
-    json_lines,
     read_dataset,
     write_dataset,
     write_formats,
+    write_logged,
 )
 from workload.views import read, spark_view
 
@@ -119,7 +120,20 @@ def multi(spark, sf):
     return out
 
 
+def logged(spark, sf):
+    """Three exports, one of them refused, and the statistics of their log."""
+    base, log = scratch_path(spark, "orders"), scratch_path(spark, "log")
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    for suffix in ("csv", "json", "docx"):
+        write_logged(orders, f"{base}.{suffix}", log)
+    stats = export_statistics(spark.read.parquet(log).withColumn("file_size_mb", F.lit(0.0)))
+    return stats.select(
+        "total_exports", "successful_exports", "failed_exports", "success_rate", "total_records_exported"
+    )
+
+
 QUERIES = {
+    "export_logged": logged,
     "export_csv": csv,
     "export_csv_documents": csv_documents,
     "export_json_records": json_records,
@@ -138,6 +152,8 @@ _GAPS = """(SELECT event_id, ts, user_id, CASE WHEN event_id % 5 = 0 THEN NULL E
 _JSON_TYPE = "coalesce('\"' || event_type || '\"', 'null')"
 
 ORACLES = {
+    "export_logged": """SELECT CAST(3 AS BIGINT) AS total_exports, CAST(2 AS BIGINT) AS successful_exports,
+  CAST(1 AS BIGINT) AS failed_exports, 66.666667::DOUBLE AS success_rate, 2 * count(*) AS total_records_exported FROM orders""",
     "export_csv": f"""SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
   CAST(user_id AS VARCHAR) AS user_id, event_type, format('{{:.2f}}', value) AS value FROM {_GAPS}""",
     "export_csv_documents": "SELECT doc_id, text, lang, source, n_chars FROM documents",

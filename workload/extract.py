@@ -26,9 +26,7 @@ def nav_item_counts(spark, sf):
     items = extract.extract_list_items(parse_pages(_pages(spark, sf), fields=["nodes", "texts"]))
     tidy = clean_text(items, ["item"], ["remove_extra_spaces"])
     order = ["page_id", "list_idx", "item_idx"]
-    first = drop_duplicates(tidy, ["item"], "first", order)
-    uses = tidy.groupBy("item").agg(F.count(F.lit(1)).alias("uses"))
-    return first.join(uses, "item").select("item", "page_id", "list_idx", "item_idx", "uses")
+    return drop_duplicates(tidy, ["item"], "first", order, copies="uses")
 
 
 _ITEMS = """
@@ -235,9 +233,19 @@ def unify_union(spark, sf):
 
 
 def combine_union(spark, sf):
-    items = list_items(spark, sf).select("page_id", F.col("item").alias("content"))
-    boxes = elements(spark, sf).select("page_id", "element_type", "content")
-    return combine_pages([items, boxes])
+    """Columns in order of first appearance; the key differs in type."""
+    part = read(spark, sf, "part").select(
+        F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), "p_size"
+    )
+    nation = read(spark, sf, "nation").select(
+        F.col("n_name").alias("name"), F.concat(F.lit("N"), "n_nationkey").alias("key"), "n_regionkey"
+    )
+    return combine_pages([part, nation])
+
+
+def records(spark, sf):
+    found = extract.extract_records(parse_pages(_pages(spark, sf)), ["h1", "div"])
+    return extract.record_columns(found, ["item", "element_type", "content"])
 
 
 def normalize_names(spark, sf):
@@ -262,6 +270,7 @@ QUERIES = {
     "extract_report": report,
     "unify_union": unify_union,
     "combine_union": combine_union,
+    "extract_records": records,
     "normalize_names": normalize_names,
 }
 
@@ -366,10 +375,13 @@ WITH c AS (SELECT c_acctbal AS balance, c_custkey AS customer_key, c_name AS nam
   CAST(NULL AS BIGINT) AS supplier_key FROM customer)
 SELECT * FROM c UNION ALL SELECT * FROM c
 UNION ALL SELECT s_acctbal, NULL, s_name, CAST(s_nationkey AS VARCHAR), s_suppkey FROM supplier""",
-    "combine_union": _ITEMS
+    "combine_union": """
+SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS name, p_size, NULL AS n_regionkey FROM part
+UNION ALL SELECT 'N' || n_nationkey, n_name, NULL, n_regionkey FROM nation""",
+    "extract_records": _ITEMS
     + f"""
-SELECT page_id, item AS content, CAST(NULL AS VARCHAR) AS element_type FROM items
-UNION ALL SELECT page_id, content, element_type FROM ({_ELEMENTS})""",
+SELECT page_id, 'list' AS source, list_idx AS group_idx, item_idx AS row_idx, item, NULL AS element_type, NULL AS content FROM items
+UNION ALL SELECT page_id, 'element', CAST(0 AS INTEGER), element_idx, NULL, element_type, content FROM ({_ELEMENTS})""",
     "normalize_names": rf"""
 SELECT doc_id, CASE WHEN s = '' THEN 'unnamed_column' ELSE s END AS name FROM (
   SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(h,

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tablewright.operators import audit
+from tablewright.operators.dedup import drop_duplicates
 from tablewright.operators.text import clean_text
 from tablewright.plans.auto_clean import auto_clean
 from tablewright.plans.history import CleaningSession
@@ -68,8 +69,8 @@ def undo_redo(spark, sf):
 
 def _before_after(spark, sf):
     before = read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    after = clean_text(before, ["text", "lang"], ["remove_extra_spaces"])
-    return before, after.filter("doc_id % 10 <> 3")
+    unique = drop_duplicates(before, ["text"], "first", ["doc_id"])
+    return before, clean_text(unique, ["text", "lang"], ["remove_extra_spaces"])
 
 
 def before_after_diff(spark, sf):
@@ -155,11 +156,12 @@ FROM ({_DOCS}) WHERE n_chars >= 100""",
 FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1"""
     % _SPACE,
     "before_after_diff": f"""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS gone FROM documents)
 SELECT doc_id, 'removed' AS change, "column", v AS old_value, NULL AS new_value FROM (
-  SELECT doc_id, 'text' AS "column", text AS v FROM documents UNION ALL SELECT doc_id, 'lang', lang FROM documents
-  UNION ALL SELECT doc_id, 'source', source FROM documents) WHERE doc_id % 10 = 3
-UNION ALL SELECT doc_id, 'changed', 'text', text, {_tidy('text')} FROM documents
-WHERE doc_id % 10 <> 3 AND text <> {_tidy('text')}""",
+  SELECT doc_id, 'text' AS "column", text AS v FROM d WHERE gone UNION ALL SELECT doc_id, 'lang', lang FROM d WHERE gone
+  UNION ALL SELECT doc_id, 'source', source FROM d WHERE gone)
+UNION ALL SELECT doc_id, 'changed', 'text', text, {_tidy('text')} FROM d
+WHERE NOT gone AND text <> {_tidy('text')}""",
     "changed_values": with_view(
         "docs_messy",
         f"""SELECT 'txt' AS "column", count(*) FILTER (
