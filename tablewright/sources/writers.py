@@ -85,7 +85,7 @@ def _write_csv(df: DataFrame, path: str, options: ExportOptions) -> None:
     writer = printable(df).write.mode(options.mode)
     writer = writer.option("header", True).option("sep", options.delimiter)
     writer = writer.option("encoding", _CHARSETS[options.encoding]).option("nullValue", "")
-    writer = writer.option("emptyValue", '""').option("escape", '"')
+    writer = writer.option("escape", '"')
     writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if options.compression:
         writer = writer.option("compression", options.compression)
@@ -262,6 +262,8 @@ def read_dataset(spark: SparkSession, path: str, fmt: str, schema: str | None =
     """Read back what ``write_dataset`` wrote; records layout for JSON."""
     if fmt == "csv":
         reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+        # an empty cell is NULL, a quoted empty one is ''
+        reader = reader.option("nullValue", "\0")
         return (reader.schema(schema) if schema else reader).csv(path)
     if fmt == "json":
         reader = spark.read
