@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import urls
 
-MAX_BROADCAST_HOSTS = 100_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
 
 
@@ -47,14 +47,15 @@ def admit_urls(
     """Add ``allowed`` to every URL; a host without rules allows everything.
 
     The rules become one row per host first, so the join never multiplies
-    rows.  Up to ``MAX_BROADCAST_HOSTS`` hosts (counted) they are broadcast;
+    rows.  Up to ``MAX_BROADCAST_BYTES`` (summed up first) they are broadcast;
     beyond that both sides are salted, so that a host with a large share of
     the URLs is spread over many tasks.
     """
     by_host = _rules_by_host(rules, agent)
     keyed = frontier.withColumn("_host", urls.host_of(F.col(url)))
-    few = by_host.limit(MAX_BROADCAST_HOSTS + 1).count() <= MAX_BROADCAST_HOSTS
-    if few:
+    row_bytes = F.octet_length("host") + F.octet_length("path_prefix") + 64
+    size = rules.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0
+    if size <= MAX_BROADCAST_BYTES:
         joined = keyed.join(F.broadcast(by_host), "_host", "left")
     else:
         salted = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -154,13 +154,16 @@ def _header_names(header: Column, width: Column) -> Column:
             F.coalesce(h, F.lit("")) == "", F.concat(F.lit("Unnamed "), i.cast("string"))
         ).otherwise(h),
     )
-    clean = F.transform(filled, clean_name_column)
 
-    def numbered(name: Column, i: Column) -> Column:
-        earlier = F.size(F.filter(F.slice(clean, F.lit(1), i), lambda other: other == name))
-        return F.when(earlier == 0, name).otherwise(F.concat(name, earlier.cast("string")))
+    def number(clean: Column) -> Column:
+        def numbered(name: Column, i: Column) -> Column:
+            earlier = F.size(F.filter(F.slice(clean, F.lit(1), i), lambda other: other == name))
+            return F.when(earlier == 0, name).otherwise(F.concat(name, earlier.cast("string")))
 
-    return F.transform(clean, numbered)
+        return F.transform(clean, numbered)
+
+    # the one-element array evaluates the clean names once for all uses
+    return F.get(F.transform(F.array(F.transform(filled, clean_name_column)), number), F.lit(0))
 
 
 def _grid_rows(parsed: DataFrame) -> DataFrame:

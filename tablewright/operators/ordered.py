@@ -2,7 +2,9 @@
 
 A window without a partition key would pull the table into one task.  Here
 the table is cut into blocks that follow the order; each block is handled on
-its own and a table with one row per block carries values across the seams.
+its own and a table with one row per block carries values across the seams.  The
+windows leave the table partitioned by block, so joining the block table moves
+only the latter.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from tablewright.operators.stats import quantile_sketch
 from tablewright.session import materialize
 
 BLOCK = "_block"
-MAX_BLOCKS = 4096  # bounds the per-block table that is broadcast
+MAX_BLOCKS = 16_384  # bounds the table with one row per block
+HOT_CUTS = 6  # a value that fills this many cuts needs more than the leading column
 
 
 def _as_double(df: DataFrame, column: str) -> Column | None:
@@ -61,8 +64,8 @@ def add_blocks(df: DataFrame, order_by: Sequence[str], blocks: int | None = None
     if lead is not None:
         shares = [i / blocks for i in range(1, blocks)]
         keys = df.select(lead.alias("x")).filter(F.col("x").isNotNull())
-        cuts = quantile_sketch(keys, F.col("x"), shares)
-        if max(Counter(cuts).values(), default=0) <= 2:
+        cuts = quantile_sketch(keys, F.col("x"), shares, 4 * blocks)
+        if max(Counter(cuts).values(), default=0) < HOT_CUTS:
             splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
             keyed = df.withColumn("_lead", lead)
             cutter = Bucketizer(
@@ -113,7 +116,7 @@ def global_row_number(
         .select(BLOCK, F.coalesce(F.sum("count").over(_earlier_blocks()), F.lit(0)).alias("_offset"))
     )
     numbered = blocked.withColumn("_n", F.row_number().over(_forward(order_by)))
-    return numbered.join(F.broadcast(offsets), BLOCK).select(
+    return numbered.join(offsets, BLOCK).select(
         *[quoted(c) for c in df.columns],
         (F.col("_n") + F.col("_offset") + (start - 1)).cast("bigint").alias(name),
     )
@@ -160,7 +163,7 @@ def fill_ordered(
         c: F.coalesce(F.col(f"_local{i}"), F.col(f"_carry{i}")).alias(c)
         for i, c in enumerate(columns)
     }
-    return local.join(F.broadcast(carries), BLOCK).select(
+    return local.join(carries, BLOCK).select(
         *[filled.get(c, quoted(c)) for c in df.columns]
     )
 
@@ -214,7 +217,7 @@ def interpolate_ordered(
         {f"_prev{i}": F.last(point(c), ignorenulls=True).over(forward) for i, c in enumerate(columns)}
         | {f"_next{i}": F.last(point(c), ignorenulls=True).over(backward) for i, c in enumerate(columns)}
     )
-    joined = local.join(F.broadcast(carries), BLOCK)
+    joined = local.join(carries, BLOCK)
 
     def value(i: int, c: str) -> Column:
         here = F.col("_n") + F.col("_offset")

@@ -111,10 +111,10 @@ def text_summary(df: DataFrame, columns: Sequence[str] | None = None, top: int =
     unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
     best = top_values(df, columns, top)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    # all three are at most a handful of rows per column of the table
+    # all three have a handful of rows per column of the table
     return (
-        names.join(F.broadcast(unique), "column", "left")
-        .join(F.broadcast(best), "column", "left")
+        names.join(unique, "column", "left")
+        .join(best, "column", "left")
         .select(
             "column",
             F.coalesce("unique_values", F.lit(0)).alias("unique_values"),

@@ -14,24 +14,28 @@ from tablewright.operators.columns import quoted, require_batch, require_columns
 
 # Distinct values one task may hold for an exact answer.
 MAX_DISTINCT = 1_000_000
-_SKETCH_SIZE = 2000  # entries of a quantile sketch, rank error well below 1 %
+_SKETCH_SIZE = 2000  # size parameter of a quantile sketch, rank error well below 1 %
+_MAX_SKETCH_SIZE = 65_535
 _MERGE_GROUPS = 256  # sketches are merged in two levels
 _SLACK = 0.01
 
 
-def quantile_sketch(df: DataFrame, x: Column, shares: Sequence[float]) -> list[float]:
+def quantile_sketch(
+    df: DataFrame, x: Column, shares: Sequence[float], size: int = _SKETCH_SIZE
+) -> list[float]:
     """Approximate quantiles of a double column, empty for an empty table.
 
     Sketches of all tasks are merged in groups before the last merge, so no
     task receives one sketch per task of a large job.
     """
+    size = min(max(size, _SKETCH_SIZE), _MAX_SKETCH_SIZE)
     group = F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS)).alias("_group")
     parts = df.groupBy(group).agg(
-        F.count(x).alias("_n"), F.kll_sketch_agg_double(x, _SKETCH_SIZE).alias("_sketch")
+        F.count(x).alias("_n"), F.kll_sketch_agg_double(x, size).alias("_sketch")
     )
     merged = parts.agg(
         F.sum("_n").alias("_n"),
-        F.kll_merge_agg_double("_sketch", _SKETCH_SIZE).alias("_sketch"),
+        F.kll_merge_agg_double("_sketch", size).alias("_sketch"),
     )
     wanted = F.array(*[F.lit(float(p)) for p in shares])
     quantiles = F.kll_sketch_get_quantile_double("_sketch", wanted)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +14,13 @@ from tablewright.operators.columns import (
     null_counts,
     numeric_columns,
     quoted,
+    replace_columns,
     require_batch,
     text_columns,
 )
 from tablewright.operators.missing import fill_median, fill_mode
 from tablewright.operators.outliers import remove_outliers
-from tablewright.operators.text import clean_text, convert_types, fix_encoding
+from tablewright.operators.text import CONVERSIONS, clean_text, fix_encoding
 from tablewright.session import materialize
 
 # Share of NULLs above which a column goes, fence of the outlier
@@ -29,6 +31,8 @@ CASTABLE_SHARE = 0.8
 GENTLE = ["remove_extra_spaces", "normalize_whitespace"]
 THOROUGH = ["remove_special_chars", "lowercase"]
 
+_EMPTY = "_has_value"  # NULL on rows without any value
+
 
 @dataclass
 class CleanReport:
@@ -58,14 +62,15 @@ def castable_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
     """Text columns that hold mostly numbers, with the type to convert to."""
     if not columns:
         return {}
+    numbers = df.select(*[casts.to_number(quoted(c)).alias(f"x{i}") for i, c in enumerate(columns)])
     aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(columns):
-        number = casts.to_number(quoted(c))
+    for i in range(len(columns)):
+        number = F.col(f"x{i}")
         aggs += [
             F.count(number).alias(f"n{i}"),
             F.coalesce(F.bool_and(casts.is_whole(number)), F.lit(True)).alias(f"w{i}"),
         ]
-    row = df.agg(*aggs).first()
+    row = numbers.agg(*aggs).first()
     return {
         c: "integer" if row[f"w{i}"] else "float"
         for i, c in enumerate(columns)
@@ -86,7 +91,9 @@ def auto_clean(df: DataFrame, aggressive: bool = False) -> tuple[DataFrame, Clea
     fixed = fix_encoding(df)
     report.operations.append("fixed encoding")
 
-    rows, nulls = null_counts(fixed)
+    anything = reduce(lambda a, b: a | b, [quoted(c).isNotNull() for c in fixed.columns])
+    rows, nulls = null_counts(fixed.withColumn(_EMPTY, F.when(anything, True)))
+    filled = rows - nulls.pop(_EMPTY)
     report.rows_before = rows
     empty = [c for c, n in nulls.items() if rows and n == rows]
     if empty:
@@ -96,7 +103,6 @@ def auto_clean(df: DataFrame, aggressive: bool = False) -> tuple[DataFrame, Clea
         return fixed, report
 
     filled_rows = drop_empty_rows(fixed)
-    filled = filled_rows.count()
     if filled < rows:
         report.issues.append(f"removed {rows - filled} empty rows")
 
@@ -131,7 +137,9 @@ def auto_clean(df: DataFrame, aggressive: bool = False) -> tuple[DataFrame, Clea
 
     mapping = castable_types(cleaned, text_columns(cleaned))
     if mapping:
-        cleaned, _ = convert_types(cleaned, mapping)
+        cleaned = replace_columns(
+            cleaned, {c: CONVERSIONS[kind](quoted(c)) for c, kind in mapping.items()}
+        )
         report.operations.append("converted types")
 
     report.rows_after = cleaned.count() if aggressive else kept

@@ -69,13 +69,16 @@ def _node_array(pages: list[list[dict]]) -> pa.Array:
     return pa.ListArray.from_arrays(_offsets([len(page) for page in pages]), flat)
 
 
-def _table_array(pages: list[list]) -> pa.Array:
-    return pa.array(pages, pa.list_(pa.list_(pa.list_(pa.string()))))
-
-
-def _text_array(pages: list[list[str]]) -> pa.Array:
-    flat = pa.array([text for page in pages for text in page], pa.string())
-    return pa.ListArray.from_arrays(_offsets([len(page) for page in pages]), flat)
+def _nested_array(pages: list[list], depth: int) -> pa.Array:
+    """Lists of texts, ``depth`` levels deep, built from flat offsets."""
+    sizes, level = [], pages
+    for _ in range(depth):
+        sizes.append([len(entry) for entry in level])
+        level = [item for entry in level for item in entry]
+    array = pa.array(level, pa.string())
+    for counts in reversed(sizes):
+        array = pa.ListArray.from_arrays(_offsets(counts), array)
+    return array
 
 
 def _parse(source: str | None, want_tables: bool) -> tuple[list, list, list, str | None]:
@@ -95,8 +98,8 @@ def parse_batch(batch: pa.RecordBatch, html: str, keep: list[str], fields: list[
     nodes, texts, tables, errors = zip(*parsed) if parsed else ([], [], [], [])
     build = {
         "nodes": lambda: _node_array(nodes),
-        "texts": lambda: _text_array(texts),
-        "tables": lambda: _table_array(tables),
+        "texts": lambda: _nested_array(texts, 1),
+        "tables": lambda: _nested_array(tables, 3),
         "error": lambda: pa.array(errors, pa.string()),
     }
     arrays = [batch.column(c) for c in keep] + [build[name]() for name in fields]

@@ -15,9 +15,9 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
 from tablewright.operators.columns import quoted, reorder_columns
+from tablewright.session import materialize
 
 # Accepted options and cell formats.
 ENCODINGS = ("utf-8", "utf-16", "ascii", "latin-1")
@@ -32,6 +32,11 @@ SUFFIXES = {
 FLOAT_FORMAT = "0.00"
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
+METADATA_SCHEMA = (
+    "export_date string, total_records bigint, total_columns int, columns array<string>,"
+    " data_types map<string,string>, orientation string"
+)
+
 # Names Spark uses for the accepted encodings.
 _CHARSETS = {"utf-8": "UTF-8", "utf-16": "UTF-16", "ascii": "US-ASCII", "latin-1": "ISO-8859-1"}
 
@@ -133,24 +138,28 @@ def json_lines(df: DataFrame, orient: str = "records", index_column: str | None
 
 
 def _write_json(df: DataFrame, path: str, options: ExportOptions) -> None:
-    """``data/`` holds one JSON text per line, ``metadata/`` one describing object."""
-    writer = json_lines(df, options.json_orient, options.index_column).write.mode(options.mode)
+    """``data/`` holds one JSON text per line, ``metadata/`` one describing object.
+
+    The rows are counted while they are written.
+    """
+    counter = Observation()
+    counted = df.observe(counter, F.count(F.lit(1)).alias("rows"))
+    writer = json_lines(counted, options.json_orient, options.index_column).write.mode(options.mode)
     writer = writer.option("encoding", _CHARSETS[options.encoding])
     if options.compression:
         writer = writer.option("compression", options.compression)
     writer.text(f"{path}/data")
     columns = [c for c in df.columns if c != options.index_column]
-    facts = df.agg(F.count(F.lit(1)).alias("total_records")).select(
-        F.lit(datetime.now(timezone.utc).isoformat()).alias("export_date"),
-        "total_records",
-        F.lit(len(columns)).alias("total_columns"),
-        F.array(*[F.lit(c) for c in columns]).alias("columns"),
-        F.create_map(
-            *[x for c in columns for x in (F.lit(c), F.lit(df.schema[c].dataType.simpleString()))]
-        ).alias("data_types"),
-        F.lit(options.json_orient).alias("orientation"),
+    facts = (
+        datetime.now(timezone.utc).isoformat(),
+        counter.get["rows"],
+        len(columns),
+        columns,
+        {c: df.schema[c].dataType.simpleString() for c in columns},
+        options.json_orient,
     )
-    facts.write.mode(options.mode).json(f"{path}/metadata")
+    described = df.sparkSession.createDataFrame([facts], METADATA_SCHEMA)
+    described.write.mode(options.mode).json(f"{path}/metadata")
 
 
 def _write_parquet(df: DataFrame, path: str, options: ExportOptions) -> None:
@@ -281,18 +290,21 @@ def write_formats(
 ) -> dict[str, str | None]:
     """Write the same rows in several formats; maps each to None or its error.
 
-    The rows are computed once.  A format that fails does not stop the others.
+    The rows are computed once: Parquet comes first and the other formats are
+    made from those files, or from a scratch table when Parquet is not wanted
+    or fails.  A format that fails does not stop the others.
     """
     options = options or ExportOptions()
-    results: dict[str, str | None] = {}
-    df = df.persist(StorageLevel.DISK_ONLY)
-    try:
-        for fmt in formats:
-            try:
-                write_dataset(df, f"{base}.{fmt}", replace(options, format=fmt))
-                results[fmt] = None
-            except Exception as problem:  # reported per format
-                results[fmt] = str(problem)
-    finally:
-        df.unpersist()
+    results: dict[str, str | None] = dict.fromkeys(formats)
+    source = None
+    for fmt in sorted(formats, key=lambda f: f != "parquet"):
+        path = f"{base}.{fmt}"
+        try:
+            if source is None and fmt != "parquet":
+                source = materialize(df, "formats")
+            write_dataset(df if source is None else source, path, replace(options, format=fmt))
+            if fmt == "parquet":
+                source = df.sparkSession.read.parquet(path).select(*[quoted(c) for c in df.columns])
+        except Exception as problem:  # reported per format
+            results[fmt] = str(problem)
     return results

@@ -171,9 +171,9 @@ def test_read_text_pages(spark, tmp_path):
     assert [r["item"] for r in found.collect()] == ["x"]
 
 
-@pytest.mark.parametrize("broadcast_limit", [100_000, 0])
+@pytest.mark.parametrize("broadcast_limit", [64 << 20, 0])
 def test_admission(spark, monkeypatch, broadcast_limit):
-    monkeypatch.setattr(admission, "MAX_BROADCAST_HOSTS", broadcast_limit)
+    monkeypatch.setattr(admission, "MAX_BROADCAST_BYTES", broadcast_limit)
     rules = spark.createDataFrame(
         [
             ("h.org", "*", 1, True, "/open/"),

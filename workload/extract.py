@@ -251,7 +251,8 @@ def records(spark, sf):
 def normalize_names(spark, sf):
     """Names made of real texts: header data as a column."""
     header = F.when(F.col("doc_id") % 50 == 0, F.lit(" !? ")).otherwise(F.col("text"))
-    return read(spark, sf, "documents").select("doc_id", clean_name_column(header).alias("name"))
+    documents = spread(read(spark, sf, "documents"))
+    return documents.select("doc_id", clean_name_column(header).alias("name"))
 
 
 QUERIES = {
