@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.columns import quoted, require_batch, require_columns
-from tablewright.operators.stats import quantile_sketch
+from tablewright.operators.stats import quantile_sketches
 from tablewright.session import materialize
 
 BLOCK = "_block"
@@ -63,8 +63,7 @@ def add_blocks(df: DataFrame, order_by: Sequence[str], blocks: int | None = None
     lead = _as_double(df, order_by[0])
     if lead is not None:
         shares = [i / blocks for i in range(1, blocks)]
-        keys = df.select(lead.alias("x")).filter(F.col("x").isNotNull())
-        cuts = quantile_sketch(keys, F.col("x"), shares, 4 * blocks)
+        (cuts,) = quantile_sketches(df, [(lead, shares)], 4 * blocks)
         if max(Counter(cuts).values(), default=0) < HOT_CUTS:
             splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
             keyed = df.withColumn("_lead", lead)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,26 +21,29 @@ _MERGE_GROUPS = 256  # sketches are merged in two levels
 _SLACK = 0.01
 
 
-def quantile_sketch(
-    df: DataFrame, x: Column, shares: Sequence[float], size: int = _SKETCH_SIZE
-) -> list[float]:
-    """Approximate quantiles of a double column, empty for an empty table.
+def quantile_sketches(
+    df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float]]], size: int = _SKETCH_SIZE
+) -> list[list[float]]:
+    """Approximate quantiles of several double expressions in one pass.
 
-    Sketches of all tasks are merged in groups before the last merge, so no
-    task receives one sketch per task of a large job.
+    Each entry is an expression with the shares asked of it; one without any
+    value gives an empty list.  Sketches of all tasks are merged in groups
+    before the last merge, so no task receives one sketch per task of a large
+    job.
     """
     size = min(max(size, _SKETCH_SIZE), _MAX_SKETCH_SIZE)
     group = F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS)).alias("_group")
-    parts = df.groupBy(group).agg(
-        F.count(x).alias("_n"), F.kll_sketch_agg_double(x, size).alias("_sketch")
-    )
-    merged = parts.agg(
-        F.sum("_n").alias("_n"),
-        F.kll_merge_agg_double("_sketch", size).alias("_sketch"),
-    )
-    wanted = F.array(*[F.lit(float(p)) for p in shares])
-    quantiles = F.kll_sketch_get_quantile_double("_sketch", wanted)
-    return merged.select(F.when(F.col("_n") > 0, quantiles)).first()[0] or []
+    first, last, quantiles = [], [], []
+    for i, (x, shares) in enumerate(wanted):
+        n, sketch = f"_n{i}", f"_s{i}"
+        first += [F.count(x).alias(n), F.kll_sketch_agg_double(x, size).alias(sketch)]
+        last += [F.sum(n).alias(n), F.kll_merge_agg_double(sketch, size).alias(sketch)]
+        asked = F.array(*[F.lit(float(p)) for p in shares])
+        quantiles.append(
+            F.when(F.col(n) > 0, F.kll_sketch_get_quantile_double(sketch, asked)).alias(n)
+        )
+    merged = df.groupBy(group).agg(*first).agg(*last)
+    return [list(q or []) for q in merged.select(*quantiles).first()]
 
 
 def _number(column: str, kind: T.DataType) -> Column:
@@ -47,61 +51,117 @@ def _number(column: str, kind: T.DataType) -> Column:
     return F.nanvl(c, F.lit(None).cast("double")) if isinstance(kind, (T.DoubleType, T.FloatType)) else c
 
 
-def _select_rank(df: DataFrame, rows: int, rank: int, max_distinct: int) -> tuple[float, int]:
-    """Value at a zero-based rank among the ``rows`` values of column ``x``,
-    and how many values are up to it.
+@dataclass
+class _Search:
+    """A rank of a column, known to lie strictly between ``low`` and ``high``."""
+
+    column: str
+    rank: int
+    inside: int  # values between the bounds
+    below: int = 0  # values up to the lower bound
+    low: float | None = None  # None: no bound
+    high: float | None = None
+
+    def shares(self) -> list[float]:
+        share = (self.rank - self.below + 0.5) / self.inside
+        return [max(share - _SLACK, 0.0), share, min(share + _SLACK, 1.0)]
+
+    def interval(self) -> tuple[str, float | None, float | None]:
+        return self.column, self.low, self.high
+
+
+def _between(column: str, low: float | None, high: float | None) -> Column:
+    x = F.col(column)
+    inside = x.isNotNull()
+    if low is not None:
+        inside &= x > low
+    if high is not None:
+        inside &= x < high
+    return inside
+
 
-    The rank lies strictly between ``low`` and ``high``.  Each round takes
-    three values around it from a sketch and counts exactly what lies at and
-    between them, so the sketch decides how fast the answer is found but not
-    what it is.  Once few distinct values are left, their counts decide.
+def _narrow(df: DataFrame, searches: list[_Search]) -> dict[tuple[str, int], float]:
+    """One round for all searches: propose marks by sketch, count exactly, cut.
+
+    Returns the ranks that fell on a mark; the others have smaller intervals.
     """
-    x = F.col("x")
-    low, high = float("-inf"), float("inf")
-    below, inside, distinct = 0, rows, None
-    while True:
-        here = df.filter((x > low) & (x < high)) if below or inside < rows else df
-        if distinct is not None and distinct <= max_distinct:
-            counts = here.groupBy(x).count()
-            # about max_distinct rows at most
-            running = counts.select(x, F.sum("count").over(Window.orderBy("x")).alias("upto"))
-            first = F.min(F.struct("x", "upto")).alias("first")
-            found = running.filter(F.col("upto") > rank - below).agg(first).first()["first"]
-            return found["x"], below + found["upto"]
-        share = (rank - below + 0.5) / inside
-        shares = [max(share - _SLACK, 0.0), share, min(share + _SLACK, 1.0)]
-        marks = sorted(set(quantile_sketch(here, x, shares)))
-        edges = [low, *marks, high]
-        between = [(x > a) & (x < b) for a, b in zip(edges, edges[1:])]
-        row = here.agg(
-            *[F.count_if(p) for p in between],
-            *[F.approx_count_distinct(F.when(p, x)) for p in between],
-            *[F.count_if(x == m) for m in marks],
-        ).first()
-        gaps, distincts, hits = (
-            row[: len(between)],
-            row[len(between) : 2 * len(between)],
-            row[2 * len(between) :],
-        )
-        for i in range(len(between)):
-            if rank < below + gaps[i]:
-                low, high, inside, distinct = edges[i], edges[i + 1], gaps[i], distincts[i]
+    shares: dict[tuple, set[float]] = {}
+    for s in searches:
+        shares.setdefault(s.interval(), set()).update(s.shares())
+    asked = {at: sorted(values) for at, values in shares.items()}
+    sketches = quantile_sketches(
+        df, [(F.when(_between(*at), F.col(at[0])), values) for at, values in asked.items()]
+    )
+    proposals = {at: dict(zip(asked[at], values)) for at, values in zip(asked, sketches)}
+
+    edges = {}
+    for s in searches:
+        marks = sorted({proposals[s.interval()][share] for share in s.shares()})
+        edges[s.column, s.rank] = [s.low, *marks, s.high]
+    gaps = dict.fromkeys(
+        (c, a, b) for (c, _), points in edges.items() for a, b in zip(points, points[1:])
+    )
+    hits = dict.fromkeys((c, m) for (c, _), points in edges.items() for m in points[1:-1])
+    counts = df.agg(
+        *[F.count_if(_between(*gap)) for gap in gaps],
+        *[F.count_if(F.col(c) == m) for c, m in hits],
+    ).first()
+    hits = dict(zip(hits, counts[len(gaps) :]))
+    gaps = dict(zip(gaps, counts))
+
+    found = {}
+    for s in searches:
+        points = edges[s.column, s.rank]
+        for a, b in zip(points, points[1:]):
+            inside = gaps[s.column, a, b]
+            if s.rank < s.below + inside:
+                s.low, s.high, s.inside = a, b, inside
                 break
-            below += gaps[i]
-            if i < len(marks):
-                if rank < below + hits[i]:
-                    return marks[i], below + hits[i]
-                below += hits[i]
+            s.below += inside
+            at_mark = hits.get((s.column, b), 0)
+            if s.rank < s.below + at_mark:
+                found[s.column, s.rank] = b
+                break
+            s.below += at_mark
+    return found
+
 
+def _select_ranks(
+    df: DataFrame, rows: dict[str, int], ranks: dict[str, set[int]], max_distinct: int
+) -> dict[tuple[str, int], float]:
+    """Values at zero-based ranks of the sorted columns, all columns together.
 
-def _interpolate(df: DataFrame, rows: int, share: float, max_distinct: int) -> float:
-    spot = share * (rows - 1)
-    rank = math.floor(spot)
-    value, upto = _select_rank(df, rows, rank, max_distinct)
-    if spot == rank or rank + 1 < upto:
-        return value
-    following = df.filter(F.col("x") > value).agg(F.min("x")).first()[0]
-    return value + (following - value) * (spot - rank)
+    Sketches decide how fast the answer is found but not what it is.  Once an
+    interval holds few values they are ranked; all such intervals together in
+    one job.
+    """
+    open_ = [_Search(c, r, rows[c]) for c, wanted in ranks.items() for r in sorted(wanted)]
+    found: dict[tuple[str, int], float] = {}
+    ready: list[_Search] = []
+    while open_:
+        found |= _narrow(df, open_)
+        open_ = [s for s in open_ if (s.column, s.rank) not in found]
+        ready += [s for s in open_ if s.inside <= max_distinct]
+        open_ = [s for s in open_ if s not in ready]
+    if not ready:
+        return found
+    spots = F.array(
+        *[
+            F.when(
+                _between(*s.interval()), F.struct(F.lit(i).alias("i"), F.col(s.column).alias("x"))
+            )
+            for i, s in enumerate(ready)
+        ]
+    )
+    hit = df.select(F.explode(F.filter(spots, lambda spot: spot.isNotNull())).alias("s"))
+    counts = hit.groupBy("s.i", "s.x").count()
+    # max_distinct rows per interval at most
+    upto = F.sum("count").over(Window.partitionBy("i").orderBy("x"))
+    offset = F.element_at(F.array(*[F.lit(s.rank - s.below) for s in ready]), F.col("i") + 1)
+    beyond = counts.withColumn("upto", upto).filter(F.col("upto") > offset)
+    for row in beyond.groupBy("i").agg(F.min("x").alias("x")).collect():
+        found[ready[row["i"]].column, ready[row["i"]].rank] = row["x"]
+    return found
 
 
 def exact_percentiles(
@@ -133,9 +193,18 @@ def exact_percentiles(
         exact = F.percentile("value", list(probabilities), F.col("count")).alias("p")
         for row in value_counts(numbers, small).groupBy("column").agg(exact).collect():
             found[row["column"]] = list(row["p"])
-    for x in set(names) - set(small):
-        one = numbers.select(F.col(x).alias("x")).filter(F.col("x").isNotNull())
-        found[x] = [_interpolate(one, probe[f"n_{x}"], p, max_distinct) for p in probabilities]
+    large = [x for x in names if x not in small]
+    if large:
+        rows = {x: probe[f"n_{x}"] for x in large}
+        spots = {x: [p * (rows[x] - 1) for p in probabilities] for x in large}
+        ranks = {x: {r for s in spots[x] for r in (math.floor(s), math.ceil(s))} for x in large}
+        at = _select_ranks(numbers.select(*large), rows, ranks, max_distinct)
+        for x in large:
+            ends = [(s, at[x, math.floor(s)], at[x, math.ceil(s)]) for s in spots[x]]
+            found[x] = [
+                low if low == high else low + (high - low) * (s - math.floor(s))
+                for s, low, high in ends
+            ]
     return {c: found[x] for c, x in zip(columns, names)}
 
 

@@ -193,6 +193,14 @@ def test_percentiles_like_pandas(spark, limit):
         assert got[c] == pytest.approx(pdf[c].quantile(shares).tolist(), abs=1e-12)
 
 
+def test_percentiles_with_infinities(spark):
+    values = [float("-inf"), 1.0, 2.0, 3.0, 4.0, float("inf"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for limit in (100, 1):
+        got = stats.exact_percentiles(df, ["v"], [0.0, 0.5, 1 / 6], limit)["v"]
+        assert got == [float("-inf"), 3.0, 1.0]
+
+
 def test_percentiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert stats.exact_percentiles(df, ["v"], [0.5]) == {"v": [None]}
