@@ -151,8 +151,9 @@ def retain_recent(log: DataFrame, time: str, days: int = KEEP_DAYS) -> DataFrame
     the cut-off is a constant the scan can skip files with.
     """
     newest_time = log.agg(F.max(quoted(time)).alias("t")).select(
-        (F.col("t") - F.make_dt_interval(days=F.lit(days))).alias("cutoff")
+        (F.col("t") - F.make_dt_interval(days=F.lit(days))).cast("string").alias("cutoff")
     )
+    # as text, so that no time zone of the driver gets in between
     cutoff = newest_time.first()["cutoff"]
     return log.filter(quoted(time) >= F.lit(cutoff).cast(log.schema[time].dataType))
 
