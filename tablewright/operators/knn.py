@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from tablewright.operators import nearest
 from tablewright.operators.columns import quoted, require_batch, require_columns
 from tablewright.operators.missing import fill_values
+from tablewright.session import materialize
 
 cloudpickle.register_pickle_by_value(nearest)
 
@@ -30,9 +31,9 @@ PROBE_DONORS = 1_000  # donors that give the first distance bounds
 
 
 def _matrix(rows: pa.RecordBatch | pa.Table, names: Sequence[str]) -> np.ndarray:
-    columns = [rows.column(n).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch)
-               else rows.column(n).to_numpy() for n in names]
-    return np.column_stack([np.asarray(c, dtype=float) for c in columns])
+    """Rows x columns of doubles, NULL as NaN."""
+    flat = rows.combine_chunks() if isinstance(rows, pa.Table) else rows
+    return np.column_stack([np.asarray(flat.column(n), dtype=float) for n in names])
 
 
 def _nearest_donors(
@@ -58,53 +59,36 @@ def _nearest_donors(
         points, bounds = shared.value
         best = [helper.Nearest(bounds[:, t], k) for t in range(width)]
         wanted = np.isnan(points)
-        kept, seen = [], 0
+        table, positions, seen = None, np.empty(0, dtype=np.int64), 0
         for batch in batches:
-            block = np.column_stack(
-                [batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in numbers]
-            )
+            block = np.column_stack([np.asarray(batch.column(n), dtype=float) for n in numbers])
             for start in range(0, len(points), helper.BLOCK):
                 rows = slice(start, min(start + helper.BLOCK, len(points)))
                 distance = helper.squared_distances(points[rows], block)
                 for t in range(width):
-                    usable = ~np.isnan(block[:, t])
-                    open_ = wanted[rows, t]
-                    if usable.any() and open_.any():
-                        fit = np.where(open_[:, None] & usable[None, :], distance, np.inf)
-                        best[t].add(rows, fit, seen)
-            # keep only the donors that are still among the best
-            used = np.unique(np.concatenate([b.donor[b.donor >= 0] for b in best]))
-            stored = pa.Table.from_batches([batch]) if not kept else pa.concat_tables(
-                [kept[0], pa.Table.from_batches([batch])]
-            )
-            base = kept[1] if kept else np.empty(0, dtype=np.int64)
-            positions = np.concatenate([base, np.arange(seen, seen + batch.num_rows)])
-            keep = np.isin(positions, used)
-            kept = [stored.filter(pa.array(keep)), positions[keep]]
+                    pairs = wanted[rows, t][:, None] & ~np.isnan(block[:, t])[None, :]
+                    if pairs.any():
+                        best[t].add(rows, np.where(pairs, distance, np.inf), seen)
+            # of all donors so far, keep those that are among the best
+            new = pa.Table.from_batches([batch])
+            table = new if table is None else pa.concat_tables([table, new])
+            positions = np.concatenate([positions, np.arange(seen, seen + batch.num_rows)])
+            keep = np.isin(positions, np.concatenate([b.donor.ravel() for b in best]))
+            table, positions = table.filter(pa.array(keep)), positions[keep]
             seen += batch.num_rows
-        if not kept:
+        if table is None:
             return
-        table, positions = kept
         for t, found in enumerate(best):
             r, slot = np.nonzero(found.donor >= 0)
-            if not len(r):
-                continue
-            at = pa.array(np.searchsorted(positions, found.donor[r, slot]))
-            picked = table.take(at).combine_chunks()
-            value = picked.column(numbers[t])
-            arrays = [
-                pa.array(r.astype(np.int64)),
-                pa.array(np.full(len(r), t, dtype=np.int32)),
-                pa.array(found.distance[r, slot]),
-                value.combine_chunks() if isinstance(value, pa.ChunkedArray) else value,
-            ]
-            for name in order_names:
-                column = picked.column(name)
-                arrays.append(
-                    column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-                )
-            names = ["receiver", "target", "distance", "value", *order_names]
-            yield from pa.Table.from_arrays(arrays, names=names).to_batches()
+            donors_of = table.take(np.searchsorted(positions, found.donor[r, slot]))
+            answer = {
+                "receiver": r.astype(np.int64),
+                "target": np.full(len(r), t, dtype=np.int32),
+                "distance": found.distance[r, slot],
+                "value": donors_of.column(numbers[t]),
+            }
+            answer |= {name: donors_of.column(name) for name in order_names}
+            yield from pa.table(answer).combine_chunks().to_batches()
 
     # sorted tasks: on equal distance the earlier row wins
     return donors.sortWithinPartitions(*order_names).mapInArrow(search, schema)
@@ -145,9 +129,8 @@ def knn_impute(
         F.count_if(gap & known), F.count_if(known), *[F.avg(x) for x in numbers]
     ).first()
     waiting, giving, means = stats[0], stats[1], list(stats[2:])
-    widened = fill_values(df, dict.fromkeys(columns, None))
     if not waiting:
-        return fill_values(widened, dict(zip(columns, means)), widen=True)
+        return fill_values(df, dict(zip(columns, means)), widen=True)
 
     # a few donors give an upper bound of each k-th distance; the search is over all
     share = min(1.0, 2.0 * PROBE_DONORS / giving)
@@ -189,7 +172,9 @@ def knn_impute(
             "receiver", pa.array(np.arange(batch.num_rows))
         )
         keys = df.sparkSession.createDataFrame(ids)
-        filled.append(keys.join(means_of, "receiver").drop("receiver"))
+        answer = keys.join(means_of, "receiver").drop("receiver")
+        # with several batches the driver forgets each one once it is written
+        filled.append(answer if chunks == 1 else materialize(answer, "nearest"))
 
     answers = reduce(DataFrame.unionAll, filled)
     on = [quoted(c).eqNullSafe(F.col(f"o{i}")) for i, c in enumerate(order_by)]
