@@ -54,8 +54,10 @@ def paragraphs(spark, sf):
     return extract.extract_elements(parse_pages(_pages(spark, sf)), ["p", "footer"])
 
 
+# a page may end an entity without its semicolon; it means the same
 _TEXT_OF = (
-    "trim(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'))"
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),"
+    " '&quot;?', '\"', 'g'), '&amp;?', '&', 'g'))"
 )
 
 
