@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import mixing
+from tablewright.llm import mixing, simhash
 
-MODULES = (mixing,)
+MODULES = (mixing, simhash)
 
 
 def all_queries() -> dict:
