@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import mixing, simhash
+from tablewright.llm import mixing, packing, simhash
 
-MODULES = (mixing, simhash)
+MODULES = (mixing, simhash, packing)
 
 
 def all_queries() -> dict:
