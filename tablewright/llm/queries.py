@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import mixing, packing, simhash
+from tablewright.llm import mixing, packing, quality, simhash
 
-MODULES = (mixing, simhash, packing)
+MODULES = (mixing, simhash, packing, quality)
 
 
 def all_queries() -> dict:
