@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import fold_of, span_hashes, table, text_chunks, word_spans
+from tablewright.llm.common import bounded_batches, fold_of, span_hashes, table, text_chunks, word_spans
 
 #: Buckets of hashed words, rank of the interactions, labelled rows learnt from (the smallest id hashes), passes.
 WORD_BUCKETS = 1 << 14
@@ -212,6 +212,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     length alone, whatever its id, language or source: null, empty, repeated and very long texts alike, all in one
     pass without a shuffle. Without any label every score is one half; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     held_out = fold_of(F.col(key), FOLDS) == 0
     sample = sampled_labels(labels, "quality", ~fold_of(F.col(key), FOLDS).eqNullSafe(0), key)
     model = train(docs, sample, key, text, length)
