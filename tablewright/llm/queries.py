@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import mixing, packing, quality, simhash
+from tablewright.llm import mixing, packing, quality, simhash, toxicity
 
-MODULES = (mixing, simhash, packing, quality)
+MODULES = (mixing, simhash, packing, quality, toxicity)
 
 
 def all_queries() -> dict:
