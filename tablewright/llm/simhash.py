@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import components, table, text_chunks, written
+from tablewright.llm.common import bounded_batches, components, table, text_chunks, written
 
 SEED = 42
 _digest = xxhash.xxh64_intdigest
@@ -77,6 +77,7 @@ def fingerprint_classes(docs: DataFrame, key: str = "doc_id", text: str = "text"
     hashed whole, an empty table gives no rows, other columns are ignored. Texts are read once: keys and fingerprints
     are kept as a table in the shared folder.
     """
+    bounded_batches(docs.sparkSession)
     prints = written(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), words).alias("print")), "prints")
     nodes = components(linked_pairs(prints)).withColumnRenamed("node", "print")
     sizes = prints.groupBy("print").agg(F.min("key").alias("first"))
