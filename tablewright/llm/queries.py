@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import mixing, packing, quality, simhash, toxicity, url_filter
+from tablewright.llm import mixing, packing, quality, secret_scan, simhash, toxicity, url_filter
 
-MODULES = (mixing, simhash, packing, quality, toxicity, url_filter)
+MODULES = (mixing, simhash, packing, quality, toxicity, url_filter, secret_scan)
 
 
 def all_queries() -> dict:
