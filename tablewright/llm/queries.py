@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import mixing, packing, perplexity, quality, secret_scan, simhash, toxicity, url_filter
+from tablewright.llm import embeddings, mixing, packing, perplexity, quality, secret_scan, simhash, toxicity, url_filter
 
-MODULES = (mixing, simhash, packing, quality, toxicity, url_filter, secret_scan, perplexity)
+MODULES = (mixing, simhash, packing, quality, toxicity, url_filter, secret_scan, perplexity, embeddings)
 
 
 def all_queries() -> dict:
