@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import bounded_batches, components, table, text_chunks, written
+from tablewright.llm.common import bounded_batches, components, mix64, table, text_chunks, written
 
 SEED = 42
 _digest = xxhash.xxh64_intdigest
@@ -28,12 +30,18 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.array([_digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64)
 
 
+def _majority(hashes: np.ndarray, words: int) -> bytes:
+    """The bits set in more than half of the rows of (hashes, words), as one big-endian number per word."""
+    total = np.zeros(64 * words, dtype=np.int64)
+    for first in range(0, len(hashes), 1 << 14):
+        part = hashes[first : first + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8 * words)
+        total += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes)).tobytes()
+
+
 def majority_bits(hashes: np.ndarray) -> int:
     """The 64-bit number whose bits are those set in more than half of the hashes."""
-    if not len(hashes):
-        return 0
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).tobytes(), "big")
+    return int.from_bytes(_majority(hashes.reshape(-1, 1), 1), "big")
 
 
 def fingerprint(text: Column, words: int) -> Column:
@@ -87,6 +95,116 @@ def fingerprint_classes(docs: DataFrame, key: str = "doc_id", text: str = "text"
     return prints.join(classes, "print").select(F.col("key").alias(key), "print", F.col("lowest").alias("component"))
 
 
+#: The wide fingerprint of ``similar_groups``: 64-bit words, of which the last is compared first, and the tables cut
+#: from the others. Bits of a table's key beyond the logarithm of the number of fingerprints. Words of the fingerprint
+#: that verifies candidates.
+WIDE_WORDS, TABLES, SPARE_BITS, DEEP_WORDS = 4, 8, 6, 16
+
+
+def wide_bits(hashes: np.ndarray, words: int = WIDE_WORDS) -> bytes:
+    """The majority bits of so many independent scrambles of the different hashes."""
+    hashes = np.unique(hashes)
+    return _majority(np.stack([mix64(hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)) for k in range(words)], axis=1), words)
+
+
+def wide_prints(text: Column, words: int, size: int) -> Column:
+    """The wide fingerprint of a text as a struct of longs w0, w1 and so on."""
+    names = [f"w{k}" for k in range(size)]
+
+    @F.arrow_udf("struct<" + ",".join(f"{n}:long" for n in names) + ">")
+    def wide(texts: pa.Array) -> pa.Array:
+        found = []
+        for _, data, offsets in text_chunks(texts):
+            raw, at = data.tobytes(), offsets.tolist()
+            found += [wide_bits(shingle_hashes(raw[a:b], words), size) for a, b in zip(at, at[1:])]
+        matrix = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, size)
+        return pa.StructArray.from_arrays([pa.array(matrix[:, k]) for k in range(size)], names=names)
+
+    return wide(text.cast("string"))
+
+
+def share_of_bits(similarity: float) -> float:
+    """The share of bits in which fingerprints of sets of this Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _compared(pairs: DataFrame, prints: DataFrame, column: str, words: int, most: int) -> DataFrame:
+    """The pairs (a, b) of ids whose fingerprints differ in at most so many bits."""
+    for side in "ab":
+        pairs = pairs.join(prints.select(F.col("id").alias(side), F.col(column).alias(f"_{side}")), side)
+    differing = sum(F.bit_count(F.col(f"_a.w{k}").bitwiseXOR(F.col(f"_b.w{k}"))) for k in range(words))
+    return pairs.filter(differing <= most).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, component, group, tag) of every row: rows whose shingle sets have about this Jaccard similarity or more, over links.
+
+    Balls of small radius miss texts at 0.8 on one 64-bit fingerprint, which differ in ten bits. So the fingerprint is
+    wide, and TABLES keys are cut from it; two fingerprints are candidates if some table's keys differ in 2 bits at
+    most, for which both emit their keys' balls of radius one and meet in the shuffle. In a variant's group every member
+    is compared with one pivot, the smallest by a hash that differs between tables, so no group's pairs are spread out
+    and a group is read in a stream. Candidates are verified by a deep fingerprint of their texts: a pair links if no
+    larger share of its bits differs than do, up to one standard error, between sets of that similarity; an estimate
+    with a standard error of about 0.015 in the similarity. Keys grow with the
+    logarithm of the number of fingerprints, so chance meetings grow with the input. Rows of equal fingerprints,
+    repeated rows and those without words included, are one class. ``component`` is the smallest key of the group, null
+    if its rows have none; ``group`` numbers the groups, ``tag`` is the XXH64 of the row's text.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("tag", F.xxhash64("_text"))
+    prints = written(rows.select("key", "tag", wide_prints(F.col("_text"), words, WIDE_WORDS).alias("print")), "wide")
+    classes = prints.groupBy("print").agg(F.min("key").alias("first"), F.min(F.struct(F.col("key").isNull(), "key", "tag")).alias("_row"))
+    classes = written(classes.select("print", "first", "_row.tag", F.monotonically_increasing_id().alias("id")), "classes")
+    bits = min(8 * WIDE_WORDS * 8 // TABLES - 8, max(8, math.ceil(math.log2(max(2, classes.count()))) + SPARE_BITS))
+
+    def most(size: int, errors: float) -> int:
+        share = share_of_bits(similarity)
+        return math.ceil(64 * size * share + errors * math.sqrt(64 * size * share * (1 - share)))
+
+    def cut(table_: int) -> Column:
+        """The key of a table: ``bits`` bits of the words before the last, from the table's place on."""
+        place = table_ * (64 * (WIDE_WORDS - 1) // TABLES)
+        word, shift = place // 64, place % 64
+        low = F.shiftrightunsigned(F.col(f"print.w{word}"), shift)
+        if shift + bits > 64:
+            low = low.bitwiseOR(F.shiftleft(F.col(f"print.w{(word + 1) % WIDE_WORDS}"), 64 - shift))
+        return low.bitwiseAND(F.lit((1 << bits) - 1))
+
+    flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    keyed = classes.select("id", F.col(f"print.w{WIDE_WORDS - 1}").alias("sketch"), F.posexplode(F.array(*(cut(t) for t in range(TABLES)))).alias("table", "cut"))
+    spread = keyed.select("id", "sketch", "table", F.explode(F.transform(flips, lambda x: F.col("cut").bitwiseXOR(x))).alias("variant"))
+    spread = spread.select("id", "sketch", F.col("variant").bitwiseOR(F.shiftleft(F.col("table").cast("long"), 48)).alias("variant"))
+    order = F.xxhash64("id", F.shiftright("variant", 48))
+    pivot = F.first(F.struct("id", "sketch")).over(Window.partitionBy("variant").orderBy(order, "id"))
+    met = spread.withColumn("pivot", pivot).filter((F.col("id") != F.col("pivot.id")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("pivot.sketch"))) <= most(1, 3)))
+    pairs = written(met.select(F.greatest("id", "pivot.id").alias("a"), F.least("id", "pivot.id").alias("b")).distinct(), "pairs")
+    close = written(_compared(pairs, classes.select("id", "print"), "print", WIDE_WORDS, most(WIDE_WORDS, 3)), "pairs")
+    needed = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
+    needed = classes.join(needed, "id").select("id", F.col("first").alias("_key"), F.col("tag").alias("_tag"))
+    met = rows.join(needed, F.col("key").eqNullSafe(F.col("_key")) & (F.col("tag") == F.col("_tag")))
+    deep = met.select("id", wide_prints(F.col("_text"), words, DEEP_WORDS).alias("deep")).groupBy("id").agg(F.first("deep").alias("deep"))
+    links = _compared(close, written(deep, "deep"), "deep", DEEP_WORDS, most(DEEP_WORDS, 1))
+    groups = components(links, "a", "b")
+    named = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
+    members = named.join(lowest, "component").select("print", "lowest", F.col("component").alias("group"))
+    return prints.join(members, "print").select(F.col("key").alias(key), F.col("lowest").alias("component"), "group", "tag")
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with the smallest key of their group, all columns kept; of repeated rows of a key one.
+
+    A row without a key stays only if no row of its group has one, one row of the group then.
+    """
+    found = written(similar_groups(docs, key, text, words, similarity), "groups")
+    first = found.filter(F.col(key).eqNullSafe(F.col("component"))).groupBy("group").agg(F.min("tag").alias("_tag"), F.first("component").alias("_key"))
+    staying = found.join(first, (found["group"] == first["group"]) & F.col(key).eqNullSafe(F.col("_key")) & (F.col("tag") == F.col("_tag")))
+    staying = staying.groupBy("_key", "_tag").agg(F.count("*").alias("_n"))
+    repeated = staying.filter("_n > 1").limit(1).count() > 0
+    kept = docs.join(staying, docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == F.col("_tag")), "left_semi")
+    return kept.dropDuplicates([key, text]) if repeated else kept
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
