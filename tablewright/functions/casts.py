@@ -74,9 +74,15 @@ def is_whole(number: Column) -> Column:
 
 
 def to_datetime(c: Column, formats: Sequence[str] = DATETIME_FORMATS) -> Column:
-    text = c.cast("string")
-    tries = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    """Text to a timestamp without a zone, by the first layout that fits.
+
+    The session's zone takes no part: a wall-clock time that it skips stays as written.
+    """
+    text = F.concat(c.cast("string"), F.lit(" +00:00"))
+    tries = [F.try_to_timestamp(text, F.lit(f"{fmt} XXX")) for fmt in formats]
+    seconds = F.unix_micros(F.coalesce(*tries)).cast("decimal(20,0)") / F.lit(1_000_000)
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
 
 
 def to_boolean(c: Column) -> Column:

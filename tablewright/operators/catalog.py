@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tablewright.operators.columns import quoted, require_columns
 
 # Listing lengths and retention.
-RECENT_EXPORTS, ERROR_WINDOW, RECENT_ERRORS = 10, 50, 10
+RECENT_EXPORTS, RECENT_ERRORS = 10, 10
 TOP_TAGS, RECENT_ACTIVITY = 10, 5
 RECENT_PROJECTS, RECENT_URLS = 10, 20
 KEEP_DAYS = 30
@@ -55,10 +55,14 @@ def recent_exports(log: DataFrame, time: str, tiebreak: Sequence[str]) -> DataFr
 
 
 def error_statistics(
-    log: DataFrame, time: str, tiebreak: Sequence[str], kind: str = "error_type"
+    log: DataFrame,
+    time: str,
+    tiebreak: Sequence[str],
+    kind: str = "error_type",
+    window: int | None = None,
 ) -> DataFrame:
-    """(error_type, recent_count, total_errors): types among the latest errors."""
-    latest = newest(log, ERROR_WINDOW, time, tiebreak)
+    """(error_type, recent_count, total_errors): types among all errors, or among the latest ``window``."""
+    latest = log if window is None else newest(log, window, time, tiebreak)
     total = log.agg(F.count(F.lit(1)).alias("total_errors"))
     counts = latest.groupBy(quoted(kind).alias("error_type")).agg(
         F.count(F.lit(1)).alias("recent_count")

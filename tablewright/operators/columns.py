@@ -37,6 +37,14 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def value_of(df: DataFrame, name: str) -> Column:
+    """Column by exact name with NaN as NULL: the one rule for what is missing."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.nanvl(quoted(name), F.lit(None).cast(kind))
+    return quoted(name)
+
+
 def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """One projection that swaps in the given expressions and keeps the order."""
     return df.select(*[new[c].alias(c) if c in new else quoted(c) for c in df.columns])
@@ -44,12 +52,7 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 
 def prepare(df: DataFrame) -> DataFrame:
     """Fold NaN into NULL once, so that every operator sees one kind of missing."""
-    floats = {
-        f.name: F.nanvl(quoted(f.name), F.lit(None).cast(f.dataType))
-        for f in df.schema
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-    }
-    return replace_columns(df, floats)
+    return replace_columns(df, {c: value_of(df, c) for c in df.columns})
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -83,7 +86,7 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[in
     """Row count and NULLs per column, from one aggregate."""
     require_batch(df, "null_counts")
     columns = list(df.columns if columns is None else columns)
-    aggs = [F.count(F.lit(1))] + [F.count_if(quoted(c).isNull()) for c in columns]
+    aggs = [F.count(F.lit(1))] + [F.count_if(value_of(df, c).isNull()) for c in columns]
     row = df.agg(*[a.alias(f"_{i}") for i, a in enumerate(aggs)]).first()
     return row[0], dict(zip(columns, row[1:]))
 

@@ -23,12 +23,28 @@ def _check_groupable(df: DataFrame, columns: Sequence[str]) -> None:
 
 
 def _order_key(order_by: Sequence[str]) -> Column:
-    """Comparable row position; the listed columns together must be unique."""
-    if len(order_by) == 1:
-        return quoted(order_by[0])
+    """Comparable row position; the listed columns together must be unique.
+
+    A struct even of one column: a NULL position is the smallest, not none.
+    """
     return F.struct(*[quoted(c) for c in order_by])
 
 
+def _digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """256 bits that stand for the values of a row: what a count of keys has to move.
+
+    Numbers and texts are printed; -0.0 counts as 0.0 and all NaN are one value, as in grouping.
+    """
+
+    def printed(name: str) -> Column:
+        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            return F.when(quoted(name) == 0, F.lit(0.0)).otherwise(quoted(name)).alias(name)
+        return quoted(name).alias(name)
+
+    row = F.struct(*[printed(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    return F.unhex(F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256))
+
+
 def drop_duplicates(
     df: DataFrame,
     subset: Sequence[str] | None = None,
@@ -98,7 +114,7 @@ def flag_duplicates(
         .select("_first")
     )
     marked = df.withColumn("_position", position).join(
-        firsts, F.col("_position") == F.col("_first"), "left"
+        firsts, F.col("_position").eqNullSafe(F.col("_first")), "left"
     )
     return marked.select(
         *[df[f"`{c}`"] for c in df.columns], F.col("_first").isNull().alias(flag)
@@ -110,7 +126,7 @@ def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     require_batch(df, "duplicate_count")
     keys = require_columns(df, df.columns if subset is None else subset)
     _check_groupable(df, keys)
-    copies = df.groupBy(*[quoted(c) for c in keys]).agg(F.count(F.lit(1)).alias("_copies"))
+    copies = df.groupBy(_digest(df, keys).alias("_key")).agg(F.count(F.lit(1)).alias("_copies"))
     rows = F.coalesce(F.sum("_copies"), F.lit(0))
     duplicates = F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0))
     return copies.agg(

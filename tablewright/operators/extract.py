@@ -355,47 +355,50 @@ def flatten_records(
     return parsed.select(*keep, *leaves(parsed.schema["_json"].dataType, F.col("_json"), ""))
 
 
-def pagination_links(parsed: DataFrame, base_url: str = "url", max_pages: int = 10) -> DataFrame:
+def pagination_links(parsed: DataFrame, base_url: str = "url", max_pages: int | None = None) -> DataFrame:
     """(keys, link_idx, link): follow-up pages in order of discovery.
 
     Selectors are tried one after the other; a link counts where it is found
-    first, the page itself is left out and at most ``max_pages - 1`` remain.
+    first, the page itself is left out; all remain, or with ``max_pages`` at
+    most one less than that.  The pagers of each class are found once per page.
     """
-    if max_pages < 1:
+    if max_pages is not None and max_pages < 1:
         raise ValueError("max_pages must be positive")
     keys = _keys(parsed)
     anchors = F.filter("nodes", lambda n: (n["tag"] == "a") & (_attribute(n, "href") != ""))
 
-    def below(node: Column, css_class: str) -> Column:
+    def inside(css_class: str) -> Column:
+        """Anchors below a pager; the page's pagers are bound once, as a one-element array."""
         pagers = F.filter(
             "nodes",
             lambda p: F.array_contains(F.split(_attribute(p, "class"), r"\s+"), css_class),
         )
-        return F.exists(
-            pagers, lambda p: (p["pos"] < node["pos"]) & (node["pos"] < p["end"])
+        spans = F.transform(pagers, lambda p: F.struct(p["pos"].alias("pos"), p["end"].alias("end")))
+        found = F.transform(
+            F.array(spans),
+            lambda ps: F.filter(
+                anchors, lambda n: F.exists(ps, lambda p: (p["pos"] < n["pos"]) & (n["pos"] < p["end"]))
+            ),
         )
+        return F.get(found, F.lit(0))
 
     def href_has(part: str):
         return lambda n: _attribute(n, "href").contains(part)
 
-    def inside(css_class: str):
-        return lambda n: below(n, css_class)
-
     def text_has(part: str):
         return lambda n: _raw_text(n).contains(part)
 
-    selectors = [
-        *map(href_has, HREF_PARTS),
-        *map(inside, PAGER_CLASSES),
-        *map(text_has, LINK_TEXTS),
-        lambda n: _attribute(n, "rel") == NEXT_REL,
-    ]
-    hits = F.concat(*[F.filter(anchors, selector) for selector in selectors])
+    hits = F.concat(
+        *[F.filter(anchors, href_has(part)) for part in HREF_PARTS],
+        *[inside(css_class) for css_class in PAGER_CLASSES],
+        *[F.filter(anchors, text_has(part)) for part in LINK_TEXTS],
+        F.filter(anchors, lambda n: _attribute(n, "rel") == NEXT_REL),
+    )
     resolved = F.transform(hits, lambda n: urls.resolve(F.col(base_url), _attribute(n, "href")))
     links = F.filter(F.array_distinct(resolved), lambda link: link != F.col(base_url))
-    return parsed.select(
-        *keys, F.posexplode(F.slice(links, 1, max_pages - 1)).alias("link_idx", "link")
-    )
+    if max_pages is not None:
+        links = F.slice(links, 1, max_pages - 1)
+    return parsed.select(*keys, F.posexplode(links).alias("link_idx", "link"))
 
 
 def content_type(html: Column) -> Column:

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from tablewright.operators.columns import (
     drop_incomplete_rows,
     numeric_columns,
-    quoted,
     replace_columns,
     require_batch,
     require_columns,
+    value_of,
 )
 from tablewright.operators.ordered import fill_ordered, interpolate_ordered
 from tablewright.operators.stats import exact_percentiles, modes
@@ -27,7 +27,7 @@ def _numeric(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
 
 
 def fill_values(df: DataFrame, values: dict[str, Any], widen: bool = False) -> DataFrame:
-    """Replace NULL by a constant per column, cast to the column's type.
+    """Replace NULL and NaN by a constant per column, cast to the column's type.
 
     ``widen`` turns the column into double first, for statistics that are
     fractional on whole-number columns.
@@ -37,7 +37,7 @@ def fill_values(df: DataFrame, values: dict[str, Any], widen: bool = False) -> D
         if value is None:
             continue
         kind = "double" if widen else df.schema[c].dataType
-        new[c] = F.coalesce(quoted(c).cast(kind), F.lit(value).cast(kind))
+        new[c] = F.coalesce(value_of(df, c).cast(kind), F.lit(value).cast(kind))
     return replace_columns(df, new)
 
 
@@ -47,7 +47,7 @@ def fill_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = _numeric(df, columns)
     if not columns:
         return df
-    row = df.agg(*[F.avg(quoted(c)).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.avg(value_of(df, c)).alias(f"_{i}") for i, c in enumerate(columns)]).first()
     return fill_values(df, dict(zip(columns, row)), widen=True)
 
 
@@ -98,6 +98,7 @@ def handle_missing(
     if not order_by:
         raise ValueError(f"{strategy} needs order_by")
     targets = [c for c in columns if c not in order_by]
+    df = replace_columns(df, {c: value_of(df, c) for c in targets})
     if strategy == "forward_fill":
         return fill_ordered(df, targets, order_by, "forward")
     if strategy == "backward_fill":

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.columns import numeric_columns, quoted, require_batch
+from tablewright.operators.columns import numeric_columns, require_batch, value_of
 from tablewright.operators.stats import exact_percentiles
 
 
@@ -19,18 +19,18 @@ def iqr_flags(df: DataFrame, columns: Sequence[str], threshold: float = 1.5) ->
             flags[c] = F.lit(False)
             continue
         margin = threshold * (q3 - q1)
-        outside = (quoted(c) < q1 - margin) | (quoted(c) > q3 + margin)
+        outside = (value_of(df, c) < q1 - margin) | (value_of(df, c) > q3 + margin)
         flags[c] = F.coalesce(outside, F.lit(False))
     return flags
 
 
 def zscore_flags(df: DataFrame, columns: Sequence[str], threshold: float) -> dict[str, Column]:
     """Per column, true beyond ``threshold`` sample standard deviations."""
-    aggs = [f(quoted(c)).alias(f"{f.__name__}{i}") for i, c in enumerate(columns) for f in (F.avg, F.stddev_samp)]
+    aggs = [f(value_of(df, c)).alias(f"{f.__name__}{i}") for i, c in enumerate(columns) for f in (F.avg, F.stddev_samp)]
     row = df.agg(*aggs).first()
     flags = {}
     for i, c in enumerate(columns):
-        z = F.abs(F.try_divide(quoted(c) - F.lit(row[2 * i]), F.lit(row[2 * i + 1])))
+        z = F.abs(F.try_divide(value_of(df, c) - F.lit(row[2 * i]), F.lit(row[2 * i + 1])))
         flags[c] = F.coalesce(z > threshold, F.lit(False))
     return flags
 
@@ -40,7 +40,7 @@ def remove_outliers(
 ) -> DataFrame:
     """Drop rows in which any listed numeric column is an outlier.
 
-    All bounds come from the input table.  NULL is never an outlier.
+    All bounds come from the input table.  NULL and NaN are never outliers.
     """
     require_batch(df, "remove_outliers")
     numeric = [c for c in columns if c in numeric_columns(df)]

@@ -20,6 +20,7 @@ from tablewright.operators.columns import (
     require_batch,
     require_columns,
     text_columns,
+    value_of,
 )
 from tablewright.operators.dedup import duplicate_count
 from tablewright.operators.outliers import iqr_flags
@@ -34,8 +35,6 @@ MISSING_CAP, DUPLICATE_CAP = 30, 20
 CASTABLE_SHARE, OUTLIER_SHARE, SPECIAL_SHARE = 0.8, 0.05, 0.3
 TYPE_PENALTY, OUTLIER_PENALTY, TEXT_PENALTY = 5, 3, 2
 BANDS = ((60, "poor"), (80, "moderate"))
-DATETIME_PROBE = 100
-BOOLEAN_VALUES = 10
 
 
 def _tidy(df: DataFrame, per_column: dict[str, dict[str, Column]], shared: dict[str, Column]):
@@ -63,10 +62,10 @@ def missing_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """(column, missing, rows, missing_percent, total_missing)."""
     require_batch(df, "missing_summary")
     columns = require_columns(df, df.columns if columns is None else columns)
-    total = sum((quoted(c).isNull().cast("bigint") for c in columns), F.lit(0).cast("bigint"))
+    total = sum((value_of(df, c).isNull().cast("bigint") for c in columns), F.lit(0).cast("bigint"))
     tidy = _tidy(
         df,
-        {c: {"missing": F.count_if(quoted(c).isNull())} for c in columns},
+        {c: {"missing": F.count_if(value_of(df, c).isNull())} for c in columns},
         {"rows": F.count(F.lit(1)), "total_missing": F.coalesce(F.sum(total), F.lit(0))},
     )
     return tidy.select(
@@ -87,15 +86,15 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         df,
         {
             c: {
-                "count": F.count(quoted(c)),
-                "mean": F.avg(quoted(c)),
-                "std": F.stddev_samp(quoted(c)),
-                "min": F.min(quoted(c)).cast("double"),
+                "count": F.count(value_of(df, c)),
+                "mean": F.avg(value_of(df, c)),
+                "std": F.stddev_samp(value_of(df, c)),
+                "min": F.min(value_of(df, c)).cast("double"),
                 **{
                     name: F.max(F.lit(q).cast("double"))
                     for name, q in zip(("p25", "p50", "p75"), quartiles[c])
                 },
-                "max": F.max(quoted(c)).cast("double"),
+                "max": F.max(value_of(df, c)).cast("double"),
             }
             for c in columns
         },
@@ -173,8 +172,8 @@ def export_profile(df: DataFrame) -> DataFrame:
         longest = F.coalesce(F.max(F.length(c.cast("string"))), F.lit(0))
         width = F.greatest(F.lit(len(field.name)), longest) + 2
         per_column[field.name] = {
-            "mean": F.avg(c) if field.name in numeric else none,
-            "std": F.stddev_samp(c) if field.name in numeric else none,
+            "mean": F.avg(value_of(df, field.name)) if field.name in numeric else none,
+            "std": F.stddev_samp(value_of(df, field.name)) if field.name in numeric else none,
             "display_width": F.least(width, F.lit(MAX_DISPLAY_WIDTH)),
         }
     tidy = _tidy(df, per_column, {"rows": F.count(F.lit(1))})
@@ -199,7 +198,7 @@ def quality_score(df: DataFrame) -> DataFrame:
     require_batch(df, "quality_score")
     numeric, text = numeric_columns(df), text_columns(df)
     flags = iqr_flags(df, numeric)
-    total_missing = sum((quoted(c).isNull().cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
+    total_missing = sum((value_of(df, c).isNull().cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
     aggs = [F.count(F.lit(1)).alias("rows"), F.sum(total_missing).alias("missing")]
     aggs += [F.count_if(flag).alias(f"outliers_{i}") for i, flag in enumerate(flags.values())]
     for i, c in enumerate(text):
@@ -278,8 +277,8 @@ def infer_types(
     """(column, castable, rows, inferred_type) for the text columns.
 
     Numeric wins over datetime, datetime over boolean; a column that fits
-    none stays ``string``.  Datetimes are judged by the first values that
-    are not NULL, as many as ``DATETIME_PROBE``.
+    none, or has no value, stays ``string``.  All values that are not NULL
+    decide, in one aggregate.
     """
     require_batch(df, "infer_types")
     columns = text_columns(df) if columns is None else require_columns(df, columns)
@@ -288,15 +287,15 @@ def infer_types(
         facts += [
             casts.to_number(quoted(c)).alias(f"n{i}"),
             F.lower(quoted(c)).isin(*casts.BOOLEAN_WORDS).alias(f"w{i}"),
+            F.when(quoted(c).isNotNull(), casts.to_datetime(quoted(c), formats).isNotNull()).alias(f"d{i}"),
         ]
         per_column[c] = {
             "castable": F.count(f"n{i}"),
             "whole": F.coalesce(F.bool_and(casts.is_whole(F.col(f"n{i}"))), F.lit(True)),
-            "words": F.coalesce(F.bool_and(f"w{i}"), F.lit(True)),
+            "words": F.coalesce(F.bool_and(f"w{i}"), F.lit(False)),
+            "dated": F.coalesce(F.bool_and(f"d{i}"), F.lit(False)),
         }
     stats = _tidy(df.select(*facts), per_column, {"rows": F.count(F.lit(1))})
-    dated = [c for c in columns if _first_values_are_dates(df, c, formats)]
-    is_date = F.col("column").isin(*dated) if dated else F.lit(False)
     return stats.select(
         "column",
         "castable",
@@ -305,30 +304,16 @@ def infer_types(
             F.col("castable") > F.col("rows") * CASTABLE_SHARE,
             F.when(F.col("whole"), "integer").otherwise("float"),
         )
-        .when(is_date, "datetime")
+        .when(F.col("dated"), "datetime")
         .when(F.col("words"), "boolean")
         .otherwise("string")
         .alias("inferred_type"),
     )
 
 
-def _first_values_are_dates(df: DataFrame, column: str, formats: Sequence[str]) -> bool:
-    """The probe is the rule itself: the first values decide.  ``take`` reads
-    partitions until it has enough, so the cost does not grow with the table."""
-    fits = casts.to_datetime(quoted(column), formats).isNotNull().alias("fits")
-    probe = df.filter(quoted(column).isNotNull()).select(fits).take(DATETIME_PROBE)
-    return all(row["fits"] for row in probe)
-
-
 def apply_inferred_types(df: DataFrame) -> DataFrame:
     """Convert every text column to its inferred type."""
     from tablewright.operators.text import convert_types
 
     found = {r["column"]: r["inferred_type"] for r in infer_types(df).collect()}
     return convert_types(df, {c: t for c, t in found.items() if t != "string"})[0]
-
-
-def describe_columns(df: DataFrame) -> DataFrame:
-    """(position, column, dtype) of the schema."""
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string")

@@ -9,16 +9,15 @@ from pyspark.sql import DataFrame
 from tablewright.plans.recipe import Recipe, Step
 from tablewright.session import materialize
 
-MAX_VERSIONS = 20  # fixed value: versions kept
 RECENT_OPERATIONS = 5  # fixed value: operations listed
 
 
 class CleaningSession:
     """A table with its versions.
 
-    A version is a DataFrame, that is a plan, so keeping twenty costs no
-    data.  Every ``materialize_every`` steps the current version is written
-    to the scratch folder to keep plans short.
+    A version is a DataFrame, that is a plan, so every version and step is
+    kept.  After every ``materialize_every`` steps the current version is
+    written to the scratch folder to keep plans short.
     """
 
     def __init__(self, df: DataFrame, materialize_every: int | None = None):
@@ -27,6 +26,7 @@ class CleaningSession:
         self._cursor = 0
         self._original = df
         self._every = materialize_every
+        self._applied = 0
 
     @property
     def data(self) -> DataFrame:
@@ -36,10 +36,11 @@ class CleaningSession:
         """Run a step on the current version; undone versions are forgotten."""
         step = Step(operation, parameters)
         after = step.apply(self.data)
-        if self._every and (self._cursor + 1) % self._every == 0:
+        self._applied += 1
+        if self._every and self._applied % self._every == 0:
             after = materialize(after, "version")
-        self._versions = [*self._versions[: self._cursor + 1], after][-MAX_VERSIONS:]
-        self._steps = [*self._steps[: self._cursor], step][-(MAX_VERSIONS - 1) :]
+        self._versions = [*self._versions[: self._cursor + 1], after]
+        self._steps = [*self._steps[: self._cursor], step]
         self._cursor = len(self._versions) - 1
         return after
 
@@ -64,6 +65,7 @@ class CleaningSession:
     def reset(self) -> DataFrame:
         """Back to the original table, history cleared."""
         self._versions, self._steps, self._cursor = [self._original], [], 0
+        self._applied = 0
         return self.data
 
     def recent_operations(self) -> list[Step]:

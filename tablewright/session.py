@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,18 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cpus: int | str = "*", app: str = "tablewright") -> SparkSession:
+def local_session(cpus: int | str = "*", app: str = "tablewright", conf: dict[str, str] | None = None) -> SparkSession:
     """Session for tests and benchmarks; a cluster brings its own."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else str(cpus))
+        .config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.sql.files.openCostInBytes", "1m")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=conf or {})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,17 +31,13 @@ def local_session(cpus: int | str = "*", app: str = "tablewright") -> SparkSessi
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or where that is unset one in the warehouse.
 
-    Only a local session without that setting gets a folder of its own.
+    Both are shared by the driver and all executors.
     """
     folder = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     folder = folder or spark.conf.get(CHECKPOINT_CONF, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tablewright-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
+    folder = folder or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return folder.rstrip("/")
 
 

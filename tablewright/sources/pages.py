@@ -38,15 +38,6 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for parsing when a scan has fewer splits than that.
-
-    A corpus of any size has more splits than cores and is left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def _offsets(sizes: list[int]) -> pa.Array:
     return pa.array([0, *accumulate(sizes)], pa.int32())
 

@@ -11,8 +11,8 @@ from tablewright.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("8", "tests")
+def spark(tmp_path_factory):
+    return local_session("8", "tests", {"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
 
 
 @pytest.fixture(scope="session")

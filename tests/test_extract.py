@@ -205,3 +205,13 @@ def test_unions(spark):
     assert union.combine_pages([c, a]).columns == ["d", "b", "a"]
     with pytest.raises(ValueError):
         union.unify([])
+
+
+def test_all_pagination_links_by_default(spark):
+    from tablewright.sources.pages import parse_pages
+
+    anchors = "".join(f'<a href="/list?page={i}">{i}</a>' for i in range(2, 3002))
+    html = f'<html><body><div class="pagination">{anchors}</div></body></html>'
+    df = spark.createDataFrame([(1, "http://a.example/list", html)], "page_id long, url string, html string")
+    links = extract.pagination_links(parse_pages(df, keep=["page_id", "url"]))
+    assert links.count() == 3000

@@ -10,7 +10,7 @@ from tablewright.operators import audit, catalog, dedup, profile
 from tablewright.operators.missing import fill_mean
 from tablewright.operators.text import add_category_codes
 from tablewright.plans.auto_clean import auto_clean
-from tablewright.plans.history import MAX_VERSIONS, CleaningSession
+from tablewright.plans.history import CleaningSession
 from tablewright.plans.recipe import PRESETS, Recipe, Step
 from tablewright.session import materialize, scratch_dir
 from tablewright.sources import writers
@@ -58,7 +58,7 @@ def test_infer_types_order_of_rules(spark):
     df = spark.createDataFrame(rows, "i string, b string, d string, w string, t string, f string, n string")
     found = {r["column"]: r["inferred_type"] for r in profile.infer_types(df).collect()}
     assert found == {
-        "i": "integer", "b": "integer", "d": "datetime", "w": "boolean", "t": "string", "f": "float", "n": "datetime",
+        "i": "integer", "b": "integer", "d": "datetime", "w": "boolean", "t": "string", "f": "float", "n": "string",
     }
 
 
@@ -104,16 +104,37 @@ def test_history(history5):
     assert session.reset().count() == 5 and not session.can_undo()
 
 
-def test_history_is_bounded(history5):
+def test_history_keeps_every_step(history5):
     session = CleaningSession(history5, materialize_every=10)
-    for _ in range(MAX_VERSIONS + 5):
-        session.apply("filter_rows", condition="col1 > 0")
+    for i in range(25):
+        session.apply("add_columns", expressions={f"c{i}": f"col1 + {i}"})
+    recipe = session.to_recipe("long")
+    assert len(recipe.steps) == 25
+    assert sorted(map(tuple, recipe.run(history5).collect())) == sorted(map(tuple, session.data.collect()))
     steps = 0
     while session.can_undo():
         session.undo()
         steps += 1
-    assert steps == MAX_VERSIONS - 1
-    assert session.data.count() == 5
+    assert steps == 25 and session.data.columns == history5.columns
+
+
+def test_history_writes_at_a_steady_pace(history5, monkeypatch):
+    from tablewright.plans import history
+
+    written = []
+    monkeypatch.setattr(history, "materialize", lambda df, label: written.append(label) or df)
+    session = CleaningSession(history5, materialize_every=3)
+    for _ in range(40):
+        session.apply("filter_rows", condition="col1 > 0")
+    assert len(written) == 13
+
+
+def test_types_are_judged_by_all_values(spark):
+    rows = [(i, "2024-01-01" if i < 120 else "some words", "yes" if i < 400 else "2024-01-01") for i in range(1000)]
+    df = spark.createDataFrame(rows, "i int, late string, other string").coalesce(1)
+    found = {r["column"]: r["inferred_type"] for r in profile.infer_types(df).collect()}
+    assert found == {"late": "string", "other": "string"}
+    assert profile.apply_inferred_types(df).filter("late is null").count() == 0
 
 
 def test_recipe_round_trip(history5):

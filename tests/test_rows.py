@@ -282,3 +282,52 @@ def test_columns(spark, people):
     nan = spark.createDataFrame([(float("nan"),), (1.0,)], "v double")
     assert columns.prepare(nan).filter("v IS NULL").count() == 1
     assert columns.preview(people, 2, ["i"]).count() == 2
+
+
+def test_nan_is_missing_everywhere(spark):
+    from tablewright.operators import missing, outliers, profile
+
+    rows = [(i, float(i % 10)) for i in range(50)] + [(50, float("nan")), (51, None), (52, 1000.0)]
+    df = spark.createDataFrame(rows, "i int, x double")
+    kept = outliers.remove_outliers(df, ["x"], "zscore", 3.0)
+    assert kept.count() == 52 and kept.filter("x = 1000").count() == 0
+    assert outliers.remove_outliers(df, ["x"]).count() == 52
+    mean = (sum(float(i % 10) for i in range(50)) + 1000.0) / 51
+    filled = {r.i: r.x for r in missing.fill_mean(df, ["x"]).collect()}
+    assert abs(filled[50] - mean) < 1e-9 and abs(filled[51] - mean) < 1e-9
+    row = profile.numeric_summary(df, ["x"]).first()
+    assert row["count"] == 51 and abs(row["mean"] - mean) < 1e-9 and row["max"] == 1000.0
+    assert profile.missing_summary(df, ["x"]).first()["missing"] == 2
+
+
+def test_null_positions_keep_their_rows(spark):
+    from tablewright.operators import dedup
+
+    df = spark.createDataFrame([("a", None, "x"), ("b", 2, "y"), ("b", None, "z")], "k string, p int, v string")
+    first = sorted(tuple(r) for r in dedup.drop_duplicates(df, ["k"], "first", ["p"]).select("k", "v").collect())
+    assert first == [("a", "x"), ("b", "z")]
+    flags = {r.v: r.is_duplicate for r in dedup.flag_duplicates(df, ["p"], ["k"]).collect()}
+    assert flags == {"x": False, "z": False, "y": True}
+
+
+def test_counting_duplicates_tells_values_apart(spark):
+    from tablewright.operators import dedup
+
+    rows = [("a", "b,c", 0.0), ("a,b", "c", 0.0), ("a", "b,c", -0.0), (None, "", 1.0), (None, None, 1.0), (None, "", 1.0)]
+    df = spark.createDataFrame(rows, "x string, y string, z double")
+    assert dedup.duplicate_count(df).first()["duplicate_count"] == 2
+
+
+def test_wall_clock_times_survive_summer_time(spark):
+    from pyspark.sql import functions as F
+
+    from tablewright.functions import casts
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([("2021-03-14 02:30:00",), ("2021-11-07",), ("no date",), (None,), ("03/05/1890",)], "t string")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        found = [r[0] for r in df.select(casts.to_datetime(F.col("t")).cast("string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == ["2021-03-14 02:30:00", "2021-11-07 00:00:00", None, None, "1890-03-05 00:00:00"]

@@ -33,6 +33,10 @@ def recent_exports(spark, sf):
 
 
 def error_stats(spark, sf):
+    return catalog.error_statistics(_failures(spark, sf), "ts", ["event_id"], "area", window=50)
+
+
+def error_stats_all(spark, sf):
     return catalog.error_statistics(_failures(spark, sf), "ts", ["event_id"], "area")
 
 
@@ -89,6 +93,7 @@ QUERIES = {
     "format_breakdown": format_breakdown,
     "recent_exports": recent_exports,
     "error_stats": error_stats,
+    "error_stats_all": error_stats_all,
     "recent_errors": recent_errors,
     "classify_failures": classify_failures,
     "catalog_list": catalog_list,
@@ -135,6 +140,11 @@ ORACLES = {
         "failures",
         """SELECT area AS error_type, count(*) AS recent_count, (SELECT count(*) FROM failures) AS total_errors
 FROM (SELECT * FROM failures ORDER BY ts DESC, event_id DESC LIMIT 50) GROUP BY 1""",
+    ),
+    "error_stats_all": with_view(
+        "failures",
+        """SELECT area AS error_type, count(*) AS recent_count, (SELECT count(*) FROM failures) AS total_errors
+FROM failures GROUP BY 1""",
     ),
     "recent_errors": with_view(
         "failures",

@@ -13,12 +13,12 @@ from tablewright.operators.admission import admit_urls
 from tablewright.operators.dedup import drop_duplicates
 from tablewright.operators.text import clean_text
 from tablewright.operators.union import combine_pages, unify
-from tablewright.sources.pages import parse_pages, spread
+from tablewright.sources.pages import parse_pages
 from workload.views import read, with_view
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read(spark, sf, "pages"))
+    return read(spark, sf, "pages")
 
 
 def nav_item_counts(spark, sf):
@@ -63,7 +63,7 @@ _TEXT_OF = (
 
 def _order_tables(spark, sf) -> DataFrame:
     """One page per order with a table of two rows, the second written loosely."""
-    orders = spread(read(spark, sf, "orders"))
+    orders = read(spark, sf, "orders")
     row = F.concat(
         F.lit("<tr><td>"),
         F.col("o_orderkey").cast("string"),
@@ -96,7 +96,7 @@ def table_rows(spark, sf):
 
 def _event_scripts(spark, sf) -> DataFrame:
     """One page per event whose script holds the event as nested JSON data."""
-    events = spread(read(spark, sf, "events"))
+    events = read(spark, sf, "events")
     record = F.to_json(
         F.struct(
             "event_id",
@@ -253,7 +253,7 @@ def records(spark, sf):
 def normalize_names(spark, sf):
     """Names made of real texts: header data as a column."""
     header = F.when(F.col("doc_id") % 50 == 0, F.lit(" !? ")).otherwise(F.col("text"))
-    documents = spread(read(spark, sf, "documents"))
+    documents = read(spark, sf, "documents")
     return documents.select("doc_id", clean_name_column(header).alias("name"))
 
 
