@@ -6,20 +6,26 @@ import bisect
 import os
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import table, text_chunks, written
+from tablewright.llm.common import bounded_batches, table, text_chunks, written
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of words and ids that a worker remembers between texts.
 MEMORY_BYTES = 32 << 20
+#: New words encoded in one call.
+TOGETHER = 2000
+
+_LETTER, _SIGN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[97:123] = True
+_SIGN[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
 _TOKENIZERS: dict[str, WordIds] = {}
 
@@ -27,8 +33,10 @@ _TOKENIZERS: dict[str, WordIds] = {}
 class WordIds:
     """Ids of texts, word by word.
 
-    For tokenizers that never join characters across white space: a text falls apart at the bytes 0x20 and 0x09-0x0D,
-    the tokenizer encodes every different word once, and its ids are remembered up to a bounded size.
+    For tokenizers that lower-case, and join characters neither across white space nor from a letter to a sign other
+    than the apostrophe: a text falls apart at the bytes 0x20 and 0x09-0x0D and behind letters, the tokenizer encodes
+    every different part once, and its ids are remembered up to a bounded size. Texts that might spell a special
+    token, whose letters' case counts, are taken apart at white space only.
     """
 
     def __init__(self, path: str):
@@ -36,24 +44,48 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
+        self.ends = np.zeros(max(self.model.get_vocab().values()) + 1, dtype=bool)
+        self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.bytes = 0
 
     def learn(self, words: set[bytes]) -> None:
         if self.bytes > MEMORY_BYTES:
             self.known, self.bytes = {}, 0
-        new = list(words.difference(self.known))
-        for word, found in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            ids = np.array(found.ids, dtype="<u4").tobytes()
+        new = {w: w.decode() for w in words.difference(self.known)}
+        plain = [w for w, text in new.items() if text.isalpha()]
+        rest = [w for w, text in new.items() if not text.isalpha()]
+        for first in range(0, len(plain), TOGETHER):
+            part = plain[first : first + TOGETHER]
+            ids = np.array(self.model.encode_batch_fast([" ".join(map(new.get, part))], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                self.keep(zip(part, (x.tobytes() for x in np.split(ids, ends[:-1]))))
+            else:
+                rest += part
+        found = self.model.encode_batch_fast([new[w] for w in rest], add_special_tokens=False)
+        self.keep(zip(rest, (np.array(x.ids, dtype="<u4").tobytes() for x in found)))
+
+    def keep(self, found: Iterable[tuple[bytes, bytes]]) -> None:
+        for word, ids in found:
             self.known[word] = ids
             self.bytes += len(word) + len(ids)
 
     def encode(self, raw: bytes, offsets: list[int]) -> Iterator[bytes]:
         """The little-endian 32-bit ids of each text."""
-        self.learn(set(raw.split()) if len(offsets) == 2 else {w for a, b in zip(offsets, offsets[1:]) for w in raw[a:b].split()})
+        if b"<|" not in raw:
+            raw, offsets = self.parted(np.frombuffer(raw.lower(), dtype=np.uint8), np.array(offsets))
+        texts = [raw[a:b].split() for a, b in zip(offsets, offsets[1:])]
+        self.learn(set().union(*texts))
         ids = self.known.__getitem__
-        for a, b in zip(offsets, offsets[1:]):
-            yield b"".join(map(ids, raw[a:b].split()))
+        for words in texts:
+            yield b"".join(map(ids, words))
+
+    @staticmethod
+    def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, list[int]]:
+        """The bytes with a space between each lower-case ASCII letter and a sign behind it."""
+        behind = np.flatnonzero(_LETTER[data[:-1]] & _SIGN[data[1:]]) + 1
+        return np.insert(data, behind, 0x20).tobytes(), (offsets + np.searchsorted(behind, offsets)).tolist()
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -67,6 +99,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
 
     A text's ids end with one END_ID; only longer texts are cut, into pieces of ``capacity`` ids, the last shorter.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
     end = np.array([END_ID], dtype="<u4").tobytes()
