@@ -7,6 +7,7 @@ of one page at a time, so no operator shuffles; rows appear in a final
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -146,7 +147,7 @@ def extract_elements(parsed: DataFrame, tags: Sequence[str] = DEFAULT_ELEMENTS)
 
 
 def _header_names(header: Column, width: Column) -> Column:
-    """Clean names, one per column; blanks are numbered, repeats get a suffix."""
+    """Clean names, one per column; blanks are numbered, repeats get the next free number."""
     padded = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.get(header, i))
     filled = F.transform(
         padded,
@@ -155,15 +156,19 @@ def _header_names(header: Column, width: Column) -> Column:
         ).otherwise(h),
     )
 
-    def number(clean: Column) -> Column:
-        def numbered(name: Column, i: Column) -> Column:
-            earlier = F.size(F.filter(F.slice(clean, F.lit(1), i), lambda other: other == name))
-            return F.when(earlier == 0, name).otherwise(F.concat(name, earlier.cast("string")))
-
-        return F.transform(clean, numbered)
+    def free(taken: Column, name: Column) -> Column:
+        """The name, or with the first number that makes it new."""
+        numbered = F.transform(
+            F.sequence(F.lit(1), F.size(taken) + 1), lambda n: F.concat(name, n.cast("string"))
+        )
+        unused = F.filter(numbered, lambda c: ~F.array_contains(taken, c))
+        return F.when(F.array_contains(taken, name), F.get(unused, F.lit(0))).otherwise(name)
 
-    # the one-element array evaluates the clean names once for all uses
-    return F.get(F.transform(F.array(F.transform(filled, clean_name_column)), number), F.lit(0))
+    return F.aggregate(
+        F.transform(filled, clean_name_column),
+        F.array().cast("array<string>"),
+        lambda taken, name: F.array_append(taken, free(taken, name)),
+    )
 
 
 def _grid_rows(parsed: DataFrame) -> DataFrame:
@@ -329,9 +334,12 @@ def extract_embedded_json(parsed: DataFrame) -> DataFrame:
 def record_schema(records: DataFrame, column: str = "record") -> T.StructType:
     """Schema that covers all JSON records, found with one aggregate."""
     ddl = records.agg(F.schema_of_variant_agg(F.try_parse_json(column))).first()[0]
-    for found, kept in (("OBJECT<", "STRUCT<"), ("VARIANT", "STRING"), ("VOID", "STRING")):
-        ddl = ddl.replace(found, kept)
-    return T._parse_datatype_string(ddl)
+    return T._parse_datatype_string(_TYPE_WORDS.sub(lambda m: _STORED_AS.get(m[0], m[0]), ddl))
+
+
+# Types of the found schema that are stored as others; field names, quoted or before a colon, stay.
+_STORED_AS = {"OBJECT": "STRUCT", "VARIANT": "STRING", "VOID": "STRING"}
+_TYPE_WORDS = re.compile(r"`(?:[^`]|``)*`|(?<!\w)(?:OBJECT(?=<)|(?:VARIANT|VOID)(?=[>,]|$))")
 
 
 def flatten_records(

@@ -134,21 +134,24 @@ def _is_hidden(node: dict) -> bool:
     return "display:none" in node["attrs"].get("style", "").replace(" ", "")
 
 
+# The HTML standard's largest spans.
+MOST_SPAN = {"colspan": 1000, "rowspan": 65534}
+
+
 def _span(cell: dict, name: str) -> int:
-    value = cell["attrs"].get(name, "1").strip()
-    return max(1, int(value)) if value.isdigit() else 1
+    value = cell["attrs"].get(name, "1").strip()[:9]
+    return min(max(1, int(value)), MOST_SPAN[name]) if value.isdecimal() else 1
 
 
 def lay_out(lines: list[list[tuple[str, int, int]]]) -> list[list[str | None]]:
-    """Repeat spanning cells over the grid positions they cover."""
+    """Repeat spanning cells over the grid positions they cover, down to the table's last row."""
     grid: list[list[str | None]] = []
     carried: dict[int, tuple[str, int]] = {}
-    queue = list(lines)
-    while queue or carried:
+    for cells in lines:
         line = {col: text for col, (text, _) in carried.items()}
         carried = {col: (text, left - 1) for col, (text, left) in carried.items() if left > 1}
         col = 0
-        for text, across, down in queue.pop(0) if queue else []:
+        for text, across, down in cells:
             for _ in range(across):
                 while col in line:
                     col += 1

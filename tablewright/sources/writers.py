@@ -60,6 +60,16 @@ class ExportOptions:
         if self.format is not None and self.format not in SUFFIXES.values():
             raise ValueError(f"unsupported export format: {self.format}")
 
+    def validate_for(self, fmt: str) -> None:
+        """Refuse what the format cannot do."""
+        if self.partition_by and fmt != "parquet":
+            raise ValueError(f"{fmt} cannot be partitioned")
+        if self.compression and fmt in ("xml", "html"):
+            raise ValueError(f"{fmt} cannot be compressed")
+        lines_only = fmt == "html" or fmt == "json" and self.json_orient not in ("records", "table")
+        if self.encoding not in ("utf-8", "ascii") and lines_only:
+            raise ValueError(f"{fmt} in this layout is written as utf-8 only")
+
 
 def _format_of(path: str, options: ExportOptions) -> str:
     fmt = options.format or SUFFIXES.get(PurePosixPath(path).suffix.lower())
@@ -74,7 +84,7 @@ def printable(df: DataFrame) -> DataFrame:
     def text(f: T.StructField) -> Column:
         c = quoted(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            shown = F.expr(f"format_number(`{f.name}`, '{FLOAT_FORMAT}')")
+            shown = F.call_function("format_number", c, F.lit(FLOAT_FORMAT))
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             shown = F.date_format(c, TIMESTAMP_FORMAT)
         elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
@@ -97,6 +107,15 @@ def _write_csv(df: DataFrame, path: str, options: ExportOptions) -> None:
     writer.csv(path)
 
 
+def _json_cells(df: DataFrame, index_column: str | None) -> dict[str, Column]:
+    scalars = (T.NumericType, T.StringType, T.BooleanType, T.ArrayType, T.MapType, T.StructType)
+    return {
+        c: quoted(c) if isinstance(df.schema[c].dataType, scalars) else quoted(c).cast("string")
+        for c in df.columns
+        if c != index_column
+    }
+
+
 def json_lines(df: DataFrame, orient: str = "records", index_column: str | None = None) -> DataFrame:
     """One JSON text per row in the given layout.
 
@@ -104,12 +123,7 @@ def json_lines(df: DataFrame, orient: str = "records", index_column: str | None
     of cells; split: ``[row id, [cells]]``.  Cells that JSON cannot hold are
     printed.
     """
-    columns = [c for c in df.columns if c != index_column]
-    scalars = (T.NumericType, T.StringType, T.BooleanType, T.ArrayType, T.MapType, T.StructType)
-    cells = {
-        c: quoted(c) if isinstance(df.schema[c].dataType, scalars) else quoted(c).cast("string")
-        for c in columns
-    }
+    cells = _json_cells(df, index_column)
     whole = F.struct(*[x.alias(c) for c, x in cells.items()])
     keep_nulls = {"ignoreNullFields": "false"}
     as_json = [
@@ -144,11 +158,18 @@ def _write_json(df: DataFrame, path: str, options: ExportOptions) -> None:
     """
     counter = Observation()
     counted = df.observe(counter, F.count(F.lit(1)).alias("rows"))
-    writer = json_lines(counted, options.json_orient, options.index_column).write.mode(options.mode)
-    writer = writer.option("encoding", _CHARSETS[options.encoding])
+    objects = options.json_orient in ("records", "table")
+    if objects:  # the JSON sink knows encodings
+        cells = _json_cells(counted, options.index_column)
+        rows = counted.select(*[x.alias(c) for c, x in cells.items()])
+    else:
+        rows = json_lines(counted, options.json_orient, options.index_column)
+    writer = rows.write.mode(options.mode).option("ignoreNullFields", False)
+    if options.encoding != "utf-8":
+        writer = writer.option("encoding", _CHARSETS[options.encoding])
     if options.compression:
         writer = writer.option("compression", options.compression)
-    writer.text(f"{path}/data")
+    (writer.json if objects else writer.text)(f"{path}/data")
     columns = [c for c in df.columns if c != options.index_column]
     facts = (
         datetime.now(timezone.utc).isoformat(),
@@ -174,12 +195,15 @@ def _write_xml(df: DataFrame, path: str, options: ExportOptions) -> None:
     writer.option("rootTag", "rows").option("encoding", _CHARSETS[options.encoding]).save(path)
 
 
+_ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
+
+
 def html_rows(df: DataFrame) -> DataFrame:
     """One ``<tr>`` per row with escaped cells."""
 
     def cell(c: str) -> Column:
         text = F.coalesce(quoted(c), F.lit(""))
-        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        for char, entity in _ENTITIES:
             text = F.replace(text, F.lit(char), F.lit(entity))
         return F.concat(F.lit("<td>"), text, F.lit("</td>"))
 
@@ -190,9 +214,11 @@ def html_rows(df: DataFrame) -> DataFrame:
 
 def _write_html(df: DataFrame, path: str, options: ExportOptions) -> None:
     """``rows/`` holds the table rows, ``header/`` the line that names the columns."""
-    writer = html_rows(df).write.mode(options.mode)
-    writer.option("encoding", _CHARSETS[options.encoding]).text(f"{path}/rows")
-    header = "<tr>" + "".join(f"<th>{c}</th>" for c in df.columns) + "</tr>"
+    html_rows(df).write.mode(options.mode).text(f"{path}/rows")
+    names = df.columns
+    for char, entity in _ENTITIES:
+        names = [c.replace(char, entity) for c in names]
+    header = "<tr>" + "".join(f"<th>{c}</th>" for c in names) + "</tr>"
     head = df.sparkSession.createDataFrame([(header,)], "value string")
     head.write.mode(options.mode).text(f"{path}/header")
 
@@ -220,6 +246,7 @@ def write_dataset(
     options = options or ExportOptions()
     options.validate()
     fmt = _format_of(path, options)
+    options.validate_for(fmt)
     if df.isEmpty():
         raise ValueError("cannot export an empty dataset")
     if options.index_column:

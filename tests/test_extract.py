@@ -109,7 +109,7 @@ def test_table_rows_typed(spark):
 
 def test_spans():
     assert lay_out([[("a", 1, 3), ("b", 2, 1)], [("c", 1, 1)]]) == [
-        ["a", "b", "b"], ["a", "c"], ["a"],
+        ["a", "b", "b"], ["a", "c"],
     ]
 
 
@@ -215,3 +215,29 @@ def test_all_pagination_links_by_default(spark):
     df = spark.createDataFrame([(1, "http://a.example/list", html)], "page_id long, url string, html string")
     links = extract.pagination_links(parse_pages(df, keep=["page_id", "url"]))
     assert links.count() == 3000
+
+
+def test_repeated_headers_get_free_numbers(spark):
+    from tablewright.sources.pages import parse_pages
+
+    html = "<table><tr><th>a</th><th>a</th><th>a1</th></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>"
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    cells = {r["name"]: r["value"] for r in extract.extract_table_cells(parse_pages(df)).collect()}
+    assert cells == {"a": "1", "a1": "2", "a11": "3"}
+
+
+def test_huge_spans_stay_small(spark):
+    from tablewright.sources.pages import parse_pages
+
+    html = '<table><tr><th colspan="1000000000">a</th></tr><tr><td rowspan="999999999">x</td></tr><tr><td>y</td></tr></table>'
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    rows = extract.extract_table_cells(parse_pages(df)).filter("value is not null").collect()
+    assert [(r["row_idx"], r["col_idx"], r["value"]) for r in rows] == [(0, 0, "x"), (1, 0, "x"), (1, 1, "y")]
+
+
+def test_record_schema_keeps_field_names(spark):
+    text = '{"AVOIDED": 1, "VARIANT": [1, "a"], "b": {"VOID": "x", "c": null}, "d, VOID>": [{"OBJECT": 1}]}'
+    df = spark.createDataFrame([(text,)], "record string")
+    schema = extract.record_schema(df)
+    assert sorted(schema.names) == ["AVOIDED", "VARIANT", "b", "d, VOID>"]
+    assert schema["b"].dataType.simpleString() == "struct<VOID:string,c:string>"

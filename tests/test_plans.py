@@ -265,3 +265,19 @@ def test_stream_of_row_local_steps(spark, tiny):
     for operator in (fill_mean, dedup.drop_duplicates, profile.quality_score):
         with pytest.raises(ValueError):
             operator(stream)
+
+
+def test_writers_honour_or_refuse_options(spark, tmp_path):
+    from tablewright.sources.writers import ExportOptions, write_dataset
+
+    df = spark.createDataFrame([(1, "é", 1.5)], "`a`` b` int, `<t>` string, x double")
+    write_dataset(df, str(tmp_path / "a.csv"))
+    write_dataset(df, str(tmp_path / "a.json"), ExportOptions(encoding="latin-1"))
+    raw = b"".join(p.read_bytes() for p in (tmp_path / "a.json" / "data").glob("part-*"))
+    assert '"é"'.encode("latin-1") in raw
+    write_dataset(df, str(tmp_path / "a.html"))
+    head = b"".join(p.read_bytes() for p in (tmp_path / "a.html" / "header").glob("part-*"))
+    assert b"&lt;t&gt;" in head
+    for name, options in (("b.html", {"encoding": "utf-16"}), ("b.xml", {"compression": "gzip"}), ("b.csv", {"partition_by": ("x",)}), ("b.json", {"encoding": "latin-1", "json_orient": "values"})):
+        with pytest.raises(ValueError):
+            write_dataset(df, str(tmp_path / name), ExportOptions(**options))
