@@ -162,6 +162,43 @@ def retain_recent(log: DataFrame, time: str, days: int = KEEP_DAYS) -> DataFrame
     return log.filter(quoted(time) >= F.lit(cutoff).cast(log.schema[time].dataType))
 
 
+#: What to tell the user about a failure class, and what to do next.
+FAILURE_ADVICE = {
+    "connection": ("The site could not be reached.", "Check the network and run the page again."),
+    "timeout": ("The site took too long to answer.", "Run the page again later or allow more time."),
+    "not_found": ("The page does not exist.", "Correct the address."),
+    "forbidden": ("The site refuses access.", "Respect the refusal or ask for permission."),
+    "server_error": ("The site has a fault of its own.", "Run the page again later."),
+    "http_error": ("The site answered with an error.", "Look at the status code."),
+    "invalid_url": ("The address is not valid.", "Write the address in full, with its scheme."),
+    "network_error": ("The page could not be loaded.", "Check the network and the address."),
+    "invalid_structure": ("The page's markup cannot be parsed.", "Read the page as plain elements."),
+    "encoding": ("The text's encoding is not understood.", "State the encoding and read again."),
+    "empty_page": ("The page holds nothing to read.", "See whether the page needs a browser."),
+    "unparseable": ("The page cannot be read.", "Leave the page out and report it."),
+    "out_of_memory": ("The data did not fit in memory.", "Use more and smaller partitions."),
+    "type_conversion": ("Values do not fit the wanted type.", "Clean the column before converting it."),
+    "missing_column": ("A column is not there.", "Compare the column names."),
+    "duplicate_handling": ("Duplicates could not be handled.", "Name the columns that form the key."),
+    "data_error": ("The data could not be processed.", "Profile the table and run the step alone."),
+    "file_not_found": ("The file is not there.", "Correct the path."),
+    "permission_denied": ("The file may not be opened.", "Change its permissions or the folder."),
+    "disk_full": ("There is no room left.", "Free space or write elsewhere."),
+    "file_error": ("The file could not be read or written.", "Check the path and the file."),
+    "invalid_value": ("A given value is not allowed.", "Correct the value."),
+    "unknown": ("Something unexpected happened.", "Look at the log."),
+}
+
+
+def failure_advice(classified: DataFrame) -> DataFrame:
+    """Add ``user_message`` and ``suggested_action`` for each ``failure_class``."""
+    new = {}
+    for i, name in enumerate(("user_message", "suggested_action")):
+        texts = F.create_map(*[F.lit(x) for kind, advice in FAILURE_ADVICE.items() for x in (kind, advice[i])])
+        new[name] = texts[F.col("failure_class")]
+    return classified.withColumns(new)
+
+
 def classify_failures(log: DataFrame) -> DataFrame:
     """Add ``failure_class`` and ``retryable`` to (area, error, status_code, message).
 

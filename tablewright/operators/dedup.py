@@ -2,7 +2,8 @@
 
 A key may hold a large share of all rows.  Every operator here reduces each
 key on the map side before anything is shuffled, so a hot key costs one row
-per map task and never one huge group.
+per map task and never one huge group; the rows that stay are then found by
+the digest of their key and their position.
 """
 
 from __future__ import annotations
@@ -23,10 +24,9 @@ def _check_groupable(df: DataFrame, columns: Sequence[str]) -> None:
 
 
 def _order_key(order_by: Sequence[str]) -> Column:
-    """Comparable row position; the listed columns together must be unique.
-
-    A struct even of one column: a NULL position is the smallest, not none.
-    """
+    """Comparable row position; the listed columns together must be unique."""
+    if len(order_by) == 1:
+        return quoted(order_by[0])
     return F.struct(*[quoted(c) for c in order_by])
 
 
@@ -78,17 +78,34 @@ def drop_duplicates(
         return df.dropDuplicates()
     if not order_by:
         raise ValueError("first/last on a subset needs order_by")
-    position = _order_key(require_columns(df, order_by))
-    pick = F.min_by if keep == "first" else F.max_by
-    row = pick(F.struct(*[quoted(c) for c in rest]), position).alias("_row")
-    return (
-        df.groupBy(*key_columns)
-        .agg(row, *counted)
-        .select(
-            *[quoted(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns],
-            *([quoted(copies)] if copies else []),
-        )
+    require_columns(df, order_by)
+    picked = _ends(df, keys, order_by, keep == "last", counted)
+    kept = _located(df, keys, order_by).join(
+        picked, (F.col("_own") == F.col("_key")) & F.col("_position").eqNullSafe(F.col("_end"))
     )
+    return kept.select(*[df[f"`{c}`"] for c in df.columns], *([quoted(copies)] if copies else []))
+
+
+def _ends(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], last: bool, extra: Sequence[Column] = ()
+) -> DataFrame:
+    """(_key, _end, extra): the first or last position of each key, a NULL position being the smallest.
+
+    Keys are grouped by their digests, so that long texts are neither sorted nor moved.
+    """
+    position = _order_key(order_by)
+    if last:
+        end = F.max(position)
+    elif len(order_by) == 1:
+        end = F.when(~F.bool_or(position.isNull()), F.min(position))
+    else:
+        end = F.min(position)
+    return df.groupBy(_digest(df, keys).alias("_key")).agg(end.alias("_end"), *extra)
+
+
+def _located(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """Rows with the digest of their key, ``_own``, and their ``_position``: together never hot."""
+    return df.withColumn("_own", _digest(df, keys)).withColumn("_position", _order_key(order_by))
 
 
 def flag_duplicates(
@@ -100,24 +117,22 @@ def flag_duplicates(
     """Add a boolean column, true on every occurrence of a key but the first.
 
     The first position of each key is found with a map-side minimum; the flag
-    then joins on that position, which is unique, so no key is hot.
+    then joins on key and position, which are unique together, so no key is hot.
     """
     require_batch(df, "flag_duplicates")
-    position = _order_key(require_columns(df, order_by))
+    require_columns(df, order_by)
     keys = require_columns(
         df, [c for c in df.columns if c not in order_by] if subset is None else subset
     )
     _check_groupable(df, keys)
-    firsts = (
-        df.groupBy(*[quoted(c) for c in keys])
-        .agg(F.min(position).alias("_first"))
-        .select("_first")
-    )
-    marked = df.withColumn("_position", position).join(
-        firsts, F.col("_position").eqNullSafe(F.col("_first")), "left"
+    firsts = _ends(df, keys, order_by, last=False)
+    marked = _located(df, keys, order_by).join(
+        firsts.withColumn("_is_first", F.lit(True)),
+        (F.col("_own") == F.col("_key")) & F.col("_position").eqNullSafe(F.col("_end")),
+        "left",
     )
     return marked.select(
-        *[df[f"`{c}`"] for c in df.columns], F.col("_first").isNull().alias(flag)
+        *[df[f"`{c}`"] for c in df.columns], F.col("_is_first").isNull().alias(flag)
     )
 
 

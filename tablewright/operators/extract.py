@@ -299,6 +299,16 @@ def record_columns(records: DataFrame, columns: Sequence[str]) -> DataFrame:
     return records.select(*keep, *[value(c) for c in columns])
 
 
+def unify_records(records: DataFrame) -> DataFrame:
+    """One wide table of all records: every name that occurs, in sorted order, NULL where a row lacks it.
+
+    The names come from one aggregate with map-side reduction; there are as
+    many as the wide table has columns.
+    """
+    names = records.select(F.explode("cells.name").alias("name")).groupBy("name").agg(F.count(F.lit(1)))
+    return record_columns(records, sorted(r["name"] for r in names.select("name").collect()))
+
+
 def extract_embedded_json(parsed: DataFrame) -> DataFrame:
     """(keys, script_idx, pattern_idx, match_idx, row_idx, record) from script data.
 

@@ -175,7 +175,7 @@ def interpolate_ordered(
     Leading NULLs stay, trailing NULLs take the last value.
     """
     require_columns(df, columns)
-    known = blocked = add_blocks(df, order_by, blocks)
+    blocked = add_blocks(df, order_by, blocks)
     forward, backward = _forward(order_by), _backward(order_by)
 
     def point(c: str) -> Column:
@@ -183,7 +183,7 @@ def interpolate_ordered(
         value = quoted(c).cast("double")
         return F.when(value.isNotNull(), F.struct(F.col("_n").alias("n"), value.alias("v")))
 
-    narrow = known.select(BLOCK, *{c: quoted(c) for c in [*order_by, *columns]}.values())
+    narrow = blocked.select(BLOCK, *{c: quoted(c) for c in [*order_by, *columns]}.values())
     numbered = narrow.withColumn("_n", F.row_number().over(forward))
     edges = numbered.groupBy(BLOCK).agg(
         F.count(F.lit(1)).alias("_rows"),

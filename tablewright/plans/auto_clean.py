@@ -13,6 +13,7 @@ from tablewright.operators.columns import (
     drop_empty_rows,
     null_counts,
     numeric_columns,
+    prepare,
     quoted,
     replace_columns,
     require_batch,
@@ -78,17 +79,20 @@ def castable_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
     }
 
 
-def auto_clean(df: DataFrame, aggressive: bool = False) -> tuple[DataFrame, CleanReport]:
+def auto_clean(
+    df: DataFrame, aggressive: bool = False, ascii_only: bool = True
+) -> tuple[DataFrame, CleanReport]:
     """Repair, drop empties and duplicates, clean text, fill, convert.
 
     The only shuffle of whole rows is the duplicate removal.  Its result is
     written to the scratch folder once, because every later step needs
     statistics of it; those read single columns of the written table.
+    ``ascii_only=False`` keeps letters of all languages.
     """
     require_batch(df, "auto_clean")
     report = CleanReport(columns_before=len(df.columns))
 
-    fixed = fix_encoding(df)
+    fixed = fix_encoding(prepare(df), ascii_only=ascii_only)
     report.operations.append("fixed encoding")
 
     anything = reduce(lambda a, b: a | b, [quoted(c).isNotNull() for c in fixed.columns])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import columns, dedup, missing, outliers, profile, text
 from tablewright.operators.audit import AUDIT_SCHEMA, changed_values
 from tablewright.plans.auto_clean import auto_clean
+from tablewright.sources.writers import ExportOptions, read_dataset, write_dataset
 
 STEPS = {
     "drop_duplicates": dedup.drop_duplicates,
@@ -96,6 +97,11 @@ class Recipe:
             df = step.apply(df)
         return df
 
+    def run_and_export(self, df: DataFrame, path: str) -> DataFrame:
+        """Apply the steps, write the result as the export settings say and read it back."""
+        options = ExportOptions(**self.export)
+        return read_dataset(df.sparkSession, path, write_dataset(self.run(df), path, options))
+
     def run_with_audit(self, df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
         """Result and audit table, one row per step.
 

@@ -51,6 +51,11 @@ def classify_failures(spark, sf):
     return classified.select("event_id", "failure_class", "retryable")
 
 
+def failure_advice(spark, sf):
+    advised = catalog.failure_advice(catalog.classify_failures(_failures(spark, sf)))
+    return advised.select("event_id", "failure_class", "user_message", "suggested_action")
+
+
 def catalog_list(spark, sf):
     return catalog.list_catalog(_projects(spark, sf)).select("name", "last_modified")
 
@@ -96,6 +101,7 @@ QUERIES = {
     "error_stats_all": error_stats_all,
     "recent_errors": recent_errors,
     "classify_failures": classify_failures,
+    "failure_advice": failure_advice,
     "catalog_list": catalog_list,
     "catalog_search": catalog_search,
     "catalog_stats": catalog_stats,
@@ -122,6 +128,17 @@ _CLASS = """CASE area
 _CLASSIFIED = f"""SELECT *, c AS failure_class, c NOT IN ('not_found', 'invalid_url', 'file_not_found') AS retryable
 FROM (SELECT *, {_CLASS} AS c FROM (SELECT *, lower(message) AS m FROM failures))"""
 
+
+
+def _advice(i: int) -> str:
+    cases = " ".join(f"WHEN '{kind}' THEN '{_sql(texts[i])}'" for kind, texts in catalog.FAILURE_ADVICE.items())
+    return f"CASE failure_class {cases} END"
+
+
+def _sql(text: str) -> str:
+    return text.replace("'", "''")
+
+
 ORACLES = {
     "export_stats": with_view(
         "runs",
@@ -154,6 +171,11 @@ ORDER BY ts DESC, event_id DESC LIMIT 10""",
     "classify_failures": with_view(
         "failures", f"SELECT event_id, failure_class, retryable FROM ({_CLASSIFIED})"
     ),
+    "failure_advice": with_view(
+        "failures",
+        f"""SELECT event_id, failure_class, {_advice(0)} AS user_message, {_advice(1)} AS suggested_action
+FROM ({_CLASSIFIED})""",
+    ),
     "catalog_list": with_view(
         "projects", "SELECT name, last_modified FROM projects ORDER BY last_modified DESC, name"
     ),

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions import urls
-from tablewright.functions.text import strip_edges
 from tablewright.functions.names import clean_name_column
 from tablewright.operators import extract
 from tablewright.operators.admission import admit_urls
@@ -250,6 +249,11 @@ def records(spark, sf):
     return extract.record_columns(found, ["item", "element_type", "content"])
 
 
+def records_wide(spark, sf):
+    found = extract.extract_records(parse_pages(_pages(spark, sf)), ["h1", "div"])
+    return extract.unify_records(found)
+
+
 def normalize_names(spark, sf):
     """Names made of real texts: header data as a column."""
     header = F.when(F.col("doc_id") % 50 == 0, F.lit(" !? ")).otherwise(F.col("text"))
@@ -274,6 +278,7 @@ QUERIES = {
     "unify_union": unify_union,
     "combine_union": combine_union,
     "extract_records": records,
+    "records_wide": records_wide,
     "normalize_names": normalize_names,
 }
 
@@ -385,6 +390,11 @@ UNION ALL SELECT 'N' || n_nationkey, n_name, NULL, n_regionkey FROM nation""",
     + f"""
 SELECT page_id, 'list' AS source, list_idx AS group_idx, item_idx AS row_idx, item, NULL AS element_type, NULL AS content FROM items
 UNION ALL SELECT page_id, 'element', CAST(0 AS INTEGER), element_idx, NULL, element_type, content FROM ({_ELEMENTS})""",
+    "records_wide": _ITEMS
+    + f"""
+SELECT page_id, 'list' AS source, list_idx AS group_idx, item_idx AS row_idx, NULL AS class, NULL AS content,
+  NULL AS element_type, NULL AS id, item FROM items
+UNION ALL SELECT page_id, 'element', CAST(0 AS INTEGER), element_idx, class, content, element_type, id, NULL FROM ({_ELEMENTS})""",
     "normalize_names": rf"""
 SELECT doc_id, CASE WHEN s = '' THEN 'unnamed_column' ELSE s END AS name FROM (
   SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(h,

@@ -12,6 +12,7 @@ from tablewright.operators.text import clean_text
 from tablewright.plans.auto_clean import auto_clean
 from tablewright.plans.history import CleaningSession
 from tablewright.plans.recipe import Recipe
+from tablewright.session import scratch_path
 from workload.views import read, spark_view, with_view
 
 RECIPE = json.dumps(
@@ -55,6 +56,20 @@ def recipe_replay(spark, sf):
     return recipe.run(read(spark, sf, "documents"))
 
 
+def recipe_export(spark, sf):
+    """The same recipe with its export settings, read back from the written files."""
+    return Recipe.from_json(RECIPE).run_and_export(read(spark, sf, "documents"), scratch_path(spark, "recipe"))
+
+
+def recipe_long(spark, sf):
+    """Twenty-five steps in a session; the recipe it leaves gives the same table."""
+    docs = read(spark, sf, "documents").select("doc_id", "n_chars")
+    session = CleaningSession(docs)
+    for i in range(25):
+        session.apply("add_columns", expressions={f"step_{i}": f"n_chars + {i}"})
+    return session.to_recipe("long").run(docs)
+
+
 def undo_redo(spark, sf):
     """Two steps, back twice, forward once, then a new step in place of the second."""
     session = CleaningSession(read(spark, sf, "documents").select("doc_id", "text", "lang"))
@@ -94,6 +109,8 @@ QUERIES = {
     "auto_clean_aggressive": auto_clean_aggressive,
     "auto_clean_report": auto_clean_report,
     "recipe_replay": recipe_replay,
+    "recipe_export": recipe_export,
+    "recipe_long": recipe_long,
     "undo_redo": undo_redo,
     "before_after_diff": before_after_diff,
     "changed_values": changed_counts,
@@ -150,6 +167,9 @@ UNION ALL SELECT 'operations', 'fixed encoding; removed duplicates; cleaned text
 UNION ALL SELECT 'issues', format('removed 1 empty columns; removed {} empty rows; removed {} duplicate rows; removed column sparse_col ({:.1f}% missing)',
   n - filled, filled - kept, CAST(sparse AS DOUBLE)) FROM c""",
     ),
+    "recipe_export": f"""SELECT doc_id, lower({_tidy('text')}) AS body, lang, source, n_chars
+FROM ({_DOCS}) WHERE n_chars >= 100""",
+    "recipe_long": f"SELECT doc_id, n_chars, {', '.join(f'n_chars + {i} AS step_{i}' for i in range(25))} FROM documents",
     "recipe_replay": f"""SELECT doc_id, lower({_tidy('text')}) AS body, lang, source, n_chars
 FROM ({_DOCS}) WHERE n_chars >= 100""",
     "undo_redo": """SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\p{Nd}+', '', 'g'), '[%s]+', ' ', 'g')) AS text, lang

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import columns, profile
-from workload.views import read, spark_view, sql, with_view
+from tablewright.operators import profile
+from workload.views import read, spark_view, with_view
 
 _ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
 
@@ -109,7 +109,6 @@ _SCORE = f"""SELECT n AS rows, round(mp, 6) AS missing_percent, round(dp, 6) AS
 _NUMERIC = ("event_id", "user_id", "value", "empty_col", "sparse_col", "half_col")
 _ALL = ("event_id", "user_id", "event_type", "value", "empty_col", "sparse_col", "half_col", "num_txt")
 _TEXT = ("event_type", "num_txt")
-_QUOTED = "trim({0})"
 _IS_NUMBER = r"regexp_matches(trim({0}), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$')"
 
 
