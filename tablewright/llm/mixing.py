@@ -9,6 +9,8 @@ from tablewright.llm.common import table
 
 #: Terms of one inverted Poisson of mean at most 1: the 53-bit uniforms end before the 19th.
 TERMS = 20
+#: Bytes of a table of sources that is broadcast; a larger one is joined by shuffling both sides.
+BROADCAST_BYTES = 8 << 20
 SEED = "mix"
 
 
@@ -55,10 +57,13 @@ def target_rates(docs: DataFrame, source: str = "source", weights: DataFrame | N
     else:
         given = weights.select(F.col("source").alias("_named"), F.col("weight").cast("double").alias("weight"))
         weighed = sizes.join(given, F.col("source").eqNullSafe(F.col("_named")), "left").drop("_named").fillna(0.0, ["weight"])
-    total = weighed.agg(F.sum("weight").alias("weights"), F.sum("n").alias("rows")).first()
-    if not total["weights"]:
-        return weighed.select("source", "n", F.lit(0.0).alias("rate"))
-    return weighed.select("source", "n", (F.col("weight") / F.lit(float(total["weights"])) * F.lit(float(total["rows"])) / F.col("n")).alias("rate"))
+    size = F.sum(F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + 64)
+    total = weighed.agg(F.sum("weight").alias("weights"), F.sum("n").alias("rows"), size.alias("bytes")).first()
+    rate = F.lit(0.0)
+    if total["weights"]:
+        rate = F.col("weight") / F.lit(float(total["weights"])) * F.lit(float(total["rows"])) / F.col("n")
+    rates = weighed.select("source", "n", rate.alias("rate"))
+    return F.broadcast(rates) if (total["bytes"] or 0) <= BROADCAST_BYTES else rates
 
 
 def replicate(
@@ -68,8 +73,9 @@ def replicate(
 
     The draw depends on the seed and the row's key alone, so a recomputed task repeats it and equal keys (repeated
     rows) repeat together. All columns stay; ``copy`` (from 1) and ``mix_key``, the shuffle's sort key, are added and
-    replace columns of these names. Rates are joined on the source: one row per source, so a source with a third of
-    all rows is only a skewed join side. The rows move once, by the hash of key and copy. A null source is a source of
+    replace columns of these names. Rates are joined on the source, as a broadcast while the measured table of
+    sources is small, so that the rows move once, by the hash of key and copy; beyond that in an equi-join of one row per
+    source, where a source with a third of all rows is only a skewed side. A null source is a source of
     its own, a null key draws like the text ''; an empty table gives no rows.
     """
     docs = docs.drop("copy", "mix_key", "_rate", "_source")

@@ -35,6 +35,13 @@ def test_sources_reach_their_weights(spark):
     assert found[None] == 0 and abs(found["big"] - 1500) < 200 and abs(found["small"] - 4500) < 400
 
 
+def test_many_sources_are_joined_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"s{i % 7}" if i % 5 else None, "t") for i in range(500)], "doc_id long, source string, text string")
+    small = Counter(map(tuple, mixing.replicate(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert Counter(map(tuple, mixing.replicate(df).collect())) == small
+
+
 def test_odd_rows(spark):
     rows = [(1, "a", None, "x", 7), (1, "a", None, "x", 7), (None, None, "", "y", 8), (3, "b", "long " * 50_000, "z", 9)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, copy string, _rate int")
