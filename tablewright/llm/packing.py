@@ -6,20 +6,20 @@ import bisect
 import os
 import zlib
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import bounded_batches, table, text_chunks, written
+from tablewright.llm.common import bounded_batches, lower_ascii, span_hashes, table, text_chunks, word_spans, written
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Bytes of words and ids that a worker remembers between texts.
-MEMORY_BYTES = 32 << 20
+#: Bytes of ids that a worker remembers between texts, in about a million words.
+MEMORY_BYTES = 16 << 20
 #: New words encoded in one call.
 TOGETHER = 2000
 
@@ -35,8 +35,9 @@ class WordIds:
 
     For tokenizers that lower-case, and join characters neither across white space nor from a letter to a sign other
     than the apostrophe: a text falls apart at the bytes 0x20 and 0x09-0x0D and behind letters, the tokenizer encodes
-    every different part once, and its ids are remembered up to a bounded size. Texts that might spell a special
-    token, whose letters' case counts, are taken apart at white space only.
+    every different part once, words of letters alone many together (each ends in one token that ends a word), and
+    their ids are remembered by the parts' 64-bit hashes up to a bounded size. Texts that might spell a special token,
+    whose letters' case counts, are taken apart at white space only.
     """
 
     def __init__(self, path: str):
@@ -46,46 +47,70 @@ class WordIds:
         self.model = Tokenizer.from_file(path)
         self.ends = np.zeros(max(self.model.get_vocab().values()) + 1, dtype=bool)
         self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.bytes = 0
-
-    def learn(self, words: set[bytes]) -> None:
-        if self.bytes > MEMORY_BYTES:
-            self.known, self.bytes = {}, 0
-        new = {w: w.decode() for w in words.difference(self.known)}
-        plain = [w for w, text in new.items() if text.isalpha()]
-        rest = [w for w, text in new.items() if not text.isalpha()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.ids = np.zeros(0, dtype="<u4")
+        self.bounds = np.zeros(1, dtype=np.int64)
+
+    def learn(self, words: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The words' order of learning, how many ids each has, and all ids in that order."""
+        texts = [w.decode() for w in words]
+        plain = [i for i, text in enumerate(texts) if text.isalpha()]
+        rest = [i for i, text in enumerate(texts) if not text.isalpha()]
+        order, sizes, ids = [], [], []
         for first in range(0, len(plain), TOGETHER):
             part = plain[first : first + TOGETHER]
-            ids = np.array(self.model.encode_batch_fast([" ".join(map(new.get, part))], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            found = np.array(self.model.encode_batch_fast([" ".join(texts[i] for i in part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[found]) + 1
             if len(ends) == len(part):
-                self.keep(zip(part, (x.tobytes() for x in np.split(ids, ends[:-1]))))
+                order += part
+                sizes.append(np.diff(ends, prepend=0))
+                ids.append(found)
             else:
                 rest += part
-        found = self.model.encode_batch_fast([new[w] for w in rest], add_special_tokens=False)
-        self.keep(zip(rest, (np.array(x.ids, dtype="<u4").tobytes() for x in found)))
-
-    def keep(self, found: Iterable[tuple[bytes, bytes]]) -> None:
-        for word, ids in found:
-            self.known[word] = ids
-            self.bytes += len(word) + len(ids)
-
-    def encode(self, raw: bytes, offsets: list[int]) -> Iterator[bytes]:
+        alone = [x.ids for x in self.model.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+        sizes.append(np.array([len(x) for x in alone], dtype=np.int64))
+        ids.append(np.array([i for x in alone for i in x], dtype="<u4"))
+        return order + rest, np.concatenate(sizes), np.concatenate(ids)
+
+    def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where the ids of each word are kept; new words are learnt first."""
+        hashes, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if self.ids.nbytes > MEMORY_BYTES:
+            self.forget()
+        known = self.place.get
+        at = np.array([known(key, -1) for key in hashes.tolist()], dtype=np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            order, sizes, ids = self.learn([data[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            new = new[order]
+            at[new] = len(self.bounds) - 1 + np.arange(len(new))
+            self.place.update(zip(hashes[new].tolist(), at[new].tolist()))
+            self.ids = np.append(self.ids, ids)
+            self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(sizes))
+        return at[which]
+
+    def encode(self, raw: bytes, offsets: np.ndarray) -> Iterator[bytes]:
         """The little-endian 32-bit ids of each text."""
+        data = np.frombuffer(raw, dtype=np.uint8)
         if b"<|" not in raw:
-            raw, offsets = self.parted(np.frombuffer(raw.lower(), dtype=np.uint8), np.array(offsets))
-        texts = [raw[a:b].split() for a, b in zip(offsets, offsets[1:])]
-        self.learn(set().union(*texts))
-        ids = self.known.__getitem__
-        for words in texts:
-            yield b"".join(map(ids, words))
+            data, offsets = self.parted(lower_ascii(data), offsets)
+        starts, ends, row = word_spans(data, offsets)
+        at = self.places(data, starts, ends) if len(starts) else starts
+        sizes = self.bounds[at + 1] - self.bounds[at]
+        source = np.repeat(self.bounds[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        ids = self.ids[source].tobytes()
+        cuts = (4 * np.append(0, np.cumsum(np.bincount(row, weights=sizes, minlength=len(offsets) - 1))).astype(np.int64)).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield ids[a:b]
 
     @staticmethod
-    def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, list[int]]:
+    def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes with a space between each lower-case ASCII letter and a sign behind it."""
         behind = np.flatnonzero(_LETTER[data[:-1]] & _SIGN[data[1:]]) + 1
-        return np.insert(data, behind, 0x20).tobytes(), (offsets + np.searchsorted(behind, offsets)).tolist()
+        return np.insert(data, behind, 0x20), offsets + np.searchsorted(behind, offsets)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -111,7 +136,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
         for batch in batches:
             for first, data, offsets in text_chunks(batch.column(1)):
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
-                for i, ids in enumerate(model.encode(data.tobytes(), offsets.tolist())):
+                for i, ids in enumerate(model.encode(data.tobytes(), offsets)):
                     ids += end
                     for p, a in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[a : a + 4 * capacity]
