@@ -35,11 +35,23 @@ def scratch_root(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
 
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there and a lost executor loses nothing."""
+    """``df`` as a Parquet table in the shared folder: lineage ends there and a lost executor loses nothing.
+
+    The shuffles that made it are not needed after that and are removed.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 from collections.abc import Iterator
@@ -51,25 +50,33 @@ def _runs(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(at)) - 1
 
 
-def _keys(table_: pa.Table) -> np.ndarray:
-    return table_.column("doc").to_numpy()
+def _originals(docs: pa.Table, copies: pa.Table) -> pa.Table:
+    """The block's rows that are no copies of an earlier document's text, each once."""
+    names = ["doc", "tag"]
+    gone = set(zip(*(copies.column(c).to_pylist() for c in names)))
+    keep = []
+    for i, row in enumerate(zip(*(docs.column(c).to_pylist() for c in names))):
+        if row not in gone:
+            gone.add(row)
+            keep.append(i)
+    return docs if len(keep) == docs.num_rows else docs.take(pa.array(keep, pa.int64()))
 
 
 def _anchors_of_block(buckets: int):
     """Per bucket of hashes, the block's different anchor hashes; the lowest bit says that two documents hold it."""
 
-    def of(group: pa.Table) -> pa.Table:
-        found, docs = [], []
-        keys = _keys(group)
+    def of(group: pa.Table, copies: pa.Table) -> pa.Table:
+        group, found, docs = _originals(group, copies), [], []
+        keys = group.column("doc").to_numpy()
         for first, data, offsets in text_chunks(group.column("text")):
             _, at, hashes, rows = anchors(data, offsets)
             if len(at):
                 run, _ = _runs(at, rows)
                 found.append(hashes[run])
                 docs.append(keys[first + rows[run]])
-        block = group.column("block")[0].as_py()
         if not found:
             return pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary())})
+        block = group.column("block")[0].as_py()
         hashes, doc = np.concatenate(found), np.concatenate(docs)
         order = np.lexsort((doc, hashes))
         hashes, doc = hashes[order], doc[order]
@@ -112,9 +119,13 @@ def _pieces_of_block(docs: pa.Table, lists: pa.Table) -> pa.Table:
     empty = {c: pa.array([], k) for c, k in (("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("piece", pa.binary()))}
     if not docs.num_rows or not lists.num_rows:
         return pa.table(empty)
-    known = np.unique(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in lists.column("hashes").to_pylist()]))
+    blobs = [b for b in lists.column("hashes").to_pylist() if b is not None]
+    if not blobs:
+        return pa.table(empty)
+    docs = _originals(docs, lists.filter(lists.column("hashes").is_null()))
+    known = np.unique(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in blobs]))
     bare = known >> np.uint64(1)
-    keys, tags = _keys(docs), docs.column("tag").to_numpy()
+    keys, tags = docs.column("doc").to_numpy(), docs.column("tag").to_numpy()
     out: list[pa.Table] = []
     for first, data, offsets in text_chunks(docs.column("text")):
         starts, at, hashes, rows = anchors(data, offsets)
@@ -167,57 +178,77 @@ def earlier_stretches(pieces: list[bytes], docs: np.ndarray) -> list[tuple[np.nd
 
 
 def _sort_shard(group: pa.Table) -> pa.Table:
-    """A row per piece that several documents hold or that overlaps an earlier one: its smallest document and those runs."""
+    """A row per piece that several documents hold or that overlaps an earlier one: its smallest document and those runs.
+
+    A piece alone with its key has no neighbour to share a stretch with; the others are sorted.
+    """
     docs, last = group.column("low").to_numpy(), group.column("high").to_numpy()
-    runs = earlier_stretches(group.column("piece").to_pylist(), docs)
+    _, where, counts = np.unique(group.column("key").to_numpy(), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(counts[where] > 1)
+    none = np.zeros(0, dtype=np.int64)
+    runs = [(none, none)] * len(docs)
+    if len(several):
+        found = earlier_stretches(group.column("piece").take(pa.array(several)).to_pylist(), docs[several])
+        for i, run in zip(several.tolist(), found):
+            runs[i] = run
     keep = [i for i, (a, _) in enumerate(runs) if len(a) or last[i] > docs[i]]
     take = pa.array(keep, pa.int64())
     lists = [pa.array([runs[i][k].tolist() for i in keep], pa.list_(pa.int32())) for k in (0, 1)]
     return pa.table({"key": group.column("key").take(take), "name": group.column("name").take(take), "low": group.column("low").take(take), "lows": lists[0], "highs": lists[1]})
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffles of what is written by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def exact_copies(rows: DataFrame) -> DataFrame:
+    """(doc, tag, size) of the rows (doc, text, tag) whose whole text an earlier document has; texts are not moved."""
+    known = rows.select("doc", "tag", F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    first = known.groupBy("digest").agg(F.min("doc").alias("first"))
+    return known.join(first, "digest").filter("doc > first").select("doc", "tag", "size").distinct()
+
+
+def candidate_pieces(rows: DataFrame, copies: DataFrame, blocks: int) -> DataFrame:
+    """Steps 1 and 2 of ``repeated_spans``: the pieces of all stretches whose anchor another document has."""
+    block = F.pmod(F.xxhash64("doc", "tag"), F.lit(blocks))
+    rows = rows.withColumn("block", block).repartition(blocks, "block")
+    copies = copies.select(block.alias("block"), "doc", "tag")
+    sent = rows.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_anchors_of_block(blocks), "bucket long, block long, hashes binary")
+    lists = sent.groupBy("bucket").applyInArrow(_repeated_anchors, "block long, hashes binary")
+    told = lists.select("block", "hashes", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("tag"))
+    told = told.union(copies.select("block", F.lit(None).cast("binary"), "doc", "tag"))
+    cut = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_pieces_of_block, _PIECE)
+    return written(cut.withColumn("name", F.xxhash64("piece")), "pieces")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, tag, spans): the byte spans of each text that stretches of earlier documents cover, unmerged.
 
-    Every stretch of LENGTH bytes has an anchor, the byte string of least hash in it, so that equal stretches have equal
-    anchors. (1) Blocks of documents send their different anchor hashes to buckets, which answer each block with those
-    that another document has too; a hash goes once per block, however many documents hold it. (2) Blocks cut out the
-    stretches with a repeated anchor, joined to pieces. Equal pieces are combined before and in the shuffle. (3) Shards of
-    different pieces, dealt by anchor, are suffix sorted; neighbours that share LENGTH bytes give every stretch its smallest
-    document. (4) Places of a piece look up its answer in an equi-join. Anchors in COMMON_BLOCKS blocks or more are
-    dealt stretch by stretch, so that no shard gathers all contexts of a popular passage.
+    Copies of an earlier document's whole text are told by their digest and covered whole. Every stretch of LENGTH bytes
+    of the other texts has an anchor, the byte string of least hash in it, so that equal stretches have equal anchors.
+    (1) Blocks of documents send their different anchor hashes to buckets, which answer each block with those that
+    another document has too; a hash goes once per block, however many documents hold it. (2) Blocks cut out the
+    stretches with a repeated anchor, joined to pieces. Equal pieces are combined before and in the shuffle. (3) Shards
+    of different pieces, dealt by anchor, are suffix sorted; neighbours that share LENGTH bytes give every stretch its
+    smallest document. (4) Places of a piece look up its answer in an equi-join. Anchors in COMMON_BLOCKS blocks or more
+    are dealt stretch by stretch, so that no shard gathers all contexts of a popular passage.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(partitions, math.ceil(size / BLOCK_BYTES))
     rows = rows.filter(F.octet_length("text") >= LENGTH).withColumn("tag", F.xxhash64("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc", "tag", F.spark_partition_id()), F.lit(blocks))).repartition(blocks, "block")
-    sent = rows.groupBy("block").applyInArrow(_anchors_of_block(blocks), "bucket long, block long, hashes binary")
-    lists = sent.groupBy("bucket").applyInArrow(_repeated_anchors, "block long, hashes binary")
-    cut = rows.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(_pieces_of_block, _PIECE)
-    cut = written(cut.withColumn("name", F.xxhash64("piece")), "pieces")
-    _release(spark)
+    copies = written(exact_copies(rows), "copies")
+    cut = candidate_pieces(rows, copies, max(partitions, math.ceil(size / BLOCK_BYTES)))
     shards = max(partitions, math.ceil(size / (2 * SHARD_BYTES)))
     different = cut.groupBy("key", "piece", "name").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards))
     answers = written(different.withColumn("shard", shard).groupBy("shard").applyInArrow(_sort_shard, "key long, name long, low long, lows array<int>, highs array<int>"), "answers")
-    _release(spark)
     met = cut.drop("piece").join(answers, ["key", "name"])
     whole = F.array(F.struct(F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high")))
     part = F.transform(F.arrays_zip("lows", "highs"), lambda r: F.struct((F.col("start") + r["lows"]).alias("low"), (F.col("start") + r["highs"] + (LENGTH - 1)).alias("high")))
     spans = met.select("doc", "tag", F.explode(F.when(F.col("doc") > F.col("low"), whole).otherwise(part)).alias("span"))
-    found = written(spans.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans")), "spans")
-    drop_written(cut, answers)
-    _release(spark)
+    spans = spans.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans"))
+    entire = copies.select("doc", "tag", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("size").cast("long").alias("high"))).alias("spans"))
+    found = written(spans.union(entire), "spans")
+    drop_written(cut, answers, copies)
     return found
 
 
