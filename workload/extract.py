@@ -13,11 +13,11 @@ from tablewright.operators.dedup import drop_duplicates
 from tablewright.operators.text import clean_text
 from tablewright.operators.union import combine_pages, unify
 from tablewright.sources.pages import parse_pages
-from workload.views import read, with_view
+from workload.views import dealt, read, with_view
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "pages")
+    return dealt(read(spark, sf, "pages"))
 
 
 def nav_item_counts(spark, sf):
@@ -62,7 +62,7 @@ _TEXT_OF = (
 
 def _order_tables(spark, sf) -> DataFrame:
     """One page per order with a table of two rows, the second written loosely."""
-    orders = read(spark, sf, "orders")
+    orders = dealt(read(spark, sf, "orders"))
     row = F.concat(
         F.lit("<tr><td>"),
         F.col("o_orderkey").cast("string"),
@@ -95,7 +95,7 @@ def table_rows(spark, sf):
 
 def _event_scripts(spark, sf) -> DataFrame:
     """One page per event whose script holds the event as nested JSON data."""
-    events = read(spark, sf, "events")
+    events = dealt(read(spark, sf, "events"))
     record = F.to_json(
         F.struct(
             "event_id",
@@ -257,7 +257,7 @@ def records_wide(spark, sf):
 def normalize_names(spark, sf):
     """Names made of real texts: header data as a column."""
     header = F.when(F.col("doc_id") % 50 == 0, F.lit(" !? ")).otherwise(F.col("text"))
-    documents = read(spark, sf, "documents")
+    documents = dealt(read(spark, sf, "documents"))
     return documents.select("doc_id", clean_name_column(header).alias("name"))
 
 
