@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import components, table, written
 
 SIMILARITY = 0.9
-#: Vectors that the rotations are learnt from (the smallest hashes), bits of a code, and steps of learning a rotation.
+#: Vectors that the rotations are learnt from (the smallest hashes), least bits of a code, and steps of learning a rotation.
 SAMPLE_ROWS, CODE_BITS, STEPS = 4000, 512, 30
 #: A table's key has as many bits as the logarithm of the number of vectors, at least and at most so many.
 LEAST_BITS, MOST_BITS = 8, 40
+#: Least share of the pairs at the limit itself that meet in some table, and most tables for it.
+LEAST_RECALL, MOST_TABLES = 0.95, 4096
 #: Members of a bucket that meet at once; larger buckets are cut into pairs of tiles. Rows of a group of buckets.
 TILE, GROUP_ROWS = 512, 40_000
-#: Pairs compared at a time.
-PAIRS = 1 << 17
+#: Pairs compared at a time. With more than WIDE tables both numbers shrink, as a row's keys take more room.
+PAIRS, WIDE = 1 << 17, 64
+#: Rows whose signs are taken at a time.
+SIGN_ROWS = 4096
 
 
 def iterative_quantisation(sample: np.ndarray, bits: int = CODE_BITS, steps: int = STEPS, seed: int = 0) -> np.ndarray:
@@ -58,14 +62,23 @@ def unit_rows(vectors: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def table_keys(units: np.ndarray, turns: np.ndarray, bits: int) -> np.ndarray:
     """(vectors, tables): the code of each vector cut into as many keys of ``bits`` bits as it fills."""
-    signs = (units @ turns > 0).astype(np.int64)
-    tables = signs.shape[1] // bits
+    tables = turns.shape[1] // bits
     weights = np.int64(1) << np.arange(bits, dtype=np.int64)
-    return signs[:, : tables * bits].reshape(len(units), tables, bits) @ weights
+    keys = np.empty((len(units), tables), dtype=np.int64)
+    for first in range(0, len(units), SIGN_ROWS):
+        signs = (units[first : first + SIGN_ROWS] @ turns[:, : tables * bits] > 0).astype(np.int64)
+        keys[first : first + SIGN_ROWS] = signs.reshape(len(signs), tables, bits) @ weights
+    return keys
+
+
+def tables_needed(bits: int, similarity: float) -> int:
+    """Tables of keys of so many bits in which LEAST_RECALL of the pairs of this cosine share a key at least once."""
+    same = (1 - math.acos(min(1.0, max(-1.0, similarity))) / math.pi) ** bits
+    return 1 if same >= LEAST_RECALL else math.ceil(math.log(1 - LEAST_RECALL) / math.log1p(-same)) if same > 1e-12 else 1 << 40
 
 
-def learn(vectors: DataFrame, column: str, size: int) -> np.ndarray:
-    """Rotations from at most SAMPLE_ROWS vectors."""
+def learn(vectors: DataFrame, column: str, size: int, bits: int = CODE_BITS) -> np.ndarray:
+    """Rotations to a code of ``bits`` bits or a few more, from at most SAMPLE_ROWS vectors."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +87,7 @@ def learn(vectors: DataFrame, column: str, size: int) -> np.ndarray:
 
     chosen = vectors.select(F.col(column)).orderBy(F.xxhash64(column), column).limit(SAMPLE_ROWS).mapInArrow(clean, "unit array<double>")
     found = [r["unit"] for r in chosen.collect()]
-    return iterative_quantisation(np.array(found, dtype=np.float64).reshape(len(found), size))
+    return iterative_quantisation(np.array(found, dtype=np.float64).reshape(len(found), size), bits)
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", similarity: float = SIMILARITY) -> DataFrame:
@@ -82,7 +95,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
 
     Equal vectors are one class and count as links of each other. A class's code, its signs after the learnt
     rotations, is cut into the keys of m tables, so that classes whose codes differ in fewer than m bits share a key,
-    and most that differ in more. Classes that share a key are compared by their original vectors in double precision.
+    and most that differ in more. Longer keys meet more rarely, so m grows with their length: about LEAST_RECALL of the
+    pairs at the limit share a key, whatever the number of vectors. Classes that share a key are compared by their original vectors in double precision.
     A pair counts in the first table where it meets: no pair leaves a task, only sums and one smaller neighbour of
     each class and bucket. A bucket of more than TILE classes is cut into tiles and each pair of tiles is met apart,
     so that no group grows with a popular neighbourhood. Keys grow with the logarithm of the number of vectors, which
@@ -100,9 +114,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     size = usual["size"]
     classes = rows.groupBy("_class").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.first("vector").alias("vector"))
     classes = written(classes.withColumn("_id", F.monotonically_increasing_id()), "classes")
-    turns = learn(classes, "vector", size)
-    bits = min(MOST_BITS, turns.shape[1], max(LEAST_BITS, math.ceil(math.log2(max(2, usual["n"])))))
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, usual["n"])))))
+    while bits > 1 and tables_needed(bits, similarity) > MOST_TABLES:
+        bits -= 1
+    turns = learn(classes, "vector", size, max(CODE_BITS, bits * tables_needed(bits, similarity)))
     tables = turns.shape[1] // bits
+    wide = max(tables, WIDE)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +135,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     met = placed.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("_id"), F.col("tiles")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "_id")
-    groups = max(1, usual["n"] * tables // GROUP_ROWS)
+    groups = max(1, usual["n"] * tables // max(1, GROUP_ROWS * WIDE // wide))
     met = met.join(source, "_id").withColumn("group", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(groups)))
 
     def compare(group: pa.Table) -> pa.Table:
@@ -131,12 +148,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
         head = np.flatnonzero(np.append(True, (np.diff(bucket) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)))
         end = np.repeat(np.append(head[1:], len(ids)), np.diff(np.append(head, len(ids))))
         links, smallest = np.zeros(len(ids), np.int64), ids.copy()
-        left, step = np.arange(len(ids)), 0
+        left, step, at_once = np.arange(len(ids)), 0, max(1, PAIRS * WIDE // wide)
         while len(left):
             step += 1
             left = left[left + step < end[left]]
-            for first in range(0, len(left), PAIRS):
-                i = left[first : first + PAIRS]
+            for first in range(0, len(left), at_once):
+                i = left[first : first + at_once]
                 j = i + step
                 apart = (low[i] == high[i]) | (own[i] != own[j])
                 i, j = i[apart], j[apart]

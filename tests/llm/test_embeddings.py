@@ -37,6 +37,24 @@ def test_recall_on_a_spread_of_similarities(spark):
     assert sum(f[1] for f in found) >= 0.9 * sum(e[1] for e in expected)
 
 
+def test_recall_holds_with_the_keys_of_millions_of_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "LEAST_BITS", 22)
+    draw = np.random.default_rng(9)
+    units = draw.normal(size=(800, 64))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    aside = draw.normal(size=units.shape)
+    aside -= (aside * units).sum(axis=1)[:, None] * units
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    cosine = draw.uniform(0.9001, 0.92, size=(800, 1))
+    vectors = [(i, v.tolist()) for i, v in enumerate(np.vstack([units, cosine * units + np.sqrt(1 - cosine**2) * aside]))]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    expected, found = plain(vectors), sorted(map(tuple, embeddings.near_duplicates(df).collect()))
+    assert all(f[1] <= e[1] for f, e in zip(found, expected))
+    recall = sum(f[1] for f in found) / sum(e[1] for e in expected)
+    print("recall", recall)
+    assert recall >= 0.93
+
+
 def test_a_large_bucket_is_cut_without_loss(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 7)
     draw = np.random.default_rng(8)
