@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import bounded_batches, components, mix64, table, text_chunks, written
+from tablewright.llm.common import bounded_batches, components, drop_written, mix64, table, text_chunks, written
 
 SEED = 42
 _digest = xxhash.xxh64_intdigest
@@ -96,9 +96,8 @@ def fingerprint_classes(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 #: The wide fingerprint of ``similar_groups``: 64-bit words, of which the last is compared first, and the tables cut
-#: from the others. Bits of a table's key beyond the logarithm of the number of fingerprints. Words of the fingerprint
-#: that verifies candidates.
-WIDE_WORDS, TABLES, SPARE_BITS, DEEP_WORDS = 4, 8, 6, 16
+#: from the others. Bits of a table's key beyond the logarithm of the number of fingerprints.
+WIDE_WORDS, TABLES, SPARE_BITS = 4, 8, 6
 
 
 def wide_bits(hashes: np.ndarray, words: int = WIDE_WORDS) -> bytes:
@@ -123,6 +122,22 @@ def wide_prints(text: Column, words: int, size: int) -> Column:
     return wide(text.cast("string"))
 
 
+def shingle_sets(text: Column, words: int) -> Column:
+    """The different shingle hashes of a text as an array of longs."""
+
+    @F.arrow_udf("array<long>")
+    def sets(texts: pa.Array) -> pa.Array:
+        found = []
+        for _, data, offsets in text_chunks(texts):
+            raw, at = data.tobytes(), offsets.tolist()
+            found += [np.unique(shingle_hashes(raw[a:b], words)) for a, b in zip(at, at[1:])]
+        ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+        hashes = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes))
+
+    return sets(text.cast("string"))
+
+
 def share_of_bits(similarity: float) -> float:
     """The share of bits in which fingerprints of sets of this Jaccard similarity differ."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -136,17 +151,23 @@ def _compared(pairs: DataFrame, prints: DataFrame, column: str, words: int, most
     return pairs.filter(differing <= most).select("a", "b")
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets have this Jaccard similarity or more, counted element by element."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"_{side}")), side)
+    common = F.size(F.array_intersect("_a", "_b"))
+    return pairs.filter(common / (F.size("_a") + F.size("_b") - common) >= similarity).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, component, group, tag) of every row: rows whose shingle sets have about this Jaccard similarity or more, over links.
+    """(key, component, group, tag) of every row: rows whose shingle sets have this Jaccard similarity or more, over links.
 
     Balls of small radius miss texts at 0.8 on one 64-bit fingerprint, which differ in ten bits. So the fingerprint is
     wide, and TABLES keys are cut from it; two fingerprints are candidates if some table's keys differ in 2 bits at
     most, for which both emit their keys' balls of radius one and meet in the shuffle. In a variant's group every member
     is compared with one pivot, the smallest by a hash that differs between tables, so no group's pairs are spread out
-    and a group is read in a stream. Candidates are verified by a deep fingerprint of their texts: a pair links if no
-    larger share of its bits differs than do, up to one standard error, between sets of that similarity; an estimate
-    with a standard error of about 0.015 in the similarity. Keys grow with the
-    logarithm of the number of fingerprints, so chance meetings grow with the input. Rows of equal fingerprints,
+    and a group is read in a stream. Fingerprints only pick candidates, up to three standard errors beyond the limit; a
+    pair links if the exact Jaccard similarity of its shingle sets reaches the limit. Keys grow with the logarithm of the number of fingerprints, so chance meetings grow with the input. Rows of equal fingerprints,
     repeated rows and those without words included, are one class. ``component`` is the smallest key of the group, null
     if its rows have none; ``group`` numbers the groups, ``tag`` is the XXH64 of the row's text.
     """
@@ -157,7 +178,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     classes = written(classes.select("print", "first", "_row.tag", F.monotonically_increasing_id().alias("id")), "classes")
     bits = min(8 * WIDE_WORDS * 8 // TABLES - 8, max(8, math.ceil(math.log2(max(2, classes.count()))) + SPARE_BITS))
 
-    def most(size: int, errors: float) -> int:
+    def most(size: int, errors: float = 3) -> int:
         share = share_of_bits(similarity)
         return math.ceil(64 * size * share + errors * math.sqrt(64 * size * share * (1 - share)))
 
@@ -176,14 +197,15 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     spread = spread.select("id", "sketch", F.col("variant").bitwiseOR(F.shiftleft(F.col("table").cast("long"), 48)).alias("variant"))
     order = F.xxhash64("id", F.shiftright("variant", 48))
     pivot = F.first(F.struct("id", "sketch")).over(Window.partitionBy("variant").orderBy(order, "id"))
-    met = spread.withColumn("pivot", pivot).filter((F.col("id") != F.col("pivot.id")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("pivot.sketch"))) <= most(1, 3)))
+    met = spread.withColumn("pivot", pivot).filter((F.col("id") != F.col("pivot.id")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("pivot.sketch"))) <= most(1)))
     pairs = written(met.select(F.greatest("id", "pivot.id").alias("a"), F.least("id", "pivot.id").alias("b")).distinct(), "pairs")
-    close = written(_compared(pairs, classes.select("id", "print"), "print", WIDE_WORDS, most(WIDE_WORDS, 3)), "pairs")
+    close = written(_compared(pairs, classes.select("id", "print"), "print", WIDE_WORDS, most(WIDE_WORDS)), "pairs")
+    drop_written(pairs)
     needed = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
     needed = classes.join(needed, "id").select("id", F.col("first").alias("_key"), F.col("tag").alias("_tag"))
     met = rows.join(needed, F.col("key").eqNullSafe(F.col("_key")) & (F.col("tag") == F.col("_tag")))
-    deep = met.select("id", wide_prints(F.col("_text"), words, DEEP_WORDS).alias("deep")).groupBy("id").agg(F.first("deep").alias("deep"))
-    links = _compared(close, written(deep, "deep"), "deep", DEEP_WORDS, most(DEEP_WORDS, 1))
+    sets = met.dropDuplicates(["id"]).select("id", shingle_sets(F.col("_text"), words).alias("shingles"))
+    links = _alike(close, written(sets, "sets"), similarity)
     groups = components(links, "a", "b")
     named = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))

@@ -73,3 +73,24 @@ def test_groups_of_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((d or 0, t) for d, t in [docs[1], docs[4], docs[5], docs[8], docs[9]])
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_links_are_decided_by_the_exact_similarity(spark):
+    draw, docs, expected = random.Random(11), [], {}
+    for k in range(300):
+        base = [f"w{draw.randrange(10**9)}" for _ in range(604)]
+        near = list(base)
+        for place in range(20, 580, 25)[: draw.choice((12, 13, 14))]:
+            near[place] = "changed"
+        if k % 3:
+            near += [f"v{draw.randrange(10**9)}" for _ in range(draw.randrange(25))]
+        one, other = shingles(" ".join(base)), shingles(" ".join(near))
+        expected[2 * k] = len(one & other) / len(one | other)
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    found = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    linked = {d: found[d + 1] == d for d in expected}
+    below = [d for d, j in expected.items() if 0.77 <= j < 0.8]
+    above = [d for d, j in expected.items() if 0.8 <= j < 0.83]
+    print(len(below), sum(linked[d] for d in below), len(above), sum(linked[d] for d in above))
+    assert len(below) > 50 and not any(linked[d] for d in below)
+    assert len(above) > 50 and sum(linked[d] for d in above) >= 0.85 * len(above)
