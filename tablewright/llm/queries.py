@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import byte_bpe, embeddings, fill_in_middle, mixing, packing, perplexity, quality, repeats, secret_scan, simhash, toxicity, url_filter
+from tablewright.llm import byte_bpe, embeddings, fill_in_middle, mixing, packing, perplexity, quality, repeats, secret_scan, simhash, spelling, toxicity, url_filter
 
-MODULES = (mixing, simhash, packing, quality, toxicity, url_filter, secret_scan, perplexity, embeddings, repeats, byte_bpe, fill_in_middle)
+MODULES = (mixing, simhash, packing, quality, toxicity, url_filter, secret_scan, perplexity, embeddings, repeats, byte_bpe, fill_in_middle, spelling)
 
 
 def all_queries() -> dict:
