@@ -1,9 +1,10 @@
 """Nearest-neighbour imputation.
 
-Rows with a gap are the receivers, rows with a value are the donors.  The
-donors stay where they are; receivers travel to them in batches of a fixed
-size.  Each task keeps the k best donors per receiver, so what is shuffled is
-k rows per receiver and task at most, and no pairs are ever emitted.
+Rows with a value are donors, different rows with a gap are queries.  Donors
+are dealt to cells of a tree over the coordinates.  A query first visits the
+cell that can hold its nearest donors, which gives it a distance bound, and then
+only the cells whose bounds come nearer than that.  Queries and donors meet in
+equi-joins on the cell; what leaves a task is the k best donors of a query.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.operators import nearest
 from tablewright.operators.columns import quoted, require_batch, require_columns
@@ -26,161 +27,193 @@ from tablewright.session import materialize
 cloudpickle.register_pickle_by_value(nearest)
 
 NEIGHBOURS = 5  # fixed value
-MAX_RECEIVERS = 100_000  # receivers broadcast at a time
-PROBE_DONORS = 1_000  # donors that give the first distance bounds
+CELL_ROWS = 4_096  # donors of a cell, while there are fewer than MAX_CELLS cells
+MAX_CELLS = 4_096  # bounds the table of cells
+MAX_BOUNDS = 1 << 20  # numbers in that table
+SAMPLE_A_CELL = 16  # sampled donors that shape the tree, a cell; results do not depend on them
+TILE_ROWS = 1 << 16  # donors, and queries, that meet in one task
 
 
-def _matrix(rows: pa.RecordBatch | pa.Table, names: Sequence[str]) -> np.ndarray:
-    """Rows x columns of doubles, NULL as NaN."""
-    flat = rows.combine_chunks() if isinstance(rows, pa.Table) else rows
-    return np.column_stack([np.asarray(flat.column(n), dtype=float) for n in names])
+def _with_cells(df: DataFrame, tree: nearest.CellTree, numbers: list[str]) -> DataFrame:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = pa.array(tree.cells_of(nearest.matrix(batch, numbers)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cell], names=[*batch.schema.names, "cell"])
 
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(assign, f"{kinds}, cell int")
 
-def _nearest_donors(
-    donors: DataFrame, receivers: np.ndarray, limits: np.ndarray, columns: list[str], k: int
-) -> DataFrame:
-    """(receiver, target, distance, value, order columns) of each task's best donors."""
-    numbers = [f"x{i}" for i in range(len(columns))]
-    others = [f for f in donors.schema if f.name not in numbers]
-    schema = T.StructType(
-        [
-            T.StructField("receiver", T.LongType()),
-            T.StructField("target", T.IntegerType()),
-            T.StructField("distance", T.DoubleType()),
-            T.StructField("value", T.DoubleType()),
-            *others,
-        ]
-    )
-    shared = donors.sparkSession.sparkContext.broadcast((receivers, limits))
-    order_names = [f.name for f in others]
-    helper, width = nearest, len(columns)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, bounds = shared.value
-        best = [helper.Nearest(bounds[:, t], k) for t in range(width)]
-        wanted = np.isnan(points)
-        table, positions, seen = None, np.empty(0, dtype=np.int64), 0
-        for batch in batches:
-            block = np.column_stack([np.asarray(batch.column(n), dtype=float) for n in numbers])
-            for start in range(0, len(points), helper.BLOCK):
-                rows = slice(start, min(start + helper.BLOCK, len(points)))
-                distance = helper.squared_distances(points[rows], block)
-                for t in range(width):
-                    pairs = wanted[rows, t][:, None] & ~np.isnan(block[:, t])[None, :]
-                    if pairs.any():
-                        best[t].add(rows, np.where(pairs, distance, np.inf), seen)
-            # of all donors so far, keep those that are among the best
-            new = pa.Table.from_batches([batch])
-            table = new if table is None else pa.concat_tables([table, new])
-            positions = np.concatenate([positions, np.arange(seen, seen + batch.num_rows)])
-            keep = np.isin(positions, np.concatenate([b.donor.ravel() for b in best]))
-            table, positions = table.filter(pa.array(keep)), positions[keep]
-            seen += batch.num_rows
-        if table is None:
-            return
-        for t, found in enumerate(best):
-            r, slot = np.nonzero(found.donor >= 0)
-            donors_of = table.take(np.searchsorted(positions, found.donor[r, slot]))
-            answer = {
-                "receiver": r.astype(np.int64),
-                "target": np.full(len(r), t, dtype=np.int32),
-                "distance": found.distance[r, slot],
-                "value": donors_of.column(numbers[t]),
-            }
-            answer |= {name: donors_of.column(name) for name in order_names}
-            yield from pa.table(answer).combine_chunks().to_batches()
-
-    # sorted tasks: on equal distance the earlier row wins
-    return donors.sortWithinPartitions(*order_names).mapInArrow(search, schema)
-
-
-def knn_impute(
-    df: DataFrame,
-    columns: Sequence[str],
-    order_by: Sequence[str],
-    k: int = NEIGHBOURS,
-    max_receivers: int = MAX_RECEIVERS,
-) -> DataFrame:
+
+class NeighbourSearch:
+    """The search for the k nearest donors of every query.
+
+    ``plain`` has order columns o0.. and coordinates x0.. ; rows with equal coordinates are equally far from everything,
+    so that only the k first of them can be needed and all of them are one query: a point that a third of all rows
+    share costs no more than others.
+    """
+
+    def __init__(self, plain: DataFrame, numbers: list[str], orders: list[str], k: int):
+        self.numbers, self.orders, self.k = numbers, orders, k
+        self.gap = reduce(lambda a, b: a | b, [F.col(x).isNull() for x in numbers])
+        self.known = reduce(lambda a, b: a | b, [F.col(x).isNotNull() for x in numbers])
+        giving = plain.filter(self.known)
+        first = Window.partitionBy(*numbers).orderBy(*orders)
+        kept = giving.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).drop("_n")
+        asking = plain.filter(self.known & self.gap).select(*numbers).distinct()
+        self.queries = materialize(asking.withColumn("query", F.monotonically_increasing_id()), "queries")
+        size = giving.count()
+        cells = max(1, min(-(-size // CELL_ROWS), MAX_CELLS, MAX_BOUNDS // (3 * len(numbers))))
+        self.tree = self._tree(giving.select(*numbers), size, cells)
+        self.donors = materialize(_with_cells(kept, self.tree, numbers), "donors")
+        self.cells = self._cells()
+
+    def _tree(self, giving: DataFrame, size: int, cells: int) -> nearest.CellTree:
+        """A tree from a sample of bounded size."""
+        if cells == 1:
+            return nearest.grow_tree(np.zeros((0, len(self.numbers))), 1)
+        most = SAMPLE_A_CELL * cells
+        sample = giving.sample(min(1.0, 1.2 * most / size), seed=7).limit(2 * most).toArrow()
+        return nearest.grow_tree(np.unique(nearest.matrix(sample, self.numbers), axis=0), cells)
+
+    def _cells(self) -> nearest.Cells:
+        """One row per cell, at most MAX_BOUNDS numbers."""
+        found = self.donors.groupBy("cell").agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[f(x).alias(f"{name}{i}") for i, x in enumerate(self.numbers) for name, f in (("low", F.min), ("high", F.max), ("known", F.count))],
+        )
+        rows = found.toArrow()
+        low, high, known = (nearest.matrix(rows, [f"{name}{i}" for i in range(len(self.numbers))]) for name in ("low", "high", "known"))
+        return nearest.Cells(rows.column("cell").to_numpy(), rows.column("rows").to_numpy(), low, high, known)
+
+    def home_visits(self) -> DataFrame:
+        """(query, x, cell): the cells that a query visits first."""
+        cells, numbers, k = self.cells, self.numbers, self.k
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, points in nearest.blocks(nearest.matrix(batch, numbers), cells.low.size):
+                    query, cell = np.nonzero(cells.homes(points, k))
+                    rows = batch.take(pa.array(query + first))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cells.cell[cell], pa.int32())], names=[*batch.schema.names, "cell"])
+
+        return self.queries.mapInArrow(route, self._visit_schema())
+
+    def further_visits(self, bounds: DataFrame) -> DataFrame:
+        """(query, x, cell): all other cells that come as near as a gap's k-th distance so far, ``bounds`` (query, bounds);
+        a gap without one visits all that have a value for it."""
+        cells, numbers, k = self.cells, self.numbers, self.k
+        asked = self.queries.join(bounds, "query", "left").select(*self.queries.columns, "bounds")
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                every = nearest.matrix(batch, numbers)
+                limits = np.full(every.shape, np.inf)
+                for i, pairs in enumerate(batch.column("bounds").to_pylist()):
+                    for pair in pairs or []:
+                        limits[i, pair["target"]] = pair["distance"]
+                for first, points in nearest.blocks(every, cells.low.size):
+                    near = cells.within(points, limits[first : first + len(points)]) & ~cells.homes(points, k)
+                    query, cell = np.nonzero(near)
+                    columns = batch.take(pa.array(query + first)).columns[:-1]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(cells.cell[cell], pa.int32())], names=[*batch.schema.names[:-1], "cell"])
+
+        return asked.mapInArrow(route, self._visit_schema())
+
+    def _visit_schema(self) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.queries.schema) + ", cell int"
+
+    def best_of(self, visits: DataFrame) -> DataFrame:
+        """(query, target, distance, value, order columns) of the k best donors in the visited cells of each task.
+
+        A cell with more donors or visits than a tile holds is cut: part i of its donors meets part j of its visits.
+        """
+        numbers, orders, k = self.numbers, self.orders, self.k
+        counted = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
+        sizes = self.donors.groupBy("cell").agg(F.count(F.lit(1)).alias("given"))
+        parts = lambda c: F.ceil(F.col(c) / TILE_ROWS).cast("int")
+        plan = F.broadcast(counted.join(sizes, "cell").select("cell", parts("given").alias("p"), parts("asked").alias("q")))
+        of = lambda key, n: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        given = self.donors.join(plan, "cell").withColumn("i", of(orders, "p")).withColumn("j", upto("q"))
+        asked = visits.join(plan, "cell").withColumn("j", of(["query"], "q")).withColumn("i", upto("p"))
+        kinds = {f.name: f.dataType.simpleString() for f in self.donors.schema}
+        given = given.select("cell", "i", "j", F.lit(None).cast("long").alias("query"), *numbers, *orders)
+        asked = asked.select("cell", "i", "j", "query", *numbers, *[F.lit(None).cast(kinds[o]).alias(o) for o in orders])
+
+        def search(tile: pa.Table) -> pa.Table:
+            ids = tile.column("query").combine_chunks()
+            donors, queries = tile.filter(ids.is_null()), tile.filter(ids.is_valid())
+            donors = donors.take(pc.sort_indices(donors, [(o, "ascending") for o in orders], null_placement="at_start"))
+            points, rows = nearest.matrix(queries, numbers), nearest.matrix(donors, numbers)
+            out = []
+            for t in range(len(numbers)):
+                open_ = np.flatnonzero(np.isnan(points[:, t]))
+                point, donor, distance = nearest.k_best(points[open_], rows, rows[:, t], k)
+                chosen = donors.take(pa.array(donor))
+                columns = {
+                    "query": queries.column("query").take(pa.array(open_[point])),
+                    "target": pa.array(np.full(len(point), t, dtype=np.int32)),
+                    "distance": pa.array(distance),
+                    "value": chosen.column(numbers[t]),
+                }
+                out.append(pa.table(columns | {o: chosen.column(o) for o in orders}))
+            return pa.concat_tables(out)
+
+        schema = "query long, target int, distance double, value double, " + ", ".join(f"`{o}` {kinds[o]}" for o in orders)
+        return given.unionByName(asked).groupBy("cell", "i", "j").applyInArrow(search, schema)
+
+    def k_best(self, found: DataFrame) -> DataFrame:
+        """The k best of what different tasks found."""
+        order = Window.partitionBy("query", "target").orderBy("distance", *self.orders)
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= self.k)
+
+    def means(self) -> DataFrame:
+        """(x, m): each query with the mean of its k nearest values for each gap, NULL where no donor is usable."""
+        best = self.k_best(self.best_of(materialize(self.home_visits(), "visits")))
+        if len(self.cells.cell) > 1:
+            best = materialize(best, "nearest")
+            full = best.filter(F.col("rank") == self.k).groupBy("query").agg(F.collect_list(F.struct("target", "distance")).alias("bounds"))
+            visits = materialize(self.further_visits(full), "visits")
+            best = self.k_best(best.drop("rank").unionByName(self.best_of(visits)))
+        targets = range(len(self.numbers))
+        means = best.groupBy("query").agg(*[F.avg(F.when(F.col("target") == t, F.col("value"))).alias(f"m{t}") for t in targets])
+        return self.queries.join(means, "query").drop("query")
+
+
+def knn_impute(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], k: int = NEIGHBOURS) -> DataFrame:
     """Mean of the k nearest rows that have the value, into each NULL.
 
     Distances use the coordinates two rows share, scaled up to all of them; a
     tie goes to the earlier row; without any usable donor the column mean is
-    taken.  ``order_by`` identifies the rows.  Exact search compares every
-    receiver with every donor in the worst case; bounds from a probe of the
-    donors and each task's running k-th distance skip most of the work.
+    taken.  ``order_by`` identifies the rows.  The search is exact.  Only a
+    sample that shapes the tree and the bounds of its cells, both of bounded
+    size, reach the driver.  Rows without a gap are not moved.
     """
     require_batch(df, "knn_impute")
     columns = list(require_columns(df, columns))
     require_columns(df, order_by)
     if not columns:
         return df
-    number = {c: F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    # -0.0 and 0.0 are one coordinate
+    number = {c: F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")) + F.lit(0.0) for c in columns}
+    numbers = [f"x{i}" for i in range(len(columns))]
+    orders = [f"o{i}" for i in range(len(order_by))]
+    gap = reduce(lambda a, b: a | b, [number[c].isNull() for c in columns])
+    known = reduce(lambda a, b: a | b, [number[c].isNotNull() for c in columns])
+    stats = df.agg(F.count_if(gap & known), *[F.avg(number[c]) for c in columns]).first()
+    means = dict(zip(columns, stats[1:]))
+    if not stats[0]:
+        return fill_values(df, means, widen=True)
+
     plain = df.select(
-        *[quoted(c).alias(f"o{i}") for i, c in enumerate(order_by)],
-        *[number[c].alias(f"x{i}") for i, c in enumerate(columns)],
+        *[quoted(c).alias(o) for c, o in zip(order_by, orders)],
+        *[number[c].alias(x) for c, x in zip(columns, numbers)],
     )
-    order_names = [f"o{i}" for i in range(len(order_by))]
-    numbers = [f"x{i}" for i in range(len(columns))]
-    gap = reduce(lambda a, b: a | b, [F.col(x).isNull() for x in numbers])
-    known = reduce(lambda a, b: a | b, [F.col(x).isNotNull() for x in numbers])
-    open_rows, donors = plain.filter(gap & known), plain.filter(known)
-
-    stats = plain.agg(
-        F.count_if(gap & known), F.count_if(known), *[F.avg(x) for x in numbers]
-    ).first()
-    waiting, giving, means = stats[0], stats[1], list(stats[2:])
-    if not waiting:
-        return fill_values(df, dict(zip(columns, means)), widen=True)
-
-    # a few donors give an upper bound of each k-th distance; the search is over all
-    share = min(1.0, 2.0 * PROBE_DONORS / giving)
-    probe = donors.sample(share, seed=7).select(*numbers).limit(PROBE_DONORS).toArrow()
-    probe_points = _matrix(probe, numbers)
-
-    chunks = -(-waiting // max_receivers)
-    salt = F.pmod(F.xxhash64(*order_names), F.lit(chunks))
-    filled = []
-    for chunk in range(chunks):
-        batch = open_rows.filter(salt == chunk).toArrow()
-        if not batch.num_rows:
-            continue
-        points = _matrix(batch, numbers)
-        limits = np.full(points.shape, np.inf)
-        for start in range(0, len(points), nearest.BLOCK):
-            rows = slice(start, start + nearest.BLOCK)
-            distance = nearest.squared_distances(points[rows], probe_points)
-            for t in range(len(columns)):
-                usable = distance[:, ~np.isnan(probe_points[:, t])]
-                if usable.shape[1] >= k:
-                    limits[rows, t] = np.partition(usable, k - 1, axis=1)[:, k - 1]
-        found = _nearest_donors(donors, points, limits, columns, k)
-        rank = F.row_number().over(
-            Window.partitionBy("receiver", "target").orderBy("distance", *order_names)
-        )
-        means_of = (
-            found.withColumn("_rank", rank)
-            .filter(F.col("_rank") <= k)
-            .groupBy("receiver")
-            .agg(
-                *[
-                    F.avg(F.when(F.col("target") == t, F.col("value"))).alias(f"m{t}")
-                    for t in range(len(columns))
-                ]
-            )
-        )
-        ids = batch.select(order_names).append_column(
-            "receiver", pa.array(np.arange(batch.num_rows))
-        )
-        keys = df.sparkSession.createDataFrame(ids)
-        answer = keys.join(means_of, "receiver").drop("receiver")
-        # with several batches the driver forgets each one once it is written
-        filled.append(answer if chunks == 1 else materialize(answer, "nearest"))
-
-    answers = reduce(DataFrame.unionAll, filled)
-    on = [quoted(c).eqNullSafe(F.col(f"o{i}")) for i, c in enumerate(order_by)]
-    joined = df.join(answers, on, "left")
-    new = {
-        c: F.coalesce(number[c], F.col(f"m{i}"), F.lit(means[i]).cast("double")).alias(c)
-        for i, c in enumerate(columns)
-    }
-    return joined.select(*[new.get(c, df[f"`{c}`"]) for c in df.columns])
+    answers = NeighbourSearch(materialize(plain, "plain"), numbers, orders, k).means()
+    open_ = df.filter(gap)
+    on = [number[c].eqNullSafe(F.col(x)) for c, x in zip(columns, numbers)]
+    joined = open_.join(answers, reduce(lambda a, b: a & b, on), "left")
+    new = {c: F.coalesce(number[c], F.col(f"m{i}"), F.lit(means[c]).cast("double")).alias(c) for i, c in enumerate(columns)}
+    filled = joined.select(*[new.get(c, df[f"`{c}`"]) for c in df.columns])
+    whole = df.filter(~gap).select(*[quoted(c).cast("double").alias(c) if c in new else quoted(c) for c in df.columns])
+    return whole.unionAll(filled)
