@@ -24,7 +24,8 @@ from tablewright.operators.columns import (
 )
 from tablewright.operators.dedup import duplicate_count
 from tablewright.operators.outliers import iqr_flags
-from tablewright.operators.stats import exact_percentiles, top_values, value_counts
+from tablewright.operators.stats import exact_percentiles
+from tablewright.operators.texts import top_texts
 
 # Size factors per export format, widest display column,
 # limits and penalties of the quality score.
@@ -36,6 +37,17 @@ CASTABLE_SHARE, OUTLIER_SHARE, SPECIAL_SHARE = 0.8, 0.05, 0.3
 TYPE_PENALTY, OUTLIER_PENALTY, TEXT_PENALTY = 5, 3, 2
 BANDS = ((60, "poor"), (80, "moderate"))
 
+# What helps against each fault.
+RECOMMENDATIONS = {
+    "dataset is empty": "load data first",
+    "high missing data": "fill gaps or drop columns that are mostly empty",
+    "high duplicate records": "remove duplicate records",
+    "numbers stored as text": "convert the column to a number",
+    "high outlier count": "review outliers and remove those that are wrong",
+    "excessive whitespace": "collapse repeated white space",
+    "many special characters": "remove special characters",
+}
+
 
 def _tidy(df: DataFrame, per_column: dict[str, dict[str, Column]], shared: dict[str, Column]):
     """Evaluate all aggregates in one pass and return one row per column."""
@@ -104,24 +116,19 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def text_summary(df: DataFrame, columns: Sequence[str] | None = None, top: int = 3) -> DataFrame:
-    """(column, unique_values, rank, value, count): distinct count and top values."""
+    """(column, unique_values, rank, value, count): distinct count and top values.
+
+    Exact, with texts told apart by digests: no text is moved but the top ones.
+    """
     columns = text_columns(df) if columns is None else list(columns)
-    counts = value_counts(df, columns)
-    unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
-    best = top_values(df, columns, top)
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    # all three have a handful of rows per column of the table
-    return (
-        names.join(unique, "column", "left")
-        .join(best, "column", "left")
-        .select(
-            "column",
-            F.coalesce("unique_values", F.lit(0)).alias("unique_values"),
-            "rank",
-            "value",
-            "count",
-        )
-    )
+    schema = "column string, unique_values bigint"
+    if not columns:
+        empty = df.sparkSession.createDataFrame([], schema)
+        return empty.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("rank", "int"), ("value", "string"), ("count", "bigint"))])
+    unique, best = top_texts(df, columns, top)
+    names = df.sparkSession.createDataFrame(list(unique.items()), schema)
+    # both have a handful of rows per column of the table
+    return names.join(best, "column", "left").select("column", "unique_values", "rank", "value", "count")
 
 
 def byte_size(df: DataFrame) -> Column:
@@ -189,13 +196,12 @@ def _castable(c: str) -> Column:
     return F.count_if(casts.to_number(quoted(c)).isNotNull())
 
 
-def quality_score(df: DataFrame) -> DataFrame:
-    """One row: the parts of the quality score, the score and its band.
+def _quality_counts(df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """One row with all counts of a quality report, and the numeric and text columns that they are numbered by.
 
     Three jobs whatever the number of columns: quartiles, the duplicate
     count, and one aggregate for everything else.
     """
-    require_batch(df, "quality_score")
     numeric, text = numeric_columns(df), text_columns(df)
     flags = iqr_flags(df, numeric)
     total_missing = sum((value_of(df, c).isNull().cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
@@ -208,15 +214,59 @@ def quality_score(df: DataFrame) -> DataFrame:
             F.count_if(value.rlike(f"[{SPACE_CLASS}]{{2,}}")).alias(f"gaps_{i}"),
             F.count_if(value.rlike(f"[^{WORD_CLASS}{SPACE_CLASS}]")).alias(f"special_{i}"),
         ]
-    counted = df.agg(*aggs)
+    # both sides are a single aggregate row
+    duplicates = duplicate_count(df).select("duplicate_count")
+    counted = df.agg(*aggs).join(F.broadcast(duplicates), F.lit(True))
+    return counted, list(flags), text
+
+
+def quality_issues(df: DataFrame) -> DataFrame:
+    """(column, issue, cells, recommendation): every fault that the quality score counts, by name.
+
+    ``column`` is NULL for faults of the whole table; ``cells`` says how many
+    cells, or rows for duplicates, are concerned.  A sound table has no rows.
+    """
+    require_batch(df, "quality_issues")
+    counted, numeric, text = _quality_counts(df)
+    rows = F.col("rows")
+
+    def issue(column: str | None, name: str, cells: Column, holds: Column) -> Column:
+        found = F.struct(
+            F.lit(column).cast("string").alias("column"),
+            F.lit(name).alias("issue"),
+            cells.cast("bigint").alias("cells"),
+            F.lit(RECOMMENDATIONS[name]).alias("recommendation"),
+        )
+        return F.when(holds, found)
+
+    every = [
+        issue(None, "dataset is empty", rows, rows == 0),
+        issue(None, "high missing data", F.col("missing"), F.col("missing") * 100 > MISSING_LIMIT * rows * len(df.columns)),
+        issue(None, "high duplicate records", F.col("duplicate_count"), F.col("duplicate_count") * 100 > DUPLICATE_LIMIT * rows),
+    ]
+    for i, c in enumerate(text):
+        castable, gaps, special = (F.col(f"{n}_{i}") for n in ("castable", "gaps", "special"))
+        every += [
+            issue(c, "numbers stored as text", castable, castable > rows * CASTABLE_SHARE),
+            issue(c, "excessive whitespace", gaps, gaps > 0),
+            issue(c, "many special characters", special, special > rows * SPECIAL_SHARE),
+        ]
+    for i, c in enumerate(numeric):
+        every.append(issue(c, "high outlier count", F.col(f"outliers_{i}"), F.col(f"outliers_{i}") > rows * OUTLIER_SHARE))
+    found = F.filter(F.array(*every), lambda x: x.isNotNull())
+    return counted.select(F.explode(found).alias("i")).select("i.*")
+
+
+def quality_score(df: DataFrame) -> DataFrame:
+    """One row: the parts of the quality score, the score and its band; ``quality_issues`` names the faults."""
+    require_batch(df, "quality_score")
+    counted, flags, text = _quality_counts(df)
     rows = F.col("rows")
 
     def how_many(conditions: list[Column]) -> Column:
         return sum((c.cast("bigint") for c in conditions), F.lit(0).cast("bigint"))
 
-    duplicates = duplicate_count(df).select("duplicate_count")
-    # both sides are a single aggregate row
-    parts = counted.join(F.broadcast(duplicates), F.lit(True)).select(
+    parts = counted.select(
         rows,
         (F.try_divide(F.col("missing"), rows * len(df.columns)) * 100).alias("missing_percent"),
         (F.try_divide(F.col("duplicate_count"), rows) * 100).alias("duplicate_percent"),

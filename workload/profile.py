@@ -56,6 +56,14 @@ def quality_documents(spark, sf):
     return profile.quality_score(spark_view(spark, sf, "docs_messy").select("txt"))
 
 
+def quality_issues_events(spark, sf):
+    return profile.quality_issues(spark_view(spark, sf, "events_messy")).select("column", "issue", "cells")
+
+
+def quality_issues_documents(spark, sf):
+    return profile.quality_issues(spark_view(spark, sf, "docs_messy").select("txt")).select("column", "issue", "cells")
+
+
 def infer_types(spark, sf):
     return profile.infer_types(spark_view(spark, sf, "mixed_txt"))
 
@@ -74,6 +82,8 @@ QUERIES = {
     "export_profile": export_profile,
     "quality_score_events": quality_events,
     "quality_score_documents": quality_documents,
+    "quality_issues_events": quality_issues_events,
+    "quality_issues_documents": quality_issues_documents,
     "infer_types": infer_types,
     "apply_inferred_types": apply_inferred,
 }
@@ -127,6 +137,36 @@ def _texty(table: str, c: str) -> tuple[str, str]:
     return inconsistent, issues
 
 
+def _issues(table: str, columns: tuple[str, ...], numeric: tuple[str, ...], text: tuple[str, ...]) -> str:
+    """Every fault of a table by name."""
+
+    def fault(column: str, issue: str, cells: str, limit: str) -> str:
+        return f"""SELECT {column} AS "column", '{issue}' AS issue, CAST({cells} AS BIGINT) AS cells FROM {table} HAVING {cells} > {limit}"""
+
+    missing = f"sum({' + '.join(f'({c} IS NULL)::INT' for c in columns)})"
+    copies = f"(count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(columns)} FROM {table})))"
+    parts = [
+        fault("NULL", "high missing data", missing, f"0.2 * {len(columns)} * count(*)"),
+        fault("NULL", "high duplicate records", copies, "0.05 * count(*)"),
+    ]
+    for c in text:
+        number = f"count(*) FILTER (WHERE {_IS_NUMBER.format(c)})"
+        gaps = f"count(*) FILTER (WHERE regexp_matches({c}, '[{_SPACE}]{{2,}}'))"
+        special = f"count(*) FILTER (WHERE regexp_matches({c}, '[^\\p{{L}}\\p{{N}}_{_SPACE}]'))"
+        parts += [
+            fault(f"'{c}'", "numbers stored as text", number, "0.8 * count(*)"),
+            fault(f"'{c}'", "excessive whitespace", gaps, "0"),
+            fault(f"'{c}'", "many special characters", special, "0.3 * count(*)"),
+        ]
+    for c in numeric:
+        parts.append(
+            f"""SELECT '{c}', 'high outlier count', count(*) FROM {table},
+  (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {table})
+  WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) HAVING count(*) > 0.05 * (SELECT count(*) FROM {table})"""
+        )
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
 _EVENT_TEXT = [_texty("events_messy", c) for c in _TEXT]
 _DOC_TEXT = _texty("docs_messy", "txt")
 
@@ -170,6 +210,8 @@ UNION ALL SELECT 'o_orderpriority', 'string', count(*), NULL, NULL,
     {_DOC_TEXT[0]} AS inc, 0::BIGINT AS outl, {_DOC_TEXT[1]} AS ti FROM docs_messy)
 {_SCORE}""",
     ),
+    "quality_issues_events": with_view("events_messy", _issues("events_messy", _ALL, _NUMERIC, _TEXT)),
+    "quality_issues_documents": with_view("docs_messy", _issues("docs_messy", ("txt",), (), ("txt",))),
     "infer_types": with_view(
         "mixed_txt",
         " UNION ALL ".join(
