@@ -30,18 +30,35 @@ def _order_key(order_by: Sequence[str]) -> Column:
     return F.struct(*[quoted(c) for c in order_by])
 
 
-def _digest(df: DataFrame, columns: Sequence[str]) -> Column:
-    """256 bits that stand for the values of a row: what a count of keys has to move.
+def _exact(value: Column, kind: T.DataType) -> Column:
+    """A value that prints in full: what grouping tells apart prints differently, what it holds equal prints alike.
 
-    Numbers and texts are printed; -0.0 counts as 0.0 and all NaN are one value, as in grouping.
+    Timestamps print as microseconds, bytes as hexadecimal digits, -0.0 as 0.0 and every NaN as one, at any depth; NULL
+    fields and NULL structs stay apart.
     """
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(value == 0, F.lit(0.0).cast(kind)).when(F.isnan(value), F.lit(float("nan")).cast(kind)).otherwise(value)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.TimestampNTZType):
+        # text like 2024-01-01 00:00:00.000001, in full and without a zone
+        return value.cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _exact(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [_exact(value.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind)]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return value
+    return value.cast("string")
 
-    def printed(name: str) -> Column:
-        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-            return F.when(quoted(name) == 0, F.lit(0.0)).otherwise(quoted(name)).alias(name)
-        return quoted(name).alias(name)
 
-    row = F.struct(*[printed(c).alias(f"c{i}") for i, c in enumerate(columns)])
+def _digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """256 bits that stand for the values of a row: what a count of keys has to move."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    row = F.struct(*[_exact(quoted(c), kinds[c]).alias(f"c{i}") for i, c in enumerate(columns)])
     return F.unhex(F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256))
 
 

@@ -25,13 +25,16 @@ def iqr_flags(df: DataFrame, columns: Sequence[str], threshold: float = 1.5) ->
 
 
 def zscore_flags(df: DataFrame, columns: Sequence[str], threshold: float) -> dict[str, Column]:
-    """Per column, true beyond ``threshold`` sample standard deviations."""
+    """Per column, true beyond ``threshold`` sample standard deviations.
+
+    An infinite value leaves a column without a deviation, and so without outliers.
+    """
     aggs = [f(value_of(df, c)).alias(f"{f.__name__}{i}") for i, c in enumerate(columns) for f in (F.avg, F.stddev_samp)]
     row = df.agg(*aggs).first()
     flags = {}
     for i, c in enumerate(columns):
         z = F.abs(F.try_divide(value_of(df, c) - F.lit(row[2 * i]), F.lit(row[2 * i + 1])))
-        flags[c] = F.coalesce(z > threshold, F.lit(False))
+        flags[c] = F.coalesce(F.nanvl(z.cast("double"), F.lit(None).cast("double")) > threshold, F.lit(False))
     return flags
 
 
