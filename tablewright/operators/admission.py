@@ -8,30 +8,28 @@ from pyspark.sql import functions as F
 from tablewright.functions import urls
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
+MAX_HOST_RULES = 1_000  # rules of one host that every URL of it is compared with
 
 
-def _rules_by_host(rules: DataFrame, agent: str) -> DataFrame:
-    """One row per host with its rules for this agent in file order.
+def _fitting(rules: DataFrame, agent: str) -> DataFrame:
+    """(host, own, seq, allow, path_prefix) of the rules for this agent; ``own``: named, not ``*``."""
+    product = agent.split("/")[0].lower()
+    fits = (F.col("agent") == "*") | F.lit(product).contains(F.lower("agent"))
+    own = (F.col("agent") != "*").alias("own")
+    return rules.filter(fits).select(F.lower("host").alias("_host"), own, "seq", "allow", "path_prefix")
+
+
+def _rules_by_host(fitting: DataFrame) -> DataFrame:
+    """One row per host with its rules in file order; the table is bounded before it is made.
 
-    Rules of a named agent replace those of ``*``.  The array is as long as
-    one host's rule file.
+    Rules of a named agent replace those of ``*``.
     """
-    name = F.lower("agent")
-    product = agent.split("/")[0].lower()
-    fits = (F.col("agent") == "*") | F.lit(product).contains(name)
     rule = F.struct("seq", "allow", "path_prefix")
-    grouped = (
-        rules.filter(fits)
-        .groupBy(F.lower("host").alias("_host"))
-        .agg(
-            F.sort_array(F.collect_list(F.when(F.col("agent") != "*", rule))).alias("own"),
-            F.sort_array(F.collect_list(F.when(F.col("agent") == "*", rule))).alias("shared"),
-        )
-    )
-    return grouped.select(
-        "_host", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("shared")).alias("_rules")
+    grouped = fitting.groupBy("_host").agg(
+        F.sort_array(F.collect_list(F.when(F.col("own"), rule))).alias("named"),
+        F.sort_array(F.collect_list(F.when(~F.col("own"), rule))).alias("shared"),
     )
+    return grouped.select("_host", F.when(F.size("named") > 0, F.col("named")).otherwise(F.col("shared")).alias("_rules"))
 
 
 def _decision(path: Column) -> Column:
@@ -41,26 +39,49 @@ def _decision(path: Column) -> Column:
     return F.coalesce(first["allow"] | (first["path_prefix"] == ""), F.lit(True))
 
 
+def _decided_by_prefix(frontier: DataFrame, fitting: DataFrame, url: str) -> DataFrame:
+    """(url, allowed) of every different URL that a rule matches.
+
+    A rule is found by its host and prefix: a URL asks for the prefixes of its
+    path that have a length which its host's rules have.  No host's rules are
+    gathered; what is kept per host are lengths, of which there are no more
+    than characters in the longest prefix.
+    """
+    first = fitting.groupBy("_host", "own", "path_prefix").agg(F.min(F.struct("seq", "allow")).alias("_rule"))
+    size = F.length("path_prefix")
+    hosts = first.groupBy("_host").agg(
+        F.bool_or("own").alias("own"),
+        F.collect_set(F.when(F.col("own"), size)).alias("_named"),
+        F.collect_set(F.when(~F.col("own"), size)).alias("_shared"),
+    )
+    asking = frontier.select(F.col(url).alias("_url")).distinct()
+    asking = asking.withColumn("_host", urls.host_of(F.col("_url"))).withColumn("_path", urls.path_of(F.col("_url")))
+    sizes = F.when(F.col("own"), F.col("_named")).otherwise(F.col("_shared"))
+    keyed = asking.join(hosts, "_host").withColumn("_size", F.explode(sizes)).filter(F.col("_size") <= F.length("_path"))
+    keyed = keyed.select("_url", "_host", "own", F.substring(F.col("_path"), F.lit(1), F.col("_size")).alias("path_prefix"))
+    hits = keyed.join(first, ["_host", "own", "path_prefix"])
+    rule = F.struct("_rule.seq", (F.col("_rule.allow") | (F.col("path_prefix") == "")).alias("allowed"))
+    return hits.groupBy("_url").agg(F.min(rule)["allowed"].alias("allowed"))
+
+
 def admit_urls(
     frontier: DataFrame, rules: DataFrame, agent: str = "*", url: str = "url"
 ) -> DataFrame:
     """Add ``allowed`` to every URL; a host without rules allows everything.
 
-    The rules become one row per host first, so the join never multiplies
-    rows.  Up to ``MAX_BROADCAST_BYTES`` (summed up first) they are broadcast;
-    beyond that both sides are salted, so that a host with a large share of
-    the URLs is spread over many tasks.
+    While all rules fit ``MAX_BROADCAST_BYTES`` and no host has more than
+    ``MAX_HOST_RULES`` (both measured first), they become one broadcast row
+    per host and nothing is shuffled.  Beyond that rules are joined by host and
+    prefix; different URLs are decided once and joined back.
     """
-    by_host = _rules_by_host(rules, agent)
-    keyed = frontier.withColumn("_host", urls.host_of(F.col(url)))
-    row_bytes = F.octet_length("host") + F.octet_length("path_prefix") + 64
-    size = rules.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0
-    if size <= MAX_BROADCAST_BYTES:
-        joined = keyed.join(F.broadcast(by_host), "_host", "left")
-    else:
-        salted = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(url), F.lit(SALTS)).cast("int"))
-        joined = keyed.join(salted, ["_host", "_salt"], "left")
-    return joined.withColumn("allowed", _decision(urls.path_of(F.col(url)))).select(
-        *frontier.columns, "allowed"
-    )
+    fitting = _fitting(rules, agent)
+    row_bytes = (F.octet_length("_host") + F.octet_length("path_prefix") + 64).cast("bigint")
+    per_host = fitting.groupBy("_host").agg(F.sum(row_bytes).alias("bytes"), F.count(F.lit(1)).alias("rules"))
+    size = per_host.agg(F.sum("bytes"), F.max("rules")).first()
+    if (size[0] or 0) <= MAX_BROADCAST_BYTES and (size[1] or 0) <= MAX_HOST_RULES:
+        joined = frontier.withColumn("_host", urls.host_of(F.col(url))).join(F.broadcast(_rules_by_host(fitting)), "_host", "left")
+        allowed = _decision(urls.path_of(F.col(url)))
+        return joined.withColumn("allowed", allowed).select(*frontier.columns, "allowed")
+    decided = _decided_by_prefix(frontier, fitting, url)
+    joined = frontier.join(decided.withColumnRenamed("allowed", "_allowed"), F.col(url) == F.col("_url"), "left")
+    return joined.select(*[frontier[f"`{c}`"] for c in frontier.columns], F.coalesce("_allowed", F.lit(True)).alias("allowed"))
