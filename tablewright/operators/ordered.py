@@ -64,7 +64,7 @@ def add_blocks(df: DataFrame, order_by: Sequence[str], blocks: int | None = None
     if lead is not None:
         shares = [i / blocks for i in range(1, blocks)]
         (cuts,) = quantile_sketches(df, [(lead, shares)], 4 * blocks)
-        if max(Counter(cuts).values(), default=0) < HOT_CUTS:
+        if cuts and max(Counter(cuts).values()) < HOT_CUTS:
             splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
             keyed = df.withColumn("_lead", lead)
             cutter = Bucketizer(

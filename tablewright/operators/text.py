@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import casts, formats, text
@@ -100,6 +100,23 @@ def convert_types(df: DataFrame, mapping: dict[str, str]) -> tuple[DataFrame, di
     return replace_columns(df, {c: CONVERSIONS[t](quoted(c)) for c, t in known.items()}), problems
 
 
+def cast_values(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """Convert columns value by value: what does not fit becomes NULL, whatever the others are.
+
+    The row-local form of ``convert_types``, for streams as well.
+    """
+    require_columns(df, mapping)
+    unknown = {t for t in mapping.values() if t not in CONVERSIONS}
+    if unknown:
+        raise ValueError(f"unknown types: {sorted(unknown)}; known: {sorted(CONVERSIONS)}")
+
+    def one(name: str, kind: str) -> Column:
+        value = CONVERSIONS[kind](quoted(name))
+        return F.when(casts.is_whole(casts.to_number(quoted(name))), value) if kind == "integer" else value
+
+    return replace_columns(df, {c: one(c, t) for c, t in mapping.items()})
+
+
 def add_category_codes(df: DataFrame, column: str, code_column: str) -> DataFrame:
     """Zero-based code of each value in sorted order; NULL gets -1.
 
