@@ -34,6 +34,9 @@ DYNAMIC_MARKERS = (
     "react",
     "vue",
 )
+# Names of one wide table.
+MAX_WIDE = 10_000
+
 MISSING_CELLS = (
     "",
     "#N/A",
@@ -299,14 +302,49 @@ def record_columns(records: DataFrame, columns: Sequence[str]) -> DataFrame:
     return records.select(*keep, *[value(c) for c in columns])
 
 
-def unify_records(records: DataFrame) -> DataFrame:
+def unify_records(records: DataFrame, most: int = MAX_WIDE) -> DataFrame:
     """One wide table of all records: every name that occurs, in sorted order, NULL where a row lacks it.
 
     The names come from one aggregate with map-side reduction; there are as
-    many as the wide table has columns.
+    many as the wide table has columns.  More than ``most`` make no table;
+    ``gather_records`` holds records of any shapes.
     """
     names = records.select(F.explode("cells.name").alias("name")).groupBy("name").agg(F.count(F.lit(1)))
-    return record_columns(records, sorted(r["name"] for r in names.select("name").collect()))
+    found = sorted(r["name"] for r in names.select("name").limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} different names for one wide table; use gather_records")
+    return record_columns(records, found)
+
+
+def gather_records(records: DataFrame) -> DataFrame:
+    """(keys, fingerprint, record): records of any shapes in one table.
+
+    ``record`` is a VARIANT object with a row's own names, of a repeated name
+    the first; ``fingerprint`` is the SHA-256 of its sorted names as JSON, so that
+    rows of one shape can be grouped, counted, or written to one partition.
+    Neither names nor shapes are collected anywhere.
+    """
+    names = F.array_distinct("cells.name")
+    first = F.transform(names, lambda n: F.get(F.filter("cells", lambda cell: cell["name"] == n), F.lit(0)))
+    own = F.when(F.size(names) == F.size("cells"), F.col("cells")).otherwise(first)
+    record = F.parse_json(F.to_json(F.map_from_entries(own), {"ignoreNullFields": "false"}))
+    keep = [quoted(c) for c in records.columns if c != "cells"]
+    return records.select(*keep, F.sha2(F.to_json(F.array_sort(names)), 256).alias("fingerprint"), record.alias("record"))
+
+
+def record_shapes(records: DataFrame) -> DataFrame:
+    """(fingerprint, names, rows): the different sets of names, each with the number of its records."""
+    names = F.array_sort(F.array_distinct("cells.name")).alias("names")
+    counted = records.select(names).groupBy("names").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select(F.sha2(F.to_json("names"), 256).alias("fingerprint"), "names", "rows")
+
+
+def record_values(gathered: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace ``record`` by the named columns as text, NULL where a record has none."""
+
+    keep = [quoted(c) for c in gathered.columns if c != "record"]
+    values = gathered.withColumn("_values", F.col("record").cast("map<string,string>"))
+    return values.select(*keep, *[F.try_element_at("_values", F.lit(c)).alias(c) for c in columns])
 
 
 def extract_embedded_json(parsed: DataFrame) -> DataFrame:

@@ -259,24 +259,32 @@ def write_dataset(
 
 LOG_SCHEMA = (
     "timestamp timestamp_ntz, filepath string, format string, records_exported bigint,"
-    " columns_exported int, execution_time double, success boolean, message string"
+    " columns_exported int, file_size_mb double, execution_time double, success boolean, message string"
 )
 
 
+def size_on_disk(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``, from the file system's own listing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return files.getContentSummary(at).getLength()
+
+
 def write_logged(
     df: DataFrame, path: str, log_path: str, options: ExportOptions | None = None
 ) -> bool:
     """Write and append one row to the run log, whether it worked or not.
 
-    The rows are counted while they are written.
+    The rows are counted while they are written; the size is that of the files.
     """
     options = options or ExportOptions()
     started, clock = datetime.now(timezone.utc).replace(tzinfo=None), time.monotonic()
     counter = Observation("export")
-    fmt, records, problem = options.format, 0, None
+    fmt, records, size, problem = options.format, 0, 0, None
     try:
         fmt = write_dataset(df, path, options, counter)
         records = counter.get["rows"]
+        size = size_on_disk(df.sparkSession, path)
     except Exception as error:  # logged and reported by the result
         problem = str(error)
     row = (
@@ -285,6 +293,7 @@ def write_logged(
         fmt,
         records,
         len(df.columns),
+        size / (1 << 20),
         time.monotonic() - clock,
         problem is None,
         problem,

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators import admission, extract, union
 from tablewright.sources.page_parser import PageParser, lay_out
@@ -241,3 +242,49 @@ def test_record_schema_keeps_field_names(spark):
     schema = extract.record_schema(df)
     assert sorted(schema.names) == ["AVOIDED", "VARIANT", "b", "d, VOID>"]
     assert schema["b"].dataType.simpleString() == "struct<VOID:string,c:string>"
+
+
+def test_many_rules_of_one_host(spark):
+    """A host with 200,000 rules: decided by prefix keys, and no row holds a host's rules."""
+    rules = spark.range(200_000).select(
+        F.lit("Big.example.com").alias("host"), F.lit("*").alias("agent"), F.col("id").cast("int").alias("seq"),
+        (F.col("id") % 2 == 0).alias("allow"), F.concat(F.lit("/p"), F.col("id").cast("string")).alias("path_prefix"),
+    )
+    extra = spark.createDataFrame(
+        [("named.com", "*", 1, False, "/"), ("named.com", "mybot", 2, True, "/a"), ("named.com", "mybot", 1, False, "/a/b"), ("free.com", "mybot", 5, False, "")],
+        "host string, agent string, seq int, allow boolean, path_prefix string",
+    )
+    sites = ["https://big.example.com/p", "https://named.com/a/b/c", "https://named.com/x", "https://free.com/q", "https://none.com/", None]
+    frontier = spark.range(3_000).select(F.col("id").alias("i"), F.concat(F.lit(sites[0]), (F.col("id") * 67).cast("string")).alias("url"))
+    frontier = frontier.unionByName(spark.createDataFrame(list(enumerate(sites[1:], 5000)), "i bigint, url string"))
+    got = {r["i"]: r["allowed"] for r in admission.admit_urls(frontier, rules.unionByName(extra), "mybot/2.0").collect()}
+    for i in range(0, 3_000, 37):
+        number = str(i * 67)
+        firsts = [int(number[:n]) for n in range(1, len(number) + 1) if str(int(number[:n])) == number[:n] and int(number[:n]) < 200_000]
+        assert got[i] == (min(firsts) % 2 == 0)
+    assert [got[i] for i in range(5000, 5005)] == [False, True, True, True, True]
+    fitting = admission._fitting(rules, "mybot")
+    plan = admission._decided_by_prefix(frontier, fitting, "url")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_records_of_any_shape(spark):
+    """100,000 different headers in one table: no names are collected, shapes are a column."""
+    cells = F.array(
+        F.struct(F.concat(F.lit("name "), F.col("id").cast("string")).alias("name"), F.lit("v").alias("value")),
+        F.struct(F.lit("it's \"a\" key").alias("name"), F.col("id").cast("string").alias("value")),
+        F.struct(F.lit("none").alias("name"), F.lit(None).cast("string").alias("value")),
+    )
+    records = spark.range(100_000).select("id", cells.alias("cells"))
+    gathered = extract.gather_records(records)
+    assert gathered.select("fingerprint").distinct().count() == 100_000
+    got = extract.record_values(gathered, ["it's \"a\" key", "name 7", "none"]).filter("id = 7").first()
+    assert tuple(got)[2:] == ("7", "v", None)
+    with pytest.raises(ValueError):
+        extract.unify_records(records)
+    repeated = spark.createDataFrame([(1, [("b", "x"), ("a", None), ("b", "y")]), (2, [("a", "1"), ("b", "2")]), (3, [])], "id int, cells array<struct<name:string,value:string>>")
+    rows = {r["id"]: r for r in extract.record_values(extract.gather_records(repeated), ["a", "b"]).collect()}
+    assert rows[1]["fingerprint"] == rows[2]["fingerprint"] != rows[3]["fingerprint"]
+    assert (rows[1]["a"], rows[1]["b"], rows[2]["b"], rows[3]["a"]) == (None, "x", "2", None)
+    shapes = {tuple(r["names"]): (r["fingerprint"], r["rows"]) for r in extract.record_shapes(repeated).collect()}
+    assert shapes == {("a", "b"): (rows[1]["fingerprint"], 2), (): (rows[3]["fingerprint"], 1)}

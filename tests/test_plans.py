@@ -6,14 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright import streaming
-from tablewright.operators import audit, catalog, dedup, profile
+from tablewright.operators import audit, catalog, dedup, extract, profile
 from tablewright.operators.missing import fill_mean
-from tablewright.operators.text import add_category_codes
+from tablewright.operators.text import add_category_codes, cast_values
 from tablewright.plans.auto_clean import auto_clean
 from tablewright.plans.history import CleaningSession
 from tablewright.plans.recipe import PRESETS, Recipe, Step
 from tablewright.session import materialize, scratch_dir
 from tablewright.sources import writers
+from tablewright.sources.pages import parse_pages
 from tablewright.sources.writers import ExportOptions, write_dataset, write_formats, write_logged
 
 IDS = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 1, 2]
@@ -165,6 +166,57 @@ def test_audit(messy):
     assert json.loads(steps.orderBy("step").first()["parameters"])["operations"] == ["lowercase"]
 
 
+def test_audit_runs_every_step_once(spark):
+    """Ten steps in one plan: the input is read once, and there is one writing job."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(i, f" Name {i % 7}  x", None if i % 5 else "v", float(i)) for i in range(100)], "k int, name string, v string, x double")
+    df = df.mapInArrow(counted, df.schema)
+    steps = [
+        Step("clean_text", {"columns": ["name"], "operations": ["remove_extra_spaces"]}),
+        Step("clean_text", {"columns": ["name", "v"], "operations": ["lowercase"]}),
+        Step("filter_rows", {"condition": "k < 90"}),
+        Step("add_columns", {"expressions": {"y": "x * 2"}}),
+        Step("handle_missing", {"strategy": "fill_custom", "fill_value": "none", "columns": ["v"]}),
+        Step("rename_columns", {"mapping": {"name": "title"}}),
+        Step("clean_text", {"columns": ["title"], "operations": ["uppercase"]}),
+        Step("fix_encoding"),
+        Step("filter_rows", {"condition": "y >= 20"}),
+        Step("drop_columns", {"columns": ["x"]}),
+    ]
+    spark.sparkContext.setJobGroup("audit", "ten steps")
+    out, audit_rows = Recipe("ten", steps).run_with_audit(df, ["k"])
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("audit")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 1 and reads.value == 100
+    rows = audit_rows.orderBy("step").collect()
+    assert [r["records_affected"] for r in rows] == [100, 100, 10, 0, 72, 0, 90, 0, 10, 0]
+    assert out.count() == 80 and out.columns == ["k", "title", "v", "y"]
+
+
+def test_audit_of_steps_that_need_the_table(spark):
+    df = spark.createDataFrame([(i, float(i) if i % 4 else None, "a" if i < 3 else f"t{i % 8}") for i in range(40)], "k int, x double, t string")
+    steps = [
+        Step("handle_missing", {"strategy": "fill_mean", "columns": ["x"]}),
+        Step("drop_duplicates", {"subset": ["t"], "order_by": ["k"]}),
+        Step("filter_rows", {"condition": "k > 1"}),
+        Step("handle_missing", {"strategy": "forward_fill", "order_by": ["k"], "columns": ["x", "t"]}),
+    ]
+    recipe = Recipe("mixed", steps)
+    out, audit_rows = recipe.run_with_audit(df, ["k"])
+    assert [r["records_affected"] for r in audit_rows.orderBy("step").collect()] == [10, 31, 1, 0]
+    assert sorted(out.collect()) == sorted(recipe.run(df).collect())
+    empty, audit_rows = recipe.run_with_audit(df.limit(0))
+    assert empty.count() == 0 and [r["records_affected"] for r in audit_rows.collect()] == [0, 0, 0, 0]
+    same, none = Recipe("nothing").run_with_audit(df)
+    assert same.count() == 40 and none.count() == 0
+
+
 def test_diff(spark):
     old = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 1)], "k int, s string, n int")
     new = spark.createDataFrame([(1, "a", None), (2, "B", 1), (4, "d", 1)], "k int, s string, n int")
@@ -267,6 +319,77 @@ def test_stream_of_row_local_steps(spark, tiny):
             operator(stream)
 
 
+def test_duplicates_on_a_stream(spark, tmp_path):
+    """Late rows, expired keys, and a restart from the checkpoint with the state it kept."""
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    schema = "k string, ts timestamp, v int"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, "k string, ts string, v int").selectExpr("k", "timestamp('2024-01-01 ' || ts) AS ts", "v").coalesce(1).write.mode("append").parquet(source)
+        stream = streaming.drop_stream_duplicates(streaming.read_stream(spark, source, schema, files_a_batch=1), ["k"], "ts", "10 minutes")
+        query = streaming.write_batches(stream, out, checkpoint)
+        assert query.awaitTermination(120)
+
+    arrive(("a", "00:00:00", 1), ("b", "00:01:00", 2), ("a", "00:02:00", 3))
+    kept = streaming.read_batches(spark, out).filter("k = 'a'").first()["v"]
+    # a restart: the key is remembered; NULL is a key
+    arrive(("a", "00:03:00", 4), (None, "00:04:00", 5), (None, "00:04:30", 5))
+    rows = [(r["k"], r["v"]) for r in streaming.read_batches(spark, out).collect()]
+    assert sorted(rows, key=str) == sorted([("a", kept), ("b", 2), (None, 5)], key=str)
+    # far ahead: the watermark moves to 00:50, which forgets all keys
+    arrive(("c", "01:00:00", 6))
+    arrive(("late", "00:05:00", 7), ("a", "00:55:00", 8))
+    rows = [(r["k"], r["v"]) for r in streaming.read_batches(spark, out).collect()]
+    assert sorted(rows, key=str) == sorted([("a", kept), ("b", 2), (None, 5), ("c", 6), ("a", 8)], key=str)
+
+
+def test_pages_stream_into_parquet(spark, tiny, tmp_path):
+    """Parsed and extracted in micro-batches, equal to the batch result."""
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    pages = spark.read.parquet(f"{tiny}/pages.parquet")
+    pages.repartition(3).write.parquet(source)
+
+    def extracted(table):
+        return extract.extract_records(parse_pages(table, keep=["page_id", "url"]), ["h1", "div", "p"])
+
+    stream = extracted(streaming.read_stream(spark, source, pages.schema, files_a_batch=1))
+    assert streaming.write_batches(stream, out, checkpoint).awaitTermination(120)
+    want = sorted(map(str, extracted(pages).collect()))
+    assert sorted(map(str, streaming.read_batches(spark, out).collect())) == want
+    # nothing new: nothing written again
+    assert streaming.write_batches(stream, out, checkpoint).awaitTermination(120)
+    assert sorted(map(str, streaming.read_batches(spark, out).collect())) == want
+
+
+def test_steps_of_values_on_a_stream(spark, tmp_path):
+    rows = [(i, str(i) if i % 3 else "1.5", ["yes", "no", "maybe"][i % 3], None if i % 4 else "2024-01-0%d" % (1 + i % 9)) for i in range(30)]
+    table = spark.createDataFrame(rows, "k int, n string, b string, d string")
+    table.repartition(2).write.parquet(str(tmp_path / "in"))
+    recipe = Recipe(
+        "values",
+        [
+            Step("handle_missing", {"strategy": "fill_custom", "fill_value": "2024-02-01", "columns": ["d"]}),
+            Step("cast_values", {"mapping": {"n": "integer", "b": "boolean", "d": "datetime"}}),
+            Step("handle_missing", {"strategy": "drop", "columns": ["b"]}),
+        ],
+    )
+    stream = streaming.run_on_stream(streaming.read_stream(spark, str(tmp_path / "in"), table.schema), recipe)
+    assert streaming.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    got = sorted(streaming.read_batches(spark, str(tmp_path / "out")).collect(), key=str)
+    assert got == sorted(recipe.run(table).collect(), key=str) and len(got) == 20
+    assert {r["n"] for r in got if r["k"] % 3 == 0} == {None} and got[0]["d"] is not None
+    # whole-table operators on each micro-batch
+    stream = streaming.read_stream(spark, str(tmp_path / "in"), table.schema)
+    query = streaming.write_batches(stream, str(tmp_path / "out2"), str(tmp_path / "c2"), lambda batch: dedup.drop_duplicates(batch, ["b"], "first", ["k"]))
+    assert query.awaitTermination(120)
+    assert sorted(r["b"] for r in streaming.read_batches(spark, str(tmp_path / "out2")).collect()) == ["maybe", "no", "yes"]
+    with pytest.raises(ValueError):
+        recipe = Recipe("s", [Step("handle_missing", {"strategy": "fill_mean"})])
+        streaming.run_on_stream(stream, recipe)
+    with pytest.raises(ValueError):
+        cast_values(table, {"n": "nonsense"})
+
+
 def test_writers_honour_or_refuse_options(spark, tmp_path):
     from tablewright.sources.writers import ExportOptions, write_dataset
 

@@ -7,8 +7,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablewright.operators import columns, dedup, missing, ordered, outliers, stats
+from tablewright.operators import columns, dedup, knn, missing, ordered, outliers, stats, texts
 from tablewright.operators.knn import knn_impute
+from tablewright.session import materialize
 
 PEOPLE5 = [
     ("Alice", 25.0, "New York"),
@@ -250,22 +251,62 @@ def knn_by_hand(pdf, names, k):
     return out
 
 
-@pytest.mark.parametrize("max_receivers", [100_000, 20])
-def test_knn_like_brute_force(spark, max_receivers):
-    rng = np.random.default_rng(8)
-    n = 240
-    x = rng.integers(0, 6, (n, 3)).astype(float)  # many ties and identical rows
+def knn_rows(n, seed):
+    """Few different numbers, a point that a third of all rows share, and gaps."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 6, (n, 3)).astype(float)
     x[: n // 3] = [2.0, 2.0, 2.0]
+    x[2 * n // 3 :] += rng.random((n - 2 * n // 3, 3)) * 40
     x[rng.random((n, 3)) < 0.2] = np.nan
     x[5] = np.nan
-    pdf = pd.DataFrame(x, columns=list("abc"))
-    pdf.insert(0, "i", np.arange(n))
+    x[9, :2], x[10] = -0.0, [np.nan, 0.0, 0.0]
+    return pd.DataFrame({"i": np.arange(n), **dict(zip("abc", x.T))})
+
+
+@pytest.mark.parametrize("cell_rows, tile_rows", [(4096, 1 << 16), (20, 1 << 16), (20, 4)])
+def test_knn_like_brute_force(spark, monkeypatch, cell_rows, tile_rows):
+    monkeypatch.setattr(knn, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(knn, "TILE_ROWS", tile_rows)
+    pdf = knn_rows(240, cell_rows + tile_rows)
     rows = pdf.astype(object).where(pdf.notna(), None).values.tolist()
     df = spark.createDataFrame(rows, "i bigint, a double, b double, c double").repartition(4)
-    got = knn_impute(df, ["a", "b", "c"], ["i"], max_receivers=max_receivers).orderBy("i").toPandas()
+    got = knn_impute(df, ["a", "b", "c"], ["i"]).orderBy("i").toPandas()
     assert np.allclose(got[["a", "b", "c"]].to_numpy(), knn_by_hand(pdf, ["a", "b", "c"], 5))
 
 
+def test_knn_of_rare_values(spark, monkeypatch):
+    """A column with fewer values than neighbours, one without any, and coordinates that are hardly ever shared."""
+    monkeypatch.setattr(knn, "CELL_ROWS", 10)
+    rows = [(f"r{i:03}", float(i) if i % 3 else None, float(i % 7) if i % 3 == 0 or i > 110 else None, 1.0 * i if i in (3, 50) else None, None) for i in range(120)]
+    pdf = pd.DataFrame(rows, columns=["i", *"abcd"]).astype({c: float for c in "abcd"})
+    got = knn_impute(spark.createDataFrame(rows, "i string, a double, b double, c float, d double"), ["a", "b", "c", "d"], ["i"])
+    want = knn_by_hand(pdf, list("abcd"), 5)
+    assert np.allclose(got.orderBy("i").toPandas()[list("abcd")].to_numpy(dtype=float), want, equal_nan=True)
+
+
+def test_knn_visits_few_cells(spark):
+    """100,000 rows with a gap among 300,000: a query sees a few of the cells, and the answer is right where it is checked."""
+    n = 300_000
+    points = spark.range(n).select(
+        "id", *[(F.rand(s) * 1000).alias(c) for s, c in enumerate("ab")], F.when(F.col("id") % 3 > 0, F.rand(9) * 10).alias("v")
+    )
+    points = materialize(points, "points")
+    plain = points.select(F.col("id").alias("o0"), F.col("a").alias("x0"), F.col("b").alias("x1"), F.col("v").alias("x2"))
+    search = knn.NeighbourSearch(plain, ["x0", "x1", "x2"], ["o0"], 5)
+    cells = len(search.cells.cell)
+    best = search.k_best(search.best_of(search.home_visits()))
+    bounds = best.filter("rank = 5").groupBy("query").agg(F.collect_list(F.struct("target", "distance")).alias("bounds"))
+    visits = search.home_visits().count() + search.further_visits(bounds).count()
+    assert search.queries.count() == n // 3
+    assert cells > 60 and visits < 3 * n // 3
+    pdf = points.toPandas()
+    got = knn_impute(points, ["a", "b", "v"], ["id"]).toPandas().set_index("id")["v"]
+    given = pdf[pdf["v"].notna()]
+    for row in pdf[pdf["v"].isna()].iloc[::5000].itertuples():
+        gap = (given["a"] - row.a) ** 2 + (given["b"] - row.b) ** 2
+        assert np.isclose(got[row.id], given["v"][gap.nsmallest(5).index].mean())
+
+
 def test_knn_without_gaps(spark):
     df = spark.createDataFrame([(1, 2.0)], "i int, a double")
     assert knn_impute(df, ["a"], ["i"]).collect() == df.collect()
@@ -331,3 +372,82 @@ def test_wall_clock_times_survive_summer_time(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert found == ["2021-03-14 02:30:00", "2021-11-07 00:00:00", None, None, "1890-03-05 00:00:00"]
+
+
+# every type twice or more: equal rows, rows that differ in the last place only, NULLs
+TYPE_ROWS = {
+    "ts timestamp": ["timestamp'2024-01-01 00:00:00.000001'", "timestamp'2024-01-01 00:00:00.000002'", "NULL"],
+    "ntz timestamp_ntz": ["timestamp_ntz'2024-01-01 00:00:00.000001'", "timestamp_ntz'2024-01-01 00:00:00'", "NULL"],
+    "day date": ["date'2024-01-01'", "date'2024-01-02'", "NULL"],
+    "f double": ["0.0D", "-0.0D", "double('NaN')", "1e300D", "NULL"],
+    "g float": ["float(0.1)", "float(-0.0)", "float(0.0)", "float('NaN')", "NULL"],
+    "n decimal(20,3)": ["1.500", "1.501", "NULL"],
+    "big bigint": ["9007199254740993L", "9007199254740992L", "NULL"],
+    "t string": ["''", "'NULL'", "'a\\u0000b'", "'a\"b'", "NULL"],
+    "raw binary": ["X'00FF'", "X'00FE'", "X''", "NULL"],
+    "yes boolean": ["true", "false", "NULL"],
+    "arr array<double>": ["array(0.0D)", "array(-0.0D)", "array(double('NaN'))", "array()", "array(NULL)", "NULL"],
+    "times array<timestamp>": ["array(timestamp'2024-01-01 00:00:00.000001')", "array(timestamp'2024-01-01 00:00:00')", "NULL"],
+    "s struct<a:timestamp,b:array<float>>": [
+        "named_struct('a', timestamp'2024-01-01 00:00:00.000001', 'b', array(float(0)))",
+        "named_struct('a', timestamp'2024-01-01 00:00:00.000001', 'b', array(float(-0.0)))",
+        "named_struct('a', NULL, 'b', NULL)",
+        "NULL",
+    ],
+    "iv interval day to second": ["interval '1 00:00:00.000001' day to second", "interval '1 00:00:00' day to second", "NULL"],
+}
+
+
+@pytest.mark.parametrize("column", TYPE_ROWS)
+def test_duplicates_of_every_type(spark, column):
+    """Keys are told apart by digest exactly as grouping tells them apart."""
+    name, kind = column.split(" ", 1)
+    values = TYPE_ROWS[column]
+    parts = [f"SELECT {i} AS i, CAST({values[i % len(values)]} AS {kind}) AS `{name}`" for i in range(2 * len(values))]
+    df = spark.sql(" UNION ALL ".join(parts))
+    distinct = df.select(name).dropDuplicates().count()
+    assert dedup.drop_duplicates(df, [name], "first", ["i"]).count() == distinct
+    assert dedup.drop_duplicates(df, [name], "last", ["i"]).count() == distinct
+    assert dedup.duplicate_count(df, [name]).first()["duplicate_count"] == 2 * len(values) - distinct
+    assert dedup.flag_duplicates(df, ["i"], [name]).filter("is_duplicate").count() == 2 * len(values) - distinct
+
+
+def test_infinite_values_are_no_reason_to_drop_all(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("inf"),), (None,)], "v double")
+    assert outliers.remove_outliers(df, ["v"], "zscore", 3.0).count() == 5
+    df = spark.createDataFrame([(float(i % 3),) for i in range(60)] + [(500.0,), (float("nan"),)], "v double")
+    assert outliers.remove_outliers(df, ["v"], "zscore", 3.0).count() == 61
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_top_texts(spark, monkeypatch, few):
+    """Exact whatever ties: frequent texts, texts that occur once, texts alike in their first bytes."""
+    monkeypatch.setattr(texts, "FEW", few)
+    alike = ["the same fourteen bytes and more " * 3 + f"{i * 7 % 40:02}" for i in range(40)]
+    columns_of = {
+        "hot": ["hot"] * 30 + ["warm"] * 5 + ["b", "a", "c", "é", ""],
+        "once": [f"text {i * 13 % 40}" for i in range(40)],
+        "alike": alike,
+        "two": ["x", None] * 20,
+        "none": [None] * 40,
+        "prefix": ["", "a", "a\0", "ab"] * 10,
+    }
+    names = list(columns_of)
+    df = spark.createDataFrame(list(zip(*columns_of.values())), ", ".join(f"{n} string" for n in names)).repartition(5)
+    unique, top = texts.top_texts(df, names, 3)
+    got = {}
+    for r in top.collect():
+        got.setdefault(r["column"], []).append((r["rank"], r["value"], r["count"]))
+    for name, values in columns_of.items():
+        counted = pd.Series([v for v in values if v is not None], dtype=object).value_counts()
+        want = sorted(counted.items(), key=lambda x: (-x[1], x[0].encode()))[:3]
+        assert unique[name] == len(counted)
+        assert sorted(got.get(name, [])) == [(i, v, n) for i, (v, n) in enumerate(want, 1)]
+
+
+def test_top_texts_move_digests_only(spark):
+    df = spark.range(1000).select(F.concat(F.lit("long text "), F.repeat(F.col("id").cast("string"), 50)).alias("t"))
+    plan = texts.digest_counts(df, ["t"])._jdf.queryExecution().executedPlan().toString()
+    exchange = plan[plan.index("Exchange") :].splitlines()[0]
+    assert "hashpartitioning(column" in exchange
+    assert texts.digest_counts(df, ["t"]).columns == ["column", "digest", "count", "h0", "h1"]

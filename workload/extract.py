@@ -254,6 +254,17 @@ def records_wide(spark, sf):
     return extract.unify_records(found)
 
 
+def record_shapes(spark, sf):
+    found = extract.extract_records(parse_pages(_pages(spark, sf)), ["h1", "div"])
+    return extract.record_shapes(found).select("fingerprint", F.array_join("names", ",").alias("names"), "rows")
+
+
+def records_gathered(spark, sf):
+    """Records of both shapes in one table of VARIANT objects, read by name."""
+    found = extract.extract_records(parse_pages(_pages(spark, sf)), ["h1", "div"])
+    return extract.record_values(extract.gather_records(found), ["item", "element_type", "content"])
+
+
 def normalize_names(spark, sf):
     """Names made of real texts: header data as a column."""
     header = F.when(F.col("doc_id") % 50 == 0, F.lit(" !? ")).otherwise(F.col("text"))
@@ -279,6 +290,8 @@ QUERIES = {
     "combine_union": combine_union,
     "extract_records": records,
     "records_wide": records_wide,
+    "record_shapes": record_shapes,
+    "records_gathered": records_gathered,
     "normalize_names": normalize_names,
 }
 
@@ -395,6 +408,16 @@ UNION ALL SELECT page_id, 'element', CAST(0 AS INTEGER), element_idx, NULL, elem
 SELECT page_id, 'list' AS source, list_idx AS group_idx, item_idx AS row_idx, NULL AS class, NULL AS content,
   NULL AS element_type, NULL AS id, item FROM items
 UNION ALL SELECT page_id, 'element', CAST(0 AS INTEGER), element_idx, class, content, element_type, id, NULL FROM ({_ELEMENTS})""",
+    "record_shapes": _ITEMS
+    + f"""
+SELECT sha256('["item"]') AS fingerprint, 'item' AS names, count(*) AS rows FROM items HAVING count(*) > 0
+UNION ALL SELECT sha256('["class","content","element_type","id"]'), 'class,content,element_type,id', count(*) FROM ({_ELEMENTS}) HAVING count(*) > 0""",
+    "records_gathered": _ITEMS
+    + f"""
+SELECT page_id, 'list' AS source, list_idx AS group_idx, item_idx AS row_idx, sha256('["item"]') AS fingerprint,
+  item, NULL AS element_type, NULL AS content FROM items
+UNION ALL SELECT page_id, 'element', CAST(0 AS INTEGER), element_idx, sha256('["class","content","element_type","id"]'),
+  NULL, element_type, content FROM ({_ELEMENTS})""",
     "normalize_names": rf"""
 SELECT doc_id, CASE WHEN s = '' THEN 'unnamed_column' ELSE s END AS name FROM (
   SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(h,
