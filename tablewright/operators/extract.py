@@ -24,6 +24,9 @@ from tablewright.sources.page_parser import HIDDEN
 # that stand for a missing value, embedded-data patterns, link selectors.
 DEFAULT_ELEMENTS = ("table", "div", "span")
 STRUCTURED = ("table", "ul", "ol")
+# What ``parse_pages`` has to hand back for lists, and of elements besides their own tags.
+LIST_TAGS = ("ul", "ol", "li")
+ELEMENT_ATTRIBUTES = ("class", "id")
 DYNAMIC_MARKERS = (
     "<script",
     "javascript:",

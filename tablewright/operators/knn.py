@@ -52,7 +52,7 @@ class NeighbourSearch:
     share costs no more than others.
     """
 
-    def __init__(self, plain: DataFrame, numbers: list[str], orders: list[str], k: int):
+    def __init__(self, plain: DataFrame, numbers: list[str], orders: list[str], k: int, size: int | None = None):
         self.numbers, self.orders, self.k = numbers, orders, k
         self.gap = reduce(lambda a, b: a | b, [F.col(x).isNull() for x in numbers])
         self.known = reduce(lambda a, b: a | b, [F.col(x).isNotNull() for x in numbers])
@@ -61,11 +61,12 @@ class NeighbourSearch:
         kept = giving.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).drop("_n")
         asking = plain.filter(self.known & self.gap).select(*numbers).distinct()
         self.queries = materialize(asking.withColumn("query", F.monotonically_increasing_id()), "queries")
-        size = giving.count()
+        size = giving.count() if size is None else size
         cells = max(1, min(-(-size // CELL_ROWS), MAX_CELLS, MAX_BOUNDS // (3 * len(numbers))))
         self.tree = self._tree(giving.select(*numbers), size, cells)
-        self.donors = materialize(_with_cells(kept, self.tree, numbers), "donors")
-        self.cells = self._cells()
+        dealt = _with_cells(kept, self.tree, numbers) if cells > 1 else kept.withColumn("cell", F.lit(0))
+        self.donors = materialize(dealt, "donors")
+        self.cells = self._cells() if cells > 1 else None
 
     def _tree(self, giving: DataFrame, size: int, cells: int) -> nearest.CellTree:
         """A tree from a sample of bounded size."""
@@ -88,6 +89,8 @@ class NeighbourSearch:
     def home_visits(self) -> DataFrame:
         """(query, x, cell): the cells that a query visits first."""
         cells, numbers, k = self.cells, self.numbers, self.k
+        if cells is None:
+            return self.queries.withColumn("cell", F.lit(0))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -169,8 +172,9 @@ class NeighbourSearch:
 
     def means(self) -> DataFrame:
         """(x, m): each query with the mean of its k nearest values for each gap, NULL where no donor is usable."""
-        best = self.k_best(self.best_of(materialize(self.home_visits(), "visits")))
-        if len(self.cells.cell) > 1:
+        visits = self.home_visits()
+        best = self.k_best(self.best_of(visits if self.cells is None else materialize(visits, "visits")))
+        if self.cells is not None:
             best = materialize(best, "nearest")
             full = best.filter(F.col("rank") == self.k).groupBy("query").agg(F.collect_list(F.struct("target", "distance")).alias("bounds"))
             visits = materialize(self.further_visits(full), "visits")
@@ -200,8 +204,8 @@ def knn_impute(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], k
     orders = [f"o{i}" for i in range(len(order_by))]
     gap = reduce(lambda a, b: a | b, [number[c].isNull() for c in columns])
     known = reduce(lambda a, b: a | b, [number[c].isNotNull() for c in columns])
-    stats = df.agg(F.count_if(gap & known), *[F.avg(number[c]) for c in columns]).first()
-    means = dict(zip(columns, stats[1:]))
+    stats = df.agg(F.count_if(gap & known), F.count_if(known), *[F.avg(number[c]) for c in columns]).first()
+    means = dict(zip(columns, stats[2:]))
     if not stats[0]:
         return fill_values(df, means, widen=True)
 
@@ -209,7 +213,7 @@ def knn_impute(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], k
         *[quoted(c).alias(o) for c, o in zip(order_by, orders)],
         *[number[c].alias(x) for c, x in zip(columns, numbers)],
     )
-    answers = NeighbourSearch(materialize(plain, "plain"), numbers, orders, k).means()
+    answers = NeighbourSearch(materialize(plain, "plain"), numbers, orders, k, stats[1]).means()
     open_ = df.filter(gap)
     on = [number[c].eqNullSafe(F.col(x)) for c, x in zip(columns, numbers)]
     joined = open_.join(answers, reduce(lambda a, b: a & b, on), "left")

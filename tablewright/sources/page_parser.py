@@ -15,6 +15,10 @@ from html.parser import HTMLParser
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = {"script", "style", "template", "rt", "rp"}
 
+# Tags without attributes, of which most pages are made; what follows script and style is not markup.
+_PLAIN_START = re.compile(r"<(?!(?i:script|style)>)([A-Za-z][A-Za-z0-9]*)>")
+_PLAIN_END = re.compile(r"</([A-Za-z][A-Za-z0-9]*)>")
+
 
 class PageParser(HTMLParser):
     """Collects ``nodes`` in document order and ``texts`` between tags.
@@ -59,6 +63,21 @@ class PageParser(HTMLParser):
     def _nearest(self, *tags: str) -> dict | None:
         return next((node for node in reversed(self._open) if node["tag"] in tags), None)
 
+    def parse_starttag(self, i):
+        plain = _PLAIN_START.match(self.rawdata, i)
+        if not plain:
+            return super().parse_starttag(i)
+        self.lasttag = plain[1].lower()
+        self.handle_starttag(self.lasttag, [])
+        return plain.end()
+
+    def parse_endtag(self, i):
+        plain = None if self.cdata_elem else _PLAIN_END.match(self.rawdata, i)
+        if not plain:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1].lower())
+        return plain.end()
+
     def handle_starttag(self, tag, attrs):
         self._flush()
         owner = None
@@ -81,6 +100,27 @@ class PageParser(HTMLParser):
         if tag in VOID:
             self._close_top()
 
+    def pruned(self, tags: set[str], attributes: set[str] | None) -> tuple[list[dict], list[str]]:
+        """Nodes of the wanted tags with the wanted attributes, and the texts below them; places count what is left."""
+        kept, before = [], [0]
+        for node in self.nodes:
+            if node["tag"] in tags:
+                kept.append(node)
+            before.append(len(kept))
+        nodes, texts, covered, shift = [], [], 0, 0
+        for node in kept:
+            if node["t0"] >= covered:
+                shift, covered = len(texts) - node["t0"], node["t1"]
+                texts += self.texts[node["t0"] : node["t1"]]
+            attrs = node["attrs"]
+            if attributes is not None and attrs:
+                attrs = {name: value for name, value in attrs.items() if name in attributes}
+            nodes.append(
+                node
+                | {"attrs": attrs, "pos": before[node["pos"]], "end": before[node["end"]], "t0": node["t0"] + shift, "t1": node["t1"] + shift}
+            )
+        return nodes, texts
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:

@@ -72,20 +72,30 @@ def _nested_array(pages: list[list], depth: int) -> pa.Array:
     return array
 
 
-def _parse(source: str | None, want_tables: bool) -> tuple[list, list, list, str | None]:
+def _parse(
+    source: str | None, fields: Sequence[str], tags: set[str] | None, attributes: set[str] | None
+) -> tuple[list, list, list, str | None]:
     """Nodes, texts, tables and error of one page; a broken page cannot fail the job."""
     try:
         page = page_parser.PageParser(source or "")
     except Exception as problem:
         return [], [], [], repr(problem)
+    nodes, texts = ([], []) if fields == ["tables"] else (page.nodes, page.texts) if tags is None else page.pruned(tags, attributes)
     try:
-        return page.nodes, page.texts, page.tables() if want_tables else [], None
+        return nodes, texts, page.tables() if "tables" in fields else [], None
     except Exception as problem:  # a broken table does not hide the page
-        return page.nodes, page.texts, [], repr(problem)
-
-
-def parse_batch(batch: pa.RecordBatch, html: str, keep: list[str], fields: list[str]):
-    parsed = [_parse(source, "tables" in fields) for source in batch.column(html).to_pylist()]
+        return nodes, texts, [], repr(problem)
+
+
+def parse_batch(
+    batch: pa.RecordBatch,
+    html: str,
+    keep: list[str],
+    fields: list[str],
+    tags: set[str] | None = None,
+    attributes: set[str] | None = None,
+):
+    parsed = [_parse(source, fields, tags, attributes) for source in batch.column(html).to_pylist()]
     nodes, texts, tables, errors = zip(*parsed) if parsed else ([], [], [], [])
     build = {
         "nodes": lambda: _node_array(nodes),
@@ -102,19 +112,24 @@ def parse_pages(
     keep: Sequence[str] = ("page_id",),
     html: str = "html",
     fields: Sequence[str] = tuple(PARSED_FIELDS),
+    tags: Sequence[str] | None = None,
+    attributes: Sequence[str] | None = None,
 ) -> DataFrame:
     """Parse each page once; a page that cannot be parsed gets an ``error``.
 
     No shuffle: pages are parsed where they are scanned, and only the kept
-    columns and the HTML are read.  ``fields`` limits what is handed back.
+    columns and the HTML are read.  ``fields`` limits what is handed back, ``tags``
+    the elements in it with the texts below them, ``attributes`` their
+    attributes; both default to all.  Tables are always laid out whole.
     """
     keep, fields = list(keep), list(fields)
+    tags, attributes = (None if names is None else set(names) for names in (tags, attributes))
     types = [T.StructField(n, T._parse_datatype_string(PARSED_FIELDS[n])) for n in fields]
     schema = T.StructType([*[pages.schema[c] for c in keep], *types])
 
     def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, _SLICE):
-                yield parse_batch(batch.slice(start, _SLICE), html, keep, fields)
+                yield parse_batch(batch.slice(start, _SLICE), html, keep, fields, tags, attributes)
 
     return pages.select(*keep, html).mapInArrow(parse_batches, schema)

@@ -288,3 +288,33 @@ def test_records_of_any_shape(spark):
     assert (rows[1]["a"], rows[1]["b"], rows[2]["b"], rows[3]["a"]) == (None, "x", "2", None)
     shapes = {tuple(r["names"]): (r["fingerprint"], r["rows"]) for r in extract.record_shapes(repeated).collect()}
     assert shapes == {("a", "b"): (rows[1]["fingerprint"], 2), (): (rows[3]["fingerprint"], 1)}
+
+
+def test_pruned_pages_give_the_same_rows(spark, tiny):
+    """Only wanted elements leave the parser; what is extracted from them does not change."""
+    odd = ["<ul><li>a<ul class=x><li>b</li></ul><p>c</li></ul><div>d<script>var e</script><h1 id=i>f</div>", "", "<div><div></div>x</div>", None]
+    every = spark.read.parquet(f"{tiny}/pages.parquet").select("page_id", "url", "html").unionByName(
+        spark.createDataFrame([(-i, "u", h) for i, h in enumerate(odd, 1)] + [(-9, "u", PAGE)], "page_id bigint, url string, html string")
+    )
+    tags = ["h1", "div", "script"]
+    whole = parse_pages(every)
+    part = parse_pages(every, tags=[*tags, *extract.LIST_TAGS], attributes=extract.ELEMENT_ATTRIBUTES)
+    for operator in (extract.extract_list_items, lambda p: extract.extract_elements(p, tags), lambda p: extract.extract_records(p, tags)):
+        assert sorted(map(str, operator(part).collect())) == sorted(map(str, operator(whole).collect()))
+    only = parse_pages(every, tags=["h1"], attributes=()).select(F.explode("nodes").alias("n")).select("n.tag", F.size("n.attrs"))
+    assert {tuple(r) for r in only.distinct().collect()} == {("h1", 0)}
+
+
+def test_plain_tags_are_read_like_any(tiny):
+    """The short way for tags without attributes gives what the standard parser gives."""
+    import duckdb
+
+    class Slow(PageParser):
+        parse_starttag = PageParser.__mro__[1].parse_starttag
+        parse_endtag = PageParser.__mro__[1].parse_endtag
+
+    pages_ = [r[0] for r in duckdb.sql(f"SELECT html FROM '{tiny}/pages.parquet'").fetchall()]
+    pages_ += [PAGE, "<A><b></B></a >", "<script></p></script><p>", "<STYLE><b></STYLE>x", "<p<b>", "</>", "<br/>", "<x-y></x-y>", "<title><b></title>", "a<b", "</b", "<p>&lt;</p>&amp"]
+    for page in pages_:
+        fast, slow = PageParser(page), Slow(page)
+        assert (fast.nodes, fast.texts, fast.tables()) == (slow.nodes, slow.texts, slow.tables())

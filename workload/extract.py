@@ -22,7 +22,7 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def nav_item_counts(spark, sf):
     """Flagship: pages -> list items -> tidy text -> first page of each item, with its uses."""
-    items = extract.extract_list_items(parse_pages(_pages(spark, sf), fields=["nodes", "texts"]))
+    items = extract.extract_list_items(parse_pages(_pages(spark, sf), fields=["nodes", "texts"], tags=extract.LIST_TAGS, attributes=()))
     tidy = clean_text(items, ["item"], ["remove_extra_spaces"])
     order = ["page_id", "list_idx", "item_idx"]
     return drop_duplicates(tidy, ["item"], "first", order, copies="uses")
@@ -41,16 +41,29 @@ WITH raw AS (
 """
 
 
+def _elements(spark, sf, tags):
+    """Only the wanted elements leave the parser."""
+    fields = ["nodes", "texts"]
+    parsed = parse_pages(_pages(spark, sf), fields=fields, tags=tags, attributes=extract.ELEMENT_ATTRIBUTES)
+    return extract.extract_elements(parsed, tags)
+
+
+def _records(spark, sf):
+    tags = ["h1", "div"]
+    parsed = parse_pages(_pages(spark, sf), tags=[*tags, *extract.LIST_TAGS], attributes=extract.ELEMENT_ATTRIBUTES)
+    return extract.extract_records(parsed, tags)
+
+
 def list_items(spark, sf):
-    return extract.extract_list_items(parse_pages(_pages(spark, sf), fields=["nodes", "texts"]))
+    return extract.extract_list_items(parse_pages(_pages(spark, sf), fields=["nodes", "texts"], tags=extract.LIST_TAGS, attributes=()))
 
 
 def elements(spark, sf):
-    return extract.extract_elements(parse_pages(_pages(spark, sf)), ["h1", "div"])
+    return _elements(spark, sf, ["h1", "div"])
 
 
 def paragraphs(spark, sf):
-    return extract.extract_elements(parse_pages(_pages(spark, sf)), ["p", "footer"])
+    return _elements(spark, sf, ["p", "footer"])
 
 
 # a page may end an entity without its semicolon; it means the same
@@ -114,7 +127,7 @@ def _event_scripts(spark, sf) -> DataFrame:
 
 
 def embedded_json(spark, sf):
-    records = extract.extract_embedded_json(parse_pages(_event_scripts(spark, sf), fields=["nodes"]))
+    records = extract.extract_embedded_json(parse_pages(_event_scripts(spark, sf), fields=["nodes"], tags=["script"], attributes=()))
     flat = extract.flatten_records(
         records, "event_id bigint, user struct<id bigint, kind string>, value double"
     )
@@ -245,23 +258,23 @@ def combine_union(spark, sf):
 
 
 def records(spark, sf):
-    found = extract.extract_records(parse_pages(_pages(spark, sf)), ["h1", "div"])
+    found = _records(spark, sf)
     return extract.record_columns(found, ["item", "element_type", "content"])
 
 
 def records_wide(spark, sf):
-    found = extract.extract_records(parse_pages(_pages(spark, sf)), ["h1", "div"])
+    found = _records(spark, sf)
     return extract.unify_records(found)
 
 
 def record_shapes(spark, sf):
-    found = extract.extract_records(parse_pages(_pages(spark, sf)), ["h1", "div"])
+    found = _records(spark, sf)
     return extract.record_shapes(found).select("fingerprint", F.array_join("names", ",").alias("names"), "rows")
 
 
 def records_gathered(spark, sf):
     """Records of both shapes in one table of VARIANT objects, read by name."""
-    found = extract.extract_records(parse_pages(_pages(spark, sf)), ["h1", "div"])
+    found = _records(spark, sf)
     return extract.record_values(extract.gather_records(found), ["item", "element_type", "content"])
 
 
