@@ -58,17 +58,36 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(scheme, hosts, hyphens, paths, names))
 
 
+def token_classes(labelled: DataFrame) -> DataFrame:
+    """(token, item): tokens that the same labelled urls have, told by count and two hash sums over the urls, are one
+    item, named by the first of them. Rules cannot tell such tokens apart, and sets of them double with each one.
+    ``labelled`` (url, tokens) holds different urls."""
+    marks = [F.bit_xor(F.xxhash64("url", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    seen = labelled.select("url", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *marks)
+    first = seen.groupBy("n", "x0", "x1").agg(F.min("token").alias("item"))
+    return seen.join(first, ["n", "x0", "x1"]).select("token", "item")
+
+
+def with_items(urls: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """``urls`` (key, tokens and more) with the items of their tokens, ``items``; tokens that no class has are left out."""
+    named = urls.select(key, F.explode("tokens").alias("token")).join(classes, "token").groupBy(key).agg(F.collect_set("item").alias("items"))
+    return urls.join(named, key, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+
+
 def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, rows: int = MIN_ROWS) -> DataFrame:
     """(items, verdict, confidence, support) of the token combinations that imply a verdict.
 
-    ``labelled`` has ``tokens`` and ``verdict``. A rule stays only if no rule over part of its tokens is as confident.
+    ``labelled`` has ``tokens`` (or items of them) and ``verdict``. A rule stays only if its verdict is more frequent
+    with its tokens than without regard to them, and no rule over part of its tokens is as confident. Rules are written
+    once, before they are compared.
     """
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit(_LABEL), F.col("verdict"))).alias("items"))
     least = min(1.0, max(support, rows / max(1, labelled.count())))
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.filter(F.col("consequent")[0].startswith(_LABEL)).select(
+    rules = model.associationRules.filter(F.col("consequent")[0].startswith(_LABEL) & ((F.col("lift") > 1) | (F.col("confidence") == 1))).select(
         F.array_sort("antecedent").alias("items"), F.substring_index(F.col("consequent")[0], "=", -1).alias("verdict"), "confidence", "support"
     )
+    rules = written(rules, "rules")
     shorter = rules.select(F.col("items").alias("_items"), F.col("verdict").alias("_verdict"), F.col("confidence").alias("_confidence"))
     subsets = rules.withColumn("_rule", F.monotonically_increasing_id()).select("_rule", "items", "verdict", "confidence", F.explode("items").alias("_token"))
     indexed = shorter.withColumn("_token", F.element_at("_items", 1))
@@ -101,15 +120,20 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
 
     Urls that a given rule fits are the labels; FP-growth learns from all of them which tokens imply a verdict, and
     urls that no given rule fits get the best mined rule's verdict, or DEFAULT. Urls are judged once each and joined
-    back, so copies of a url cost a row of a join; null, empty and odd urls have empty parts and no rule. Very long urls
-    have more tokens; a table without labels mines nothing; an empty table gives no rows. Other columns are ignored.
+    back, so copies of a url cost a row of a join; null, empty and odd urls have empty parts and no rule. Tokens that the
+    same labelled urls have count as one, so that mining does not grow with the length of urls that share their words. A
+    table without labels mines nothing; an empty table gives no rows. Other columns are ignored.
     """
     rows = pages.select(F.col(key).alias(key), F.col(url).cast("string").alias("url"))
     known = rows.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = known.withColumn("_given", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.col("host"), F.col("path"), F.col("url")))
     known = written(known.withColumn("_url", F.xxhash64("url", F.lit(1))).withColumn("_url2", F.xxhash64("url", F.lit(2))), "urls")
-    mined = written(mine(known.filter("_given is not null").select("tokens", F.col("_given.verdict").alias("verdict")), support, confidence), "rules")
-    open_ = known.filter("_given is null").select(F.struct("_url", "_url2").alias("_key"), "tokens")
+    labelled = known.filter("_given is not null").select("url", "tokens", F.col("_given.verdict").alias("verdict"))
+    classes = written(token_classes(labelled), "tokens")
+    baskets = with_items(labelled, classes, "url").select(F.col("items").alias("tokens"), "verdict")
+    mined = written(mine(baskets, support, confidence), "rules")
+    open_ = with_items(known.filter("_given is null").select(F.struct("_url", "_url2").alias("_key"), "tokens"), classes, "_key")
+    open_ = open_.select("_key", F.col("items").alias("tokens"))
     best = match(open_, mined, "_key").select(F.col("_key._url").alias("_url"), F.col("_key._url2").alias("_url2"), F.col("verdict").alias("_mined"), "mined_rule")
     judged = known.join(best, ["_url", "_url2"], "left").select(
         F.col("url").alias("_same"), "host", "path", F.col("_given.rule").alias("rule"), F.coalesce("_given.verdict", "_mined", F.lit(DEFAULT)).alias("verdict"), "mined_rule"

@@ -78,3 +78,22 @@ def test_odd_rows(spark):
         assert (r.host, r.path) == parts(r.url) and r.rule == given(r.host, r.path)[0] and r.verdict
     assert url_filter.judge(df.limit(0)).count() == 0
     assert [r.verdict for r in url_filter.judge(df.filter("page_id < 2")).collect()] == ["allow"] * 2
+
+
+def test_urls_that_share_many_words(spark):
+    """1,000 urls with 40 words in common: the words are one item, so that mining does not double with each."""
+    shared = "/".join(f"w{i}" for i in range(40))
+    urls = [f"https://{'a.com' if i % 2 else 'b.net/es'}/{shared}/n{i}" for i in range(1000)] + [f"https://c.org/{shared}/x", "https://c.org/es/w3"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r.page_id: r for r in url_filter.judge(df).collect()}
+    assert len(found) == len(urls) and all(found[i].verdict == ("allow" if i % 2 else "block") for i in range(1000))
+    assert found[1001].verdict == "block" and found[1001].mined_rule
+
+
+def test_classes_hold_tokens_of_the_same_urls(spark):
+    baskets = [("u1", ["a", "b", "c"]), ("u2", ["a", "b"]), ("u3", ["c", "d"]), ("u4", ["d", "c", "e"])]
+    df = spark.createDataFrame(baskets, "url string, tokens array<string>")
+    classes = url_filter.token_classes(df)
+    assert {r.token: r.item for r in classes.collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
+    items = {r.url: sorted(r["items"]) for r in url_filter.with_items(df, classes, "url").collect()}
+    assert items == {"u1": ["a", "c"], "u2": ["a"], "u3": ["c", "d"], "u4": ["c", "d", "e"]}
