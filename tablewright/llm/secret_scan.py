@@ -69,12 +69,16 @@ class NoveltyScan:
         if has_hex:
             found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text) if m.end() - m.start() >= LEAST_HEX]
         if has_candidate:
-            base = sorted(found)
+            base, at, reached = sorted(found), 0, 0
             for m in _CANDIDATE.finditer(text):
                 a, b = m.span()
                 if b - a < LEAST_NOVEL or not _SENSITIVE.search(text, max(0, a - NEAR), a):
                     continue
-                if any(x < b and y > a for x, _, y in base):
+                # candidates come in order: base spans that start in front of this one's end, and how far they reach
+                while at < len(base) and base[at][0] < b:
+                    reached = max(reached, base[at][2])
+                    at += 1
+                if reached > a:
                     continue
                 string = m[0]
                 if any(c.isdigit() for c in string) and any(c.isalpha() for c in string) and self.novelty(text, a, b) >= NOVEL_SHARE:

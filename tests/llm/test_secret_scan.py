@@ -52,3 +52,17 @@ def test_odd_rows(spark):
     assert hidden[0].text is None and hidden[12].text == texts[12]
     assert hidden[2].text == "é" * 50 + " [SECRET]' tail"
     assert secret_scan.find_secrets(df.limit(0)).count() == 0 == secret_scan.mask_secrets(df.limit(0)).count()
+
+
+def test_many_assignments_in_one_text():
+    """100,000 base spans and as many candidates: time in proportion, the same spans as for a part."""
+    import time
+
+    part = "password = Zx9kQ7vB2mL4nR8tYw3p session Qm8xV2kL9zT4wR7nB3cD; "
+    scan = secret_scan.NoveltyScan()
+    scan.novelty = lambda text, a, b: 1.0
+    few = scan.spans(part * 20)
+    began = time.monotonic()
+    many = scan.spans(part * 100_000)
+    assert time.monotonic() - began < 60
+    assert len(many) == 5000 * len(few) and many[: len(few) - 2] == few[:-2]
