@@ -163,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["_label", "measures"])
 
     rest = chosen.filter(~learning).select("_label", "_text").mapInArrow(measured, "_label int, measures array<double>")
-    rows = rest.orderBy("measures", "_label").limit(2 * SAMPLE_ROWS).collect()
+    # more than the sample only where ids repeat; then a part that does not depend on the measures' size
+    rows = rest.orderBy(F.xxhash64("measures", "_label"), "measures", "_label").limit(2 * SAMPLE_ROWS).collect()
     if rows:
         marks = np.array([r["_label"] for r in rows], dtype=np.float64)
         model.weights = calibrated(np.array([r["measures"] for r in rows]), marks)
