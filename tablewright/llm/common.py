@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
+#: Spans from this length on get a cryptographic hash: long regular strings collide modulo 2**64 whatever the base.
+LONG_SPAN = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,7 +127,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     up, down = _powers(len(data) + 1)
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * down[starts])
+    hashes = mix64((prefix[ends] - prefix[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts >= LONG_SPAN).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

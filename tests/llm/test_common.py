@@ -41,3 +41,14 @@ def test_words_and_hashes():
     assert hashes[3] == hashes[4] and len(set(hashes.tolist())) == 5
     long = np.frombuffer(b"q" * (5 << 20), dtype=np.uint8)
     assert len(set(common.span_hashes(long, np.array([0, 9]), np.array([5 << 20, (5 << 20)])).tolist())) == 2
+
+
+def test_long_regular_words_differ():
+    """The Thue-Morse word and its complement collide under every polynomial modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    for size in (512, 1024, 2048, 4096):
+        both = [bytes(b"ab"[b ^ flip] for b in bits[:size]) for flip in (0, 1)]
+        data = np.frombuffer(b" ".join([*both, both[0]]), dtype=np.uint8)
+        starts = np.array([0, size + 1, 2 * size + 2])
+        a, b, again = common.span_hashes(data, starts, starts + size).tolist()
+        assert a != b and a == again

@@ -78,3 +78,10 @@ def test_ids_are_kept(spark):
     df = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
     row = packing.pack_documents(df, keep_ids=True).first()
     assert row.ids[-1] == 0 and len(row.ids) == row.length
+
+
+def test_regular_words_keep_their_own_ids(spark):
+    words = ["".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(2048)) for flip in (0, 1)]
+    docs = [(i, f"x {w}") for i, w in enumerate(words + words[:1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, packing.pieces(df).collect())) == plain_pieces(docs)
