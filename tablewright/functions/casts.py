@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -73,13 +74,22 @@ def is_whole(number: Column) -> Column:
     return (number == F.floor(number)) & (F.abs(number) < F.lit(2.0**63))
 
 
+def _may_fit(text: Column, fmt: str) -> Column:
+    """A cheap test that every text of a layout passes: a digit, and the signs that stand between the layout's fields."""
+    bare = re.sub(r"'[^']*'", "", fmt)
+    fits = text.rlike(r"\d")
+    for sign in sorted(set(re.findall(r"[-/.:,]", bare))):
+        fits = fits & text.contains(sign)
+    return fits
+
+
 def to_datetime(c: Column, formats: Sequence[str] = DATETIME_FORMATS) -> Column:
     """Text to a timestamp without a zone, by the first layout that fits.
 
     The session's zone takes no part: a wall-clock time that it skips stays as written.
     """
     text = F.concat(c.cast("string"), F.lit(" +00:00"))
-    tries = [F.try_to_timestamp(text, F.lit(f"{fmt} XXX")) for fmt in formats]
+    tries = [F.when(_may_fit(c.cast("string"), fmt), F.try_to_timestamp(text, F.lit(f"{fmt} XXX"))) for fmt in formats]
     seconds = F.unix_micros(F.coalesce(*tries)).cast("decimal(20,0)") / F.lit(1_000_000)
     since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since

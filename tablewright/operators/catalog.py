@@ -50,6 +50,20 @@ def format_breakdown(log: DataFrame) -> DataFrame:
     return log.groupBy("format").agg(F.count(F.lit(1)).alias("exports"))
 
 
+def operation_timing(log: DataFrame, operation: str = "operation", seconds: str = "seconds") -> DataFrame:
+    """(operation, runs, total_seconds, average_seconds, longest_seconds) of a log with one row per run.
+
+    Reads audit tables of recipes as well as run logs; rows without a time count as runs only.
+    """
+    timed = log.groupBy(F.col(operation).alias("operation")).agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.sum(seconds).alias("total_seconds"),
+        F.avg(seconds).alias("average_seconds"),
+        F.max(seconds).alias("longest_seconds"),
+    )
+    return timed.select("operation", "runs", *[F.round(c, 3).alias(c) for c in timed.columns[2:]])
+
+
 def recent_exports(log: DataFrame, time: str, tiebreak: Sequence[str]) -> DataFrame:
     return newest(log, RECENT_EXPORTS, time, tiebreak)
 

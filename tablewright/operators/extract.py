@@ -199,6 +199,78 @@ def _filled(value: Column, missing: Sequence[str]) -> Column:
     return F.when(~value.isin(*missing), value)
 
 
+def _cell_number(value: Column) -> Column:
+    """A number with or without thousands separators, else NULL."""
+    bare = F.replace(value, F.lit(","), F.lit(""))
+    return F.when(bare.rlike(casts.NUMBER_PATTERN), bare.try_cast("double"))
+
+
+def _column_type(values: Column) -> Column:
+    """Type of a table's column from all of its cells, missing ones NULL.
+
+    integer needs whole numbers in every row, boolean true or false in every
+    row; numbers with gaps or fractions, or nothing but gaps, are float.
+    """
+    known = F.filter(values, lambda v: v.isNotNull())
+    full = F.size(known) == F.size(values)
+    whole = F.forall(known, lambda v: F.replace(v, F.lit(","), F.lit("")).rlike(r"^\s*[+-]?\d+\s*$"))
+    return (
+        F.when(F.size(known) == 0, "float")
+        .when(full & whole, "integer")
+        .when(F.forall(known, lambda v: _cell_number(v).isNotNull()), "float")
+        .when(full & F.forall(known, lambda v: F.lower(v).isin("true", "false")), "boolean")
+        .otherwise("string")
+    )
+
+
+def _table_columns(grid: Column, missing: Sequence[str]) -> Column:
+    """array<struct<name, type>> of one laid-out table."""
+    body = F.slice(grid, F.lit(2), F.size(grid))
+    names = _header_names(F.get(grid, F.lit(0)), F.array_max(F.transform(grid, F.size)))
+    return F.transform(
+        names,
+        lambda name, i: F.struct(
+            name.alias("name"), _column_type(F.transform(body, lambda row: _filled(F.get(row, i), missing))).alias("type")
+        ),
+    )
+
+
+def table_column_types(parsed: DataFrame, missing: Sequence[str] = MISSING_CELLS) -> DataFrame:
+    """(keys, table_idx, col_idx, name, type): what each column of each table holds, without a schema given."""
+    keys = _keys(parsed)
+    tables = parsed.select(*keys, F.posexplode(_usable_tables()).alias("table_idx", "grid"))
+    found = tables.select(*keys, "table_idx", F.posexplode(_table_columns(F.col("grid"), missing)).alias("col_idx", "c"))
+    return found.select(*keys, "table_idx", "col_idx", "c.name", "c.type")
+
+
+def extract_typed_cells(parsed: DataFrame, missing: Sequence[str] = MISSING_CELLS) -> DataFrame:
+    """(keys, table_idx, row_idx, col_idx, name, type, text, number, truth), one row per cell.
+
+    The value stands in the column of its type: ``number`` for integer and
+    float, ``truth`` for boolean, ``text`` for string columns.  Types are those of
+    ``table_column_types``; pages stay rows, nothing is shuffled.
+    """
+    keys = _keys(parsed)
+    tables = parsed.select(*keys, F.posexplode(_usable_tables()).alias("table_idx", "grid"))
+    typed = tables.select(*keys, "table_idx", _table_columns(F.col("grid"), missing).alias("columns"), F.slice("grid", F.lit(2), F.size("grid")).alias("body"))
+    kept = F.filter("body", lambda r: (F.size("columns") > 1) | (F.coalesce(F.get(r, F.lit(0)), F.lit("")) != ""))
+    rows = typed.select(*keys, "table_idx", "columns", F.posexplode(kept).alias("row_idx", "cells"))
+    cells = rows.select(*keys, "table_idx", "row_idx", "cells", F.posexplode("columns").alias("col_idx", "c"))
+    value = _filled(F.get("cells", F.col("col_idx")), missing)
+    kind = F.col("c.type")
+    return cells.select(
+        *keys,
+        "table_idx",
+        "row_idx",
+        "col_idx",
+        "c.name",
+        "c.type",
+        F.when(kind == "string", value).alias("text"),
+        F.when(kind.isin("integer", "float"), _cell_number(value)).alias("number"),
+        F.when(kind == "boolean", F.lower(value) == "true").alias("truth"),
+    )
+
+
 def extract_table_cells(parsed: DataFrame, missing: Sequence[str] = MISSING_CELLS) -> DataFrame:
     """(keys, table_idx, row_idx, col_idx, name, value), one row per cell.
 
@@ -469,49 +541,57 @@ def content_type(html: Column) -> Column:
     return F.when(marked, F.lit("dynamic")).otherwise(F.lit("static"))
 
 
-def extract_report(parsed: DataFrame, tags: Sequence[str] = DEFAULT_ELEMENTS) -> DataFrame:
-    """One row per page: records, columns, types, warnings, errors and status.
+def _common_type(types: Column) -> Column:
+    """One type for columns of several tables that share a name."""
+    different = F.array_distinct(types)
+    numeric = F.forall(different, lambda t: t.isin("integer", "float"))
+    return F.when(F.size(different) == 1, F.get(different, F.lit(0))).when(numeric, "float").otherwise("string")
+
+
+def extract_report(parsed: DataFrame, tags: Sequence[str] = DEFAULT_ELEMENTS, html: str | None = None) -> DataFrame:
+    """One row per page: records, columns, their types, warnings, errors and status.
 
     Counts are array sizes of the page itself, so empty pages need no join.
+    With ``html``, a kept column with the page's source, ``content_type`` says
+    static or dynamic in its place.
     """
-    keys = _keys(parsed)
+    keys = [c for c in _keys(parsed) if c != html]
     lists, elements, tables = _lists(), _elements(tags), _usable_tables()
-    headers = F.flatten(
-        F.transform(
-            tables,
-            lambda t: _header_names(
-                F.get(t, F.lit(0)), F.array_max(F.transform(t, F.size))
-            ),
-        )
-    )
-    none = F.array().cast("array<string>")
-    names = F.concat(
-        headers,
-        F.when(F.size(lists) > 0, F.array(F.lit("item"))).otherwise(none),
-        F.when(
-            F.size(elements) > 0,
-            F.array(*[F.lit(c) for c in ("class", "content", "element_type", "id")]),
-        ).otherwise(none),
+    none = F.array().cast("array<struct<name:string,type:string>>")
+
+    def texts(*names: str) -> Column:
+        return F.array(*[F.struct(F.lit(c).alias("name"), F.lit("string").alias("type")) for c in names])
+
+    entries = F.concat(
+        F.flatten(F.transform(tables, lambda t: _table_columns(t, MISSING_CELLS))),
+        F.when(F.size(lists) > 0, texts("item")).otherwise(none),
+        F.when(F.size(elements) > 0, texts("class", "content", "element_type", "id")).otherwise(none),
     )
 
     def total(arrays: Column, less: int = 0) -> Column:
         return F.aggregate(arrays, F.lit(0).cast("bigint"), lambda n, a: n + F.size(a) - less)
 
+    words = F.array().cast("array<string>")
+    extra = [content_type(quoted(html)).alias("content_type")] if html else []
     counted = parsed.select(
         *keys,
+        *extra,
         (total(tables, 1) + total(lists) + F.size(elements)).alias("total_records"),
-        F.array_sort(F.array_distinct(names)).alias("columns"),
-        F.when(F.col("error").isNull(), none).otherwise(F.array("error")).alias("errors"),
+        entries.alias("_entries"),
+        F.when(F.col("error").isNull(), words).otherwise(F.array("error")).alias("errors"),
     )
+    counted = counted.withColumn("columns", F.array_sort(F.array_distinct("_entries.name")))
+
+    def type_of(name: Column) -> Column:
+        return _common_type(F.transform(F.filter("_entries", lambda e: e["name"] == name), lambda e: e["type"]))
+
     return counted.select(
-        "*",
-        F.map_from_arrays(
-            "columns", F.transform("columns", lambda _: F.lit("string"))
-        ).alias("data_types"),
+        *[quoted(c) for c in counted.columns if c != "_entries"],
+        F.map_from_arrays("columns", F.transform("columns", type_of)).alias("data_types"),
         F.lit(1).alias("pages"),
         F.when(
             (F.col("total_records") == 0) & (F.size("errors") == 0), F.array(F.lit(NO_DATA))
-        ).otherwise(none).alias("warnings"),
+        ).otherwise(words).alias("warnings"),
         F.when(F.size("errors") > 0, "FAILED")
         .when(F.col("total_records") > 0, "SUCCESS")
         .otherwise("NO_DATA")

@@ -26,6 +26,7 @@ from tablewright.operators.dedup import duplicate_count
 from tablewright.operators.outliers import iqr_flags
 from tablewright.operators.stats import exact_percentiles
 from tablewright.operators.texts import top_texts
+from tablewright.sources.writers import ExportOptions
 
 # Size factors per export format, widest display column,
 # limits and penalties of the quality score.
@@ -192,6 +193,29 @@ def export_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def export_metadata(df: DataFrame, options: ExportOptions | None = None) -> DataFrame:
+    """(section, item, value): what an export says about itself.
+
+    Date, records, columns, format, encoding and index; each column's type; mean and deviation of numeric columns.
+    """
+    options = options or ExportOptions()
+    described = export_profile(df)
+    facts = {
+        "export_date": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"),
+        "total_records": F.coalesce(F.max("rows"), F.lit(0)).cast("string"),
+        "total_columns": F.lit(str(len(df.columns))),
+        "file_format": F.lit(options.format or "parquet"),
+        "encoding": F.lit(options.encoding),
+        "include_index": F.lit(str(options.index_column is not None).lower()),
+    }
+    about = F.array(*[F.struct(F.lit(name).alias("item"), value.alias("value")) for name, value in facts.items()])
+    general = described.agg(about.alias("facts")).select(F.explode("facts").alias("f")).select(F.lit("export").alias("section"), "f.item", "f.value")
+    kinds = described.select(F.lit("column").alias("section"), F.col("column").alias("item"), F.col("dtype").alias("value"))
+    shown = F.format_string("mean %.2f, std %.2f", "mean", F.coalesce("std", F.lit(0.0)))
+    numbers = described.filter(F.col("mean").isNotNull()).select(F.lit("summary").alias("section"), F.col("column").alias("item"), shown.alias("value"))
+    return general.unionByName(kinds).unionByName(numbers)
+
+
 def _castable(c: str) -> Column:
     return F.count_if(casts.to_number(quoted(c)).isNotNull())
 

@@ -132,4 +132,4 @@ def parse_pages(
             for start in range(0, batch.num_rows, _SLICE):
                 yield parse_batch(batch.slice(start, _SLICE), html, keep, fields, tags, attributes)
 
-    return pages.select(*keep, html).mapInArrow(parse_batches, schema)
+    return pages.select(*dict.fromkeys([*keep, html])).mapInArrow(parse_batches, schema)

@@ -318,3 +318,22 @@ def test_plain_tags_are_read_like_any(tiny):
     for page in pages_:
         fast, slow = PageParser(page), Slow(page)
         assert (fast.nodes, fast.texts, fast.tables()) == (slow.nodes, slow.texts, slow.tables())
+
+
+def test_types_of_table_columns(spark):
+    """Each table has types of its own; a name that several tables share gets their common one."""
+    html = (
+        "<table><tr><th>k</th><th>share</th><th>flag</th><th>none</th><th>mix</th></tr>"
+        "<tr><td>1,000</td><td>1.5</td><td>True</td><td></td><td>7</td></tr>"
+        "<tr><td>-2</td><td>n/a</td><td>false</td><td>NA</td><td>x</td></tr></table>"
+        "<table><tr><th>k</th><th>flag</th></tr><tr><td>2.5</td><td>yes</td></tr></table><script>1</script>"
+    )
+    parsed = parse_pages(pages(spark, html), keep=["page_id", "html"])
+    types = [(r["table_idx"], r["name"], r["type"]) for r in extract.table_column_types(parsed).orderBy("table_idx", "col_idx").collect()]
+    assert types == [(0, "k", "integer"), (0, "share", "float"), (0, "flag", "boolean"), (0, "none", "float"), (0, "mix", "string"), (1, "k", "float"), (1, "flag", "string")]
+    cells = {(r["table_idx"], r["row_idx"], r["name"]): (r["text"], r["number"], r["truth"]) for r in extract.extract_typed_cells(parsed).collect()}
+    assert cells[0, 0, "k"] == (None, 1000.0, None) and cells[0, 1, "flag"] == (None, None, False)
+    assert cells[0, 1, "share"] == cells[0, 0, "none"] == (None, None, None) and cells[0, 0, "mix"] == ("7", None, None)
+    report = extract.extract_report(parsed, html="html").first()
+    assert report["content_type"] == "dynamic"
+    assert report["data_types"] == {"flag": "string", "k": "float", "mix": "string", "none": "float", "share": "float"}

@@ -28,6 +28,10 @@ def format_breakdown(spark, sf):
     return catalog.format_breakdown(_runs(spark, sf))
 
 
+def timing(spark, sf):
+    return catalog.operation_timing(_runs(spark, sf), "format", "execution_time")
+
+
 def recent_exports(spark, sf):
     return catalog.recent_exports(_runs(spark, sf), "ts", ["run_id"]).select("run_id", "format", "success")
 
@@ -94,6 +98,7 @@ def retention(spark, sf):
 
 
 QUERIES = {
+    "operation_timing": timing,
     "export_stats": export_stats,
     "format_breakdown": format_breakdown,
     "recent_exports": recent_exports,
@@ -140,6 +145,11 @@ def _sql(text: str) -> str:
 
 
 ORACLES = {
+    "operation_timing": with_view(
+        "runs",
+        """SELECT format AS operation, count(*) AS runs, round(sum(execution_time), 3) AS total_seconds,
+  round(avg(execution_time), 3) AS average_seconds, round(max(execution_time), 3) AS longest_seconds FROM runs GROUP BY format""",
+    ),
     "export_stats": with_view(
         "runs",
         """SELECT count(*) AS total_exports, count(*) FILTER (WHERE success) AS successful_exports,

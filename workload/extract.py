@@ -99,6 +99,14 @@ def table_cells(spark, sf):
     return extract.extract_table_cells(parse_pages(_order_tables(spark, sf), fields=["tables"]))
 
 
+def table_types(spark, sf):
+    return extract.table_column_types(parse_pages(_order_tables(spark, sf), fields=["tables"]))
+
+
+def typed_cells(spark, sf):
+    return extract.extract_typed_cells(parse_pages(_order_tables(spark, sf), fields=["tables"]))
+
+
 def table_rows(spark, sf):
     parsed = parse_pages(_order_tables(spark, sf), fields=["tables"])
     return extract.extract_table_rows(
@@ -230,6 +238,13 @@ def report(spark, sf):
     )
 
 
+def report_types(spark, sf):
+    """Types of the columns that a page holds, and what kind of page it is."""
+    found = extract.extract_report(parse_pages(_order_tables(spark, sf), keep=["page_id", "html"]), html="html")
+    pairs = F.transform(F.map_entries("data_types"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("page_id", "content_type", F.array_join(F.array_sort(pairs), ",").alias("data_types"))
+
+
 def unify_union(spark, sf):
     customer = read(spark, sf, "customer").select(
         F.col("c_name").alias("name"),
@@ -292,6 +307,8 @@ QUERIES = {
     "extract_paragraphs": paragraphs,
     "extract_table_cells": table_cells,
     "extract_table_rows": table_rows,
+    "table_column_types": table_types,
+    "extract_typed_cells": typed_cells,
     "extract_embedded_json": embedded_json,
     "pagination_links": pagination,
     "classify_pages": classify_pages,
@@ -299,6 +316,7 @@ QUERIES = {
     "url_validate": url_validate,
     "resolve_links": resolve_links,
     "extract_report": report,
+    "report_types": report_types,
     "unify_union": unify_union,
     "combine_union": combine_union,
     "extract_records": records,
@@ -346,6 +364,22 @@ SELECT page_id, CAST(0 AS INTEGER) AS table_idx, row_idx, col_idx, name, value F
   UNION ALL SELECT o_orderkey, 1, 1, 'o_priority', NULL FROM orders
   UNION ALL SELECT o_orderkey, 1, 2, 'total_', NULL FROM orders
 )""",
+    "table_column_types": """
+SELECT o_orderkey AS page_id, CAST(0 AS INTEGER) AS table_idx, CAST(i AS INTEGER) AS col_idx,
+  ['order_key', 'o_priority', 'total_'][i + 1] AS name, ['integer', 'string', 'float'][i + 1] AS type
+FROM orders, (SELECT unnest([0, 1, 2]) AS i)""",
+    "extract_typed_cells": """
+SELECT page_id, CAST(0 AS INTEGER) AS table_idx, row_idx, col_idx, name, type, text, CAST(number AS DOUBLE) AS number, CAST(NULL AS BOOLEAN) AS truth FROM (
+  SELECT o_orderkey AS page_id, CAST(0 AS INTEGER) AS row_idx, CAST(0 AS INTEGER) AS col_idx, 'order_key' AS name,
+    'integer' AS type, NULL AS text, o_orderkey AS number FROM orders
+  UNION ALL SELECT o_orderkey, 0, 1, 'o_priority', 'string', o_orderpriority, NULL FROM orders
+  UNION ALL SELECT o_orderkey, 0, 2, 'total_', 'float', NULL, floor(o_totalprice) FROM orders
+  UNION ALL SELECT o_orderkey, 1, 0, 'order_key', 'integer', NULL, o_custkey FROM orders
+  UNION ALL SELECT o_orderkey, 1, 1, 'o_priority', 'string', NULL, NULL FROM orders
+  UNION ALL SELECT o_orderkey, 1, 2, 'total_', 'float', NULL, NULL FROM orders
+)""",
+    "report_types": """
+SELECT o_orderkey AS page_id, 'static' AS content_type, 'o_priority=string,order_key=integer,total_=float' AS data_types FROM orders""",
     "extract_table_rows": """
 SELECT o_orderkey AS page_id, CAST(0 AS INTEGER) AS table_idx, CAST(0 AS INTEGER) AS row_idx,
   o_orderkey AS order_key, o_orderpriority AS o_priority, floor(o_totalprice) AS total_ FROM orders

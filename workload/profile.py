@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators import profile
+from tablewright.sources.writers import ExportOptions
 from workload.views import read, spark_view, with_view
 
 _ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
@@ -48,6 +49,12 @@ def export_profile(spark, sf):
     )
 
 
+def export_metadata(spark, sf):
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    out = profile.export_metadata(orders, ExportOptions(format="csv", encoding="utf-16"))
+    return out.filter("item <> 'export_date'")
+
+
 def quality_events(spark, sf):
     return profile.quality_score(spark_view(spark, sf, "events_messy"))
 
@@ -80,6 +87,7 @@ QUERIES = {
     "shape_bytes": shape_bytes,
     "export_size_estimate": export_size,
     "export_profile": export_profile,
+    "export_metadata": export_metadata,
     "quality_score_events": quality_events,
     "quality_score_documents": quality_documents,
     "quality_issues_events": quality_issues_events,
@@ -194,6 +202,12 @@ UNION ALL SELECT 'o_custkey', 'bigint', count(*), round(avg(o_custkey), 6), roun
   CAST(least(greatest(9, max(length(CAST(o_custkey AS VARCHAR)))) + 2, 50) AS INTEGER) FROM orders
 UNION ALL SELECT 'o_orderpriority', 'string', count(*), NULL, NULL,
   CAST(least(greatest(15, max(length(o_orderpriority))) + 2, 50) AS INTEGER) FROM orders""",
+    "export_metadata": """
+SELECT 'export' AS section, unnest(['total_records', 'total_columns', 'file_format', 'encoding', 'include_index']) AS item,
+  unnest([count(*)::VARCHAR, '3', 'csv', 'utf-16', 'false']) AS value FROM orders
+UNION ALL SELECT 'column', unnest(['o_orderkey', 'o_custkey', 'o_orderpriority']), unnest(['bigint', 'bigint', 'string'])
+UNION ALL SELECT 'summary', 'o_orderkey', format('mean {:.2f}, std {:.2f}', avg(o_orderkey), stddev_samp(o_orderkey)) FROM orders
+UNION ALL SELECT 'summary', 'o_custkey', format('mean {:.2f}, std {:.2f}', avg(o_custkey), stddev_samp(o_custkey)) FROM orders""",
     "quality_score_events": with_view(
         "events_messy",
         f""", parts AS (SELECT count(*) AS n,
