@@ -217,6 +217,54 @@ def test_audit_of_steps_that_need_the_table(spark):
     assert same.count() == 40 and none.count() == 0
 
 
+def test_history_of_change_sets(spark):
+    """A version reads one base and one folder of changes, however many steps; undo and redo of any step are exact."""
+    n = 60
+    rows = [(i if i else None, f" name {i % 9} ", float(i) if i % 5 else None, [float("nan")] if i % 7 else None) for i in range(n)]
+    df = materialize(spark.createDataFrame(rows, "k int, t string, x double, a array<double>"), "start")
+    session = CleaningSession(df, key=["k"])
+    steps = [
+        ("clean_text", {"columns": ["t"], "operations": ["remove_numbers"]}),  # all rows: a new base
+        ("filter_rows", {"condition": "k is null or k % 11 > 0"}),
+        ("handle_missing", {"strategy": "fill_custom", "fill_value": 0, "columns": ["x"]}),
+        ("filter_rows", {"condition": "k is null or k < 58"}),
+        ("remove_outliers", {"columns": ["x"], "method": "zscore", "threshold": 1.65}),
+        ("handle_missing", {"strategy": "fill_custom", "fill_value": -1, "columns": ["k"]}),
+        ("rename_columns", {"mapping": {"t": "title"}}),
+        ("filter_rows", {"condition": "k % 2 = 0 or k > 20"}),
+        ("standardize_formats", {"rules": {"title": {"type": "regex", "pattern": "^ name *$", "replacement": "N"}}}),
+    ]
+
+    def content(table):
+        return sorted(map(str, table.collect()))
+
+    plain, versions = df, [content(df)]
+    for operation, parameters in steps:
+        if operation == "handle_missing" and parameters["columns"] == ["k"]:
+            continue
+        plain = materialize(Step(operation, parameters).apply(plain), "plain")
+        session.apply(operation, **parameters)
+        versions.append(content(plain))
+    for i in range(40, 48):
+        session.apply("filter_rows", condition=f"k is null or k <> {i}")
+        plain = plain.filter(f"k is null or k <> {i}")
+        versions.append(content(plain))
+    assert content(session.data) == versions[-1]
+    scans = session.data._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert scans == 2
+    for want in versions[-2::-1]:
+        if len(want) % 3 or want is versions[0]:
+            assert content(session.undo()) == want
+        else:
+            session.undo()
+    assert not session.can_undo()
+    for want in versions[1:4]:
+        assert content(session.redo()) == want
+    session.apply("filter_rows", condition="k = 3")
+    assert not session.can_redo() and session.data.count() == 1
+    assert content(session.reset()) == versions[0]
+
+
 def test_diff(spark):
     old = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 1)], "k int, s string, n int")
     new = spark.createDataFrame([(1, "a", None), (2, "B", 1), (4, "d", 1)], "k int, s string, n int")
