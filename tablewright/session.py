@@ -31,13 +31,16 @@ def local_session(cpus: int | str = "*", app: str = "tablewright", conf: dict[st
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``, or where that is unset one in the warehouse.
+    """Folder for intermediate tables that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Both are shared by the driver and all executors.
+    Where that is unset, a local session takes one in the warehouse; a cluster has to name one.
     """
     folder = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     folder = folder or spark.conf.get(CHECKPOINT_CONF, None)
-    folder = folder or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return folder.rstrip("/")
 
 
