@@ -95,6 +95,12 @@ def fingerprint_classes(docs: DataFrame, key: str = "doc_id", text: str = "text"
     return prints.join(classes, "print").select(F.col("key").alias(key), "print", F.col("lowest").alias("component"))
 
 
+#: Shingles that stand in MANY_TEXTS texts of one in SAMPLED texts or more come last in the order of shingles, MOST_COMMON
+#: at most. Any order finds the same pairs; this one lets fewer chance pairs meet.
+SAMPLED, MANY_TEXTS, MOST_COMMON = 16, 8, 1 << 20
+#: Least bits for each shingle of the parity map of a set, by which pairs are ruled out for certain.
+MAP_BITS = 2
+
 #: The wide fingerprint of ``similar_groups``: 64-bit words, of which the last is compared first, and the tables cut
 #: from the others. Bits of a table's key beyond the logarithm of the number of fingerprints.
 WIDE_WORDS, TABLES, SPARE_BITS = 4, 8, 6
@@ -106,18 +112,24 @@ def wide_bits(hashes: np.ndarray, words: int = WIDE_WORDS) -> bytes:
     return _majority(np.stack([mix64(hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)) for k in range(words)], axis=1), words)
 
 
+def set_digest(hashes: np.ndarray) -> bytes:
+    """128 bits that tell sets of shingles, given in rising order, apart."""
+    return xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
+
+
 def wide_prints(text: Column, words: int, size: int) -> Column:
-    """The wide fingerprint of a text as a struct of longs w0, w1 and so on."""
-    names = [f"w{k}" for k in range(size)]
+    """The wide fingerprint of a text as a struct of longs w0, w1 and so on, with its set's digest s0 and s1."""
+    names = [*(f"w{k}" for k in range(size)), "s0", "s1"]
 
     @F.arrow_udf("struct<" + ",".join(f"{n}:long" for n in names) + ">")
     def wide(texts: pa.Array) -> pa.Array:
         found = []
         for _, data, offsets in text_chunks(texts):
             raw, at = data.tobytes(), offsets.tolist()
-            found += [wide_bits(shingle_hashes(raw[a:b], words), size) for a, b in zip(at, at[1:])]
-        matrix = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, size)
-        return pa.StructArray.from_arrays([pa.array(matrix[:, k]) for k in range(size)], names=names)
+            sets = (np.unique(shingle_hashes(raw[a:b], words)) for a, b in zip(at, at[1:]))
+            found += [wide_bits(hashes, size) + set_digest(hashes) for hashes in sets]
+        matrix = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, size + 2)
+        return pa.StructArray.from_arrays([pa.array(matrix[:, k]) for k in range(size + 2)], names=names)
 
     return wide(text.cast("string"))
 
@@ -159,6 +171,103 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.filter(common / (F.size("_a") + F.size("_b") - common) >= similarity).select("a", "b")
 
 
+def common_shingles(rows: DataFrame, words: int) -> np.ndarray:
+    """Hashes of the shingles that stand in many texts, the rarer ones first; ``rows`` has _text and its digest tag."""
+    sets = rows.filter(F.pmod("tag", F.lit(SAMPLED)) == 0).select("tag", shingle_sets(F.col("_text"), words).alias("shingles"))
+    counts = sets.dropDuplicates(["tag"]).select(F.explode("shingles").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
+    found = counts.filter(F.col("n") >= MANY_TEXTS).orderBy(F.desc("n"), "hash").limit(MOST_COMMON).select("hash").toArrow()
+    return found["hash"].to_numpy()[::-1].view(np.uint64)
+
+
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """64-bit words, a power of two of them, whose bits say whether an odd number of the hashes falls on them."""
+    size = 1 << max(0, math.ceil(math.log2(max(1, MAP_BITS * len(hashes) / 64))))
+    place = ((hashes >> np.uint64(8)) % np.uint64(size)) * np.uint64(64) + hashes % np.uint64(64)
+    odd = np.bincount(place.astype(np.int64), minlength=64 * size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _map_difference(a: Column, b: Column) -> Column:
+    """In how many bits two parity maps differ; the longer one is folded to the shorter, whose length divides its own."""
+    size = F.least(F.size(a), F.size(b))
+
+    def folded(words: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(words), size), lambda first: F.slice(words, first, size))
+        start = F.transform(F.sequence(F.lit(1), size), lambda _: F.lit(0).cast("long"))
+        return F.when(F.size(words) == size, words).otherwise(F.aggregate(parts, start, lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))))
+
+    bits = F.zip_with(folded(a), folded(b), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.aggregate(bits, F.lit(0), lambda x, y: x + y)
+
+
+def _prefix_length(size: int, similarity: float) -> int:
+    """How many of a set's first shingles hold one of any set that is this similar, in whatever common order."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def set_prefixes(text: Column, words: int, similarity: float, common: np.ndarray) -> Column:
+    """struct<s0, s1, n, prefix, map>: a text's set digest, its size, its first shingles and its parity map."""
+    order = np.argsort(common)
+    known = common[order]
+
+    def ordered(hashes: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return hashes
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        often = known[at] == hashes
+        return np.concatenate([hashes[~often], common[np.sort(order[at[often]])]])
+
+    def lists(found: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, found)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+
+    @F.arrow_udf("struct<s0:long,s1:long,n:int,prefix:array<long>,map:array<long>>")
+    def prefixes(texts: pa.Array) -> pa.Array:
+        digests, sizes, heads, maps = [], [], [], []
+        for _, data, offsets in text_chunks(texts):
+            raw, at = data.tobytes(), offsets.tolist()
+            for a, b in zip(at, at[1:]):
+                hashes = np.unique(shingle_hashes(raw[a:b], words))
+                digests.append(set_digest(hashes))
+                sizes.append(len(hashes))
+                heads.append(ordered(hashes)[: _prefix_length(len(hashes), similarity)].view(np.int64))
+                maps.append(parity_map(hashes))
+        digest = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+        columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(sizes, pa.int32()), lists(heads), lists(maps)]
+        return pa.StructArray.from_arrays(columns, names=["s0", "s1", "n", "prefix", "map"])
+
+    return prefixes(text.cast("string"))
+
+
+def _missed(rows: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes of different components among which are all of this similarity, by exact bounds alone.
+
+    Of two sets with this Jaccard similarity, the first shingles of each, as many as may be missing in the other and one
+    more, share one: they meet there in an equi-join. Sizes, places in the order, and the shingles that the parity maps show
+    to differ rule out pairs for certain. Shingles that only one component has are dropped before they meet.
+    """
+    found = rows.select(set_prefixes(F.col("_text"), words, similarity, common_shingles(rows, words)).alias("p")).select("p.*")
+    ids = classes.select(F.col("print.s0").alias("s0"), F.col("print.s1").alias("s1"), "id", "component")
+    found = written(found.filter("n > 0").join(ids, ["s0", "s1"]).drop("s0", "s1").dropDuplicates(["id"]), "prefixes")
+    tokens = found.select("id", "component", "n", F.posexplode("prefix").alias("pos", "hash"))
+    shared = tokens.groupBy("hash").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("hash")
+    met = written(tokens.join(shared, "hash"), "tokens")
+    a, b = (met.select("hash", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "component", "n", "pos")]) for side in "ab")
+    least = similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-6
+    most = F.least("a_pos", "b_pos") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    pairs = a.join(b, "hash").filter((F.col("a_component") < F.col("b_component")) & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6) & (most >= least))
+    candidates = written(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), "pairs")
+    drop_written(met)
+    pairs = candidates
+    for side in "ab":
+        pairs = pairs.join(found.select(F.col("id").alias(side), F.col("n").alias(f"_n{side}"), F.col("map").alias(f"_{side}")), side)
+    differing = _map_difference(F.col("_a"), F.col("_b"))
+    limit = (1 - similarity) / (1 + similarity) * (F.col("_na") + F.col("_nb")) + 1e-6
+    missed = written(pairs.filter(differing <= limit).select("a", "b"), "missed")
+    drop_written(found, candidates)
+    return missed
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, component, group, tag) of every row: rows whose shingle sets have this Jaccard similarity or more, over links.
 
@@ -167,8 +276,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     most, for which both emit their keys' balls of radius one and meet in the shuffle. In a variant's group every member
     is compared with one pivot, the smallest by a hash that differs between tables, so no group's pairs are spread out
     and a group is read in a stream. Fingerprints only pick candidates, up to three standard errors beyond the limit; a
-    pair links if the exact Jaccard similarity of its shingle sets reaches the limit. Keys grow with the logarithm of the number of fingerprints, so chance meetings grow with the input. Rows of equal fingerprints,
-    repeated rows and those without words included, are one class. ``component`` is the smallest key of the group, null
+    pair links if the exact Jaccard similarity of its shingle sets reaches the limit. Keys grow with the logarithm of the
+    number of fingerprints, so chance meetings grow with the input. What fingerprints miss between the groups so found is
+    then looked for by bounds that hold for certain, see ``_missed``, and judged alike: no link is left out. Rows of equal
+    sets, repeated rows and those without words included, are one class. ``component`` is the smallest key of the group, null
     if its rows have none; ``group`` numbers the groups, ``tag`` is the XXH64 of the row's text.
     """
     bounded_batches(docs.sparkSession)
@@ -201,13 +312,29 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     pairs = written(met.select(F.greatest("id", "pivot.id").alias("a"), F.least("id", "pivot.id").alias("b")).distinct(), "pairs")
     close = written(_compared(pairs, classes.select("id", "print"), "print", WIDE_WORDS, most(WIDE_WORDS)), "pairs")
     drop_written(pairs)
-    needed = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
-    needed = classes.join(needed, "id").select("id", F.col("first").alias("_key"), F.col("tag").alias("_tag"))
-    met = rows.join(needed, F.col("key").eqNullSafe(F.col("_key")) & (F.col("tag") == F.col("_tag")))
-    sets = met.dropDuplicates(["id"]).select("id", shingle_sets(F.col("_text"), words).alias("shingles"))
-    links = _alike(close, written(sets, "sets"), similarity)
-    groups = components(links, "a", "b")
-    named = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        needed = classes.join(needed, "id").select("id", F.col("first").alias("_key"), F.col("tag").alias("_tag"))
+        met = rows.join(needed, F.col("key").eqNullSafe(F.col("_key")) & (F.col("tag") == F.col("_tag")))
+        return written(met.select("id", shingle_sets(F.col("_text"), words).alias("shingles")).dropDuplicates(["id"]), "sets")
+
+    def joined(named: DataFrame, links: DataFrame) -> DataFrame:
+        """The classes with the components that the links make of theirs."""
+        groups = components(links, "a", "b").withColumnRenamed("component", "_to")
+        named = named.join(groups.withColumnRenamed("node", "component"), "component", "left")
+        return written(named.withColumn("component", F.coalesce("_to", "component")).drop("_to"), "named")
+
+    sets = sets_of(close)
+    named = joined(classes.withColumn("component", F.col("id")), _alike(close, sets, similarity))
+    drop_written(sets, close)
+    missed = _missed(rows, named, words, similarity)
+    sets = sets_of(missed)
+    links = _alike(missed, sets, similarity)
+    for side in "ab":
+        links = links.join(named.select(F.col("id").alias(side), F.col("component").alias(f"_{side}")), side)
+    named = joined(named, links.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    drop_written(sets, missed)
     lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
     members = named.join(lowest, "component").select("print", "lowest", F.col("component").alias("group"))
     return prints.join(members, "print").select(F.col("key").alias(key), F.col("lowest").alias("component"), "group", "tag")

@@ -94,3 +94,23 @@ def test_links_are_decided_by_the_exact_similarity(spark):
     print(len(below), sum(linked[d] for d in below), len(above), sum(linked[d] for d in above))
     assert len(below) > 50 and not any(linked[d] for d in below)
     assert len(above) > 50 and sum(linked[d] for d in above) >= 0.85 * len(above)
+
+
+def test_no_link_is_left_out(spark):
+    """Short texts at the limit itself, among texts that share a common line, and a text between two groups."""
+    draw, docs, expected = random.Random(23), [], set()
+    line = [f"c{k}" for k in range(30)]
+    for k in range(400):
+        base = [f"w{draw.randrange(10**9)}" for _ in range(draw.choice((9, 14, 29)))]
+        base = base + line if k % 4 == 0 else base
+        near = base[: -((len(base) - 4) // 5)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    sets = {d: shingles(t) for d, t in docs}
+    for k in range(400):
+        one, other = sets[2 * k], sets[2 * k + 1]
+        if len(one & other) / len(one | other) >= 0.8:
+            expected.add(2 * k)
+    found = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(expected) > 300
+    assert [d for d in expected if found[d + 1] != d] == []
+    assert all(found[d] == d for d in sets if d % 2 == 0)
