@@ -240,7 +240,9 @@ def report(spark, sf):
 
 def report_types(spark, sf):
     """Types of the columns that a page holds, and what kind of page it is."""
-    found = extract.extract_report(parse_pages(_order_tables(spark, sf), keep=["page_id", "html"]), html="html")
+    tags = [*extract.DEFAULT_ELEMENTS, *extract.LIST_TAGS]
+    parsed = parse_pages(_order_tables(spark, sf), keep=["page_id", "html"], tags=tags, attributes=extract.ELEMENT_ATTRIBUTES)
+    found = extract.extract_report(parsed, html="html")
     pairs = F.transform(F.map_entries("data_types"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return found.select("page_id", "content_type", F.array_join(F.array_sort(pairs), ",").alias("data_types"))
 
