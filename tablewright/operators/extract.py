@@ -8,7 +8,7 @@ of one page at a time, so no operator shuffles; rows appear in a final
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,7 +171,7 @@ def _header_names(header: Column, width: Column) -> Column:
         return F.when(F.array_contains(taken, name), F.get(unused, F.lit(0))).otherwise(name)
 
     return F.aggregate(
-        F.transform(filled, clean_name_column),
+        _bound(filled, lambda names: F.transform(names, clean_name_column)),
         F.array().cast("array<string>"),
         lambda taken, name: F.array_append(taken, free(taken, name)),
     )
@@ -205,34 +205,44 @@ def _cell_number(value: Column) -> Column:
     return F.when(bare.rlike(casts.NUMBER_PATTERN), bare.try_cast("double"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _column_type(values: Column) -> Column:
     """Type of a table's column from all of its cells, missing ones NULL.
 
     integer needs whole numbers in every row, boolean true or false in every
     row; numbers with gaps or fractions, or nothing but gaps, are float.
     """
-    known = F.filter(values, lambda v: v.isNotNull())
-    full = F.size(known) == F.size(values)
-    whole = F.forall(known, lambda v: F.replace(v, F.lit(","), F.lit("")).rlike(r"^\s*[+-]?\d+\s*$"))
-    return (
-        F.when(F.size(known) == 0, "float")
-        .when(full & whole, "integer")
-        .when(F.forall(known, lambda v: _cell_number(v).isNotNull()), "float")
-        .when(full & F.forall(known, lambda v: F.lower(v).isin("true", "false")), "boolean")
-        .otherwise("string")
-    )
+
+    def of(known: Column, full: Column) -> Column:
+        whole = F.forall(known, lambda v: F.replace(v, F.lit(","), F.lit("")).rlike(r"^\s*[+-]?\d+\s*$"))
+        return (
+            F.when(F.size(known) == 0, "float")
+            .when(full & whole, "integer")
+            .when(F.forall(known, lambda v: _cell_number(v).isNotNull()), "float")
+            .when(full & F.forall(known, lambda v: F.lower(v).isin("true", "false")), "boolean")
+            .otherwise("string")
+        )
+
+    return _bound(values, lambda every: _bound(F.filter(every, lambda v: v.isNotNull()), lambda known: of(known, F.size(known) == F.size(every))))
 
 
 def _table_columns(grid: Column, missing: Sequence[str]) -> Column:
     """array<struct<name, type>> of one laid-out table."""
-    body = F.slice(grid, F.lit(2), F.size(grid))
     names = _header_names(F.get(grid, F.lit(0)), F.array_max(F.transform(grid, F.size)))
-    return F.transform(
-        names,
-        lambda name, i: F.struct(
-            name.alias("name"), _column_type(F.transform(body, lambda row: _filled(F.get(row, i), missing))).alias("type")
-        ),
-    )
+
+    def columns(body: Column) -> Column:
+        return F.transform(
+            names,
+            lambda name, i: F.struct(
+                name.alias("name"), _column_type(F.transform(body, lambda row: _filled(F.get(row, i), missing))).alias("type")
+            ),
+        )
+
+    return _bound(F.slice(grid, F.lit(2), F.size(grid)), columns)
 
 
 def table_column_types(parsed: DataFrame, missing: Sequence[str] = MISSING_CELLS) -> DataFrame:

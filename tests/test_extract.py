@@ -1,14 +1,16 @@
 """Extraction from small pages written by hand, and a brute-force check of nesting."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import admission, extract, union
+from tablewright.sources import page_parser
 from tablewright.sources.page_parser import PageParser, lay_out
 from tablewright.sources.pages import parse_pages, read_pages
-from workload import all_queries
+from workload import all_queries, views
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body>
 <ul class="menu"><li>one</li><li> two <b>bold</b></li><li> </li><li>outer<ol><li>inner</li></ol></li></ul>
@@ -337,3 +339,26 @@ def test_types_of_table_columns(spark):
     report = extract.extract_report(parsed, html="html").first()
     assert report["content_type"] == "dynamic"
     assert report["data_types"] == {"flag": "string", "k": "float", "mix": "string", "none": "float", "share": "float"}
+
+
+def test_rows_are_dealt_by_the_size_of_their_files(spark, tmp_path):
+    """A larger table has more parts, not longer tasks."""
+    path = f"{tmp_path}/wide.parquet"
+    spark.range(1_000_000).selectExpr("id", "sha2(cast(id as string), 256) AS text").coalesce(1).write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "wide.parquet").glob("*.parquet"))
+    found = views.dealt(spark.read.parquet(path))
+    assert found.rdd.getNumPartitions() >= size // views.PART_BYTES > 16
+    assert found.select("id").distinct().count() == 1_000_000
+
+
+def test_plain_markup_is_read_like_any_other():
+    class Slow(page_parser.PageParser):
+        def _read_plain(self, html):
+            return 0
+
+    pieces = ["<p>", "</p>", "<TABLE>", "</table>", "<tr>", "<td>", "</td>", "<br>", "<script>", "</script>", "a<b", " x\n y ", "&amp;", "<td colspan=2>", "<!-- c -->", "</", "<style>", "<textarea>", "<li>", "<", "\u0130<\u0130>", "</script >"]
+    draw = random.Random(5)
+    for _ in range(3000):
+        html = "".join(draw.choice(pieces) for _ in range(draw.randrange(14)))
+        one, other = page_parser.PageParser(html), Slow(html)
+        assert (one.nodes, one.texts, one.tables()) == (other.nodes, other.texts, other.tables()), html

@@ -95,11 +95,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of table files for each part that rows are dealt to.
+PART_BYTES = 1 << 20
+
+
+def _file_bytes(df: DataFrame) -> int:
+    """The size of the files that ``df`` is read from, as the scan has listed them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def dealt(df):
-    """Rows over all cores before queries make wide values of them, where a table has fewer parts than cores: a test
-    table is one row group. Rows are dealt in turn, whatever their values."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Rows over all cores before queries make wide values of them, where a table has fewer parts than cores or larger
+    ones than PART_BYTES: a test table is one row group, and a larger one has more parts, not longer tasks. Rows are dealt
+    in turn, whatever their values."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-_file_bytes(df) // PART_BYTES))
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
