@@ -32,6 +32,9 @@ SUFFIXES = {
 FLOAT_FORMAT = "0.00"
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
+# Rows of an XML file, which is read by one task: a larger dataset has more files, not larger ones.
+XML_ROWS = 50_000
+
 METADATA_SCHEMA = (
     "export_date string, total_records bigint, total_columns int, columns array<string>,"
     " data_types map<string,string>, orientation string"
@@ -191,7 +194,7 @@ def _write_parquet(df: DataFrame, path: str, options: ExportOptions) -> None:
 
 
 def _write_xml(df: DataFrame, path: str, options: ExportOptions) -> None:
-    writer = df.write.mode(options.mode).format("xml").option("rowTag", "row")
+    writer = df.write.mode(options.mode).format("xml").option("rowTag", "row").option("maxRecordsPerFile", XML_ROWS)
     writer.option("rootTag", "rows").option("encoding", _CHARSETS[options.encoding]).save(path)
 
 

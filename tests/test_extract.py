@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import admission, extract, union
-from tablewright.sources import page_parser
+from tablewright.sources import page_parser, writers
 from tablewright.sources.page_parser import PageParser, lay_out
 from tablewright.sources.pages import parse_pages, read_pages
 from workload import all_queries, views
@@ -362,3 +362,10 @@ def test_plain_markup_is_read_like_any_other():
         html = "".join(draw.choice(pieces) for _ in range(draw.randrange(14)))
         one, other = page_parser.PageParser(html), Slow(html)
         assert (one.nodes, one.texts, one.tables()) == (other.nodes, other.texts, other.tables()), html
+
+
+def test_xml_files_hold_a_bounded_number_of_rows(spark, tmp_path):
+    path = f"{tmp_path}/rows.xml"
+    writers.write_dataset(spark.range(0, 120_000, 1, 1).selectExpr("id", "concat('x', id) AS text"), path)
+    assert len([f for f in (tmp_path / "rows.xml").iterdir() if f.name.startswith("part-")]) == 3
+    assert writers.read_dataset(spark, path, "xml", "id bigint, text string").distinct().count() == 120_000
