@@ -100,6 +100,9 @@ def fingerprint_classes(docs: DataFrame, key: str = "doc_id", text: str = "text"
 SAMPLED, MANY_TEXTS, MOST_COMMON = 16, 8, 1 << 20
 #: Least bits for each shingle of the parity map of a set, by which pairs are ruled out for certain.
 MAP_BITS = 2
+#: 64-bit words of the short parity map that travels with a set's shingles; sets for which it is too short have none.
+SKETCH_WORDS = 8
+SKETCH = [f"k{k}" for k in range(SKETCH_WORDS)]
 
 #: The wide fingerprint of ``similar_groups``: 64-bit words, of which the last is compared first, and the tables cut
 #: from the others. Bits of a table's key beyond the logarithm of the number of fingerprints.
@@ -179,9 +182,9 @@ def common_shingles(rows: DataFrame, words: int) -> np.ndarray:
     return found["hash"].to_numpy()[::-1].view(np.uint64)
 
 
-def parity_map(hashes: np.ndarray) -> np.ndarray:
-    """64-bit words, a power of two of them, whose bits say whether an odd number of the hashes falls on them."""
-    size = 1 << max(0, math.ceil(math.log2(max(1, MAP_BITS * len(hashes) / 64))))
+def parity_map(hashes: np.ndarray, size: int | None = None) -> np.ndarray:
+    """64-bit words, so many or a power of two by the set's size, whose bits say whether an odd number of the hashes falls on them."""
+    size = size or 1 << max(0, math.ceil(math.log2(max(1, MAP_BITS * len(hashes) / 64))))
     place = ((hashes >> np.uint64(8)) % np.uint64(size)) * np.uint64(64) + hashes % np.uint64(64)
     odd = np.bincount(place.astype(np.int64), minlength=64 * size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -206,7 +209,10 @@ def _prefix_length(size: int, similarity: float) -> int:
 
 
 def set_prefixes(text: Column, words: int, similarity: float, common: np.ndarray) -> Column:
-    """struct<s0, s1, n, prefix, map>: a text's set digest, its size, its first shingles and its parity map."""
+    """struct<s0, s1, n, prefix, map, k0, ...>: a text's set digest, its size, its first shingles, its parity map and the short one.
+
+    Declared nondeterministic, or Spark would evaluate it again, in a worker of its own, for each filter on a field.
+    """
     order = np.argsort(common)
     known = common[order]
 
@@ -221,9 +227,13 @@ def set_prefixes(text: Column, words: int, similarity: float, common: np.ndarray
         ends = np.cumsum([0, *map(len, found)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
 
-    @F.arrow_udf("struct<s0:long,s1:long,n:int,prefix:array<long>,map:array<long>>")
+    telling = 32 * SKETCH_WORDS * (1 + similarity) / (1 - similarity) / 2 if similarity < 1 else math.inf
+    unknown = np.zeros(SKETCH_WORDS, dtype=np.int64)
+    names = ["s0", "s1", "n", "prefix", "map", *SKETCH]
+
+    @F.arrow_udf("struct<s0:long,s1:long,n:int,prefix:array<long>,map:array<long>," + ",".join(f"{k}:long" for k in SKETCH) + ">")
     def prefixes(texts: pa.Array) -> pa.Array:
-        digests, sizes, heads, maps = [], [], [], []
+        digests, sizes, heads, maps, short = [], [], [], [], []
         for _, data, offsets in text_chunks(texts):
             raw, at = data.tobytes(), offsets.tolist()
             for a, b in zip(at, at[1:]):
@@ -232,11 +242,14 @@ def set_prefixes(text: Column, words: int, similarity: float, common: np.ndarray
                 sizes.append(len(hashes))
                 heads.append(ordered(hashes)[: _prefix_length(len(hashes), similarity)].view(np.int64))
                 maps.append(parity_map(hashes))
+                short.append(parity_map(hashes, SKETCH_WORDS) if len(hashes) < telling else unknown)
         digest = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
         columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(sizes, pa.int32()), lists(heads), lists(maps)]
-        return pa.StructArray.from_arrays(columns, names=["s0", "s1", "n", "prefix", "map"])
+        sketch, none = np.array(short, dtype=np.int64).reshape(-1, SKETCH_WORDS), np.array(sizes) >= telling
+        columns += [pa.array(sketch[:, k], mask=none) for k in range(SKETCH_WORDS)]
+        return pa.StructArray.from_arrays(columns, names=names)
 
-    return prefixes(text.cast("string"))
+    return prefixes.asNondeterministic()(text.cast("string"))
 
 
 def _missed(rows: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -244,18 +257,22 @@ def _missed(rows: DataFrame, classes: DataFrame, words: int, similarity: float)
 
     Of two sets with this Jaccard similarity, the first shingles of each, as many as may be missing in the other and one
     more, share one: they meet there in an equi-join. Sizes, places in the order, and the shingles that the parity maps show
-    to differ rule out pairs for certain. Shingles that only one component has are dropped before they meet.
+    to differ rule out pairs for certain; the short map does so where they meet, so that a group of copies that are not near
+    enough does not leave its pairs. Shingles that only one component has are dropped before they meet.
     """
     found = rows.select(set_prefixes(F.col("_text"), words, similarity, common_shingles(rows, words)).alias("p")).select("p.*")
     ids = classes.select(F.col("print.s0").alias("s0"), F.col("print.s1").alias("s1"), "id", "component")
     found = written(found.filter("n > 0").join(ids, ["s0", "s1"]).drop("s0", "s1").dropDuplicates(["id"]), "prefixes")
-    tokens = found.select("id", "component", "n", F.posexplode("prefix").alias("pos", "hash"))
+    tokens = found.select("id", "component", "n", *SKETCH, F.posexplode("prefix").alias("pos", "hash"))
     shared = tokens.groupBy("hash").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("hash")
     met = written(tokens.join(shared, "hash"), "tokens")
-    a, b = (met.select("hash", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "component", "n", "pos")]) for side in "ab")
+    a, b = (met.select("hash", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "component", "n", "pos", *SKETCH)]) for side in "ab")
     least = similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-6
     most = F.least("a_pos", "b_pos") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    pairs = a.join(b, "hash").filter((F.col("a_component") < F.col("b_component")) & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6) & (most >= least))
+    limit = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    differing = sum(F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in SKETCH)
+    sizes_fit = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6
+    pairs = a.join(b, "hash").filter((F.col("a_component") < F.col("b_component")) & sizes_fit & (most >= least) & (F.coalesce(differing, F.lit(0)) <= limit))
     candidates = written(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), "pairs")
     drop_written(met)
     pairs = candidates

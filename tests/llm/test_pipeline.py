@@ -114,3 +114,31 @@ def test_no_link_is_left_out(spark):
     assert len(expected) > 300
     assert [d for d in expected if found[d + 1] != d] == []
     assert all(found[d] == d for d in sets if d % 2 == 0)
+
+
+def test_a_group_of_copies_that_are_not_near_leaves_no_pairs(spark, monkeypatch):
+    """Texts are read once for their prefixes, and a group's pairs below the limit are ruled out where they meet."""
+    draw = random.Random(31)
+    base = [f"w{draw.randrange(10**9)}" for _ in range(150)]
+    docs = []
+    for d in range(150):
+        words = list(base)
+        for place in draw.sample(range(0, 150, 5), 5 + d % 3):
+            words[place] = f"v{draw.randrange(10**9)}"
+        docs.append((d, " ".join(words)))
+    sets = {d: shingles(t) for d, t in docs}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    near = sum(j >= 0.75 for j in alike.values())
+    assert near < 0.05 * len(alike)
+    made, written = {}, simhash.written
+
+    def kept(df, label):
+        evaluated = df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+        made.setdefault(label, []).append((evaluated, (out := written(df, label)).count()))
+        return out
+
+    monkeypatch.setattr(simhash, "written", kept)
+    found = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(found[a] == found[b] for (a, b), j in alike.items() if j >= 0.8)
+    assert made["prefixes"] == [(1, len(docs))]
+    assert made["pairs"][-1][1] <= 0.1 * len(alike), (made["pairs"], near, len(alike))
