@@ -69,6 +69,8 @@ EMBEDDED_DATA = (
     r"data\s*:\s*(\[.*?\])",
     r'"data"\s*:\s*(\[.*?\])',
 )
+# What a script has to hold for the pattern of the same place; looked for first, since most scripts fit few patterns.
+EMBEDDED_WORDS = ("var", "let", "const", "window.", "data", '"data"')
 HREF_PARTS = ("page", "p=", "offset")
 PAGER_CLASSES = ("pagination", "pager", "page-numbers")
 LINK_TEXTS = ("Next", ">")
@@ -441,10 +443,11 @@ def extract_embedded_json(parsed: DataFrame) -> DataFrame:
     keys = _keys(parsed)
     scripts = F.transform(_nodes("script"), lambda n: n["raw"])
     found = parsed.select(*keys, F.posexplode(scripts).alias("script_idx", "script"))
+    none = F.array().cast("array<string>")
     matches = F.array(
         *[
-            F.regexp_extract_all("script", F.lit(f"(?sU){pattern}"), F.lit(1))
-            for pattern in EMBEDDED_DATA
+            F.when(F.col("script").contains(word), F.regexp_extract_all("script", F.lit(f"(?sU){pattern}"), F.lit(1))).otherwise(none)
+            for word, pattern in zip(EMBEDDED_WORDS, EMBEDDED_DATA)
         ]
     )
     per_pattern = found.filter(F.col("script").isNotNull()).select(
@@ -453,7 +456,9 @@ def extract_embedded_json(parsed: DataFrame) -> DataFrame:
     arrays = per_pattern.select(
         *keys, "script_idx", "pattern_idx", F.posexplode("found").alias("match_idx", "text")
     )
-    valid = arrays.filter(F.try_parse_json("text").isNotNull())
+    # Without a brace, plain or escaped, no record can begin with one; parsing such text in vain costs an exception.
+    braced = arrays.filter(F.col("text").contains("{") | F.col("text").contains("\\"))
+    valid = braced.filter(F.try_parse_json("text").isNotNull())
     records = valid.select(
         *keys,
         "script_idx",

@@ -369,3 +369,24 @@ def test_xml_files_hold_a_bounded_number_of_rows(spark, tmp_path):
     writers.write_dataset(spark.range(0, 120_000, 1, 1).selectExpr("id", "concat('x', id) AS text"), path)
     assert len([f for f in (tmp_path / "rows.xml").iterdir() if f.name.startswith("part-")]) == 3
     assert writers.read_dataset(spark, path, "xml", "id bigint, text string").distinct().count() == 120_000
+
+
+def test_plain_scripts_are_read_like_others(monkeypatch):
+    """Scripts without attributes need no general parser, and give what it gives; those with inner markup go to it."""
+    plain = ["<p>x</p><script>let a = [1];</script><SCRIPT>if (a<b && c) d('&amp;');</Script>t<style></style>", "<b>a</b> <script> </script>"]
+    odd = ["<script>a</b></script>c", "<script><!-- </script> --></script>", "<script>a</script >b", "<script>a", "<script>a</style></script><i>k", "<script>1</\u017fcript>2</script>", "a&amp;b<script>x</script>", "<p>q<script>1</script><script>2</p>", "<div><script>a</script><a href=x>l</a></div>"]
+    read = lambda html: [(page.nodes, page.texts) for page in [page_parser.PageParser(html)]]
+    found = [read(html) for html in plain + odd]
+    with monkeypatch.context() as patch:
+        patch.setattr(page_parser.PageParser, "_read_plain", lambda self, html: 0)
+        assert [read(html) for html in plain + odd] == found
+    monkeypatch.setattr(page_parser.PageParser, "feed", lambda self, html: pytest.fail(html))
+    assert [read(html) for html in plain] == found[: len(plain)]
+
+
+def test_embedded_json_of_odd_scripts(spark):
+    """Every pattern, arrays without objects, escaped braces and broken text: only valid objects of the right pattern stay."""
+    scripts = ["let a = [1, oops];", "var b = [];", 'const c = [{"k": 1}, 2];', "window.d = [{'k': 2}];", 'window.e = [{"k": 3}];', 'x = {"data": [{"k": 4}]}', 'data : [{"k": 5}', 'let f = ["\\u007bk"];', "nothing", "Var g = [{}];"]
+    html = "".join(f"<script>{s}</script>" for s in scripts)
+    found = extract.extract_embedded_json(parse_pages(pages(spark, html), fields=["nodes"])).orderBy("script_idx", "pattern_idx").collect()
+    assert [(r.script_idx, r.pattern_idx, r.record) for r in found] == [(2, 2, '{"k":1}'), (4, 3, '{"k":3}'), (5, 5, '{"k":4}'), (7, 1, "{k")]
