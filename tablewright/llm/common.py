@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a kernel works on at a time; a longer text is taken alone.
@@ -60,6 +60,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates over its rows that the write itself takes, without a query more."""
+    seen = Observation()
+    out = written(df.observe(seen, *(column.alias(name) for name, column in measures.items())), label)
+    return out, seen.get
+
+
 def drop_written(*frames: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for df in frames:
@@ -158,21 +165,21 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """(node, component): the smallest node reachable over ``edges``, for every node that has an edge.
 
     Alternates two star rewirings, each a minimum per node and an equi-join of a node's edges with that one row, until
-    no edge changes. Neighbour lists are never gathered, so a node with a third of all edges is a skewed join side that
+    no edge changes, which the write of a round tells. Neighbour lists are never gathered, so a node with a third of all edges is a skewed join side that
     adaptive execution splits. Every round is a table in the shared folder. Null nodes and loops are ignored.
     """
-    current = written(
-        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u > v").distinct(), "edges"
-    )
-    seen = current.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    while True:
-        both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    def kept(found: DataFrame) -> tuple[DataFrame, dict]:
+        return measured(found.filter("u > v").distinct(), "edges", n=F.count("*"), x=F.bit_xor(F.xxhash64("u", "v")))
+
+    current, seen = kept(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")))
+    while seen["n"]:
+        turned = current.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = current.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = turned.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        after = written(small.filter("u > v").distinct(), "edges")
-        now = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        after, now = kept(small)
         drop_written(current)
         current = after
         if now == seen:

@@ -142,7 +142,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, se
         order = draw.permutation(len(rows))
         for first in range(0, len(rows), batch):
             part = [rows[i] for i in order[first : first + batch]]
-            x = Entries(np.repeat(np.arange(len(part)), [len(p[1]) for p in part]), np.concatenate([p[1] for p in part]), np.concatenate([p[2] for p in part]))
+            x = Entries(np.repeat(np.arange(len(part)), [len(p[1]) for p in part]), np.concatenate([p[1] for p in part]).astype(np.int64), np.concatenate([p[2] for p in part]).astype(np.float64))
             error = model.scores(x, len(part)) - np.array([p[0] for p in part])
             scaled = model.factors[x.at] * x.value[:, None]
             sums = np.zeros((len(part), FACTORS))
@@ -188,7 +188,7 @@ def train(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "
     found = chosen.select("_label", "_text", "_length", F.xxhash64("_key", "_text").alias("_order"))
     found = found.orderBy("_order").limit(SAMPLE_ROWS).select("_label", "_text", "_length").mapInArrow(described, "_label int, at array<int>, value array<float>").toArrow()
     rows = zip(found["_label"].to_pylist(), found["at"], found["value"])
-    return fit([(y, a.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(np.float64)) for y, a, v in rows])
+    return fit([(y, a.values.to_numpy(), v.values.to_numpy()) for y, a, v in rows])
 
 
 def quality_score(model: FactorisationMachine, text: Column, length: Column) -> Column:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import bounded_batches, components, drop_written, mix64, table, text_chunks, written
+from tablewright.llm.common import bounded_batches, components, drop_written, measured, mix64, table, text_chunks, written
 
 SEED = 42
 _digest = xxhash.xxh64_intdigest
@@ -252,8 +252,8 @@ def set_prefixes(text: Column, words: int, similarity: float, common: np.ndarray
     return prefixes.asNondeterministic()(text.cast("string"))
 
 
-def _missed(rows: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of classes of different components among which are all of this similarity, by exact bounds alone.
+def _missed(rows: DataFrame, classes: DataFrame, words: int, similarity: float) -> tuple[DataFrame, int]:
+    """Pairs (a, b), and their number, of classes of different components among which are all of this similarity, by exact bounds alone.
 
     Of two sets with this Jaccard similarity, the first shingles of each, as many as may be missing in the other and one
     more, share one: they meet there in an equi-join. Sizes, places in the order, and the shingles that the parity maps show
@@ -280,9 +280,9 @@ def _missed(rows: DataFrame, classes: DataFrame, words: int, similarity: float)
         pairs = pairs.join(found.select(F.col("id").alias(side), F.col("n").alias(f"_n{side}"), F.col("map").alias(f"_{side}")), side)
     differing = _map_difference(F.col("_a"), F.col("_b"))
     limit = (1 - similarity) / (1 + similarity) * (F.col("_na") + F.col("_nb")) + 1e-6
-    missed = written(pairs.filter(differing <= limit).select("a", "b"), "missed")
+    missed, number = measured(pairs.filter(differing <= limit).select("a", "b"), "missed", n=F.count("*"))
     drop_written(found, candidates)
-    return missed
+    return missed, number["n"]
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -303,8 +303,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("tag", F.xxhash64("_text"))
     prints = written(rows.select("key", "tag", wide_prints(F.col("_text"), words, WIDE_WORDS).alias("print")), "wide")
     classes = prints.groupBy("print").agg(F.min("key").alias("first"), F.min(F.struct(F.col("key").isNull(), "key", "tag")).alias("_row"))
-    classes = written(classes.select("print", "first", "_row.tag", F.monotonically_increasing_id().alias("id")), "classes")
-    bits = min(8 * WIDE_WORDS * 8 // TABLES - 8, max(8, math.ceil(math.log2(max(2, classes.count()))) + SPARE_BITS))
+    classes, number = measured(classes.select("print", "first", "_row.tag", F.monotonically_increasing_id().alias("id")), "classes", n=F.count("*"))
+    bits = min(8 * WIDE_WORDS * 8 // TABLES - 8, max(8, math.ceil(math.log2(max(2, number["n"]))) + SPARE_BITS))
 
     def most(size: int, errors: float = 3) -> int:
         share = share_of_bits(similarity)
@@ -331,7 +331,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     drop_written(pairs)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         needed = classes.join(needed, "id").select("id", F.col("first").alias("_key"), F.col("tag").alias("_tag"))
         met = rows.join(needed, F.col("key").eqNullSafe(F.col("_key")) & (F.col("tag") == F.col("_tag")))
         return written(met.select("id", shingle_sets(F.col("_text"), words).alias("shingles")).dropDuplicates(["id"]), "sets")
@@ -345,13 +345,15 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     sets = sets_of(close)
     named = joined(classes.withColumn("component", F.col("id")), _alike(close, sets, similarity))
     drop_written(sets, close)
-    missed = _missed(rows, named, words, similarity)
-    sets = sets_of(missed)
-    links = _alike(missed, sets, similarity)
-    for side in "ab":
-        links = links.join(named.select(F.col("id").alias(side), F.col("component").alias(f"_{side}")), side)
-    named = joined(named, links.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    drop_written(sets, missed)
+    missed, left = _missed(rows, named, words, similarity)
+    if left:
+        sets = sets_of(missed)
+        links = _alike(missed, sets, similarity)
+        for side in "ab":
+            links = links.join(named.select(F.col("id").alias(side), F.col("component").alias(f"_{side}")), side)
+        named = joined(named, links.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        drop_written(sets)
+    drop_written(missed)
     lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
     members = named.join(lowest, "component").select("print", "lowest", F.col("component").alias("group"))
     return prints.join(members, "print").select(F.col("key").alias(key), F.col("lowest").alias("component"), "group", "tag")
@@ -365,8 +367,8 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     found = written(similar_groups(docs, key, text, words, similarity), "groups")
     first = found.filter(F.col(key).eqNullSafe(F.col("component"))).groupBy("group").agg(F.min("tag").alias("_tag"), F.first("component").alias("_key"))
     staying = found.join(first, (found["group"] == first["group"]) & F.col(key).eqNullSafe(F.col("_key")) & (F.col("tag") == F.col("_tag")))
-    staying = staying.groupBy("_key", "_tag").agg(F.count("*").alias("_n"))
-    repeated = staying.filter("_n > 1").limit(1).count() > 0
+    staying, rows = measured(staying.groupBy("_key", "_tag").agg(F.count("*").alias("_n")), "staying", most=F.max("_n"))
+    repeated = (rows["most"] or 0) > 1
     kept = docs.join(staying, docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == F.col("_tag")), "left_semi")
     return kept.dropDuplicates([key, text]) if repeated else kept
 

@@ -52,3 +52,34 @@ def test_long_regular_words_differ():
         starts = np.array([0, size + 1, 2 * size + 2])
         a, b, again = common.span_hashes(data, starts, starts + size).tolist()
         assert a != b and a == again
+
+
+def jobs_of(spark, run):
+    context, group = spark.sparkContext, f"jobs-{random.random()}"
+    context.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return len(context.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_write_tells_its_measures(spark):
+    df = spark.range(1000).filter("id % 3 = 0")
+    out, found = common.measured(df, "measured", n=common.F.count("*"), most=common.F.max("id"))
+    assert found == {"n": 334, "most": 999} and out.count() == 334 and out.columns == ["id"]
+    out, found = common.measured(df.filter("id < 0"), "measured", n=common.F.count("*"), most=common.F.max("id"))
+    assert found == {"n": 0, "most": None} and out.count() == 0
+
+
+def test_components_ask_for_nothing_beside_their_writes(spark, monkeypatch):
+    """Each query leaves plans, broadcasts and threads on the driver: rounds are told by their writes, and no edges need none."""
+    labels = []
+    monkeypatch.setattr(common, "written", lambda df, label, f=common.written: labels.append(label) or f(df, label))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    monkeypatch.setattr(type(edges), "first", None)
+    assert {r.component for r in common.components(edges).collect()} == {0}
+    assert len(labels) > 2
+    labels.clear()
+    assert jobs_of(spark, lambda: common.components(edges.filter("src < 0"))) <= 2
+    assert labels == ["edges"]

@@ -51,3 +51,13 @@ def test_odd_rows(spark):
     assert len({r.score for r in found if r.text == "fine words here"}) == 1
     assert all(r.score == 0.5 for r in quality.classify(df, labels.limit(0)).collect())
     assert quality.classify(df.limit(0), labels).count() == 0
+
+
+def test_the_driver_holds_features_as_they_arrive(spark, tiny, monkeypatch):
+    """Four bytes a number, and the model that the wide copies of them gave."""
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows: seen.extend(rows) or fit(rows, 2))
+    quality.op2_quality(spark, tiny)
+    assert seen and all(a.dtype.itemsize == v.dtype.itemsize == 4 for _, a, v in seen)
+    narrow, wide = fit(seen, 2), fit([(y, a.astype("int64"), v.astype("float64")) for y, a, v in seen], 2)
+    assert narrow.bias == wide.bias and (narrow.linear == wide.linear).all() and (narrow.factors == wide.factors).all()
