@@ -103,6 +103,8 @@ MAP_BITS = 2
 #: 64-bit words of the short parity map that travels with a set's shingles; sets for which it is too short have none.
 SKETCH_WORDS = 8
 SKETCH = [f"k{k}" for k in range(SKETCH_WORDS)]
+#: Classes of a shingle that all its others are compared with before they are compared with each other.
+PIVOTS = 4
 
 #: The wide fingerprint of ``similar_groups``: 64-bit words, of which the last is compared first, and the tables cut
 #: from the others. Bits of a table's key beyond the logarithm of the number of fingerprints.
@@ -252,36 +254,54 @@ def set_prefixes(text: Column, words: int, similarity: float, common: np.ndarray
     return prefixes.asNondeterministic()(text.cast("string"))
 
 
-def _missed(rows: DataFrame, classes: DataFrame, words: int, similarity: float) -> tuple[DataFrame, int]:
+def _prefixes(rows: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(n, prefix, map, k0, ..., id, component) of the classes that have shingles; texts are read once for it."""
+    found = rows.select(set_prefixes(F.col("_text"), words, similarity, common_shingles(rows, words)).alias("p")).select("p.*")
+    ids = classes.select(F.col("print.s0").alias("s0"), F.col("print.s1").alias("s1"), "id", "component")
+    return written(found.filter("n > 0").join(ids, ["s0", "s1"]).drop("s0", "s1").dropDuplicates(["id"]), "prefixes")
+
+
+def _meeting(tokens: DataFrame) -> DataFrame:
+    """The rows of (hash, id, component, ...) whose hash more than one component has."""
+    shared = tokens.groupBy("hash").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("hash")
+    return written(tokens.join(shared, "hash"), "tokens")
+
+
+def _missed(met: DataFrame, found: DataFrame, similarity: float, pivots: bool) -> tuple[DataFrame, int]:
     """Pairs (a, b), and their number, of classes of different components among which are all of this similarity, by exact bounds alone.
 
     Of two sets with this Jaccard similarity, the first shingles of each, as many as may be missing in the other and one
     more, share one: they meet there in an equi-join. Sizes, places in the order, and the shingles that the parity maps show
     to differ rule out pairs for certain; the short map does so where they meet, so that a group of copies that are not near
-    enough does not leave its pairs. Shingles that only one component has are dropped before they meet.
+    enough does not leave its pairs. Shingles that only one component has have been dropped, see ``_meeting``.
+
+    With ``pivots`` a class meets only so many of each of its shingles, and takes the likeliest of a component: rows grow
+    with the shingles, not with the pairs. That joins most of a large group's members that fingerprints have left alone, so
+    that the run without, which leaves nothing out, does not pair each of them with the whole group.
     """
-    found = rows.select(set_prefixes(F.col("_text"), words, similarity, common_shingles(rows, words)).alias("p")).select("p.*")
-    ids = classes.select(F.col("print.s0").alias("s0"), F.col("print.s1").alias("s1"), "id", "component")
-    found = written(found.filter("n > 0").join(ids, ["s0", "s1"]).drop("s0", "s1").dropDuplicates(["id"]), "prefixes")
-    tokens = found.select("id", "component", "n", *SKETCH, F.posexplode("prefix").alias("pos", "hash"))
-    shared = tokens.groupBy("hash").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("hash")
-    met = written(tokens.join(shared, "hash"), "tokens")
-    a, b = (met.select("hash", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "component", "n", "pos", *SKETCH)]) for side in "ab")
+    chosen = met
+    if pivots:
+        place = F.row_number().over(Window.partitionBy("hash").orderBy(F.xxhash64("hash", "id"), "id"))
+        chosen = met.withColumn("_place", place).filter(F.col("_place") <= PIVOTS)
+    a, b = (rows.select("hash", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "component", "n", "pos", *SKETCH)]) for rows, side in ((met, "a"), (chosen, "b")))
     least = similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-6
     most = F.least("a_pos", "b_pos") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     limit = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
-    differing = sum(F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in SKETCH)
+    differing = F.coalesce(sum(F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in SKETCH), F.lit(0))
     sizes_fit = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6
-    pairs = a.join(b, "hash").filter((F.col("a_component") < F.col("b_component")) & sizes_fit & (most >= least) & (F.coalesce(differing, F.lit(0)) <= limit))
-    candidates = written(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), "pairs")
-    drop_written(met)
+    fits = sizes_fit & (most >= least) & (differing <= limit)
+    apart = F.col("a_component") != F.col("b_component") if pivots else F.col("a_component") < F.col("b_component")
+    pairs = a.join(b, "hash").filter(apart & fits)
+    if pivots:
+        pairs = pairs.groupBy("a_id", "b_component").agg(F.min(F.struct(differing / limit, "b_id")).alias("_best")).select("a_id", "_best.b_id")
+    candidates = written(pairs.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct(), "pairs")
     pairs = candidates
     for side in "ab":
         pairs = pairs.join(found.select(F.col("id").alias(side), F.col("n").alias(f"_n{side}"), F.col("map").alias(f"_{side}")), side)
     differing = _map_difference(F.col("_a"), F.col("_b"))
     limit = (1 - similarity) / (1 + similarity) * (F.col("_na") + F.col("_nb")) + 1e-6
     missed, number = measured(pairs.filter(differing <= limit).select("a", "b"), "missed", n=F.count("*"))
-    drop_written(found, candidates)
+    drop_written(candidates)
     return missed, number["n"]
 
 
@@ -291,9 +311,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     Balls of small radius miss texts at 0.8 on one 64-bit fingerprint, which differ in ten bits. So the fingerprint is
     wide, and TABLES keys are cut from it; two fingerprints are candidates if some table's keys differ in 2 bits at
     most, for which both emit their keys' balls of radius one and meet in the shuffle. In a variant's group every member
-    is compared with one pivot, the smallest by a hash that differs between tables, so no group's pairs are spread out
-    and a group is read in a stream. Fingerprints only pick candidates, up to three standard errors beyond the limit; a
-    pair links if the exact Jaccard similarity of its shingle sets reaches the limit. Keys grow with the logarithm of the
+    meets one pivot, the smallest by a hash that differs between tables, so no group's pairs are spread out and a group is
+    read in a stream. Of its pivots in a table a member keeps two, the nearest and the smallest that is near enough: at most
+    two pairs a table and member, however large a group. Fingerprints only pick candidates, up to three standard errors
+    beyond the limit; a pair links if the exact Jaccard similarity of its shingle sets reaches the limit. Keys grow with the logarithm of the
     number of fingerprints, so chance meetings grow with the input. What fingerprints miss between the groups so found is
     then looked for by bounds that hold for certain, see ``_missed``, and judged alike: no link is left out. Rows of equal
     sets, repeated rows and those without words included, are one class. ``component`` is the smallest key of the group, null
@@ -324,11 +345,13 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     spread = keyed.select("id", "sketch", "table", F.explode(F.transform(flips, lambda x: F.col("cut").bitwiseXOR(x))).alias("variant"))
     spread = spread.select("id", "sketch", F.col("variant").bitwiseOR(F.shiftleft(F.col("table").cast("long"), 48)).alias("variant"))
     order = F.xxhash64("id", F.shiftright("variant", 48))
-    pivot = F.first(F.struct("id", "sketch")).over(Window.partitionBy("variant").orderBy(order, "id"))
-    met = spread.withColumn("pivot", pivot).filter((F.col("id") != F.col("pivot.id")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("pivot.sketch"))) <= most(1)))
-    pairs = written(met.select(F.greatest("id", "pivot.id").alias("a"), F.least("id", "pivot.id").alias("b")).distinct(), "pairs")
+    pivot = F.first(F.struct(order.alias("order"), "id", "sketch")).over(Window.partitionBy("variant").orderBy(order, "id"))
+    differing = F.bit_count(F.col("sketch").bitwiseXOR(F.col("pivot.sketch")))
+    met = spread.withColumn("pivot", pivot).filter((F.col("id") != F.col("pivot.id")) & (differing <= most(1)))
+    likely, nearest = (F.min(F.struct(by, "pivot.order", "pivot.id")) for by in (F.greatest(differing, F.lit(most(1, 0))), differing))
+    chosen = met.groupBy("id", F.shiftright("variant", 48)).agg(F.array(likely, nearest).alias("pivots")).select("id", F.explode("pivots.id").alias("pivot"))
+    pairs = chosen.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
     close = written(_compared(pairs, classes.select("id", "print"), "print", WIDE_WORDS, most(WIDE_WORDS)), "pairs")
-    drop_written(pairs)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -342,17 +365,31 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         named = named.join(groups.withColumnRenamed("node", "component"), "component", "left")
         return written(named.withColumn("component", F.coalesce("_to", "component")).drop("_to"), "named")
 
-    sets = sets_of(close)
-    named = joined(classes.withColumn("component", F.col("id")), _alike(close, sets, similarity))
-    drop_written(sets, close)
-    missed, left = _missed(rows, named, words, similarity)
-    if left:
+    def merged(named: DataFrame, missed: DataFrame) -> DataFrame:
+        """The classes with the components that the pairs of this similarity make of theirs."""
         sets = sets_of(missed)
         links = _alike(missed, sets, similarity)
         for side in "ab":
             links = links.join(named.select(F.col("id").alias(side), F.col("component").alias(f"_{side}")), side)
-        named = joined(named, links.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        found = joined(named, links.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
         drop_written(sets)
+        return found
+
+    sets = sets_of(close)
+    named = joined(classes.withColumn("component", F.col("id")), _alike(close, sets, similarity))
+    drop_written(sets, close)
+    found = _prefixes(rows, named, words, similarity)
+    met = _meeting(found.select("id", "component", "n", *SKETCH, F.posexplode("prefix").alias("pos", "hash")))
+    missed, left = _missed(met, found, similarity, pivots=True)
+    if left:
+        named, apart = merged(named, missed), met
+        met = _meeting(apart.drop("component").join(named.select("id", "component"), "id"))
+        drop_written(apart)
+    drop_written(missed)
+    missed, left = _missed(met, found, similarity, pivots=False)
+    drop_written(met, found)
+    if left:
+        named = merged(named, missed)
     drop_written(missed)
     lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
     members = named.join(lowest, "component").select("print", "lowest", F.col("component").alias("group"))

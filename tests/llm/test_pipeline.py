@@ -142,3 +142,41 @@ def test_a_group_of_copies_that_are_not_near_leaves_no_pairs(spark, monkeypatch)
     assert all(found[a] == found[b] for (a, b), j in alike.items() if j >= 0.8)
     assert made["prefixes"] == [(1, len(docs))]
     assert made["pairs"][-1][1] <= 0.1 * len(alike), (made["pairs"], near, len(alike))
+
+
+def test_pairs_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """Near copies around the limit: however many pairs they have, few of them are written for each member."""
+    draw = random.Random(47)
+    base = [f"w{draw.randrange(10**9)}" for _ in range(150)]
+    docs = []
+    for d in range(600):
+        words = list(base)
+        for place in draw.sample(range(0, 150, 5), draw.choice((0, 1, 2, 3, 4))):
+            words[place] = f"v{draw.randrange(10**9)}"
+        docs.append((d, " ".join(words)))
+    sets = {d: shingles(t) for d, t in docs}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > 50 * len(docs)
+    smallest = {d: d for d in sets}
+    for a, b in alike:
+        low = min(smallest[a], smallest[b])
+        for d in [d for d, s in smallest.items() if s in (smallest[a], smallest[b])] if smallest[a] != smallest[b] else []:
+            smallest[d] = low
+    made, kept = [], simhash._compared
+
+    def compared(pairs, *rest):
+        made.append(pairs.count())
+        return kept(pairs, *rest)
+
+    written = simhash.written
+
+    def counted(df, label):
+        out = written(df, label)
+        made.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "_compared", compared)
+    monkeypatch.setattr(simhash, "written", counted)
+    found = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == smallest
+    assert max(made) <= 8 * len(docs), made
