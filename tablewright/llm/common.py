@@ -42,17 +42,17 @@ def scratch_root(spark: SparkSession) -> str:
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there and a lost executor loses nothing.
 
-    The shuffles that made it are not needed after that and are removed.
+    The shuffles that made it are not needed after that and are removed. ``options`` are those of the writer.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)

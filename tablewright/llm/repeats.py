@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import CHUNK_BYTES, bounded_batches, drop_written, mix64, span_hashes, table, text_chunks, written
@@ -20,6 +21,12 @@ LENGTH, ANCHOR = 50, 20
 BLOCK_BYTES, SHARD_BYTES = 8 << 20, 3 << 20
 #: An anchor in so many blocks or more is common: its stretches are dealt to shards one by one, not by the anchor.
 COMMON_BLOCKS = 256
+#: Blocks whose hashes a bucket gathers, and bytes of a piece's place in a shuffle.
+BUCKET_BLOCKS, PLACE_BYTES = 4, 40
+#: Bytes of pieces and places to shuffle at a time, per byte of text.
+MOVED_BYTES = 1.5
+#: Pieces are cut out of overlapping stretches: what follows in a file is mostly in it already.
+_PIECE_FILES = {"compression": "zstd", "parquet.enable.dictionary#piece": "false"}
 _LAST = (1 << 63) - 1
 
 
@@ -38,10 +45,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         reach *= 2
     if reach < width:
         least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
-    ends = np.repeat(offsets[1:], np.diff(offsets))
-    starts = np.flatnonzero(np.arange(len(least)) + LENGTH <= ends[: len(least)])
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
+    starts = np.flatnonzero(np.arange(len(least)) + LENGTH <= offsets[1:][row])
     at = (least[starts] & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
-    return starts, at, hashes[at] & ~np.uint64(1), np.searchsorted(offsets, starts, "right") - 1
+    return starts, at, hashes[at] & ~np.uint64(1), row[starts]
 
 
 def _runs(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +69,22 @@ def _originals(docs: pa.Table, copies: pa.Table) -> pa.Table:
     return docs if len(keep) == docs.num_rows else docs.take(pa.array(keep, pa.int64()))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted 32-bit values by bytes, the high ones first: those of neighbours hardly differ and take no room."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T[::-1].tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(4, -1)[::-1].T).view("<u4")[:, 0]
+
+
+def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and, below it, 32 bits of each hash. Hashes of one code are taken for equal; that can only add pieces."""
+    return (mix64(hashes >> np.uint64(1)) % np.uint64(buckets)) << np.uint64(32) | hashes >> np.uint64(32)
+
+
 def _anchors_of_block(buckets: int):
-    """Per bucket of hashes, the block's different anchor hashes; the lowest bit says that two documents hold it."""
+    """Per bucket, the codes of the block's different anchors, and bits that say which of them two documents hold."""
 
     def of(group: pa.Table, copies: pa.Table) -> pa.Table:
         group, found, docs = _originals(group, copies), [], []
@@ -72,86 +93,115 @@ def _anchors_of_block(buckets: int):
             _, at, hashes, rows = anchors(data, offsets)
             if len(at):
                 run, _ = _runs(at, rows)
-                found.append(hashes[run])
+                found.append(_codes(hashes[run], buckets))
                 docs.append(keys[first + rows[run]])
         if not found:
-            return pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary())})
+            return pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary()), "twice": pa.array([], pa.binary())})
         block = group.column("block")[0].as_py()
-        hashes, doc = np.concatenate(found), np.concatenate(docs)
-        order = np.lexsort((doc, hashes))
-        hashes, doc = hashes[order], doc[order]
-        head = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        tail = np.append(head[1:], len(hashes)) - 1
-        values = hashes[head] | (doc[head] != doc[tail]).astype(np.uint64)
-        bucket = (mix64(values >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        codes, doc = np.concatenate(found), np.concatenate(docs)
+        order = np.lexsort((doc, codes))
+        codes, doc = codes[order], doc[order]
+        head = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        tail = np.append(head[1:], len(codes)) - 1
+        values, twice = codes[head], doc[head] != doc[tail]
+        cuts = np.searchsorted(values, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
         full = np.flatnonzero(np.diff(cuts))
-        blobs = [values[order[cuts[b] : cuts[b + 1]]].tobytes() for b in full]
-        return pa.table({"bucket": pa.array(full, pa.int64()), "block": pa.array([block] * len(full), pa.int64()), "hashes": pa.array(blobs, pa.binary())})
+        blobs = [_packed(values[cuts[b] : cuts[b + 1]]) for b in full]
+        bits = [np.packbits(twice[cuts[b] : cuts[b + 1]]).tobytes() for b in full]
+        return pa.table({"bucket": pa.array(full, pa.int64()), "block": pa.array([block] * len(full), pa.int64()), "hashes": pa.array(blobs, pa.binary()), "twice": pa.array(bits, pa.binary())})
 
     return of
 
 
 def _repeated_anchors(group: pa.Table) -> pa.Table:
-    """To each block, those of its hashes that another document has too; the lowest bit now marks common ones."""
-    blocks = group.column("block").to_numpy()
-    parts = [np.frombuffer(b, dtype=np.uint64) for b in group.column("hashes").to_pylist()]
+    """To each block, those of its codes that another document has too, and bits that mark common ones."""
+    bucket, blocks = group.column("bucket")[0].as_py(), group.column("block").to_numpy()
+    parts = [_unpacked(b) for b in group.column("hashes").to_pylist()]
     sizes = np.array([len(p) for p in parts])
     values = np.concatenate(parts)
+    both = np.concatenate([np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n) for b, n in zip(group.column("twice").to_pylist(), sizes)]) == 1
     own = np.repeat(np.arange(len(parts)), sizes)
-    hashes, where, counts = np.unique(values >> np.uint64(1), return_inverse=True, return_counts=True)
-    twice = np.zeros(len(hashes), dtype=bool)
-    twice[where[(values & np.uint64(1)) == 1]] = True
+    codes, where, counts = np.unique(values, return_inverse=True, return_counts=True)
+    twice = np.zeros(len(codes), dtype=bool)
+    twice[where[both]] = True
     keep = (counts > 1)[where] | twice[where]
-    out = ((values >> np.uint64(1)) << np.uint64(1)) | (counts >= COMMON_BLOCKS)[where].astype(np.uint64)
     cuts = np.append(0, np.cumsum(np.bincount(own[keep], minlength=len(parts))))
-    kept = out[keep]
+    kept, common = values[keep], (counts >= COMMON_BLOCKS)[where[keep]]
     full = np.flatnonzero(np.diff(cuts))
-    return pa.table({"block": pa.array(blocks[full], pa.int64()), "hashes": pa.array([kept[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())})
+    hashes = [_packed(kept[cuts[i] : cuts[i + 1]]) for i in full]
+    bits = [np.packbits(common[cuts[i] : cuts[i + 1]]).tobytes() for i in full]
+    return pa.table({"block": pa.array(blocks[full], pa.int64()), "bucket": pa.array([bucket] * len(full), pa.int64()), "hashes": pa.array(hashes, pa.binary()), "common": pa.array(bits, pa.binary())})
+
+
+_PIECE = "key long, doc long, tag long, start long, size int, edge boolean, piece binary"
 
 
-_PIECE = "key long, doc long, tag long, start long, size int, piece binary"
+def _edges(key: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One row of the smallest and one of the largest document of each piece: the others tell nothing more of it."""
+    edge = np.zeros(len(key), dtype=bool)
+    order = np.lexsort((doc, name, key))
+    k, n, d = key[order], name[order], doc[order]
+    head = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])))
+    tail = np.append(head[1:], len(k)) - 1
+    edge[order[head]] = True
+    edge[order[tail[d[tail] != d[head]]]] = True
+    return edge
 
 
-def _pieces_of_block(docs: pa.Table, lists: pa.Table) -> pa.Table:
+def _pieces_of_block(buckets: int):
     """The block's stretches with a repeated anchor, joined while they share it: a row per piece and place."""
-    empty = {c: pa.array([], k) for c, k in (("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("piece", pa.binary()))}
-    if not docs.num_rows or not lists.num_rows:
-        return pa.table(empty)
-    blobs = [b for b in lists.column("hashes").to_pylist() if b is not None]
-    if not blobs:
-        return pa.table(empty)
-    docs = _originals(docs, lists.filter(lists.column("hashes").is_null()))
-    known = np.unique(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in blobs]))
-    bare = known >> np.uint64(1)
-    keys, tags = docs.column("doc").to_numpy(), docs.column("tag").to_numpy()
-    out: list[pa.Table] = []
-    for first, data, offsets in text_chunks(docs.column("text")):
-        starts, at, hashes, rows = anchors(data, offsets)
-        if not len(at):
-            continue
-        run, last = _runs(at, rows)
-        place = np.minimum(np.searchsorted(bare, hashes[run] >> np.uint64(1)), len(bare) - 1)
-        hit = bare[place] == hashes[run] >> np.uint64(1)
-        run, last, common = run[hit], last[hit], (known[place[hit]] & np.uint64(1)) == 1
-        if common.any():  # one piece per stretch
-            spread = last[common] - run[common] + 1
-            alone = np.repeat(run[common], spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
-            run, last = np.append(run[~common], alone), np.append(last[~common], alone)
-            kind = np.append(np.zeros((~common).sum(), bool), np.ones(len(alone), bool))
-        else:
-            kind = common
-        a, b = starts[run], starts[last] + LENGTH
-        key = np.where(kind, span_hashes(data, a, b), hashes[run]).view(np.int64)
-        sizes = b - a
-        bounds = np.append(0, np.cumsum(sizes))
-        source = np.repeat(a - bounds[:-1], sizes) + np.arange(bounds[-1])
-        body = data[source]
-        piece = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
-        row = first + rows[run]
-        out.append(pa.table({"key": key, "doc": keys[row], "tag": tags[row], "start": a - offsets[rows[run]], "size": sizes.astype(np.int32), "piece": piece}))
-    return pa.concat_tables(out) if out else pa.table(empty)
+    empty = {c: pa.array([], k) for c, k in (("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("edge", pa.bool_()), ("piece", pa.binary()))}
+
+    def of(docs: pa.Table, lists: pa.Table) -> pa.Table:
+        if not docs.num_rows or not lists.num_rows:
+            return pa.table(empty)
+        told = lists.filter(lists.column("hashes").is_valid())
+        if not told.num_rows:
+            return pa.table(empty)
+        docs = _originals(docs, lists.filter(lists.column("hashes").is_null()))
+        parts = [_unpacked(b) for b in told.column("hashes").to_pylist()]
+        sizes = np.array([len(p) for p in parts])
+        known = np.repeat(told.column("bucket").to_numpy().astype(np.uint64) << np.uint64(32), sizes) | np.concatenate(parts)
+        popular = np.concatenate([np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n) for b, n in zip(told.column("common").to_pylist(), sizes)]) == 1
+        order = np.argsort(known)
+        known, popular = known[order], popular[order]
+        keys, tags = docs.column("doc").to_numpy(), docs.column("tag").to_numpy()
+        out: list[pa.Table] = []
+        names: list[np.ndarray] = []
+        for first, data, offsets in text_chunks(docs.column("text")):
+            starts, at, hashes, rows = anchors(data, offsets)
+            if not len(at):
+                continue
+            run, last = _runs(at, rows)
+            code = _codes(hashes[run], buckets)
+            place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            hit = known[place] == code
+            run, last, common = run[hit], last[hit], popular[place[hit]]
+            if common.any():  # one piece per stretch
+                spread = last[common] - run[common] + 1
+                alone = np.repeat(run[common], spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
+                run, last = np.append(run[~common], alone), np.append(last[~common], alone)
+                kind = np.append(np.zeros((~common).sum(), bool), np.ones(len(alone), bool))
+            else:
+                kind = common
+            a, b = starts[run], starts[last] + LENGTH
+            name = span_hashes(data, a, b)
+            key = np.where(kind, name, hashes[run]).view(np.int64)
+            sizes = b - a
+            bounds = np.append(0, np.cumsum(sizes))
+            source = np.repeat(a - bounds[:-1], sizes) + np.arange(bounds[-1])
+            body = data[source]
+            piece = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+            row = first + rows[run]
+            names.append(name)
+            out.append(pa.table({"key": key, "doc": keys[row], "tag": tags[row], "start": a - offsets[rows[run]], "size": sizes.astype(np.int32), "piece": piece}))
+        if not out:
+            return pa.table(empty)
+        found = pa.concat_tables(out)
+        edge = _edges(found.column("key").to_numpy(), np.concatenate(names), found.column("doc").to_numpy())
+        return found.add_column(5, "edge", pa.array(edge))
+
+    return of
 
 
 def earlier_stretches(pieces: list[bytes], docs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -204,17 +254,37 @@ def exact_copies(rows: DataFrame) -> DataFrame:
     return known.join(first, "digest").filter("doc > first").select("doc", "tag", "size").distinct()
 
 
-def candidate_pieces(rows: DataFrame, copies: DataFrame, blocks: int) -> DataFrame:
-    """Steps 1 and 2 of ``repeated_spans``: the pieces of all stretches whose anchor another document has."""
+def candidate_pieces(rows: DataFrame, copies: DataFrame, blocks: int, buckets: int) -> tuple[DataFrame, dict]:
+    """Steps 1 and 2 of ``repeated_spans``: the pieces of all stretches whose anchor another document has; their number
+    and the bytes of those at an edge."""
     block = F.pmod(F.xxhash64("doc", "tag"), F.lit(blocks))
     rows = rows.withColumn("block", block).repartition(blocks, "block")
     copies = copies.select(block.alias("block"), "doc", "tag")
-    sent = rows.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_anchors_of_block(blocks), "bucket long, block long, hashes binary")
-    lists = sent.groupBy("bucket").applyInArrow(_repeated_anchors, "block long, hashes binary")
-    told = lists.select("block", "hashes", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("tag"))
-    told = told.union(copies.select("block", F.lit(None).cast("binary"), "doc", "tag"))
-    cut = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_pieces_of_block, _PIECE)
-    return written(cut.withColumn("name", F.xxhash64("piece")), "pieces")
+    sent = rows.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_anchors_of_block(buckets), "bucket long, block long, hashes binary, twice binary")
+    lists = sent.groupBy("bucket").applyInArrow(_repeated_anchors, "block long, bucket long, hashes binary, common binary")
+    none = {kind: F.lit(None).cast(kind) for kind in ("long", "binary")}
+    told = lists.select("block", "bucket", "hashes", "common", none["long"].alias("doc"), none["long"].alias("tag"))
+    told = told.union(copies.select("block", none["long"], none["binary"], none["binary"], "doc", "tag"))
+    cut = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_pieces_of_block(buckets), _PIECE)
+    seen = Observation()
+    cut = cut.observe(seen, F.count("*").alias("n"), F.sum(F.when(F.col("edge"), F.col("size"))).alias("size"))
+    return written(cut, "pieces", _PIECE_FILES), seen.get
+
+
+def _spans_of_part(cut: DataFrame, shards: int) -> DataFrame:
+    """Steps 3 and 4 of ``repeated_spans`` for some of the keys."""
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    different = cut.filter("edge").select(shard, "key", "piece", "doc").repartition(shards, "shard")
+    different = different.groupBy("shard", "key", "piece").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    named = different.withColumn("name", F.xxhash64("piece"))
+    answers = written(named.groupBy("shard").applyInArrow(_sort_shard, "key long, name long, low long, lows array<int>, highs array<int>"), "answers")
+    met = cut.select("key", "doc", "tag", "start", "size", F.xxhash64("piece").alias("name")).join(answers, ["key", "name"])
+    whole = F.array(F.struct(F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high")))
+    part = F.transform(F.arrays_zip("lows", "highs"), lambda r: F.struct((F.col("start") + r["lows"]).alias("low"), (F.col("start") + r["highs"] + (LENGTH - 1)).alias("high")))
+    spans = met.select("doc", "tag", F.explode(F.when(F.col("doc") > F.col("low"), whole).otherwise(part)).alias("span"))
+    found = written(spans.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans")), "spans")
+    drop_written(answers)
+    return found
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,12 +292,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Copies of an earlier document's whole text are told by their digest and covered whole. Every stretch of LENGTH bytes
     of the other texts has an anchor, the byte string of least hash in it, so that equal stretches have equal anchors.
-    (1) Blocks of documents send their different anchor hashes to buckets, which answer each block with those that
-    another document has too; a hash goes once per block, however many documents hold it. (2) Blocks cut out the
-    stretches with a repeated anchor, joined to pieces. Equal pieces are combined before and in the shuffle. (3) Shards
-    of different pieces, dealt by anchor, are suffix sorted; neighbours that share LENGTH bytes give every stretch its
-    smallest document. (4) Places of a piece look up its answer in an equi-join. Anchors in COMMON_BLOCKS blocks or more
-    are dealt stretch by stretch, so that no shard gathers all contexts of a popular passage.
+    (1) Blocks of documents send codes of their different anchors to buckets, which answer each block with those that
+    another document has too; a code goes once per block, however many documents hold it. (2) Blocks cut out the
+    stretches with a repeated anchor, joined to pieces, and mark those that tell the smallest and largest document of
+    equal ones; only these move. (3) Shards of different pieces, dealt by anchor, are suffix sorted; neighbours that
+    share LENGTH bytes give every stretch its smallest document. (4) Places of a piece look up its answer in an
+    equi-join. Anchors in COMMON_BLOCKS blocks or more are dealt stretch by stretch, so that no shard gathers all
+    contexts of a popular passage. Pieces overlap, so where much repeats they outweigh the texts: (3) and (4) then take
+    the keys in parts, one after the other, each with little more to shuffle than the texts.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -236,20 +308,21 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.filter(F.octet_length("text") >= LENGTH).withColumn("tag", F.xxhash64("text"))
     copies = written(exact_copies(rows), "copies")
-    cut = candidate_pieces(rows, copies, max(partitions, math.ceil(size / BLOCK_BYTES)))
-    shards = max(partitions, math.ceil(size / (2 * SHARD_BYTES)))
-    different = cut.groupBy("key", "piece", "name").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-    answers = written(different.withColumn("shard", shard).groupBy("shard").applyInArrow(_sort_shard, "key long, name long, low long, lows array<int>, highs array<int>"), "answers")
-    met = cut.drop("piece").join(answers, ["key", "name"])
-    whole = F.array(F.struct(F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high")))
-    part = F.transform(F.arrays_zip("lows", "highs"), lambda r: F.struct((F.col("start") + r["lows"]).alias("low"), (F.col("start") + r["highs"] + (LENGTH - 1)).alias("high")))
-    spans = met.select("doc", "tag", F.explode(F.when(F.col("doc") > F.col("low"), whole).otherwise(part)).alias("span"))
-    spans = spans.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans"))
+    blocks = max(partitions, math.ceil(size / BLOCK_BYTES))
+    cut, seen = candidate_pieces(rows, copies, blocks, max(partitions, math.ceil(blocks / BUCKET_BLOCKS)))
+    moved = seen["size"] or 0
+    parts = max(1, math.ceil((moved + PLACE_BYTES * seen["n"]) / max(1, MOVED_BYTES * size)))
+    shards = max(partitions, math.ceil(moved / (parts * SHARD_BYTES)))
+    part = F.pmod(F.xxhash64("key", F.lit(parts)), F.lit(parts))
+    found = [_spans_of_part(cut.filter(part == i) if parts > 1 else cut, shards) for i in range(parts)]
+    drop_written(cut)
+    spans = functools.reduce(DataFrame.union, found)
+    if parts > 1:
+        spans = spans.groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     entire = copies.select("doc", "tag", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("size").cast("long").alias("high"))).alias("spans"))
-    found = written(spans.union(entire), "spans")
-    drop_written(cut, answers, copies)
-    return found
+    out = written(spans.union(entire), "spans")
+    drop_written(copies, *found)
+    return out
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
